@@ -218,5 +218,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | Non
             offset = table["offset"][at] + (k % table["per"][at]) * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    joined = cut_up.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "place", "base")
+    # One row per task and length: it grows with the input, so it is never broadcast.
+    joined = cut_up.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "place", "base")
     return joined.mapInArrow(run, PACKED)
