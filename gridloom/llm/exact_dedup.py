@@ -144,3 +144,17 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
+    """``docs`` with one row of each text, all columns as they are. Of rows repeated with
+    the doc_id that stays, any one stays."""
+    result = exact_dedup(docs, keep)
+    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    keys = [F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("__digest"), same.alias("__did")]
+    gone = materialize(result.where("not kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__did"), F.unhex("text_sha256").alias("__digest")).distinct(), "gone")
+    again = result.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    out = docs.select("*", *keys).join(gone, ["__did", "__digest"], "left_anti")
+    if again.limit(1).count():
+        out = out.dropDuplicates(["__did", "__digest"])
+    return out.select(*docs.columns)

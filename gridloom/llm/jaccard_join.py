@@ -449,3 +449,23 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
     )
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class of similar texts, that with the smallest
+    doc_id, all columns as they are."""
+    rows, sets, roots, _ = classes(docs, n, threshold, recall)
+    at = F.struct("did", "k")
+    root = F.coalesce("root", "sid").alias("root")
+    placed = rows.where("sid is not null").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select(root, "did", "k")
+    stays = placed.groupBy("root").agg(F.min(at).alias("at"), F.count("*").alias("size")).where("size > 1")
+    gone = placed.join(stays, "root").where((F.col("did") != F.col("at.did")) | (F.col("k") != F.col("at.k")))
+    gone = materialize(gone.select(F.col("did").alias("__did"), F.col("k").alias("__k")).distinct(), "gone")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__did"), F.crc32(text.cast("binary")).alias("__k")]
+    out = docs.select("*", *keys).join(gone, ["__did", "__k"], "left_anti")
+    if rows.where("sid is not null").groupBy("did", "k").count().where("count > 1").limit(1).count():
+        # Rows that repeat whole are one document; rows without words are in no class.
+        worded = rows.where("sid is not null").select(F.col("did").alias("__did"), F.col("k").alias("__k")).distinct()
+        out = out.join(worded, ["__did", "__k"], "left_semi").dropDuplicates(["__did", "__k"]).unionByName(out.join(worded, ["__did", "__k"], "left_anti"))
+    return out.select(*docs.columns)
