@@ -257,7 +257,7 @@ def marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> tuple[
         batch = rows.where(F.pmod(F.xxhash64("did"), F.lit(batches)) == b).select("text")
         found = index.add(_anchor_rows(batch, width))
         repeated = found if repeated is None else repeated.union(found)
-    hits = materialize(_block_rows(rows, width).join(repeated.distinct(), "fp", "left_semi"), "hits")
+    hits = materialize(_block_rows(rows, width).join(repeated, "fp", "left_semi"), "hits")
     place = F.struct("did", "k", "place")
     distinct = materialize(hits.groupBy("fp", "bh").agg(F.count("*").alias("n"), F.min(place).alias("at")), "blocks")
     mixed = distinct.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
