@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 1000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for p in (root / "__init__.py", *sorted((root / "llm").glob("*.py"))):
+                out.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a Python worker holds few texts at once."""
+    """Ship the package, and keep Arrow batches so small that a Python worker holds few
+    texts at once."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
