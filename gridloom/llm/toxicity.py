@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import bytewords as bw
 from gridloom.llm.session import tune
 
-PER_CLASS = 4000
-MAX_BYTES = 48_000_000
+PER_CLASS = 2000
+MAX_BYTES = 12_000_000
 FOLDS = 5
 #: Counts up to these are discounted whole.
 WHOLE, WHOLE_PAIRS = 3, 12
@@ -135,8 +135,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
                 kept[c].append(np.stack([(before if kept is uni else earlier)[own], (h if kept is uni else pairs)[own]]))
             left[c].append(before[own])
     flat = lambda x: np.concatenate(x, axis=-1) if x else np.zeros((2, 0), np.uint64)
-    single = [_continuations(*flat(uni[c])) for c in (0, 1)]
-    double = [_continuations(*flat(pair[c])) for c in (0, 1)]
+    single, double = [], []
+    for c in (0, 1):
+        single.append(_continuations(*flat(uni[c])))
+        uni[c].clear()
+        double.append(_continuations(*flat(pair[c])))
+        pair[c].clear()
     words = np.unique(np.concatenate([single[0][0], single[1][0]]))
     v = len(words)
     counts = np.zeros((2, v + 1))
