@@ -38,9 +38,9 @@ from gridloom.llm.session import tune
 BITS = 16
 ORDERS = 3
 SCALE = 30.0
-PER_LANG = 1000
+PER_LANG = 800
 MAX_LANGS = 200
-MAX_BYTES = 24_000_000
+MAX_BYTES = 12_000_000
 PIECE = 1 << 19  # characters whose features are held at once
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _SPACE = 0x20
