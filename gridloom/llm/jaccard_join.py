@@ -8,8 +8,9 @@ threshold shares a bucket in one run is at least ``_chance()``; ``runs_for(recal
 the number of runs for a target recall.
 
 Texts with equal n-gram sets are one set throughout, so a group of copies of any size is
-one row. Comparing goes in two rounds of runs: what the first has linked isn't compared
-again by the second. Buckets are pruned by a sketch (one-permutation hashing) before any
+one row. Comparing goes in two rounds of runs: the second drops the buckets that lie in
+one class by then, so a large class of near copies costs a few runs only. Buckets are
+pruned by a sketch (one-permutation hashing) before any
 set is moved; every reported link is verified on the whole sets. Buckets that stay large
 are dense: their sets go in blocks, each with a few leaders of the bucket, and what the
 leaders leave unlinked is then compared with the whole bucket, block by block. So there
@@ -51,7 +52,7 @@ LIMIT = 200
 LEADERS = 8
 DENSE = 0.6
 BINS = 64
-FIRST_ROUND = 3
+FIRST_ROUND = 2
 
 
 def _chance(threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
@@ -158,28 +159,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(did, F.lit(-1)).alias("did"), F.crc32(text.cast("binary")).alias("k"), did.alias("doc_id"), text.alias("text"))
 
 
-def _buckets(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, run, sid) of buckets to compare, and (node, size, sid) of dense ones."""
-    level = sets.select(F.explode("nodes").alias("node"), "sid")
-    level = level.select("node", "sid", (F.col("node").bitwiseAND(F.lit(255))).cast("int").alias("run"), F.lit(None).cast("long").alias("parent"))
+def _buckets(sets: DataFrame, runs: int, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """(node, sid) of buckets to compare, and (node, size, sid) of dense ones, of the
+    runs ``first`` to ``last`` - 1. ``sets`` has each set's class so far in ``root``; a
+    bucket inside one class is dropped as soon as it is seen."""
+    run = F.col("node").bitwiseAND(F.lit(255)).cast("int")
+    level = sets.select(F.explode("nodes").alias("node"), "sid", "root").where((run >= first) & (run < last))
+    level = level.select("node", "sid", "root", run.alias("run"), F.lit(None).cast("long").alias("parent"))
     small, dense = [], []
     for depth in range(1, DEPTH + 1):
-        count = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = materialize(level.join(count, "node").select("node", "sid", "run", "size", "parent"), "nodes")
-        small.append(rows.where(F.col("size") <= LIMIT).select("node", "run", "sid"))
+        count = level.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+        rows = materialize(level.join(count.select("node", "size"), "node").select("node", "sid", "root", "run", "size", "parent"), "nodes")
+        small.append(rows.where(F.col("size") <= LIMIT).select("node", "sid"))
         large = F.col("size") > LIMIT
         stays = F.coalesce(F.col("size") >= DENSE * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)
-        dense.append(rows.where(large & stays).select("node", "run", "size", "sid"))
+        dense.append(rows.where(large & stays).select("node", "size", "sid"))
         rows = rows.where(large & ~stays)
         if depth == DEPTH or rows.limit(1).count() == 0:
             break
         family = F.pmod(F.col("run") + 5 * depth, F.lit(runs))
         own = F.filter("deep", lambda x: F.shiftright(x, 32) == F.col("family").cast("long"))
         rows = rows.withColumn("family", family).join(sets.select("sid", "deep"), "sid")
-        level = rows.select(F.col("node").alias("above"), "sid", "run", F.col("size").alias("parent"), F.explode(own).alias("token"))
-        level = level.select(F.xxhash64("above", "token").alias("node"), "sid", "run", "parent")
+        level = rows.select(F.col("node").alias("above"), "sid", "root", "run", F.col("size").alias("parent"), F.explode(own).alias("token"))
+        level = level.select(F.xxhash64("above", "token").alias("node"), "sid", "root", "run", "parent")
     joined = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(joined(parts[1:]))
-    return joined(small), materialize(joined(dense), "dense")
+    return joined(small), joined(dense)
 
 
 def _blocks(dense: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def _blocks(dense: DataFrame) -> DataFrame:
     lead = F.pmod(F.xxhash64("sid", "node"), F.col("size")) < LEADERS
     own = F.array(F.pmod(F.xxhash64("sid"), many).cast("int"))
     block = F.explode(F.when(lead, F.sequence(F.lit(0), many - 1)).otherwise(own))
-    return dense.select("node", "run", "sid", block.alias("block")).select(F.xxhash64("node", "block").alias("node"), "run", "sid")
+    return dense.select("node", "sid", block.alias("block")).select(F.xxhash64("node", "block").alias("node"), "sid")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -227,18 +231,18 @@ def _labels(links: np.ndarray) -> np.ndarray:
 
 
 def _plausible(members: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, run, sid): the sets of each bucket that may have a link, by size and
-    sketch, in groups that may be linked; equal groups of several runs are one.
-    ``members``: (node, run, sid, n, sketch)."""
+    """(bucket, sid): the sets of each bucket that may have a link, by size and sketch,
+    in groups that may be linked; equal groups of several runs are one.
+    ``members``: (node, sid, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int]] = []
         for group in _groups(batches):
-            sid, at = np.unique(group.column(2).to_numpy(), return_index=True)
+            sid, at = np.unique(group.column(1).to_numpy(), return_index=True)
             if len(sid) < 2:
                 continue
-            size = group.column(3).to_numpy()[at].astype(float)
-            sketch = np.frombuffer(b"".join(group.column(4).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            size = group.column(2).to_numpy()[at].astype(float)
+            sketch = np.frombuffer(b"".join(group.column(3).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             maybe = np.minimum.outer(size, size) >= (threshold - 1e-9) * np.maximum.outer(size, size)
             np.fill_diagonal(maybe, False)
             a, b = np.nonzero(np.triu(maybe))
@@ -252,24 +256,22 @@ def _plausible(members: DataFrame, threshold: float) -> DataFrame:
             maybe = np.zeros_like(maybe)
             maybe[a[ok], b[ok]] = maybe[b[ok], a[ok]] = True
             label = _labels(maybe)
-            first = group.column(1)[0].as_py()
             for c in np.unique(label[maybe.any(axis=1)]):
                 own = sid[label == c]
                 key = int(bw.mix(np.bitwise_xor.reduce(bw.mix(own.view(np.uint64)))[None])[0].view(np.int64))
-                out += [(key, first, s) for s in own.tolist()]
+                out += [(key, s) for s in own.tolist()]
             if len(out) > 20_000:
-                yield _table(out, ["bucket", "run", "sid"])
+                yield _table(out, ["bucket", "sid"])
                 out = []
         if out:
-            yield _table(out, ["bucket", "run", "sid"])
+            yield _table(out, ["bucket", "sid"])
 
-    found = members.select("node", "run", "sid", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "bucket long, run int, sid long")
-    return found.groupBy("bucket", "sid").agg(F.min("run").alias("run"))
+    found = members.select("node", "sid", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "bucket long, sid long")
+    return found.distinct()
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32() if x == "run" else pa.int64() for x in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -370,6 +372,18 @@ def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return materialize(found.groupBy("sid").agg(F.first("grams").alias("grams")), "grams")
 
 
+def _with_arrays(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, have: DataFrame | None, n: int) -> DataFrame:
+    """``have`` and the n-grams of the wanted sets that aren't in it."""
+    if have is not None:
+        wanted = wanted.join(have.select("sid"), "sid", "left_anti")
+    # Written out, so that the planner knows its size: a few rows needn't move the texts.
+    wanted = materialize(wanted.join(sets.select("sid", "did", "k"), "sid"), "wanted")
+    if have is not None and wanted.limit(1).count() == 0:
+        return have
+    more = _arrays(keyed, wanted, n)
+    return more if have is None else have.unionByName(more)
+
+
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, sets, roots, arrays): rows (did, k, doc_id, sid), sets (sid, did, k, n, copies) and
     the class of the sets that have links, (id, root); arrays the n-grams of these."""
@@ -382,21 +396,25 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     first = lambda c: F.first(c).alias(c)
     sets = scanned.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("did", "k")).alias("at"), first("n"), first("sketch"), first("nodes"), first("deep"))
     sets = materialize(sets.select("sid", "copies", "at.did", "at.k", "n", "sketch", "nodes", "deep"), "distinct_sets")
-    small, dense = _buckets(sets, runs)
-    members = small.unionByName(_blocks(dense)).join(sets.select("sid", "n", "sketch"), "sid")
-    candidates = materialize(_plausible(members, threshold), "candidates")
-    in_dense = dense.select("sid").distinct()
-    wanted = candidates.select("sid").union(in_dense).distinct().join(sets.select("sid", "did", "k"), "sid")
-    arrays = _arrays(keyed, wanted, n)
-    edges = materialize(_verify(candidates.where(F.col("run") < FIRST_ROUND).select("bucket", "sid"), arrays, threshold), "edges")
-    roots = components(edges)
-    edges = edges.union(materialize(_verify(_open(candidates.where(F.col("run") >= FIRST_ROUND).select("bucket", "sid"), roots), arrays, threshold), "edges"))
-    roots = components(edges)
+    arrays, edges, dense = None, None, None
+    roots = spark.createDataFrame([], "id long, root long")
+    for low, high in ((0, min(FIRST_ROUND, runs)), (min(FIRST_ROUND, runs), runs)):
+        known = sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        small, heavy = _buckets(known, runs, low, high)
+        heavy = materialize(heavy, "dense")
+        dense = heavy if dense is None else dense.unionByName(heavy)
+        members = small.unionByName(_blocks(heavy)).join(sets.select("sid", "n", "sketch"), "sid")
+        candidates = materialize(_open(_plausible(members, threshold), roots), "candidates")
+        arrays = _with_arrays(keyed, sets, candidates.select("sid").distinct(), arrays, n)
+        found = materialize(_verify(candidates, arrays, threshold), "edges")
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges)
     rest = _rest(dense, roots)
     if rest is not None:
         members = rest.join(sets.select("sid", "n", "sketch"), "sid")
-        more = materialize(_verify(_open(_plausible(members, threshold).select("bucket", "sid"), roots), arrays, threshold), "edges")
-        edges = edges.union(more)
+        candidates = materialize(_open(_plausible(members, threshold), roots), "candidates")
+        arrays = _with_arrays(keyed, sets, candidates.select("sid").distinct(), arrays, n)
+        edges = edges.union(materialize(_verify(candidates, arrays, threshold), "edges"))
         roots = components(edges)
     return rows, sets.select("sid", "did", "k", "n", "copies"), roots, arrays
 
@@ -411,7 +429,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _rest(dense: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Of dense buckets with several classes, the sets outside the largest class against
-    all, in blocks: (node, run, sid)."""
+    all, in blocks: (node, sid)."""
     known = dense.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("node", "size", "sid", F.coalesce("root", "sid").alias("root"))
     by_root = known.groupBy("node", "root").agg(F.count("*").alias("m"))
     top = by_root.groupBy("node").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("total")).where("top.m < total")
@@ -423,7 +441,7 @@ def _rest(dense: DataFrame, roots: DataFrame) -> DataFrame | None:
     outside = F.col("root") != F.col("major")
     a = rows.where(outside).select("node", "sid", F.pmod(F.xxhash64("sid"), narrow).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
     b = rows.select("node", "sid", F.explode(F.sequence(F.lit(0), narrow - 1)).alias("i"), F.pmod(F.xxhash64("sid"), wide).cast("int").alias("j"))
-    return a.union(b).select(F.xxhash64("node", "i", "j").alias("node"), F.lit(0).alias("run"), "sid").distinct()
+    return a.union(b).select(F.xxhash64("node", "i", "j").alias("node"), "sid").distinct()
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
