@@ -33,6 +33,8 @@ def tune(spark: SparkSession) -> None:
     """Ship the package, and keep Arrow batches so small that a Python worker holds few
     texts at once."""
     ship(spark)
+    # A union of bucketed tables may be read unbucketed after its exchange was left out.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -46,7 +46,7 @@ from gridloom.llm.session import materialize, tune
 
 WIDTH = 35
 ANCHOR = 8
-BATCHES = 2
+BATCHES = 3
 COMPACT_AT = 2
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -129,7 +129,10 @@ class FingerprintIndex:
         every = self.runs[0]
         for run in self.runs[1:]:
             every = every.unionByName(run)
-        self.runs = [_bucketed(every.groupBy("fp").agg(F.sum("n").alias("n")), "run", ["fp"])]
+        # Dealt out anew before it is summed: runs are read with or without their buckets,
+        # as the planner likes, and a union of both kinds isn't partitioned by fp.
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs = [_bucketed(every.repartition(n, "fp").groupBy("fp").agg(F.sum("n").alias("n")), "run", ["fp"])]
 
 
 def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
