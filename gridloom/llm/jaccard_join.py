@@ -306,8 +306,8 @@ def _verify(members: DataFrame, arrays: DataFrame, threshold: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in _groups(batches):
-            sid = group.column(1).to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column(2).to_pylist()]
+            sid, at = np.unique(group.column(1).to_numpy(), return_index=True)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column(2).take(pa.array(at)).to_pylist()]
             if len(sid) > 1:
                 links = linked(sets, threshold)
                 label = _labels(links)
@@ -331,9 +331,10 @@ def _count(members: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in _groups(batches):
-            sid, copies, side = (group.column(i).to_numpy() for i in (1, 3, 4))
+            sid, at = np.unique(group.column(1).to_numpy(), return_index=True)
+            copies, side = (group.column(i).to_numpy()[at] for i in (3, 4))
             if len(sid) > 1:
-                links = linked([np.frombuffer(x, dtype=np.uint64) for x in group.column(2).to_pylist()], threshold)
+                links = linked([np.frombuffer(x, dtype=np.uint64) for x in group.column(2).take(pa.array(at)).to_pylist()], threshold)
                 if side.any():
                     links &= side[:, None] != side[None, :]
                 out += [(s, n) for s, n in zip(sid.tolist(), (links @ copies).tolist(), strict=True) if n]
@@ -367,9 +368,8 @@ def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], ["sid", "grams"])
 
     packed = docs.select("did", "k", "text").mapInArrow(pack, "did long, k long, z binary")
-    found = packed.join(wanted, ["did", "k"]).select("sid", "z").mapInArrow(sets, "sid long, grams binary")
-    # Rows that repeat give a set several times.
-    return materialize(found.groupBy("sid").agg(F.first("grams").alias("grams")), "grams")
+    # Rows that repeat give a set several times; readers drop these where they meet.
+    return materialize(packed.join(wanted, ["did", "k"]).select("sid", "z").mapInArrow(sets, "sid long, grams binary"), "grams")
 
 
 def _with_arrays(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, have: DataFrame | None, n: int) -> DataFrame:
