@@ -83,7 +83,7 @@ def _passes(benchmark: DataFrame, width: int, max_entries: int) -> Iterator[Gram
     held: list[tuple[str, str]] = []
     size = 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        n = row[1].count(" ") + 1
+        n = len(bw.words(pa.array([row[1]]), bw.LOWER_ALNUM, lower=True).start)
         if held and size + n > max_entries:
             yield Grams(held, width)
             held, size = [], 0
@@ -95,14 +95,15 @@ def _passes(benchmark: DataFrame, width: int, max_entries: int) -> Iterator[Gram
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """doc_id, n_words, the hit word spans (first, last; merged) and the items hit."""
     tune(docs.sparkSession)
-    every = list(_passes(benchmark, width, max_entries))
-    out = None
-    for grams in every:
+    passes = _passes(benchmark, width, max_entries)
+    grams, following, out = next(passes), next(passes, None), None
+    while grams is not None:
         part = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan(grams), FOUND)
-        if len(every) == 1:
+        if out is None and following is None:
             return part
         part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "hits")
         out = part if out is None else out.union(part)
+        grams, following = following, next(passes, None)
     # The scan's task and row numbers are the same in each pass over the same table.
     merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return merged.select("doc_id", "n_words", "spans", "items")
@@ -175,8 +176,16 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width:
         raise ValueError("mode is document or span")
     out = docs
     name = docs.columns.index("text")
-    for grams in _passes(benchmark, width, max_entries):
+    passes = _passes(benchmark, width, max_entries)
+    grams, following = next(passes), next(passes, None)
+    if mode == "span" and following is not None:
+        # What one pass cuts, a later one would not see: its windows are judged on the input.
+        raise ValueError("the items have too many windows to cut spans in one pass; raise max_entries")
+    while grams is not None:
         out = out.mapInArrow(_remover(grams, name, mode), docs.schema)
+        if following is not None:  # so that one pass's windows are held at a time
+            out = materialize(out, "cleaned")
+        grams, following = following, next(passes, None)
     return out
 
 
