@@ -501,3 +501,87 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@_query()
+def oos_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training span's best combinations, replayed out of sample in training order."""
+    candles = _candles(spark, sf_dir)
+    train = market(candles, TICKERS, end="1997-12-31")
+    best = topk.top_k(vector.grid_results(train, WIDE, COSTS, top_k=3), 3).collect()
+    rank = {tuple(r[c] for c in COMBO): i + 1 for i, r in enumerate(best)}
+    curves = wf.evaluate(market(candles, TICKERS, start="1998-01-01", end="1998-12-31"), list(rank), COSTS)
+    rows = metrics.risk(curves, COSTS.initial_cash, COMBO)
+    names = spark.createDataFrame([(*k, v) for k, v in rank.items()], ", ".join(f"{c} int" for c in [*COMBO, "training_rank"]))
+    return rows.join(F.broadcast(names), COMBO).select("training_rank", *COMBO, *(_r(c) for c in ("total_return", "max_drawdown", "annual_volatility")))
+
+
+# More audits.
+
+
+@_query("SELECT * FROM (VALUES ('l_quantity', 0), ('l_linenumber', 0)) v(\"column\", bad) UNION ALL SELECT 'l_extendedprice', count(*) FILTER (l_extendedprice <> round(l_extendedprice, 0)) FROM lineitem")
+def integer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audits.integer_valued(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_linenumber", "l_extendedprice"])
+    return rows.select("column", F.col("bad").cast("long").alias("bad"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT (l_linenumber BETWEEN 2 AND 6 AND l_quantity BETWEEN 5 AND 45)")
+def out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audits.within(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), {"l_linenumber": (2, 6), "l_quantity": (5, 45)})
+    return rows.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@_query(o.query("SELECT gap_period % 2 AS shard, count(*) AS rows, min(momentum_period) AS min_momentum, max(momentum_period) AS max_momentum, array_to_string(list_sort(list(DISTINCT gap_period)), ',') AS gaps FROM res GROUP BY 1", *_folded(WIDE)))
+def shard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audits.shard_summary(_wide(spark, sf_dir).withColumn("shard", F.col("gap_period") % 2))
+    return rows.select("shard", "rows", F.col("min_momentum_period").alias("min_momentum"), F.col("max_momentum_period").alias("max_momentum"), F.array_join("gaps", ",").alias("gaps"))
+
+
+@_query(
+    o.query(
+        f"""SELECT ticker, unnest(list_filter([CASE WHEN rows < 1300 THEN 'history' END, CASE WHEN ratio < 0.55 THEN 'coverage' END, CASE WHEN stale > 2 THEN 'stale' END], lambda x: x IS NOT NULL)) AS problem
+        FROM (SELECT ticker, count(*) AS rows, count(*) FILTER (date BETWEEN DATE '{START}' AND DATE '{END}') / any_value(n) AS ratio, any_value(last) - max(date) AS stale
+              FROM c, (SELECT count(*) AS n, max(session_date) AS last FROM cal WHERE session_date BETWEEN DATE '{START}' AND DATE '{END}') GROUP BY 1)"""
+    )
+)
+def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _market(spark, sf_dir)
+    return audits.snapshot(m.candles, m.calendar, START, END, 1300, 0.55, 2)
+
+
+_EVENTS = [
+    ("T1", "1996-06-01", "1996-05-31", 2.0, "split", "exchange", "https://example.org/1"),
+    ("T9", "1996-06-01", "1996-05-31", 2.0, "split", "exchange", "https://example.org/2"),
+    ("T2", "1997-03-03", "1997-03-03", 1.0, "split", " ", "http://example.org/3"),
+    ("T3", "1998-01-05", "1998-01-02", None, "split", "exchange", "https://example.org/4"),
+]
+
+
+@_query("SELECT * FROM (VALUES ('T9', '1996-06-01', 'not in universe'), ('T2', '1997-03-03', 'ratio'), ('T2', '1997-03-03', 'dates'), ('T2', '1997-03-03', 'authority'), ('T2', '1997-03-03', 'source'), ('T3', '1998-01-05', 'missing field'), ('T3', '1998-01-05', 'ratio')) v(ticker, ex_date, problem)")
+def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom import schemas
+
+    return audits.overrides(spark.createDataFrame(_EVENTS, schemas.OVERRIDE), _candles(spark, sf_dir).select("ticker").distinct())
+
+
+@_query(o.query("SELECT date, unnest(CASE WHEN day(date) = 1 THEN ['equity', 'shares'] ELSE ['equity'] END) AS \"column\" FROM curve WHERE day(date) <= 2", *_CURVE))
+def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against an external curve that differs on the first two days of each month."""
+    curve = _curve(spark, sf_dir).drop(*COMBO).persist()
+    other = curve.withColumn("equity", F.when(F.dayofmonth("date") <= 2, F.col("equity") + 1).otherwise(F.col("equity")))
+    other = other.withColumn("shares", F.when(F.dayofmonth("date") == 1, F.col("shares") + 1).otherwise(F.col("shares")))
+    return audits.golden(other, curve).select("date", "column")
+
+
+_SPANS = [("a", "1997-01-01", "1997-12-31"), ("b", "1997-12-31", "1998-12-31"), ("c", "1999-01-01", ""), ("d", "2000-01-01", "")]
+
+
+@_query("SELECT * FROM (VALUES ('b'), ('d')) v(id)")
+def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wf.overlaps(spark.createDataFrame(_SPANS, "id string, oos_start string, oos_end string")).select("id")
+
+
+@_query("SELECT 1::BIGINT AS changes, 2::BIGINT AS changes_with_vol")
+def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("w1", 5, 2, 5, 21), ("w2", 5, 2, 5, 10), ("w3", 6, 2, 5, 10)]
+    return wf.parameter_changes(spark.createDataFrame(rows, "window_id string, " + ", ".join(f"{c} int" for c in COMBO)))
