@@ -37,12 +37,15 @@ def final_close(candles: DataFrame, end: str | None = None) -> DataFrame:
     return rows.groupBy("ticker_idx").agg(F.max_by("close", "date").alias("final_close"))
 
 
-def weeks(targets: DataFrame, candidates: DataFrame, prices: DataFrame, tickers: int) -> DataFrame:
+def weeks(combos: DataFrame, candidates: DataFrame, prices: DataFrame, tickers: int) -> DataFrame:
     """A row per combination with its weeks: (week_idx, target, opens, scores), where
-    scores holds the momentum of eligible tickers."""
-    scores = candidates.groupBy(*COMBO, "week_idx").agg(F.map_from_entries(F.collect_list(F.struct("ticker_idx", "score"))).alias("m"))
-    rows = targets.join(scores, [*COMBO, "week_idx"], "left").join(F.broadcast(prices), "week_idx")
-    week = F.struct("week_idx", F.coalesce("target", F.lit(-1)).alias("target"), "opens", _by_ticker("m", tickers).alias("scores"))
+    scores holds the momentum of eligible tickers and target is the best of them, the
+    first in the universe's order where several are. Both come from one aggregation, so
+    the candidates are computed once."""
+    entry, best = F.struct("ticker_idx", "score"), F.struct("score", (-F.col("ticker_idx")).alias("before"))
+    able = candidates.groupBy(*COMBO, "week_idx").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.max(best).alias("top"))
+    rows = combos.crossJoin(F.broadcast(prices)).join(able, [*COMBO, "week_idx"], "left")
+    week = F.struct("week_idx", F.coalesce(-F.col("top.before"), F.lit(-1)).alias("target"), "opens", _by_ticker("m", tickers).alias("scores"))
     return rows.groupBy(*COMBO).agg(F.array_sort(F.collect_list(week)).alias("weeks"))
 
 

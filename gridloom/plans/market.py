@@ -52,9 +52,8 @@ def targets(m: Market, grid: Grid) -> DataFrame:
 
 
 def week_arrays(m: Market, grid: Grid) -> DataFrame:
-    able = candidates(m, grid)
-    chosen = ranking.top1(able, periods(m.candles.sparkSession, grid), m.weeks)
-    return portfolio.weeks(chosen, able, portfolio.execution_prices(m.candles, m.weeks, m.tickers), m.tickers)
+    prices = portfolio.execution_prices(m.candles, m.weeks, m.tickers)
+    return portfolio.weeks(periods(m.candles.sparkSession, grid), candidates(m, grid), prices, m.tickers)
 
 
 def backtest(m: Market, grid: Grid, costs: Costs, shard: int = 0) -> DataFrame:
