@@ -29,6 +29,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -255,11 +256,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_by
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k, c) for k, c in chosen.items()], "doc_id long, toxic int")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    texts: dict[int, tuple[str, int]] = {}
-    for r in picked.toLocalIterator():
-        texts.setdefault(r["doc_id"], (r["text"], r["toxic"]))
-    order = sorted(texts)
-    return learn([texts[k][0] for k in order], np.array([texts[k][1] for k in order], dtype=np.int64), (totals.get(0, 0), totals.get(1, 0)))
+    counts = (totals.get(0, 0), totals.get(1, 0))
+
+    def fit_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            for doc_id, text, toxic in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                texts.setdefault(doc_id, (text, toxic))
+        order = sorted(texts, key=lambda k: (k, texts[k]))
+        made = learn([texts[k][0] for k in order], np.array([texts[k][1] for k in order], dtype=np.int64), counts)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["scorer"])
+
+    # The bounded sample is fitted in one task, which spares the driver's memory.
+    rows = picked.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(fit_once, "scorer binary").collect()
+    return pickle.loads(rows[0]["scorer"]) if rows else learn([], np.zeros(0, np.int64), counts)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, folds: int = FOLDS) -> DataFrame:
