@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed in one step; keeps temporaries at a few tens of MB for any text length.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of text handled together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
 
@@ -53,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=16)
+@functools.lru_cache(maxsize=12)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, dtype=np.uint64)
     out[0] = 1

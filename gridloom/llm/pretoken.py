@@ -137,7 +137,7 @@ class Cache:
     """Token ids of pre-tokens, by hash. Emptied when it has ``limit`` entries, so its
     memory is bounded; that changes how often something is encoded, never what."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

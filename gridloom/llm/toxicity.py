@@ -119,7 +119,7 @@ def _kept(counts: np.ndarray, by: int) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Both models from labelled texts."""
     uni, pair, left = ([], []), ([], []), ([], [])
-    step = 2000
+    step = 200
     for i in range(0, len(texts), step):
         found = bw.words(pa.array(texts[i : i + step], pa.large_string()), bw.LOWER_ALNUM, lower=True)
         h = found.hashes()
