@@ -91,6 +91,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # workers outlive a task and share an executor
 
 
 @dataclass

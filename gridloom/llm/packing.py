@@ -42,14 +42,20 @@ class Encoder:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(library)
+        self._path = library
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
         self.cache = pretoken.Cache(self._merge)
 
+    @functools.cached_property
+    def library(self):
+        """Loaded for the first odd text only: it holds some 80 MB a process."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def _merge(self, items: list[str]) -> list[list[int]]:
         merge = self.core._encode_single_piece
         return [merge(x) for x in items]
