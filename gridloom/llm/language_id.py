@@ -10,8 +10,12 @@ temperature is fitted on training documents left out of it.
 Training data: text and non-null lang of rows whose crc32(doc_id as text) mod 4 is not
 2. The regression is fitted on a bounded sample of them: about ``per_lang`` of each of
 the ``max_langs`` most frequent languages, by a hash of doc_id, and at most
-``max_bytes`` of text (a text beyond what is left is passed over). Prediction uses the
-text alone, all of it.
+``max_bytes`` of text. Each language has an equal share of the bytes, and what some
+don't need goes to the others; it is spent in the order of the hash, whatever the
+table's order. A text gives at most an ``EIGHTH`` of its language's share and the one
+that reaches the end of it is cut there, so every language has its texts in the sample,
+long as they may be. Rows with equal doc_id and lang count once in the sample.
+Prediction uses the text alone, all of it.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every
 text when nothing can be learned. Ties go to the first language in string order. Texts
@@ -41,6 +45,7 @@ SCALE = 30.0
 PER_LANG = 800
 MAX_LANGS = 200
 MAX_BYTES = 12_000_000
+EIGHTH = 8
 PIECE = 1 << 19  # characters whose features are held at once
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _SPACE = 0x20
@@ -204,6 +209,31 @@ def learn(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 4) -> Iden
     return Identifier(langs, (w[:-1] * idf[:, None]).astype(np.float64), idf, w[-1], float(grid[int(np.argmin(loss))]))
 
 
+def shares(needs: dict[str, int], total: int) -> dict[str, int]:
+    """Each one's part of ``total``: equal parts, but what one doesn't need goes to the others."""
+    out = {}
+    for i, (x, need) in enumerate(sorted(needs.items(), key=lambda n: (n[1], n[0]))):
+        out[x] = min(need, total // (len(needs) - i))
+        total -= out[x]
+    return out
+
+
+def chosen(rows: list[tuple[int, int, str, int]], max_bytes: int) -> dict[tuple[int, str], int]:
+    """Bytes to take of each (doc_id, lang), from rows of (turn, doc_id, lang, bytes)."""
+    needs: dict[str, int] = {}
+    for _, _, lang, size in rows:
+        needs[lang] = needs.get(lang, 0) + size
+    left = shares(needs, max_bytes)
+    most = {x: n if n == needs[x] else max(1, n // EIGHTH) for x, n in left.items()}
+    out = {}
+    for _, doc_id, lang, size in sorted(rows):
+        take = min(size, most[lang], left[lang])
+        if take:
+            out[doc_id, lang] = take
+            left[lang] -= take
+    return out
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, max_bytes: int = MAX_BYTES) -> Identifier:
     """Fit on ``docs`` as the module's text describes."""
     tune(docs.sparkSession)
@@ -232,13 +262,16 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS,
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for r in by_lang for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     picked = known.where(turn < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    sample: list[tuple[str, str, int]] = []
-    left = max_bytes
-    for r in picked.select("text", "lang", F.xxhash64("doc_id", F.lit(1)).alias("turn")).toLocalIterator():
-        size = len(r["text"].encode())
-        if size <= left:
-            left -= size
-            sample.append((r["turn"], r["text"], r["lang"]))
+    sizes = picked.groupBy("doc_id", "lang").agg(F.max(F.octet_length("text")).alias("bytes"))
+    rows = sizes.select("doc_id", "lang", "bytes", F.xxhash64("doc_id").alias("turn")).collect()  # about per_lang a language
+    takes = chosen([(r["turn"], r["doc_id"], r["lang"], r["bytes"]) for r in rows], max_bytes)
+    ids = docs.sparkSession.createDataFrame([(d, x, n) for (d, x), n in takes.items()], "doc_id long, lang string, take int")
+    # A text's first characters are at least as many bytes as are taken of it.
+    cut = picked.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.expr("substring(text, 1, take)").alias("text"))
+    sample = []
+    for r in cut.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("turn")).collect():  # max_bytes of them
+        text = r["text"].encode()[: takes[r["doc_id"], r["lang"]]].decode(errors="ignore")
+        sample.append((r["turn"], text, r["lang"]))
     return learn([(t, x) for _, t, x in sorted(sample)], idf)
 
 

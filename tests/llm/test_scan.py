@@ -196,6 +196,21 @@ def test_language_pieces_change_nothing(monkeypatch):
     assert got[0] == want[0] == ["en", "und", "de", "und"] and np.allclose(got[1], want[1])
 
 
+def test_language_sample_does_not_follow_the_order_of_the_table(spark):
+    draw = random.Random(4)
+    rows = [(i, f"{chr(97 + i // 40) * 3} " * draw.randrange(20, 60), f"l{i // 40}") for i in range(400)]
+    rows += [(1000 + i, "zzz " * 20_000, "long") for i in range(20)]
+    made = [language_id.train(spark.createDataFrame(r, "doc_id long, text string, lang string").coalesce(1), max_bytes=20_000) for r in (rows, rows[::-1])]
+    assert made[0].langs == made[1].langs == sorted({x for *_, x in rows})
+    assert np.array_equal(made[0].weights, made[1].weights)
+    assert made[0](["ccc ccc", "jjj jjj", "zzz zzz"])[0] == ["l2", "l9", "long"]
+
+
+def test_language_bytes_are_shared():
+    assert language_id.shares({"a": 10, "b": 500, "c": 900}, 310) == {"a": 10, "b": 150, "c": 150}
+    assert language_id.chosen([(2, 7, "a", 5), (1, 8, "a", 5), (3, 9, "b", 800)], 110) == {(8, "a"): 5, (7, "a"): 5, (9, "b"): 12}
+
+
 def test_attention_gradients():
     draw = np.random.default_rng(0)
     counts = np.ones(40)
