@@ -29,18 +29,37 @@ CLASSES = 32  # in a group
 SHARED = 4  # of these, for the ids that have none of their own
 
 
-def classes_of(counts: np.ndarray, begins: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """Class of every id, as group * CLASSES + class in the group."""
-    order = np.argsort(-counts, kind="stable")
+def frequent_ids(counts: np.ndarray) -> np.ndarray:
+    """The place of each id among the ``FREQUENT`` most frequent ones, or -1."""
     k = min(FREQUENT, len(counts))
     frequent = np.full(len(counts), -1)
-    frequent[order[:k]] = np.arange(k)
-    # How often each id has each frequent id within a few places of it.
-    beside = np.zeros((len(counts), k), dtype=np.float32)
+    frequent[np.argsort(-counts, kind="stable")[:k]] = np.arange(k)
+    return frequent
+
+
+def count_beside(beside: np.ndarray, frequent: np.ndarray, ids: np.ndarray) -> None:
+    """Add to ``beside`` [id, frequent id] how often each is within a few places of the other."""
+    flat, k = beside.reshape(-1), beside.shape[1]
     for step in (1, 2, 3, 4, 6, 8):
-        for a, b in ((sample[:-step], sample[step:]), (sample[step:], sample[:-step])):
-            ok = frequent[b] >= 0
-            np.add.at(beside, (a[ok], frequent[b[ok]]), 1.0)
+        for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
+            place = frequent[b]
+            ok = place >= 0
+            np.add.at(flat, a[ok].astype(np.int64) * k + place[ok], 1)
+
+
+def classes_of(counts: np.ndarray, begins: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """``classes_beside`` by the neighbours in ``sample``."""
+    frequent = frequent_ids(counts)
+    beside = np.zeros((len(counts), min(FREQUENT, len(counts))), dtype=np.float32)
+    count_beside(beside, frequent, sample)
+    return classes_beside(counts, begins, beside)
+
+
+def classes_beside(counts: np.ndarray, begins: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Class of every id, as group * CLASSES + class in the group. beside: how often each
+    id has each frequent id within a few places of it."""
+    order = np.argsort(-counts, kind="stable")
+    k = beside.shape[1]
     profile = beside + 0.5 * (beside.sum(axis=0) + 1e-6) / (beside.sum() + 1e-6 * k)
     profile = np.sqrt(profile / profile.sum(axis=1, keepdims=True))
     seen = np.flatnonzero(beside.sum(axis=1) >= 8)
@@ -185,6 +204,45 @@ class Attention:
         g["place"][:n] = dx.sum(axis=0)
         return loss, g, dx
 
+    def _adam(self, g: dict[str, np.ndarray], mean: dict[str, np.ndarray], square: dict[str, np.ndarray], i: int, lr: np.float32) -> None:
+        for k, d in g.items():
+            mean[k] += np.float32(0.1) * (d - mean[k])
+            square[k] += np.float32(0.01) * (d * d - square[k])
+            self.p[k] -= lr * (mean[k] / np.float32(1 - 0.9**i)) / (np.sqrt(square[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
+
+    def follow(self, streams: Iterator[np.ndarray], lead: int, rate: float, batch: int = 64, seed: int = 13) -> np.ndarray:
+        """Adam over all of the streams, where each id is predicted once; how often each id
+        was read. Each stream is texts with their ends; ``lead`` stands before it."""
+        draw = np.random.Generator(np.random.PCG64(seed))
+        mean = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
+        square = {k: np.zeros_like(v) for k, v in self.p.items()}
+        embed, read, met, i = self.p["embed"], np.zeros(len(self.of), np.int64), np.zeros(len(self.of), np.int64), 0
+        for stream in streams:
+            before = np.append(np.array([lead], stream.dtype), stream[:-1]).astype(np.int64)
+            read += np.bincount(before, minlength=len(read))
+            whole = len(stream) // CONTEXT
+            starts = draw.permutation(whole) * CONTEXT
+            jobs = [(starts[lo : lo + batch], CONTEXT) for lo in range(0, whole, batch)]
+            if len(stream) % CONTEXT:
+                jobs.append((np.array([whole * CONTEXT]), len(stream) % CONTEXT))
+            for start, n in jobs:
+                i += 1
+                at = start[:, None] + np.arange(n)
+                ids = before[at]
+                # A batch that isn't full moves the weights by its share only.
+                lr = np.float32(rate * min(1.0, i / 20) * ids.size / (batch * CONTEXT))
+                _, g, dx = self.step(ids, self.of[stream[at]])
+                self._adam(g, mean, square, i, lr)
+                flat = ids.ravel()
+                order = np.argsort(flat, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+                own, d = flat[order][first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
+                met[own] += 1
+                square["embed"][own] = np.float32(0.95) * square["embed"][own] + np.float32(0.05) * d * d
+                sure = (1 - 0.95 ** met[own]).astype(np.float32)[:, None]
+                embed[own] -= lr * d / (np.sqrt(square["embed"][own] / sure) + np.float32(1e-6))
+        return read
+
     def train(self, sample: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, seed: int = 11) -> list[float]:
         """Adam on random windows of ``sample``; embeddings have their own sparse step."""
         if len(sample) <= CONTEXT + 1:
@@ -200,10 +258,7 @@ class Attention:
             loss, g, dx = self.step(ids, self.of[sample[at + 1]])
             losses.append(loss)
             lr = np.float32(rate * min(1.0, i / 50) * (1 - 0.95 * i / steps))
-            for k, d in g.items():
-                mean[k] += np.float32(0.1) * (d - mean[k])
-                square[k] += np.float32(0.01) * (d * d - square[k])
-                self.p[k] -= lr * (mean[k] / np.float32(1 - 0.9**i)) / (np.sqrt(square[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
+            self._adam(g, mean, square, i, lr)
             own, inverse = np.unique(ids, return_inverse=True)
             d = np.zeros((len(own), WIDTH), np.float32)
             np.add.at(d, inverse.ravel(), dx.reshape(-1, WIDTH))

@@ -5,10 +5,14 @@ model reads each word, with a space before it, as the subword ids of a byte-leve
 vocabulary; its log10 probability of a text is the sum over these ids and the end's.
 
 What is learned comes from rows whose crc32(doc_id as text) mod 10 is not 0. All of
-them give the word counts of the base and the subword counts by which the model shares
-a class's probability among its ids. The network itself is trained on the driver on a
-bounded sample: rows in the order of a hash of doc_id, at most ``sample_rows`` and
-``sample_bytes`` of text (a text beyond what is left is passed over).
+them give the word counts of the base, the subword counts by which the model shares
+a class's probability among its ids, and the neighbours by which ids are grouped. The
+network starts from a bounded sample on the driver: rows in the order of a hash of
+doc_id, at most ``sample_rows`` and ``sample_bytes`` of text (a text beyond what is left
+is passed over). From there it learns from all training rows, each once: they are dealt
+to ``ROUNDS`` rounds by a hash of doc_id, and in a round each task takes gradient steps
+on its rows from the same weights. The changes are averaged by the ids read, those of an
+id's embedding by how often the task read that id.
 
 The base needs a count for each word of each text, and the words grow with the corpus.
 The ``head`` most frequent words (a fixed number) are broadcast; the other words of a
@@ -32,13 +36,16 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bytewords as bw
 from gridloom.llm import packing, pretoken
-from gridloom.llm.attention import Attention, classes_of
+from gridloom.llm.attention import WIDTH, Attention, classes_beside, count_beside, frequent_ids
 from gridloom.llm.session import materialize, tune
 
 HEAD = 100_000
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 4_000_000
 STEPS = 1000
+ROUNDS = 8
+RATE = 0.004  # of the first round; it falls to an eighth in the last
+STREAM = 1 << 20  # ids that a task holds to mix their order
 FOLDS = 10
 END = 50_256  # the vocabulary's own end-of-text id
 IDS = 50_257
@@ -119,8 +126,96 @@ def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -
     return learned.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def training_ids(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -> DataFrame:
+    """(ids, round): subword ids, 16 bits each, of training texts with their ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bw.chunks(batches):
+            _, _, ids, first = _Reader.of(files)(batch.column(1))
+            ids = ids.astype(np.uint16)
+            made = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(0)], ["ids", "round"])
+
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ROUNDS)).cast("int").alias("round")
+    learned = docs.where(fold(F.col("doc_id"), folds) != 0).where("text is not null")
+    return materialize(learned.select(turn, "text").mapInArrow(run, "ids binary, round int"), "lm_ids", "round")
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The ids of many texts at once."""
+    held, size = [], 0
+    for batch in batches:
+        for ids in batch.column(0):
+            held.append(np.frombuffer(ids.as_buffer(), np.uint16))
+            size += len(held[-1])
+            if size >= STREAM:
+                yield np.concatenate(held).astype(np.int32)
+                held, size = [], 0
+    if size:
+        yield np.concatenate(held).astype(np.int32)
+
+
+def neighbours(ids: DataFrame, id_counts: np.ndarray) -> np.ndarray:
+    """How often each id is within a few places of each frequent one, over all of ``ids``."""
+    frequent = frequent_ids(id_counts)
+    k = int(frequent.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = np.zeros((IDS, k), dtype=np.int32)
+        for stream in _streams(batches):
+            count_beside(beside, frequent, stream)
+        at = np.flatnonzero(beside)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(beside.ravel()[at].astype(np.int64))], ["key", "n"])
+
+    found = ids.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most IDS * FREQUENT
+    beside = np.zeros(IDS * k, dtype=np.float32)
+    beside[found["key"].to_numpy()] = found["n"].to_numpy()
+    return beside.reshape(IDS, k)
+
+
+def _rest(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights but the embeddings, in rows of WIDTH."""
+    flat = np.concatenate([p[k].ravel() for k in sorted(p) if k != "embed"])
+    return np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32)).reshape(-1, WIDTH)
+
+
+def learn_round(model: Attention, ids: DataFrame, rate: float) -> None:
+    """Move the network by the averaged changes of the tasks that read ``ids``."""
+    names = [f"v{i}" for i in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Attention({k: v.copy() for k, v in model.p.items()}, model.of, model.share)
+        read = own.follow(_streams(batches), END, rate)
+        total = int(read.sum())
+        if not total:
+            return
+        met = np.flatnonzero(read)
+        moved = np.concatenate([own.p["embed"][met] - model.p["embed"][met], _rest(own.p) - _rest(model.p)])
+        more = len(moved) - len(met)
+        key, weight = np.concatenate([met, IDS + np.arange(more)]), np.concatenate([read[met], np.full(more, total)])
+        moved = (moved * weight[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight), *(pa.array(np.ascontiguousarray(c)) for c in moved.T)], ["key", "weight", *names])
+
+    schema = "key long, weight long, " + ", ".join(f"{x} float" for x in names)
+    found = ids.select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *(F.sum(x).alias(x) for x in names)).toPandas()
+    if not len(found):
+        return
+    key = found["key"].to_numpy()
+    moved = (found[names].to_numpy() / found["weight"].to_numpy()[:, None]).astype(np.float32)
+    model.p["embed"][key[key < IDS]] += moved[key < IDS]
+    rest = _rest(model.p)
+    rest[key[key >= IDS] - IDS] += moved[key >= IDS]
+    flat, at = rest.ravel(), 0
+    for k in sorted(model.p):
+        if k != "embed":
+            v = model.p[k]
+            model.p[k] = flat[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+
+
 def train(docs: DataFrame, id_counts: np.ndarray, files: tuple[str, str], folds: int, sample_rows: int, sample_bytes: int, steps: int) -> Attention:
-    """The network, from the bounded sample that the module's text describes."""
+    """The network, learned as the module's text describes."""
+    ids = training_ids(docs, files, folds)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("bytes")).where(fold(F.col("doc_id"), folds) != 0)
     left, chosen = sample_bytes, []
     for r in rows.where("bytes > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect():
@@ -138,8 +233,11 @@ def train(docs: DataFrame, id_counts: np.ndarray, files: tuple[str, str], folds:
     own = _Reader(files)
     parts = [own(pa.array([texts[d]], pa.large_string()))[2] for (d,) in chosen if d in texts]
     sample = np.concatenate([np.zeros(0, np.int32), *parts])
-    model = Attention.fresh(id_counts, classes_of(id_counts, begins, sample))
+    model = Attention.fresh(id_counts, classes_beside(id_counts, begins, neighbours(ids, id_counts)))
     model.train(sample, steps)
+    if id_counts.any():
+        for r in range(ROUNDS):
+            learn_round(model, ids.where(F.col("round") == r), RATE * (1 - 7 / 8 * r / (ROUNDS - 1)))
     return model
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import decontaminate, language_id, lm_scoring, packing, pretoken, queries, token_counts, toxicity, warc
-from gridloom.llm.attention import CLASSES, CONTEXT, Attention, classes_of
+from gridloom.llm.attention import CLASSES, CONTEXT, Attention, classes_of, count_beside, frequent_ids
 
 ODD = ["", "Hi there!!  it's  12345 ", "É́ x\x1cy", "\tfoo\n\nbar  baz   q 3.14 ''s <|endoftext|> hi", "ΑΣ ΣΑΣ bc", "Don't STOP!!'sun 　x", "日本語 １２ ² ½", "  ", "\n \n", "a \n b  c", "x" * 3000, "'", "é'", "'S we'LL", "İstanbul ǅ"]
 
@@ -267,6 +267,32 @@ def test_lm_base_against_brute_force(docs, sample):
     assert lm_scoring.lm_scores(docs(*rows).where("doc_id < 0"), steps=1).count() == 0
 
 
+def test_lm_network_learns_from_every_training_row(docs, sample):
+    rows = [(i, t) for i, t, _ in sample if t]
+    files = packing.vocabulary()
+    ids = {i: lm_scoring._Reader(files)(lm_scoring.pa.array([t], lm_scoring.pa.large_string()))[2] for i, t in rows}
+    learned = [x for i, x in ids.items() if zlib.crc32(str(i).encode()) % 10]
+    counts = np.bincount(np.concatenate(learned), minlength=lm_scoring.IDS).astype(float)
+    table = docs(*rows)
+    beside = lm_scoring.neighbours(lm_scoring.training_ids(table, files), counts)
+    # Each place has neighbours at six distances on both sides, in streams of all texts.
+    want = np.zeros_like(beside)
+    for x in learned:
+        count_beside(want, frequent_ids(counts), x)
+    assert (beside >= want).all() and beside.sum() <= 12 * counts.sum()
+    few = lm_scoring.train(table, counts, files, 10, 5, 10_000, 20)
+    start = Attention.fresh(counts, few.of).p["embed"]
+    moved = (few.p["embed"] != start).any(axis=1)
+    read = np.bincount(np.concatenate([x[:-1] for x in learned]), minlength=lm_scoring.IDS) > 0
+    assert moved[read].mean() > 0.99 and not moved[counts == 0].any()
+    held = [x for i, x in ids.items() if zlib.crc32(str(i).encode()) % 10 == 0]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+    # Its likelihood is better than that of what the five rows teach.
+    alone = Attention.fresh(counts, few.of)
+    alone.train(np.concatenate(learned[:5]), 20)
+    assert few.score(np.concatenate(held), first, lm_scoring.END).mean() > alone.score(np.concatenate(held), first, lm_scoring.END).mean()
+
+
 PAGES = [(1, "http://e.org/a", "<html lang='fr'><head><title>T &amp; t</title><script>var x='<p>no</p>'</script></head><body><p>Un <b>deux</b></p><p>trois&nbsp;quatre<a href='/x?a=1&amp;b'>l</a><!-- <a href=z> --></body></html>"), (2, None, None), (3, "http://e.org/\r\nX: y", "no tags < at all"), (3, "u", "<p>unclosed <style>p{}"), (None, "u", "é")]
 
 
