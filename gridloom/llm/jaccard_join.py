@@ -110,14 +110,16 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _samples(values: np.ndarray, first: np.ndarray, runs: int) -> tuple[list[list[int]], list[list[int]]]:
     """Per set its first-level nodes (with the run in the low byte), and its later
-    samples (family in the high half)."""
+    samples (family in the high half). Each run has a family of its own at each depth,
+    so that runs are independent."""
     sizes = np.diff(first)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     out: list[list] = []
-    for level, expected in ((0, FIRST), (1, DEEPER)):
+    families = _families(DEPTH * runs)
+    for level, expected, own in ((0, FIRST, families[:runs]), (1, DEEPER, families[runs:])):
         bound = (np.minimum(expected / np.maximum(sizes, 1), 0.999999) * 2.0**64).astype(np.uint64)[rows]
         made: list[list[int]] = [[] for _ in sizes]
-        for r, (a, b) in enumerate(_families(2 * runs)[level * runs : (level + 1) * runs]):
+        for r, (a, b) in enumerate(own):
             hit = np.flatnonzero((values ^ a) * b < bound)
             token = bw.mix(values[hit] ^ a)
             if level:
@@ -177,7 +179,7 @@ def _buckets(sets: DataFrame, runs: int, first: int, last: int) -> tuple[DataFra
         rows = rows.where(large & ~stays)
         if depth == DEPTH or rows.limit(1).count() == 0:
             break
-        family = F.pmod(F.col("run") + 5 * depth, F.lit(runs))
+        family = F.col("run") + F.lit((depth - 1) * runs)
         own = F.filter("deep", lambda x: F.shiftright(x, 32) == F.col("family").cast("long"))
         rows = rows.withColumn("family", family).join(sets.select("sid", "deep"), "sid")
         level = rows.select(F.col("node").alias("above"), "sid", "root", "run", F.col("size").alias("parent"), F.explode(own).alias("token"))

@@ -3,7 +3,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, jaccard_join, substring_dedup
 from gridloom.llm.components import components
@@ -150,6 +152,30 @@ def test_recall_of_runs():
     assert 1 - (1 - jaccard_join._chance()) ** jaccard_join.runs_for(0.9998) >= 0.9998
 
 
+def test_runs_of_split_buckets_are_independent(spark, monkeypatch):
+    """Pairs at the threshold whose large buckets are split to full depth: how many meet
+    in a bucket of any run, by their own buckets and by the formula."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 1)
+    monkeypatch.setattr(jaccard_join, "DENSE", 2.0)  # every bucket is split to the end
+    runs, n, m = 6, 1500, 400
+    draw = np.random.default_rng(6)
+    values, first = [], [0]
+    for _ in range(n):
+        pool = draw.integers(0, 1 << 63, 10 * m // 9 + 1, dtype=np.uint64)
+        for own in (pool[:m], pool[m // 9 :][:m]):  # 8 of 10 distinct n-grams are shared
+            values.append(np.sort(own))
+            first.append(first[-1] + len(own))
+    nodes, deep = jaccard_join._samples(np.concatenate(values), np.array(first), runs)
+    rows = [(i, 0 if i % 2 else 1, nodes[i], deep[i]) for i in range(2 * n)]
+    sets = spark.createDataFrame(rows, "sid long, root long, nodes array<long>, deep array<long>")
+    small, dense = jaccard_join._buckets(sets, runs, 0, runs)
+    met = dense.select("node", "sid").groupBy("node").agg(F.collect_set("sid").alias("s")).collect()
+    pairs = {min(r.s) // 2 for r in met if len({x // 2 for x in r.s}) == 1 and len(r.s) == 2}
+    missed = 1 - len(pairs) / n
+    want = (1 - jaccard_join._chance(8 / 9)) ** runs
+    assert missed < want + 4 * (want * (1 - want) / n) ** 0.5
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.id: r.root for r in components(path).collect()}
