@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from gridloom.functions.money import close_to
 from gridloom.operators.ranking import COMBO
 from gridloom.operators.replay import filled_closes
 
@@ -51,16 +51,18 @@ def within(rows: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
 
 def integrity(results: DataFrame, initial_cash: float, universe: DataFrame) -> DataFrame:
     """(check, bad): rows that break a rule of the result table, from one pass."""
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    whole = lambda c: finite(F.col(c).cast("double")) & (F.col(c).cast("double") == F.rint(F.col(c).cast("double")))
     known = F.broadcast(universe.select(F.col("ticker").alias("final_holding"), F.lit(True).alias("known")))
     expected = F.col("final_equity") / initial_cash - 1
     rules = {
         "final_equity": finite("final_equity") & (F.col("final_equity") >= 0),
-        "total_return": finite("total_return") & (F.abs(F.col("total_return") - expected) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(expected))),
+        "total_return": finite("total_return") & close_to(F.col("total_return"), expected, 1e-10, 1e-10),
         "fees_paid": finite("fees_paid") & (F.col("fees_paid") >= 0),
         "slippage_impact": finite("slippage_impact") & (F.col("slippage_impact") >= 0),
-        "trades": F.col("trades") >= 0,
-        "skipped_executions": F.col("skipped_executions") >= 0,
+        "trades": whole("trades") & (F.col("trades") >= 0),
+        "skipped_executions": whole("skipped_executions") & (F.col("skipped_executions") >= 0),
+        "periods": whole(COMBO[0]) & whole(COMBO[1]) & whole(COMBO[2]) & whole(COMBO[3]),
         "final_holding": (F.col("final_holding") == "CASH") | F.col("known").isNotNull(),
         "dates": F.col("start") <= F.col("end"),
     }
@@ -77,18 +79,24 @@ def shard_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def shard_contract(metadata: DataFrame, contract: list[str], shards: int) -> DataFrame:
+def shard_contract(metadata: DataFrame, contract: list[str], shards: int, gaps: DataFrame | None = None) -> DataFrame:
     """Problems of a set of shard metadata (shard, gap_values and the contract's columns):
-    missing, repeated or unknown shards, a contract that differs, a gap with no or
-    several owners."""
+    missing, repeated or unknown shards, a contract that differs, and a gap with several
+    owners or, of the expected ``gaps`` (gap_period), with none; an owned gap that isn't
+    expected is unknown."""
     ids = metadata.groupBy("shard").agg(F.count("*").alias("n"))
     wanted = metadata.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(True).alias("wanted"))
     odd = ids.join(wanted, "shard", "full_outer").where((F.coalesce("n", F.lit(0)) != 1) | F.col("wanted").isNull())
     odd = odd.select(F.lit("shard").alias("problem"), F.col("shard").cast("string").alias("what"))
     differs = metadata.agg(F.count_distinct(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in contract))).alias("n")).where("n > 1")
     differs = differs.select(F.lit("contract").alias("problem"), F.col("n").cast("string").alias("what"))
-    owners = metadata.select(F.explode("gap_values").alias("gap")).groupBy("gap").agg(F.count("*").alias("n")).where("n > 1")
-    return odd.union(differs).union(owners.select(F.lit("gap").alias("problem"), F.col("gap").cast("string").alias("what")))
+    owners = metadata.select(F.explode("gap_values").alias("gap_period")).groupBy("gap_period").agg(F.count("*").alias("n"))
+    problem = F.when(F.col("n") > 1, "gap owned twice")
+    if gaps is not None:
+        owners = owners.join(gaps.select("gap_period").distinct().withColumn("expected", F.lit(True)), "gap_period", "full_outer")
+        problem = F.when(F.col("n").isNull(), "gap without owner").when(F.col("expected").isNull(), "unknown gap").when(F.col("n") > 1, "gap owned twice")
+    owners = owners.select(problem.alias("problem"), F.col("gap_period").cast("string").alias("what")).where("problem is not null")
+    return odd.union(differs).union(owners)
 
 
 def row_counts(results: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -177,18 +185,55 @@ def stale_summary(stale: DataFrame, curve: DataFrame, warn: int = 3) -> DataFram
     return agg.crossJoin(end).select("max_stale", "warnings", "terminal_holding", F.when(F.col("terminal_holding") == "CASH", 0).otherwise(F.col("latest")).alias("terminal_stale"))
 
 
-def golden(golden_rows: DataFrame, curve: DataFrame, tolerance: float = 1e-7) -> DataFrame:
-    """Differences of a curve from an external one: (date, column, expected, found). A
-    date that is repeated or unmatched is a difference."""
+#: What the metadata of an external curve must declare.
+GOLDEN_SOURCE = "TradingView Pine external export"
+GOLDEN_FIELDS = ("pine_script_sha256", "exported_at", "start", "end", "gap_period", "signal_period", "momentum_period", "vol_period")
+
+
+def golden_gate(meta: dict, sha256: str) -> list[str]:
+    """Why an external curve may not be used: its declared source, its file's hash, or
+    metadata that are missing."""
+    found = ["source"] if meta.get("source") != GOLDEN_SOURCE else []
+    found += ["fixture_sha256"] if not sha256 or str(meta.get("fixture_sha256") or "") != sha256 else []
+    return found + [f"{k} is missing" for k in GOLDEN_FIELDS if k not in meta]
+
+
+def _differences(pairs: dict[str, tuple[Column, Column, Column]]) -> list[Column]:
+    """A struct (column, expected, found) for each (same, expected, found) that isn't the same."""
+    as_struct = lambda c, a, b: F.struct(F.lit(c).alias("column"), a.cast("string").alias("expected"), b.cast("string").alias("found"))
+    return [F.when(~F.coalesce(same, F.lit(False)), as_struct(c, a, b)) for c, (same, a, b) in pairs.items()]
+
+
+def golden(golden_rows: DataFrame, curve: DataFrame) -> DataFrame:
+    """Differences of a curve from an external one: (date, column, expected, found).
+    Money is equal within a relative 1e-10 or an absolute 1e-7. A date that is repeated
+    or unmatched is a difference."""
     twice = golden_rows.groupBy("date").agg(F.count("*").alias("n"))
     met = golden_rows.alias("g").join(curve.alias("c"), "date", "left").join(twice, "date")
-    differs = []
+    pairs = {}
     for c in ("holding", "shares", "cash", "equity", "weekly_target"):
         a, b = F.col(f"g.{c}"), F.col(f"c.{c}")
-        same = F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a)) if c in ("cash", "equity") else a == b
-        differs.append(F.when(~F.coalesce(same, F.lit(False)), F.struct(F.lit(c).alias("column"), a.cast("string").alias("expected"), b.cast("string").alias("found"))))
-    differs.append(F.when(F.col("n") > 1, F.struct(F.lit("date").alias("column"), F.lit("once").alias("expected"), F.col("n").cast("string").alias("found"))))
-    return met.select("date", F.explode(F.filter(F.array(*differs), lambda x: x.isNotNull())).alias("d")).select("date", "d.*")
+        pairs[c] = (close_to(a, b) if c in ("cash", "equity") else a == b, a, b)
+    pairs["date"] = (F.col("n") == 1, F.lit("once"), F.col("n"))
+    return met.select("date", F.explode(F.filter(F.array(*_differences(pairs)), lambda x: x.isNotNull())).alias("d")).select("date", "d.*")
+
+
+def golden_indicators(golden_rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Differences of the indicators at decisions from external ones: (decision_date,
+    ticker, column, expected, found). Both tables have decision_date, ticker, gap_state,
+    momentum, vol_valid and selected_top1; of external rows repeated for a decision and
+    ticker one counts, and one that is unknown here differs in its ``context``. A null
+    momentum equals a null or NaN one."""
+    own = decisions.withColumn("known", F.lit(True)).alias("c")
+    rows = golden_rows.withColumn("ticker", F.upper("ticker")).dropDuplicates(["decision_date", "ticker"]).alias("g")
+    met = rows.join(own, ["decision_date", "ticker"], "left")
+    a, b = (F.when(~F.isnan(f"{x}.momentum"), F.col(f"{x}.momentum")) for x in ("g", "c"))
+    same = close_to(a, b, abs_=1e-10) | (a.isNull() & b.isNull())
+    pairs = {c: (F.col(f"g.{c}") == F.col(f"c.{c}"), F.col(f"g.{c}"), F.col(f"c.{c}")) for c in ("gap_state", "vol_valid", "selected_top1")}
+    found = _differences(pairs | {"momentum": (same, a, b)})
+    unknown = F.struct(F.lit("context").alias("column"), F.lit("known").alias("expected"), F.lit(None).cast("string").alias("found"))
+    every = F.when(F.col("known").isNull(), F.array(unknown)).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return met.select("decision_date", "ticker", F.explode(every).alias("d")).select("decision_date", "ticker", "d.*")
 
 
 def calendar_gate(calendar: DataFrame, meta: dict, sha256: str, requested_end: str) -> list[str]:
@@ -197,7 +242,3 @@ def calendar_gate(calendar: DataFrame, meta: dict, sha256: str, requested_end: s
     wanted = row.asDict() | {"status": "PASS", "requested_end": requested_end, "calendar_sha256": sha256}
     found = [f"{k}: {meta.get(k)!r} is not {v!r}" for k, v in wanted.items() if meta.get(k) != v]
     return found + ["a session after the end"] * bool(row["last_session"] and row["last_session"] > requested_end)
-
-
-
-

@@ -15,7 +15,7 @@ from gridloom.operators.ranking import COMBO
 from gridloom.plans import grid as vector
 from gridloom.plans import oracle as o
 from gridloom.plans import walk_forward as wf
-from gridloom.plans.market import Market, backtest, candidates, market, targets, week_arrays
+from gridloom.plans.market import Market, backtest, candidates, decisions, market, targets, week_arrays
 from gridloom.sources.candles import clean, demo_candles
 from gridloom.streaming.bars import daily_bars
 
@@ -341,7 +341,7 @@ def liquidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.grid_results(_market(spark, sf_dir), WIDE, COSTS).persist()
+    return vector.grid_results(_market(spark, sf_dir), WIDE, COSTS)
 
 
 _BEST = f"best AS (SELECT * FROM res ORDER BY final_equity DESC, {_KEYS} LIMIT 1)"
@@ -419,16 +419,73 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.duplicate_keys(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
-@_query("SELECT unnest(['final_equity', 'total_return', 'fees_paid', 'slippage_impact', 'trades', 'skipped_executions', 'final_holding', 'dates']) AS \"check\", 0::BIGINT AS bad")
+_SPOILT = {
+    "final_equity": "gap_period = 5 AND signal_period = 2",
+    "fees_paid": "gap_period = 10 AND signal_period = 3",
+    "slippage_impact": "momentum_period = 5 AND gap_period = 5",
+    "trades": "momentum_period = 10",
+    "final_holding": "signal_period = 3",
+    "dates": "gap_period = 10 AND momentum_period = 5 AND signal_period = 2",
+}
+
+
+@_query(
+    o.query(
+        "SELECT unnest(['final_equity', 'total_return', 'fees_paid', 'slippage_impact', 'trades', 'skipped_executions', 'periods', 'final_holding', 'dates']) AS \"check\", unnest(["
+        + ", ".join(f"count(*) FILTER ({_SPOILT.get(k, 'false')})" for k in ("final_equity", "final_equity", "fees_paid", "slippage_impact", "trades", "", "", "final_holding", "dates"))
+        + "]) AS bad FROM res",
+        *_folded(GRID),
+    )
+)
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On results that are spoilt in six ways: an equity below 0 that no longer matches
+    its return, a fee that isn't a number, an impact below 0, broken trades, an unknown
+    holding, and a start after the end."""
     m = _market(spark, sf_dir)
-    return audits.integrity(backtest(m, GRID, COSTS), COSTS.initial_cash, m.candles.select("ticker").distinct())
+    bad = {k: F.expr(v) for k, v in _SPOILT.items()}
+    rows = backtest(m, GRID, COSTS).withColumns(
+        {
+            "final_equity": F.when(bad["final_equity"], -1.0).otherwise(F.col("final_equity")),
+            "fees_paid": F.when(bad["fees_paid"], float("nan")).otherwise(F.col("fees_paid")),
+            "slippage_impact": F.when(bad["slippage_impact"], -0.5).otherwise(F.col("slippage_impact")),
+            "trades": F.when(bad["trades"], F.col("trades") + 0.5).otherwise(F.col("trades").cast("double")),
+            "final_holding": F.when(bad["final_holding"], "NONE").otherwise(F.col("final_holding")),
+            "start": F.when(bad["dates"], F.date_add("end", 1)).otherwise(F.col("start")),
+        }
+    )
+    return audits.integrity(rows, COSTS.initial_cash, m.candles.select("ticker").distinct())
 
 
-@_query("SELECT * FROM (VALUES ('gap', '10'), ('shard', '2'), ('contract', '2')) v(problem, what)")
+@_query(
+    """WITH m AS (SELECT DISTINCT CAST(o_custkey % 37 AS INTEGER) AS gap, CAST((o_custkey % 37 + CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE 0 END) % 4 AS INTEGER) AS shard FROM orders),
+    s AS (SELECT DISTINCT shard, shard < 3 AS run FROM m)
+    SELECT 'shard' AS problem, CAST(n AS VARCHAR) AS what FROM range(5) r(n) WHERE n NOT IN (SELECT shard FROM s)
+    UNION ALL SELECT 'contract', CAST(count(DISTINCT run) AS VARCHAR) FROM s HAVING count(DISTINCT run) > 1
+    UNION ALL SELECT 'gap owned twice', CAST(gap AS VARCHAR) FROM m WHERE gap < 36 GROUP BY gap HAVING count(*) > 1
+    UNION ALL SELECT 'unknown gap', '36' FROM m WHERE gap = 36 HAVING count(*) > 0
+    UNION ALL SELECT 'gap without owner', CAST(n AS VARCHAR) FROM (SELECT unnest([40, 41]) AS n UNION ALL SELECT n FROM range(36) r(n) WHERE n NOT IN (SELECT gap FROM m))"""
+)
 def shard_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = spark.createDataFrame([(0, [5, 10], "a"), (1, [6, 10], "b")], "shard int, gap_values array<int>, run string")
-    return audits.shard_contract(meta, ["run"], 3)
+    """Metadata derived from the order table, where some gaps have two owners, the last
+    shard is missing, one gap isn't expected and two expected ones have no owner."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    gap = (F.col("o_custkey") % 37).cast("int")
+    shard = ((gap + F.when(F.col("o_orderkey") % 101 == 0, 1).otherwise(0)) % 4).cast("int")
+    meta = orders.select(gap.alias("gap"), shard.alias("shard")).groupBy("shard").agg(F.collect_set("gap").alias("gap_values")).withColumn("run", F.col("shard") < 3)
+    gaps = spark.range(36).select(F.col("id").cast("int").alias("gap_period")).union(spark.range(40, 42).select(F.col("id").cast("int")))
+    return audits.shard_contract(meta, ["run"], 5, gaps)
+
+
+@_query(
+    """SELECT shard, CASE WHEN n > 0 THEN n END AS rows, tested AS tested_rows FROM (
+      SELECT CAST(l_linenumber AS INTEGER) AS shard, count(*) AS n, count(*) FILTER (l_quantity < 50 OR l_linenumber % 2 = 0) AS tested FROM lineitem GROUP BY 1)
+    WHERE n <> tested"""
+)
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata that miss some rows of the odd shards."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("shard", F.col("l_linenumber").cast("int"))
+    meta = rows.groupBy("shard").agg(F.count_if((F.col("l_quantity") < 50) | (F.col("shard") % 2 == 0)).alias("tested_rows"))
+    return audits.row_counts(rows, meta)
 
 
 @_query(
@@ -488,7 +545,19 @@ def extreme_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Walk-forward and streams.
 
 
-@_query()
+def _one(combo: tuple[int, int, int, int]) -> str:
+    return "SELECT " + ", ".join(f"{v} AS {c}" for c, v in zip(COMBO, combo, strict=True))
+
+
+_W1, _W2 = WINDOWS
+_CHAIN = [
+    *o.grid_parts(GRID)[:-1],
+    *o.span("w1", _one(_W1.combo), COSTS, _W1.oos_start, _W1.oos_end),
+    *o.span("w2", _one(_W2.combo), COSTS, _W2.oos_start, _W2.oos_end, "(SELECT max_by(equity, date) FROM curve_w1)"),
+]
+
+
+@_query(o.query(f"SELECT window_id, {_KEYS}, date, round(equity, 4) AS equity, round(cash, 4) AS cash, holding, shares FROM (SELECT 'w1' AS window_id, * FROM curve_w1 UNION ALL SELECT 'w2' AS window_id, * FROM curve_w2)", *_CHAIN))
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     candles = _candles(spark, sf_dir)
     rows = wf.walk_forward(lambda start, end: market(candles, TICKERS, start=start, end=end), WINDOWS, COSTS)
@@ -503,7 +572,22 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@_query()
+_OOS = [
+    *o.grid_parts(WIDE)[:-1],
+    *o.span("tr", "SELECT * FROM gs, ss, ms, vs", COSTS, None, "1997-12-31")[:-1],
+    f"best AS (SELECT {_KEYS}, CAST(row_number() OVER (ORDER BY final_equity DESC, {_KEYS}) AS INTEGER) AS training_rank FROM res_tr QUALIFY training_rank <= 3)",
+    *o.span("oos", f"SELECT {_KEYS} FROM best", COSTS, "1998-01-01", "1998-12-31"),
+    f"dd AS (SELECT *, max(equity) OVER w AS peak, equity / lag(equity) OVER w - 1 AS daily FROM curve_oos WINDOW w AS (PARTITION BY {_KEYS} ORDER BY date ROWS UNBOUNDED PRECEDING))",
+]
+
+
+@_query(
+    o.query(
+        f"""SELECT training_rank, {_KEYS}, round(max_by(equity, date) / {COSTS.initial_cash!r} - 1, 6) AS total_return, round(min(equity / peak - 1), 6) AS max_drawdown,
+          round(stddev_samp(daily) * sqrt(252), 6) AS annual_volatility FROM dd JOIN best USING ({_KEYS}) GROUP BY ALL""",
+        *_OOS,
+    )
+)
 def oos_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training span's best combinations, replayed out of sample in training order."""
     candles = _candles(spark, sf_dir)
@@ -567,21 +651,62 @@ def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(o.query("SELECT date, unnest(CASE WHEN day(date) = 1 THEN ['equity', 'shares'] ELSE ['equity'] END) AS \"column\" FROM curve WHERE day(date) <= 2", *_CURVE))
 def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against an external curve that differs on the first two days of each month."""
-    curve = _curve(spark, sf_dir).drop(*COMBO).persist()
+    curve = _curve(spark, sf_dir).drop(*COMBO)
     other = curve.withColumn("equity", F.when(F.dayofmonth("date") <= 2, F.col("equity") + 1).otherwise(F.col("equity")))
     other = other.withColumn("shares", F.when(F.dayofmonth("date") == 1, F.col("shares") + 1).otherwise(F.col("shares")))
     return audits.golden(other, curve).select("date", "column")
 
 
-_SPANS = [("a", "1997-01-01", "1997-12-31"), ("b", "1997-12-31", "1998-12-31"), ("c", "1999-01-01", ""), ("d", "2000-01-01", "")]
+@_query(
+    o.query(
+        """SELECT decision_date, ticker, unnest(list_filter([CASE WHEN ticker_idx = 1 AND score IS NOT NULL THEN 'momentum' END, CASE WHEN ticker_idx = 2 THEN 'gap_state' END,
+          CASE WHEN day(decision_date) = 1 AND target IS NOT NULL THEN 'selected_top1' END], lambda x: x IS NOT NULL)) AS "column"
+        FROM sch JOIN c ON c.date = decision_date JOIN st USING (ticker_idx, seq) JOIN mom USING (ticker_idx, seq) JOIN vol USING (ticker_idx, seq) JOIN tgt USING (week_idx)""",
+        *o.grid_parts(ONE),
+    )
+)
+def golden_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against external indicators: one ticker's momentum is a little off, another's
+    state is turned round, and on the first of a month nothing is selected."""
+    own = decisions(_market(spark, sf_dir), ONE)
+    other = own.withColumns(
+        {
+            "momentum": F.when(F.col("ticker") == "T1", F.col("momentum") + 1e-6).otherwise(F.col("momentum")),
+            "gap_state": F.col("gap_state") != (F.col("ticker") == "T2"),
+            "selected_top1": F.when(F.dayofmonth("decision_date") == 1, "CASH").otherwise(F.col("selected_top1")),
+        }
+    )
+    return audits.golden_indicators(other, own).select("decision_date", "ticker", "column")
+
+
+_SPAN = """SELECT CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR) AS id, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS oos_start,
+  CAST(max(CAST(o_orderdate AS DATE)) + CASE WHEN year(CAST(o_orderdate AS DATE)) % 2 = 0 THEN 9 ELSE 0 END AS VARCHAR) AS oos_end FROM orders GROUP BY year(CAST(o_orderdate AS DATE))"""
 
 
-@_query("SELECT * FROM (VALUES ('b'), ('d')) v(id)")
+@_query(f"SELECT id FROM (SELECT id, oos_start, lag(oos_end) OVER (ORDER BY oos_start) AS before FROM ({_SPAN})) WHERE before >= oos_start")
 def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wf.overlaps(spark.createDataFrame(_SPANS, "id string, oos_start string, oos_end string")).select("id")
+    """Windows of a year each, of which every second one reaches into the next."""
+    day = F.to_date("o_orderdate")
+    years = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.year(day).alias("year")).agg(F.min(day).alias("low"), F.max(day).alias("high"))
+    late = F.date_add("high", F.when(F.col("year") % 2 == 0, 9).otherwise(0))
+    return wf.overlaps(years.select(F.col("year").cast("string").alias("id"), F.col("low").cast("string").alias("oos_start"), late.cast("string").alias("oos_end"))).select("id")
 
 
-@_query("SELECT 1::BIGINT AS changes, 2::BIGINT AS changes_with_vol")
+_CHOICES = {"gap_period": 3, "signal_period": 2, "momentum_period": 4, "vol_period": 5}
+
+
+@_query(
+    "WITH w AS (SELECT CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR) AS id, "
+    + ", ".join(f"CAST(count(*) % {v} AS INTEGER) AS {c}" for c, v in _CHOICES.items())
+    + " FROM orders GROUP BY 1), p AS (SELECT *, "
+    + ", ".join(f"lag({c}) OVER (ORDER BY id) AS p_{c}" for c in _CHOICES)
+    + " FROM w) SELECT count(*) FILTER ("
+    + " OR ".join(f"{c} <> p_{c}" for c in COMBO[:3])
+    + ") AS changes, count(*) FILTER ("
+    + " OR ".join(f"{c} <> p_{c}" for c in COMBO)
+    + ") AS changes_with_vol FROM p"
+)
 def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("w1", 5, 2, 5, 21), ("w2", 5, 2, 5, 10), ("w3", 6, 2, 5, 10)]
-    return wf.parameter_changes(spark.createDataFrame(rows, "window_id string, " + ", ".join(f"{c} int" for c in COMBO)))
+    """Windows of a year each with parameters drawn from the number of its orders."""
+    years = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.year(F.to_date("o_orderdate")).cast("string").alias("window_id")).agg(F.count("*").alias("n"))
+    return wf.parameter_changes(years.select("window_id", *((F.col("n") % v).cast("int").alias(c) for c, v in _CHOICES.items())))

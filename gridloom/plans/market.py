@@ -51,6 +51,21 @@ def targets(m: Market, grid: Grid) -> DataFrame:
     return ranking.top1(candidates(m, grid), periods(m.candles.sparkSession, grid), m.weeks)
 
 
+def decisions(m: Market, grid: Grid) -> DataFrame:
+    """(decision_date, ticker, gap_state, momentum, vol_valid, selected_top1) of a grid of
+    one combination: what each ticker with a candle at a decision showed, and what was
+    chosen (CASH for nothing)."""
+    at = lambda values: indicators.at_decisions(values, m.weeks)
+    names = m.candles.select("ticker_idx", "ticker").distinct()
+    rows = at(indicators.gap_state(m.candles, grid.gaps, grid.signals)).select("week_idx", "ticker_idx", F.col("state").alias("gap_state"))
+    rows = rows.join(at(indicators.momentum(m.candles, grid.momenta)).select("week_idx", "ticker_idx", F.col("score").alias("momentum")), ["week_idx", "ticker_idx"])
+    rows = rows.join(at(indicators.vol_gate(m.candles, grid.vols)).select("week_idx", "ticker_idx", F.col("ok").alias("vol_valid")), ["week_idx", "ticker_idx"])
+    chosen = targets(m, grid).select("week_idx", F.col("target").alias("target_idx")).join(F.broadcast(names.select(F.col("ticker_idx").alias("target_idx"), F.col("ticker").alias("selected_top1"))), "target_idx", "left")
+    weeks = F.broadcast(m.weeks.select("week_idx", "decision_date"))
+    rows = rows.join(F.broadcast(names), "ticker_idx").join(weeks, "week_idx").join(chosen, "week_idx", "left")
+    return rows.select("decision_date", "ticker", "gap_state", "momentum", "vol_valid", F.coalesce("selected_top1", F.lit("CASH")).alias("selected_top1"))
+
+
 def week_arrays(m: Market, grid: Grid) -> DataFrame:
     prices = portfolio.execution_prices(m.candles, m.weeks, m.tickers)
     return portfolio.weeks(periods(m.candles.sparkSession, grid), candidates(m, grid), prices, m.tickers)

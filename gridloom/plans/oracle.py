@@ -6,6 +6,8 @@ window sums of other engines don't promise one.
 
 from __future__ import annotations
 
+import re
+
 from gridloom.config import Costs, Grid
 
 CANDLES = """c0 AS (
@@ -102,7 +104,9 @@ def quantity(cash: str, price: str, costs: Costs) -> str:
         FROM (SELECT {price} * {1.0 + fee!r}::DOUBLE * {1.0 + base!r}::DOUBLE AS lot, {price} * {1.0 + fee!r}::DOUBLE * {extra!r}::DOUBLE AS odd))))"""
 
 
-def fold(costs: Costs) -> str:
+def fold(costs: Costs, cash: str | None = None) -> str:
+    """``cash``: SQL for the capital at the start, instead of that of the costs."""
+    cash = cash or f"{costs.initial_cash!r}::DOUBLE"
     fee, base, extra = (f"{x!r}::DOUBLE" for x in costs.rates)
     one = f"{1.0 + costs.rates[1]!r}::DOUBLE"
     keys = "gap_period, signal_period, momentum_period, vol_period"
@@ -116,7 +120,7 @@ el AS (
   GROUP BY ALL),
 wk AS (SELECT {keys}, week_idx, coalesce(target, -1) AS target, opens, scores FROM tgt JOIN op USING (week_idx) JOIN el USING ({keys}, week_idx)),
 f AS (
-  SELECT {keys}, -1 AS w, -1 AS aimed, {costs.initial_cash!r}::DOUBLE AS cash, 0::BIGINT AS shares, -1 AS holding, 0 AS trades, 0 AS skipped, 0.0::DOUBLE AS fees, 0.0::DOUBLE AS slip FROM combo
+  SELECT {keys}, -1 AS w, -1 AS aimed, {cash} AS cash, 0::BIGINT AS shares, -1 AS holding, 0 AS trades, 0 AS skipped, 0.0::DOUBLE AS fees, 0.0::DOUBLE AS slip FROM combo
   UNION ALL
   SELECT {keys}, w, t,
     CASE WHEN NOT moves THEN cash WHEN t >= 0 THEN greatest(purse - spent - spent * {fee}, 0.0) ELSE purse END,
@@ -150,19 +154,23 @@ res AS (
   FROM f LEFT JOIN fin ON fin.ticker_idx = holding WHERE w = (SELECT max(week_idx) FROM sch))"""
 
 
-def curve(costs: Costs) -> str:
-    """The daily curve of the one combination that is folded."""
+def curve(costs: Costs, cash: str | None = None, start: str | None = None) -> str:
+    """The daily curves of the combinations that are folded, from ``start`` on."""
+    cash = cash or f"{costs.initial_cash!r}::DOUBLE"
+    keys = "gap_period, signal_period, momentum_period, vol_period"
+    since = f"WHERE session_date >= DATE '{start}'" if start else ""
+    same = " AND ".join(f"f.{k} = combo.{k}" for k in keys.split(", "))
     return f"""filled AS (
   SELECT session_date AS date, CAST(t AS INTEGER) AS ticker_idx, last_value(c.close IGNORE NULLS) OVER w AS close, last_value(c.date IGNORE NULLS) OVER w AS traded
   FROM cal CROSS JOIN range(8) r(t) LEFT JOIN c ON c.date = session_date AND c.ticker_idx = t
   WINDOW w AS (PARTITION BY t ORDER BY session_date ROWS UNBOUNDED PRECEDING)),
 days AS (
-  SELECT session_date AS date, aimed, coalesce(last_value(f.cash IGNORE NULLS) OVER w, {costs.initial_cash!r}::DOUBLE) AS cash,
+  SELECT combo.*, session_date AS date, aimed, coalesce(last_value(f.cash IGNORE NULLS) OVER w, {cash}) AS cash,
     coalesce(last_value(f.shares IGNORE NULLS) OVER w, 0) AS shares, coalesce(last_value(f.holding IGNORE NULLS) OVER w, -1) AS h
-  FROM cal LEFT JOIN sch ON execution_date = session_date LEFT JOIN f ON f.w = sch.week_idx
-  WINDOW w AS (ORDER BY session_date ROWS UNBOUNDED PRECEDING)),
+  FROM cal CROSS JOIN combo LEFT JOIN sch ON execution_date = session_date LEFT JOIN f ON f.w = sch.week_idx AND {same} {since}
+  WINDOW w AS (PARTITION BY {', '.join(f'combo.{k}' for k in keys.split(', '))} ORDER BY session_date ROWS UNBOUNDED PRECEDING)),
 curve AS (
-  SELECT days.date, cash + CASE WHEN h >= 0 THEN shares * close ELSE 0.0 END AS equity, cash, CASE WHEN h >= 0 THEN 'T' || h ELSE 'CASH' END AS holding,
+  SELECT {keys}, days.date, cash + CASE WHEN h >= 0 THEN shares * close ELSE 0.0 END AS equity, cash, CASE WHEN h >= 0 THEN 'T' || h ELSE 'CASH' END AS holding,
     shares, CASE WHEN coalesce(aimed, h) >= 0 THEN 'T' || coalesce(aimed, h) ELSE 'CASH' END AS weekly_target
   FROM days LEFT JOIN filled ON filled.date = days.date AND filled.ticker_idx = h)"""
 
@@ -174,3 +182,17 @@ def query(body: str, *parts: str) -> str:
 
 def grid_parts(grid: Grid) -> list[str]:
     return [RUNNING, ratios(grid.gaps), lines(grid.signals), momenta(grid.momenta), gates(grid.vols), TARGETS]
+
+
+def span(name: str, combos: str, costs: Costs, start: str | None, end: str, cash: str | None = None) -> list[str]:
+    """The parts of a market cut to a span, whose tables' names end with ``name``:
+    schedule, targets, fold, results and curves of ``combos`` (SQL for their periods)."""
+    sessions = f"cal AS (SELECT * FROM calendar WHERE session_date <= DATE '{end}')"
+    weeks = CANDLES[CANDLES.index("sch AS (") :]
+    if start:
+        weeks = weeks.replace("WHERE date_trunc", f"WHERE session_date >= DATE '{start}' AND date_trunc")
+    chosen = TARGETS.replace("combo AS (SELECT * FROM gs, ss, ms, vs)", f"combo AS ({combos})")
+    final = FINAL.replace("FROM c GROUP", f"FROM c WHERE date <= DATE '{end}' GROUP")
+    parts = [sessions, weeks, chosen, final, fold(costs, cash), curve(costs, cash, start)]
+    own = re.compile(r"\b(cal|sch|dec|cand|combo|tgt|fin|op|el|wk|f|res|filled|days|curve)\b")
+    return [own.sub(rf"\1_{name}", x).replace("FROM calendar", "FROM cal") for x in parts]

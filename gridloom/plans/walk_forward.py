@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -50,27 +51,48 @@ def overlaps(windows: DataFrame) -> DataFrame:
     return rows.where(F.col("before") >= F.col("oos_start")).drop("before")
 
 
+#: The names under which a published manifest has the costs of a run.
+COST_FIELDS = {"initial_cash": "initial_cash", "fee_bps": "fee_bps_per_side", "slippage_bps": "slippage_bps_per_side", "odd_lot_extra_bps": "odd_lot_extra_bps_weighted"}
+
+
+def _day(value: object) -> date | None:
+    try:
+        return date.fromisoformat(str(value)[:10])
+    except ValueError:
+        return None
+
+
+def _same_number(a: object, b: float) -> bool:
+    try:
+        return math.isclose(float(a), b, rel_tol=0.0, abs_tol=1e-12)
+    except (TypeError, ValueError):
+        return False
+
+
 def verify_training(manifest: dict, window: WindowRow, costs: Costs, top_sha256: str) -> None:
     """Fail unless a training artefact may be used for a window: provenance is complete,
-    it was selected on training data only, ended in time and had the same costs."""
-    made, run = manifest.get("selection_provenance", {}), manifest.get("execution", {})
-    end = str(run.get("end", ""))
+    it was selected on training data only, covers the window's training span (the last
+    traded day may be some days before its end) and had the same costs."""
+    made, run = manifest.get("selection_provenance") or {}, manifest.get("execution") or {}
+    span = manifest.get("training") or {}
+    start, end = (str(span.get(k) or run.get(k) or "") for k in ("start", "end"))
+    sources = manifest.get("optimizer_source_sha256")
+    low = lambda x: str(x or "").lower()
+    first, last = _day(start), _day(end)
+    version = manifest.get("schema_version", 0)
     problems = {
-        "schema": manifest.get("schema_version", 0) < 2,
-        "optimizer_sha": not SHA.fullmatch(str(manifest.get("optimizer_sha", ""))),
-        "upstream_sha": not SHA.fullmatch(str(manifest.get("upstream_sha", ""))),
-        "source hashes": not manifest.get("optimizer_source_sha256") or not all(SHA256.fullmatch(str(x)) for x in manifest["optimizer_source_sha256"].values()),
+        "schema": not (isinstance(version, int) and version >= 2),
+        "optimizer_sha": not SHA.fullmatch(low(manifest.get("optimizer_sha"))),
+        "upstream_sha": not SHA.fullmatch(low(manifest.get("upstream_sha"))),
+        "source hashes": not isinstance(sources, dict) or not sources or not all(SHA256.fullmatch(low(x)) for x in sources.values()),
         "mode": made.get("mode") != "training_only",
-        "leak": not str(made.get("training_end", "9999")) < window.oos_start,
-        "dates": made.get("training_start") != window.train_start or made.get("training_end") != window.train_end,
-        "top rows": made.get("top_100_sha256") != top_sha256,
-        "costs": any(run.get(k) != getattr(costs, k) for k in ("fee_bps", "slippage_bps", "odd_lot_extra_bps")),
+        "training span": first is None or last is None or first >= last,
+        "leak": last is None or last >= date.fromisoformat(window.oos_start),
+        "dates": str(made.get("training_start") or "") != start or str(made.get("training_end") or "") != end,
+        "window": start != window.train_start or last is None or not 0 <= (date.fromisoformat(window.train_end) - last).days <= MOST_LAG,
+        "top rows": not SHA256.fullmatch(low(made.get("top_100_sha256"))) or low(made.get("top_100_sha256")) != top_sha256.lower(),
+        "costs": not all(_same_number(run.get(field), getattr(costs, k)) for k, field in COST_FIELDS.items()),
     }
-    try:
-        lag = (date.fromisoformat(window.train_end) - date.fromisoformat(end)).days
-        problems["execution end"] = not 0 <= lag <= MOST_LAG
-    except ValueError:
-        problems["execution end"] = True
     if found := [k for k, bad in problems.items() if bad]:
         raise ValueError(f"{window.id}: {', '.join(found)}")
 
@@ -83,20 +105,32 @@ def evaluate(m: Market, combos: list[tuple[int, int, int, int]], costs: Costs) -
     return replay.curves(portfolio.history(arrays, costs), m.candles, m.calendar, m.weeks, costs, m.start)
 
 
-def walk_forward(load: Callable[[str, str | None], Market], windows: list[WindowRow], costs: Costs) -> DataFrame:
+def walk_forward(load: Callable[[str, str | None], Market], windows: list[WindowRow], costs: Costs, data_end: str | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Curves of the windows one after the other: each starts with the capital, not the
     position, that the one before ended with. ``load`` gives the market of a span; its
-    candles go further back, so indicators are warm. Windows that start after the data
-    end are passed over. The loop is over windows (a handful); each is one Spark job."""
+    candles go further back, so indicators are warm. Windows that start after
+    ``data_end`` or without a week to trade are passed over, later ends are cut to it; it
+    fails if no window is left or two curves share a date. The loop is over windows (a
+    handful). ``store`` writes a curve and reads it back, so that it is computed once;
+    without it curves are cached."""
     check_windows(windows)
     capital, out = costs.initial_cash, None
     for w in windows:
-        m = load(w.oos_start, w.oos_end)
+        if data_end and w.oos_start > data_end:
+            continue
+        end = min(w.oos_end or data_end, data_end) if data_end else w.oos_end
+        m = load(w.oos_start, end)
         if m.weeks.limit(1).count() == 0:
             continue
         curve = evaluate(m, [w.combo], replace(costs, initial_cash=capital)).withColumn("window_id", F.lit(w.id))
-        capital = float(curve.orderBy(F.desc("date")).select("equity").first()[0])
+        curve = store(curve) if store else curve.cache()
+        capital = float(curve.agg(F.max_by("equity", "date")).first()[0])
         out = curve if out is None else out.unionByName(curve)
+    if out is None:
+        raise ValueError("no window lies within the data")
+    twice = out.groupBy("date").count().where("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"evaluations share dates: {[str(r['date']) for r in twice]}")
     return out
 
 

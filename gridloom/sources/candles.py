@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom import schemas
+from gridloom.sources import sinks
 
 # Fixed values of the exchange's yearly price archive: record types, and the codes of
 # standard-lot equity trading.
@@ -64,6 +66,64 @@ def calendar_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("session_date")
 
 
+# How a session list tells where it comes from.
+OFFICIAL, OBSERVED = "B3_COTAHIST_ANNUAL_ARCHIVES", "OBSERVED_UNION_FALLBACK"
+
+
+def sessions(spark: SparkSession, candles: DataFrame, calendar: str | None = None) -> tuple[DataFrame, str]:
+    """The sessions of a calendar file, or else all days with a candle, and which."""
+    if calendar:
+        return calendar_file(spark, calendar), OFFICIAL
+    return candles.select(F.col("date").alias("session_date")).distinct(), OBSERVED
+
+
+def first_year(candles: DataFrame) -> int:
+    """The year of the earliest candle; a ticker without one fails."""
+    years = candles.groupBy("ticker").agg(F.min(F.year("date")).alias("year")).agg(F.min("year").alias("year"), F.count_if(F.col("year").isNull()).alias("empty")).first()
+    if years["year"] is None or years["empty"]:
+        raise ValueError("a calendar's first year needs a candle of each ticker")
+    return years["year"]
+
+
+def ensure_calendar(spark: SparkSession, folder: str, archives: str, requested_end: str) -> tuple[DataFrame, bool]:
+    """The official calendar of a snapshot, materialised from the exchange's archives
+    where it is absent, and whether it was. ``folder`` has or gets ``sessions.csv`` and
+    its metadata ``sessions.json``; one without the other fails, and so does a calendar
+    that doesn't match its metadata."""
+    from gridloom.operators.audits import calendar_gate
+
+    table, facts = f"{folder}/sessions.csv", f"{folder}/sessions.json"
+    there = [_exists(spark, p) for p in (table, facts)]
+    if there[0] != there[1]:
+        raise ValueError(f"{folder}: a calendar needs both its table and its metadata")
+    if not there[0]:
+        days = build_calendar(archive_sessions(spark, archives), requested_end).orderBy("session_date").select(F.col("session_date").cast("string").alias("date"))
+        days.coalesce(1).write.option("header", True).csv(table)  # a row a session
+        row = days.agg(F.min("date").alias("first_session"), F.max("date").alias("last_session"), F.count("*").alias("session_count")).first()
+        meta = {"status": "PASS", "source": OFFICIAL, "requested_end": requested_end, "calendar_sha256": _digest(spark, table)} | row.asDict()
+        sinks.put_text(spark, facts, json.dumps(meta, indent=2) + "\n")
+    found = calendar_file(spark, table)
+    meta = json.loads(spark.read.text(facts, wholetext=True).first()[0])
+    problems = calendar_gate(found, meta, _digest(spark, table), requested_end)
+    problems += ["source"] if meta.get("source") != OFFICIAL else []
+    if problems:
+        raise ValueError(f"{folder}: {'; '.join(problems)}")
+    return found, not there[0]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a table of one file."""
+    rows = sinks.file_hashes(spark, path).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: one file is expected, not {len(rows)}")
+    return rows[0]["sha256"]
+
+
 def archive_sessions(spark: SparkSession, pattern: str) -> DataFrame:
     """Distinct (path, session_date) of standard-lot equity trading in zipped fixed-width
     archives. A truncated line, a missing envelope or a bad date fails the job."""

@@ -31,6 +31,16 @@ def empty_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.RESULT)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, whatever file system the path is of."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_json(value: object, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
 

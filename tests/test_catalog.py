@@ -9,8 +9,6 @@ import pytest
 from gridloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["weekly_schedule", "gap_state", "vol_gate", "gate_groups", "top1_targets", "affordable_qty", "grid_vectorised", "grid_topk", "daily_replay", "annual_returns", "grid_coverage", "shard_contract", "extreme_moves", "event_bars"]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -24,7 +22,7 @@ def plain(v):
     return f"{float(v):.4f}"
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "events"):

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 
 import pytest
@@ -63,6 +64,9 @@ def test_shards_fail_closed(spark):
     assert check(good) == 0
     for bad in ([good[0]], [*good, good[0]], [good[0], (1, [6], 3.0, "a", 1)], [good[0], (1, [6], 3.25, "b", 1)], [good[0], (1, [5], 3.25, "a", 1)], [good[0], (2, [6], 3.25, "a", 1)]):
         assert check(bad) > 0
+    gaps = lambda *x: spark.createDataFrame([(v,) for v in x], "gap_period int")
+    found = lambda *x: [(r.problem, r.what) for r in audits.shard_contract(meta(*good), ["fee", "run"], 2, gaps(*x)).collect()]
+    assert found(5, 6, 7) == [] and found(5, 6, 7, 8) == [("gap without owner", "8")] and found(5, 6) == [("unknown gap", "7")]
     rows = spark.createDataFrame([(0,), (0,), (1,)], "shard int")
     assert audits.row_counts(rows, meta(*good)).count() == 0
     assert audits.row_counts(rows, meta(good[0], (1, [6], 3.25, "a", 9))).count() == 1
@@ -87,14 +91,33 @@ def test_golden_differences(spark):
     assert [r.column for r in audits.golden(make(row), make((*row[:4], 3.1, "T0"))).collect()] == ["equity"]
     assert audits.golden(make(row), make((day("2020-01-03"), *row[1:]))).count() == 5
     assert {r.column for r in audits.golden(make(row, row), make(row)).collect()} == {"date"}
+    large = (*row[:3], 2e8, 1e8, "T0")
+    assert audits.golden(make(large), make((*row[:3], 2e8 + 1e-3, 1e8 + 1.0, "T0"))).count() == 1  # beyond a relative 1e-10
+
+
+def test_golden_gate_and_indicators(spark):
+    meta = dict.fromkeys(audits.GOLDEN_FIELDS, 1) | {"source": audits.GOLDEN_SOURCE, "fixture_sha256": HEX[0]}
+    assert audits.golden_gate(meta, HEX[0]) == []
+    for bad, sha in (({"source": "x"}, HEX[0]), ({}, HEX[1]), ({"fixture_sha256": ""}, "")):
+        assert audits.golden_gate(meta | bad, sha)
+    assert audits.golden_gate({k: v for k, v in meta.items() if k != "end"}, HEX[0]) == ["end is missing"]
+    make = lambda *rows: spark.createDataFrame(list(rows), "decision_date date, ticker string, gap_state boolean, momentum double, vol_valid boolean, selected_top1 string")
+    d = day("2020-01-02")
+    own = make((d, "T0", True, 0.5, True, "T0"), (d, "T1", False, None, True, "T0"))
+    assert audits.golden_indicators(make((d, "t0", True, 0.5, True, "T0"), (d, "T0", True, 0.5, True, "T0"), (d, "T1", False, float("nan"), True, "T0")), own).count() == 0
+    found = audits.golden_indicators(make((d, "T0", False, 0.5 + 1e-9, True, "CASH"), (d, "T1", False, 0.1, False, "T0"), (d, "T2", True, 0.1, True, "T0")), own)
+    assert sorted((r.ticker, r.column) for r in found.collect()) == [("T0", "gap_state"), ("T0", "momentum"), ("T0", "selected_top1"), ("T1", "momentum"), ("T1", "vol_valid"), ("T2", "context")]
+
+
+HEX = [hashlib.sha256(bytes([i])).hexdigest() for i in range(5)]
 
 
 def manifest(**change):
-    good = {
-        "schema_version": 2, "optimizer_sha": "a" * 40, "upstream_sha": "b" * 40, "optimizer_source_sha256": {"x": "c" * 64},
-        "execution": {"end": "2019-12-30", "fee_bps": 3.25, "slippage_bps": 10.0, "odd_lot_extra_bps": 5.0},
-        "selection_provenance": {"mode": "training_only", "training_start": "2018-01-02", "training_end": "2019-12-31", "top_100_sha256": "d" * 64},
-    }
+    """A manifest with the published field names (fixed values)."""
+    span = {"start": "2018-01-02", "end": "2019-12-30"}
+    costs = {"initial_cash": 1000.0, "fee_bps_per_side": 3.25, "slippage_bps_per_side": 10.0, "odd_lot_extra_bps_weighted": 5.0}
+    good = {"schema_version": 2, "optimizer_sha": HEX[0][:40].upper(), "upstream_sha": HEX[1][:40], "optimizer_source_sha256": {"x": HEX[2]}, "execution": span | costs}
+    good["selection_provenance"] = {"mode": "training_only", "training_start": span["start"], "training_end": span["end"], "top_100_sha256": HEX[3]}
     for path, value in change.items():
         *head, last = path.split("__")
         at = good
@@ -109,12 +132,17 @@ WINDOW = wf.WindowRow("w", "2018-01-02", "2019-12-31", "2020-01-01", None)
 
 @pytest.mark.parametrize(
     "bad",
-    [{"schema_version": 1}, {"optimizer_sha": "abc"}, {"optimizer_source_sha256": {}}, {"selection_provenance__mode": "full"}, {"selection_provenance__training_end": "2020-01-01"}, {"selection_provenance__top_100_sha256": "e" * 64}, {"execution__fee_bps": 1.0}, {"execution__end": "2019-12-20"}, {"execution__end": "2020-01-01"}],
-)
+    [
+        {"schema_version": 1}, {"schema_version": "x"}, {"optimizer_sha": "abc"}, {"upstream_sha": None}, {"optimizer_source_sha256": {}}, {"optimizer_source_sha256": {"x": "1"}},
+        {"selection_provenance__mode": "full"}, {"selection_provenance__training_end": "2020-01-01"}, {"selection_provenance__training_start": "2018-01-03"},
+        {"selection_provenance__top_100_sha256": HEX[4]}, {"execution__initial_cash": 1.0}, {"execution__fee_bps_per_side": 1.0}, {"execution__slippage_bps_per_side": None},
+        {"execution__odd_lot_extra_bps_weighted": 4.0}, {"execution__start": "2018-01-03"}, {"execution__end": "2019-12-20"}, {"execution__end": "2020-01-01"}, {"execution__end": "soon"},
+    ],
+)
 def test_training_provenance(bad):
-    wf.verify_training(manifest(), WINDOW, Costs(), "d" * 64)
+    wf.verify_training(manifest(), WINDOW, Costs(), HEX[3])
     with pytest.raises(ValueError):
-        wf.verify_training(manifest(**bad), WINDOW, Costs(), "d" * 64)
+        wf.verify_training(manifest(**bad), WINDOW, Costs(), HEX[3])
 
 
 def test_walk_forward_carries_capital_only(spark):
@@ -129,6 +157,11 @@ def test_walk_forward_carries_capital_only(spark):
     assert b[0].cash == a[-1].equity or before == 0
     with pytest.raises(ValueError):
         wf.check_windows([windows[1], windows[0]])
+    load = lambda s, e: market(base.candles, 3, start=s, end=e)
+    cut = wf.walk_forward(load, windows, Costs(), "2018-09-28")
+    assert max(r.date for r in cut.collect()) <= dt.date(2018, 9, 28) and {r.window_id for r in cut.collect()} == {"a"}
+    with pytest.raises(ValueError, match="no window"):
+        wf.walk_forward(load, windows, Costs(), "2017-01-01")
 
 
 def test_calendar_gate(spark):
