@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.session import materialize
+from gridloom.llm.session import Scratch
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in ``edges`` (a, b); root is the smallest id reachable.
 
     Each round gives every id the smallest root among its neighbours and then follows
-    the root's own root, so a path of n ids takes about log n rounds. Every round's
-    table is written to shared storage; nothing but a count of changes comes back.
+    the root's own root, so a path of n ids takes about log n rounds; they go on until
+    nothing changes. Every round's table is written to shared storage, the one before is
+    deleted, and nothing but a count of changes comes back.
     """
+    scratch = Scratch(edges.sparkSession)
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).where("id <> other")
-    both = materialize(both.unionByName(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
-    labels = materialize(both.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("root")), "labels")
-    for _ in range(rounds):
+    both = scratch.keep(both.unionByName(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
+    table = scratch.keep(both.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("next")), "labels")
+    while True:
+        labels = table.select("id", F.col("next").alias("root"))
         near = both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
         closer = labels.join(near, "id").select("id", "root", F.least("root", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("root").alias("above"))
         after = closer.join(jump, "new", "left").select("id", F.least("new", F.coalesce("above", "new")).alias("next"), "root")
-        after = materialize(after.select("id", "next", (F.col("next") != F.col("root")).alias("moved")), "labels")
-        labels = after.select("id", F.col("next").alias("root"))
-        if after.where("moved").limit(1).count() == 0:
-            return labels
-    raise RuntimeError("components did not settle")
+        after = scratch.keep(after.select("id", "next", (F.col("next") != F.col("root")).alias("moved")), "labels")
+        scratch.drop(table)
+        table = after
+        if table.where("moved").limit(1).count() == 0:
+            scratch.close(table)
+            return table.select("id", F.col("next").alias("root"))
