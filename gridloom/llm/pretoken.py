@@ -4,8 +4,8 @@ The two BPE vocabularies used here split a text into pre-tokens by Unicode class
 then merge inside each pre-token only. So a text's tokens are those of its pre-tokens,
 and a pre-token seen before need not be merged again. The splitting is done on code
 point arrays. Texts with anything the array form doesn't cover (contractions, the
-vocabulary's special strings, control characters that libraries class differently) are
-left to the tokenizer library itself.
+vocabulary's special strings, characters that libraries class differently) are left to the
+tokenizer library itself.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from gridloom.llm import bytewords as bw
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-BREAK, SPACE, LETTER, NUMBER, OTHER = range(5)
+BREAK, SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(6)
 _SEPARATOR = "\U0010ffff"
 #: White_Space of Unicode.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -37,9 +37,11 @@ def _classes() -> np.ndarray:
     table = np.full(0x110000, OTHER, dtype=np.uint8)
     kind = {"L": LETTER, "N": NUMBER}
     for i in range(0x110000):
-        c = unicodedata.category(chr(i))[0]
-        if c in kind:
-            table[i] = kind[c]
+        c = unicodedata.category(chr(i))
+        if c == "Cn":
+            table[i] = UNKNOWN
+        elif c[0] in kind:
+            table[i] = kind[c[0]]
     table[_WHITE] = SPACE
     table[0x10FFFF] = BREAK
     return table
@@ -50,7 +52,13 @@ _HINTS = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f", "İ", "Σ", "\u180e", _SEPA
 
 
 def is_odd(text: str) -> bool:
-    return any(x in text for x in _HINTS) and _ODD.search(text) is not None
+    """Whether a text is left to the library. Characters that this Python's Unicode
+    doesn't know may be letters to the library, which may be of a later version."""
+    if any(x in text for x in _HINTS) and _ODD.search(text) is not None:
+        return True
+    if text.isascii():
+        return False
+    return bool((_classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] == UNKNOWN).any())
 
 
 @functools.cache
