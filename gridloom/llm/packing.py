@@ -31,8 +31,8 @@ from gridloom.llm.session import materialize, tune
 
 CAPACITY = 2048
 END_ID = 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long, ids binary"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
 
 
 class Encoder:
@@ -96,9 +96,9 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(starts, [*starts[1:], length], strict=True)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece. ``part`` and ``place``: the task, and the rank among the
-    pieces of this length in it."""
+    pieces of this length in it; ``ids``, if they are wanted: little-endian 32-bit."""
     tune(docs.sparkSession)
     library, ranks = files or vocabulary()
 
@@ -112,10 +112,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | N
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(library, ranks).encode(texts), strict=True):
                 wide = np.append(ids, END_ID).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(wide), capacity)):
-                    rows.append((doc, k, start, length, zlib.crc32(wide[start : start + length].tobytes()), task, int(used[length])))
+                    own = wide[start : start + length].tobytes()
+                    rows.append((doc, k, start, length, zlib.crc32(own), task, int(used[length]), own if with_ids else None))
                     used[length] += 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", "ids"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PIECES)
@@ -201,7 +202,25 @@ def places(bins: list[tuple[list[int], int]], capacity: int = CAPACITY) -> dict[
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None) -> DataFrame:
     """Places for all pieces of ``docs``. See the module's text."""
-    cut_up = materialize(pieces(docs, capacity, files), "pieces")
+    return _placed(docs, capacity, files, False).drop("ids")
+
+
+def sequences(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids and the doc_ids in their order."""
+    placed = _placed(docs, capacity, files, True)
+    own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))  # at most ``capacity`` ids in all
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            ids = [np.frombuffer(b"".join(x["ids"] for x in r), dtype="<u4").astype(np.int32) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([[x["doc_id"] for x in r] for r in rows], pa.list_(pa.int64()))], ["sequence_id", "ids", "doc_ids"])
+
+    return placed.groupBy("sequence_id").agg(own.alias("own")).mapInArrow(run, "sequence_id long, ids array<int>, doc_ids array<long>")
+
+
+def _placed(docs: DataFrame, capacity: int, files: tuple[str, str] | None, with_ids: bool) -> DataFrame:
+    cut_up = materialize(pieces(docs, capacity, files, with_ids), "pieces")
     by_part = cut_up.groupBy("part", "length").agg(F.count("*").alias("n"))
     by_part = materialize(by_part, "piece_counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -222,8 +241,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | Non
             k = rank - table["rank"][at]
             sequence = table["first"][at] + k // table["per"][at]
             offset = table["offset"][at] + (k % table["per"][at]) * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), batch.column(7)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
 
     # One row per task and length: it grows with the input, so it is never broadcast.
-    joined = cut_up.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "place", "base")
+    joined = cut_up.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "place", "base", "ids")
     return joined.mapInArrow(run, PACKED)
