@@ -3,15 +3,17 @@
 The items' windows of ``width`` words are put into a hash set that goes to every task
 with the closure. Its size is checked first: it has at most one entry per benchmark
 word, and beyond ``max_entries`` the items are handled in several passes of that many
-windows, so the broadcast is bounded however large the benchmark is. Each task hashes
+windows, a longer item in overlapping parts, so the broadcast is bounded however large
+the benchmark is. Several passes run over a copy of the documents with a row id, which
+is written once, so that a row's hits of all passes meet. Each task hashes
 the windows of its texts at every width in use, looks them up, and compares the words
 of each hit with the item's words before it counts.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. An item of fewer
 words than ``width``, but not none, is one window of its own width.
 
-Edge cases: null texts and null items have no words. A null item_id takes no part. Items
-with equal texts or shared windows are all reported. Repeated item rows count once.
+Edge cases: null texts and null items have no words. The windows of an item whose item_id
+is null count as hits; only its id is left out of the items. Items with equal texts or shared windows are all reported. Repeated item rows count once.
 Repeated documents each get a row. Empty tables: no documents, no rows; no items, no
 hits. Extra columns are ignored.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytewords as bw
-from gridloom.llm.session import materialize, tune
+from gridloom.llm.session import materialize, tune, unused
 
 WIDTH = 10
 #: Windows in one broadcast: about 400 MB of words at most, far less in practice.
@@ -42,7 +44,7 @@ class Grams:
         gathered: dict[int, dict[bytes, set[str]]] = {}
         hashed: dict[int, dict[bytes, int]] = {}
         for item, text in items:
-            if item is None or not text:
+            if not text:
                 continue
             found = bw.words(pa.array([text]), bw.LOWER_ALNUM, lower=True)
             n = len(found.start)
@@ -52,7 +54,7 @@ class Grams:
             words = found.text(0, n)
             for i, h in enumerate(bw.window_hashes(found.hashes(), k).tolist()):
                 key = b" ".join(words[i : i + k])
-                gathered.setdefault(k, {}).setdefault(key, set()).add(str(item))
+                gathered.setdefault(k, {}).setdefault(key, set()).update([] if item is None else [str(item)])
                 hashed.setdefault(k, {})[key] = h
         self.tables = []
         for k, grams in sorted(gathered.items()):
@@ -78,38 +80,59 @@ class Grams:
                     at += 1
 
 
+def _parts(text: str, width: int, most: int) -> Iterator[tuple[str, int]]:
+    """An item's text and its number of words, in parts of up to ``most`` windows."""
+    found = bw.words(pa.array([text]), bw.LOWER_ALNUM, lower=True)
+    n = len(found.start)
+    if n <= max(most, width):
+        yield text, n
+        return
+    for i in range(0, n - width + 1, most):
+        j = min(n, i + most + width - 1)
+        yield b" ".join(found.text(i, j)).decode(), j - i
+
+
 def _passes(benchmark: DataFrame, width: int, max_entries: int) -> Iterator[Grams]:
     """Grams of the items, at most about ``max_entries`` windows at a time."""
-    held: list[tuple[str, str]] = []
+    held: list[tuple[str | None, str]] = []
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        n = len(bw.words(pa.array([row[1]]), bw.LOWER_ALNUM, lower=True).start)
-        if held and size + n > max_entries:
-            yield Grams(held, width)
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += n
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
+        for text, n in _parts(row[1], width, max_entries):
+            if held and size + n > max_entries:
+                yield Grams(held, width)
+                held, size = [], 0
+            held.append((row[0], text))
+            size += n
     yield Grams(held, width)
 
 
+def _one_pass(benchmark: DataFrame, max_entries: int) -> bool:
+    """Whether the items surely fit one pass: a word and what ends it have two bytes."""
+    bytes_ = benchmark.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    return bytes_ / 2 + 1 <= max_entries
+
+
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """doc_id, n_words, the hit word spans (first, last; merged) and the items hit."""
+    """doc_id, n_words, the hit word spans (first, last; those of one pass merged) and the
+    items hit, of each row."""
     tune(docs.sparkSession)
-    passes = _passes(benchmark, width, max_entries)
-    grams, following, out = next(passes), next(passes, None), None
-    while grams is not None:
-        part = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan(grams), FOUND)
-        if out is None and following is None:
-            return part
-        part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "hits")
-        out = part if out is None else out.union(part)
-        grams, following = following, next(passes, None)
-    # The scan's task and row numbers are the same in each pass over the same table.
-    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.select("doc_id", "n_words", "spans", "items")
-
-
-def _scan(grams: Grams):
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    if _one_pass(benchmark, max_entries):
+        return rows.mapInArrow(_scan(next(_passes(benchmark, width, max_entries))), FOUND)
+    return _several(materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows"), benchmark, width, max_entries).drop("row")
+
+
+def _several(rows: DataFrame, benchmark: DataFrame, width: int, max_entries: int) -> DataFrame:
+    """The same and ``row``, over several passes; ``rows``: doc_id, text, row."""
+    out = None
+    for grams in _passes(benchmark, width, max_entries):
+        part = materialize(rows.select("doc_id", "text", "row").mapInArrow(_scan(grams, 2), f"{FOUND}, row long"), "hits")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _scan(grams: Grams, *keep: int):
+    """``keep``: columns that are passed on after the result's own."""
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +156,9 @@ def _scan(grams: Grams):
                     pa.array(found.counts.astype(np.int64)),
                     pa.array([[{"first": a, "last": b} for a, b in where.get(i, ())] for i in rows], span),
                     pa.array([sorted(items.get(i, ())) for i in rows], pa.list_(pa.string())),
+                    *(batch.column(c) for c in keep),
                 ],
-                ["doc_id", "n_words", "spans", "items"],
+                ["doc_id", "n_words", "spans", "items", *(batch.schema.names[c] for c in keep)],
             )
 
     return run
@@ -174,19 +198,49 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width:
     tune(docs.sparkSession)
     if mode not in ("document", "span"):
         raise ValueError("mode is document or span")
-    out = docs
-    name = docs.columns.index("text")
-    passes = _passes(benchmark, width, max_entries)
-    grams, following = next(passes), next(passes, None)
-    if mode == "span" and following is not None:
-        # What one pass cuts, a later one would not see: its windows are judged on the input.
-        raise ValueError("the items have too many windows to cut spans in one pass; raise max_entries")
-    while grams is not None:
-        out = out.mapInArrow(_remover(grams, name, mode), docs.schema)
-        if following is not None:  # so that one pass's windows are held at a time
-            out = materialize(out, "cleaned")
-        grams, following = following, next(passes, None)
-    return out
+    name, once = docs.columns.index("text"), _one_pass(benchmark, max_entries)
+    if once or mode == "document":
+        out = docs
+        for grams in _passes(benchmark, width, max_entries):
+            out = out.mapInArrow(_remover(grams, name, mode), docs.schema)
+            if not once:  # so that one pass's windows are held at a time
+                out = materialize(out, "cleaned")
+        return out
+    # Windows are judged on the input, so what all passes hit is cut at once.
+    (row,) = unused(docs, "row")
+    whole = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = _several(whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row")), benchmark, width, max_entries)
+    hits = found.where(F.size("spans") > 0).select(F.col("row").alias(row), "spans")
+    (gone,) = unused(whole, "spans")
+    return whole.join(hits.withColumnRenamed("spans", gone), row, "left").select(*docs.columns, gone).mapInArrow(_cutter(name, len(docs.columns)), docs.schema)
+
+
+def _cut_out(batch: pa.RecordBatch, column: int, gone: np.ndarray, rows: Iterator[int] | set[int], offsets: np.ndarray, raw: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch's columns of ``schema``, without the marked bytes of some rows' texts."""
+    texts = batch.column(column).to_pylist()
+    for row in rows:
+        a, b = int(offsets[row]), int(offsets[row + 1])
+        texts[row] = raw[a:b][~gone[a:b]].tobytes().decode()
+    columns = batch.columns[: len(schema)]
+    columns[column] = pa.array(texts, schema.field(column).type)
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _cutter(column: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bw.chunks(batches):
+            schema = pa.schema(list(batch.schema)[:at])
+            found = bw.words(batch.column(column), bw.LOWER_ALNUM, lower=True)
+            raw, offsets = bw.text_bytes(batch.column(column))
+            gone, rows = np.zeros(len(raw), dtype=bool), set()
+            for row, spans in enumerate(batch.column(at).to_pylist()):
+                for s in spans or ():
+                    first = int(found.first[row])
+                    gone[found.start[first + s["first"]] : found.end[first + s["last"]]] = True
+                    rows.add(row)
+            yield _cut_out(batch, column, gone, rows, offsets, raw, schema)
+
+    return run
 
 
 def _remover(grams: Grams, column: int, mode: str):
@@ -206,13 +260,7 @@ def _remover(grams: Grams, column: int, mode: str):
                 gone = np.zeros(len(raw), dtype=bool)
                 for i, k in hits:
                     gone[found.start[i] : found.end[i + k - 1]] = True
-                old = batch.column(column).to_pylist()
-                for row in rows:
-                    a, b = int(offsets[row]), int(offsets[row + 1])
-                    old[row] = raw[a:b][~gone[a:b]].tobytes().decode()
-                columns = [*batch.columns]
-                columns[column] = pa.array(old, batch.schema.field(column).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield _cut_out(batch, column, gone, rows, offsets, raw, batch.schema)
 
     return run
 
