@@ -1,14 +1,15 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Each task turns its texts into a run: rows (digest, size, check, keep, n) in digest
-order with one row per distinct text. Runs are merged in rounds of a binomial tree:
-in round r the runs of ``FAN_IN`` neighbouring groups are exchanged and multiway merged
-into one, sliced by the digest's first bits, so that no round, and not the root either,
-puts the whole table into one task. A merge streams over sorted rows and keeps one open
-row, so its memory doesn't depend on the size of a group of copies; before a round a
-task has at most one row for a text, however many copies there are.
-
-Every merge verifies what it joins: rows of one SHA-256 must agree in the text's length
+Each task turns its texts into a run: records (digest, size, check, keep, n) in digest
+order with one record per distinct text, packed into chunks. Runs are merged in rounds of
+a binomial tree: in round r the runs of ``FAN_IN`` neighbouring groups are exchanged and
+multiway merged into one, sliced by the digest's first bits, so that no round, and not
+the root either, puts the whole table into one task. Only chunks are put in order, by
+their first digests; records stay in the order of their runs, and a merge holds what is
+left of one chunk of each run, whatever the size of a group of copies. Before a round a
+task has at most one record for a text, however many copies there are.
+
+Every merge verifies what it joins: records of one SHA-256 must agree in the text's length
 and a second hash, or the job fails. The row that stays is that with the largest doc_id
 by default (``keep="min"``: the smallest).
 
@@ -22,14 +23,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.session import materialize, tune
+from gridloom.llm.session import Scratch, if_small, tune, unused
 
 FAN_IN = 16
-RUN = "digest binary, size long, check long, keep long, n long, origin int"
+CHUNK = 4096  # records of a run that travel together
+RECORD = np.dtype([("digest", "S32"), ("size", "<i8"), ("check", "<i8"), ("keep", "<i8"), ("named", "?"), ("n", "<i8")])
+RUN = "origin int, slice int, head binary, records binary"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -43,40 +47,54 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _merge(rows: Iterator[tuple], largest: bool) -> Iterator[list]:
-    """Equal neighbours of rows in digest order become one, verified."""
-    held: list | None = None
-    for digest, size, check, keep, n in rows:
-        if held is not None and held[0] == digest:
-            if held[1] != size or held[2] != check:
-                raise ValueError("two texts with one digest")
-            if keep is not None and (held[3] is None or (keep > held[3]) == largest):
-                held[3] = keep
-            held[4] += n
-        else:
-            if held is not None:
-                yield held
-            held = [digest, size, check, keep, n]
-    if held is not None:
-        yield held
-
-
-def _batches(rows: Iterator[list], origin: int) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = ["digest", "size", "check", "keep", "n", "origin"]
-    part: list[list] = []
-    for row in rows:
-        part.append([*row, origin])
-        if len(part) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
-            part = []
-    if part:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
-
-
-def _rows(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True)
+def merged(parts: list[np.ndarray], largest: bool) -> np.ndarray:
+    """One sorted run of several, with a record for each text, verified."""
+    every = np.concatenate(parts)
+    every = every[np.argsort(every["digest"], kind="stable")]  # merges the sorted parts
+    if not len(every):
+        return every
+    new = np.append(True, every["digest"][1:] != every["digest"][:-1])
+    first = np.flatnonzero(new)
+    if len(first) == len(every):
+        return every
+    own = first[np.cumsum(new) - 1]
+    if (every["size"] != every["size"][own]).any() or (every["check"] != every["check"][own]).any():
+        raise ValueError("two texts with one digest")
+    out = every[first]
+    out["n"] = np.add.reduceat(every["n"], first)
+    worst = np.iinfo(np.int64).min if largest else np.iinfo(np.int64).max
+    out["keep"] = (np.maximum if largest else np.minimum).reduceat(np.where(every["named"], every["keep"], worst), first)
+    out["named"] = np.logical_or.reduceat(every["named"], first)
+    return out
+
+
+def _records(batch: pa.RecordBatch) -> np.ndarray:
+    """From (digest, size, check, doc_id)."""
+    out = np.zeros(batch.num_rows, dtype=RECORD)
+    digest = batch.column(0).cast(pa.large_binary())
+    offset = np.frombuffer(digest.buffers()[1], np.int64)[digest.offset]
+    out["digest"] = np.frombuffer(digest.buffers()[2], "S32", batch.num_rows, int(offset))
+    out["size"], out["check"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    out["named"] = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+    out["keep"] = batch.column(3).fill_null(0).to_numpy()
+    out["n"] = 1
+    return out
+
+
+def _head(record: np.void) -> bytes:
+    return record["digest"].ljust(32, b"\0")  # numpy drops zeros at the end
+
+
+def _chunks(run: np.ndarray, origin: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """A sorted run as rows of up to CHUNK records, cut where a slice of digests ends."""
+    if not len(run):
+        return
+    prefix = run["digest"].astype("S32").view(np.uint8).reshape(-1, 32)[:, :3].astype(np.int64)
+    part = ((prefix[:, 0] << 16 | prefix[:, 1] << 8 | prefix[:, 2]) * wide) >> 24
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(run)]])
+    rows = [(int(part[i]), _head(run[i]), run[i : min(i + CHUNK, b)].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for i in range(a, b, CHUNK)]
+    columns = [*zip(*rows, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["origin", "slice", "head", "records"])
 
 
 def merged_runs(found: DataFrame, keep: str = "max", fan_in: int = FAN_IN) -> DataFrame:
@@ -88,53 +106,60 @@ def merged_runs(found: DataFrame, keep: str = "max", fan_in: int = FAN_IN) -> Da
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-        return _batches(_merge(_rows(batches, 5), largest), task)
+        task, held = TaskContext.get().partitionId(), np.zeros(0, dtype=RECORD)
+        for batch in batches:
+            held = merged([held, _records(batch)], largest)
+            if len(held) > 16 * CHUNK:  # rows come sorted, so all but the last record are done
+                yield from _chunks(held[:-1], task, slices)
+                held = held[-1:]
+        yield from _chunks(held, task, slices)
 
-    runs = found.select("digest", "size", "check", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("n"))
-    runs = runs.sortWithinPartitions("digest").mapInArrow(first, RUN)
+    runs = found.select("digest", "size", "check", F.col("doc_id").alias("keep")).sortWithinPartitions("digest").mapInArrow(first, RUN)
     groups = parts
     while True:
         groups = -(-groups // fan_in)
-        wide = max(1, -(-slices // groups))
 
         def round_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # Rows come by group, then digest; one task may hold slices of several groups.
-            def of() -> Iterator[list]:
-                group, rows = None, []
-                for row in _rows(batches, 6):
-                    if row[5] != group:
-                        if rows:
-                            yield group, rows
-                        group, rows = row[5], []
-                    rows.append(row[:5])
-                    if len(rows) >= 50_000 and rows[-1][0] != rows[-2][0]:
-                        yield group, rows[:-1]
-                        rows = rows[-1:]
-                if rows:
-                    yield group, rows
-
-            for group, rows in of():
-                yield from _batches(_merge(iter(rows), largest), group)
+            # Chunks come by group, slice and head: what is below a chunk's head is final.
+            # What is held are the rest of one chunk of each run at most.
+            at, held = None, np.zeros(0, dtype=RECORD)
+            for batch in batches:
+                for origin, part, head, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    done = len(held) if (origin, part) != at else int(np.searchsorted(held["digest"], np.bytes_(head)))
+                    if done:
+                        yield from _chunks(held[:done], at[0], slices)
+                    at = (origin, part)
+                    held = merged([held[done:], np.frombuffer(records, dtype=RECORD)], largest)
+            if at:
+                yield from _chunks(held, at[0], slices)
 
         group = F.floor(F.col("origin") / fan_in).cast("int").alias("origin")
-        piece = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 6), 16, 10).cast("long"), F.lit(wide))
-        runs = (
-            runs.select("digest", "size", "check", "keep", "n", group)
-            .repartition(slices, "origin", piece)
-            .sortWithinPartitions("origin", "digest")
-            .mapInArrow(round_, RUN)
-        )
+        runs = runs.select(group, "slice", "head", "records").repartition(slices, "origin", "slice").sortWithinPartitions("origin", "slice", "head").mapInArrow(round_, RUN)
         if groups == 1:
-            return runs
+            break
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for records in batch.column(0).to_pylist():
+                x = np.frombuffer(records, dtype=RECORD)
+                digest = pa.array([_head(r) for r in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([digest, pa.array(x["size"]), pa.array(x["check"]), pa.array(x["keep"], mask=~x["named"]), pa.array(x["n"])], ["digest", "size", "check", "keep", "n"])
+
+    return runs.select("records").mapInArrow(unpack, "digest binary, size long, check long, keep long, n long")
+
+
+def _grouped(docs: DataFrame, keep: str, scratch: Scratch) -> DataFrame:
+    """doc_id, digest, size, check of each row, with keep and n of its group of copies;
+    n is null for a text that occurs once."""
+    tune(docs.sparkSession)
+    found = scratch.keep(digests(docs), "digests")
+    copied = scratch.keep(merged_runs(found, keep).where("n > 1").select("digest", "keep", "n"), "copied")
+    return found.join(copied, "digest", "left")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``."""
-    tune(docs.sparkSession)
-    found = digests(docs)
-    copied = merged_runs(found, keep).where("n > 1").select("digest", "keep", "n")
-    joined = materialize(found, "digests").join(materialize(copied, "copied"), "digest", "left")
+    joined = _grouped(docs, keep, Scratch(docs.sparkSession))
     alone = F.col("n").isNull()
     keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep"))
     return joined.select(
@@ -148,13 +173,23 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
     """``docs`` with one row of each text, all columns as they are. Of rows repeated with
-    the doc_id that stays, any one stays."""
-    result = exact_dedup(docs, keep)
-    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    keys = [F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("__digest"), same.alias("__did")]
-    gone = materialize(result.where("not kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__did"), F.unhex("text_sha256").alias("__digest")).distinct(), "gone")
-    again = result.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    out = docs.select("*", *keys).join(gone, ["__did", "__digest"], "left_anti")
-    if again.limit(1).count():
-        out = out.dropDuplicates(["__did", "__digest"])
+    the doc_id that stays, any one stays.
+
+    Only the keys of what goes meet the texts: broadcast where their counted rows allow
+    it, else merged."""
+    scratch = Scratch(docs.sparkSession)
+    copies = _grouped(docs, keep, scratch).where("n is not null")
+    did, size, check = unused(docs, "did", "size", "check")
+    # A null doc_id is told from 0 by the sign of the size.
+    named = lambda i, n: [F.coalesce(i, F.lit(0)).alias(did), F.when(i.isNull(), -1 - n).otherwise(n).alias(size)]
+    keys = [*named(F.col("doc_id"), F.col("size")), F.col("check").alias(check)]
+    stays = F.col("doc_id").eqNullSafe(F.col("keep"))
+    gone = scratch.keep(copies.where(~stays).select(*keys).distinct(), "gone")
+    twice = scratch.keep(copies.where(stays).groupBy(*keys).count().where("count > 1").drop("count"), "twice")
+    scratch.close(gone, twice)
+    text, by = F.coalesce(F.col("text"), F.lit("")), [did, size, check]
+    out = docs.select("*", *named(F.col("doc_id").cast("long"), F.octet_length(text).cast("long")), F.xxhash64(text).alias(check)).join(if_small(gone)[0], by, "left_anti")
+    if twice.limit(1).count():
+        once = out.join(if_small(twice)[0], by, "left_semi").dropDuplicates(by)
+        out = out.join(if_small(twice)[0], by, "left_anti").unionByName(once)
     return out.select(*docs.columns)
