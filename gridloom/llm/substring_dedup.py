@@ -32,7 +32,6 @@ handled whole, in bounded pieces of hashing. doc_id may be null.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytewords as bw
-from gridloom.llm.session import materialize, tune
+from gridloom.llm.session import Scratch, tune, unused
 
 WIDTH = 35
 ANCHOR = 8
-BATCHES = 3
+BATCHES = 4  # the last is joined with the compacted run of those before
 COMPACT_AT = 2
+SPAN = 64  # windows in a block, and bits in its mask
+NAMELESS = 1 << 32
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -78,6 +79,8 @@ def blocks(found: bw.Words, width: int = WIDTH) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.uint64) for _ in range(5))
     new = np.append(True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = np.flatnonzero(new)
+    since = np.arange(len(starts)) - first[np.cumsum(new) - 1]
+    first = np.flatnonzero(since % SPAN == 0)  # a block has SPAN windows at most
     count = np.diff(np.append(first, len(starts)))
     begin = starts[first]
     other = found.hashes(1)
@@ -90,49 +93,64 @@ def blocks(found: bw.Words, width: int = WIDTH) -> tuple[np.ndarray, ...]:
     return g[at[first]], whole, row, begin - found.first[row], count
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(did, k) tells rows apart: k separates different texts with one doc_id."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.crc32(text.cast("binary")).alias("k"), text.alias("text"))
+def _row_key(doc_id, text) -> tuple:
+    """(did, k) tells rows apart: k separates different texts with one doc_id, and has a
+    bit of its own for a null doc_id."""
+    did = doc_id.cast("long")
+    return F.coalesce(did, F.lit(0)), F.crc32(text.cast("binary")) + F.when(did.isNull(), F.lit(NAMELESS)).otherwise(F.lit(0))
 
 
-def _bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """``df`` as a table bucketed and sorted by ``keys``, which joins on them read in place."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"gridloom_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
-    return spark.table(table)
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    did, k = _row_key(F.col("doc_id"), text)
+    return docs.select(did.alias("did"), k.alias("k"), text.alias("text"))
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprint counts (fp, n)."""
+    """Sorted immutable runs of fingerprint counts (fp, n), bucketed by fp, so that a
+    batch is merge-joined with history where it lies. ``save`` writes the index as one
+    run, and ``open`` goes on from it in another session."""
 
     def __init__(self, spark: SparkSession, compact_at: int = COMPACT_AT):
-        self.spark, self.compact_at, self.runs = spark, compact_at, []
+        self.spark, self.compact_at, self.runs, self.scratch = spark, compact_at, [], Scratch(spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, compact_at: int = COMPACT_AT) -> FingerprintIndex:
+        index = cls(spark, compact_at)
+        index.runs.append(index.scratch.bucketed(spark.read.schema("fp long, n long").parquet(path), "run", "fp"))
+        return index
+
+    def save(self, path: str) -> None:
+        self.compact()
+        self.runs[0].write.parquet(path)
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """Index a batch of fingerprints (column fp, repeated as they occur); the
         distinct ones that occur twice in the batch, or in it and in history."""
-        run = _bucketed(fingerprints.groupBy("fp").agg(F.count("*").alias("n")), "run", ["fp"])
+        run = self.scratch.bucketed(fingerprints.groupBy("fp").agg(F.count("*").alias("n")), "run", "fp")
         found = run.where("n > 1").select("fp")
         for old in self.runs:
             found = found.union(run.join(old.select("fp").hint("merge"), "fp", "left_semi").select("fp"))
         self.runs.append(run)
-        found = materialize(found.distinct(), "repeated")
-        if len(self.runs) >= self.compact_at + 1:
+        found = self.scratch.keep(found.distinct(), "repeated")
+        if len(self.runs) > self.compact_at:
             self.compact()
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one; the old ones go."""
         every = self.runs[0]
         for run in self.runs[1:]:
             every = every.unionByName(run)
         # Dealt out anew before it is summed: runs are read with or without their buckets,
         # as the planner likes, and a union of both kinds isn't partitioned by fp.
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs = [_bucketed(every.repartition(n, "fp").groupBy("fp").agg(F.sum("n").alias("n")), "run", ["fp"])]
+        merged = self.scratch.bucketed(every.repartition(n, "fp").groupBy("fp").agg(F.sum("n").alias("n")), "run", "fp")
+        self.scratch.drop(*self.runs)
+        self.runs = [merged]
+
+    def close(self) -> None:
+        self.scratch.close()
 
 
 def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -148,14 +166,14 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _block_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, bh, did, k, place) of each anchor occurrence; place: start * 32 + windows - 1."""
+    """(fp, bh, did, k, place) of each anchor occurrence; place: start * SPAN + windows - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.chunks(batches):
             fp, bh, row, start, count = blocks(bw.words(batch.column(2), bw.NOT_SPACE), width)
             if len(fp):
                 did, k = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-                columns = [fp.view(np.int64), bh.view(np.int64), did, k, start * 32 + count - 1]
+                columns = [fp.view(np.int64), bh.view(np.int64), did, k, start * SPAN + count - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "bh", "did", "k", "place"])
 
     return docs.mapInArrow(run, "fp long, bh long, did long, k long, place long")
@@ -189,10 +207,10 @@ def _window_rows(docs: DataFrame, width: int) -> DataFrame:
                 listed = one.column(3).flatten()
                 fp, bh, place, n = (listed.field(j).to_numpy(zero_copy_only=False) for j in range(4))
                 windows = bw.window_hashes(bw.words(pa.array(_unpack(one.column(2)), pa.large_string()), bw.NOT_SPACE).hashes(1), width, 1)
-                count = place % 32 + 1
-                own = bw.ragged(place // 32, count)
+                count = place % SPAN + 1
+                own = bw.ragged(place // SPAN, count)
                 spread = lambda x, count=count: pa.array(np.repeat(x, count))
-                nth = own - np.repeat(place // 32, count)
+                nth = own - np.repeat(place // SPAN, count)
                 yield pa.RecordBatch.from_arrays([spread(fp), spread(bh), pa.array(nth), pa.array(windows[own].view(np.int64)), spread(n)], ["fp", "bh", "nth", "wh", "n"])
 
     return docs.mapInArrow(run, "fp long, bh long, nth long, wh long, n long")
@@ -235,10 +253,10 @@ def _cut(docs: DataFrame, width: int) -> DataFrame:
                 found = bw.words(pa.array(_unpack(one.column(2)), pa.large_string()), bw.NOT_SPACE)
                 n = len(found.start)
                 change = np.zeros(n + 1, dtype=np.int64)
-                count = place % 32 + 1
+                count = place % SPAN + 1
                 nth = bw.ragged(np.zeros(len(place), np.int64), count)
                 on = (np.repeat(mask, count) >> nth) & 1 == 1
-                begin = (np.repeat(place // 32, count) + nth)[on]
+                begin = (np.repeat(place // SPAN, count) + nth)[on]
                 np.add.at(change, begin, 1)
                 np.add.at(change, begin + width, -1)
                 keep = np.cumsum(change)[:n] == 0
@@ -249,8 +267,10 @@ def _cut(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "did long, k long, n_removed long, cut_sha string, kept_text string")
 
 
-def marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def marks(docs: DataFrame, scratch: Scratch, width: int = WIDTH, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """(did, k, marks) of documents with repeated windows, and their packed texts."""
+    if width < ANCHOR:
+        raise ValueError(f"a window has {ANCHOR} words at least")
     spark = docs.sparkSession
     tune(spark)
     rows = _keyed(docs)
@@ -260,14 +280,15 @@ def marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> tuple[
         batch = rows.where(F.pmod(F.xxhash64("did"), F.lit(batches)) == b).select("text")
         found = index.add(_anchor_rows(batch, width))
         repeated = found if repeated is None else repeated.union(found)
-    hits = materialize(_block_rows(rows, width).join(repeated, "fp", "left_semi"), "hits")
+    hits = scratch.keep(_block_rows(rows, width).join(repeated, "fp", "left_semi"), "hits")
+    index.close()
     place = F.struct("did", "k", "place")
-    distinct = materialize(hits.groupBy("fp", "bh").agg(F.count("*").alias("n"), F.min(place).alias("at")), "blocks")
+    distinct = scratch.keep(hits.groupBy("fp", "bh").agg(F.count("*").alias("n"), F.min(place).alias("at")), "blocks")
     mixed = distinct.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
     listed = distinct.join(mixed, "fp").select("at.did", "at.k", F.struct("fp", "bh", "at.place", "n").alias("b"))
     listed = listed.groupBy("did", "k").agg(F.collect_list("b").alias("blocks"))
-    texts = _bucketed(_packed(rows).join(hits.select("did", "k").distinct(), ["did", "k"], "left_semi"), "texts", ["did", "k"])
-    windows = materialize(_window_rows(texts.join(listed, ["did", "k"]).select("did", "k", "z", "blocks"), width), "windows")
+    texts = scratch.bucketed(_packed(rows).join(hits.select("did", "k").distinct(), ["did", "k"], "left_semi"), "texts", "did", "k")
+    windows = scratch.keep(_window_rows(texts.join(listed, ["did", "k"]).select("did", "k", "z", "blocks"), width), "windows")
     twice = windows.groupBy("fp", "wh").agg(F.sum("n").alias("n")).where("n > 1").select("fp", "wh")
     ragged = windows.where("n = 1").join(twice, ["fp", "wh"], "left_semi").groupBy("fp", "bh").agg(F.bit_or(F.expr("shiftleft(1L, cast(nth as int))")).alias("mask"))
     single = distinct.where("n = 1").join(ragged, ["fp", "bh"]).select("at.did", "at.k", "at.place", "mask")
@@ -276,13 +297,33 @@ def marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> tuple[
     return marked, texts
 
 
+def _cuts(docs: DataFrame, scratch: Scratch, width: int, batches: int) -> DataFrame:
+    """(did, k, n_removed, cut_sha, kept_text) of documents that lose something."""
+    marked, texts = marks(docs, scratch, width, batches)
+    return _cut(texts.join(marked, ["did", "k"]).select("did", "k", "z", "marks"), width)
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``."""
-    marked, texts = marks(docs, width, batches)
-    cut = _cut(texts.join(marked, ["did", "k"]).select("did", "k", "z", "marks"), width).select("did", "k", "n_removed", "cut_sha").dropDuplicates(["did", "k"])
-    rows = _keyed(docs).select("did", "k", "text", F.when(F.col("did") != -1, F.col("did")).alias("doc_id"))
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.keep(_cuts(docs, scratch, width, batches).select("did", "k", "n_removed", "cut_sha").dropDuplicates(["did", "k"]), "cuts")
+    scratch.close(cut)
+    rows = _keyed(docs).select("did", "k", "text", F.when(F.col("k") < NAMELESS, F.col("did")).alias("doc_id"))
     return (
         _whole(rows)
         .join(cut, ["did", "k"], "left")
         .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
     )
+
+
+def kept_texts(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
+    """``docs`` with what is left of each text in ``text``; a text that loses nothing stays
+    as it is, and of others the kept words are joined by one space."""
+    scratch = Scratch(docs.sparkSession)
+    (did, k, kept), text = unused(docs, "did", "k", "kept"), F.coalesce(F.col("text"), F.lit(""))
+    cut = _cuts(docs, scratch, width, batches).select(F.col("did").alias(did), F.col("k").alias(k), F.col("kept_text").alias(kept)).dropDuplicates([did, k])
+    cut = scratch.keep(cut, "kept")
+    scratch.close(cut)
+    own = _row_key(F.col("doc_id"), text)
+    out = docs.withColumns({did: own[0], k: own[1]}).join(cut, [did, k], "left")
+    return out.withColumn("text", F.coalesce(kept, "text")).select(*docs.columns)
