@@ -27,6 +27,7 @@ an empty result.
 from __future__ import annotations
 
 import functools
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,9 +43,9 @@ from gridloom.llm.session import tune
 BITS = 16
 ORDERS = 3
 SCALE = 30.0
-PER_LANG = 800
+PER_LANG = 1000
 MAX_LANGS = 200
-MAX_BYTES = 12_000_000
+MAX_BYTES = 24_000_000
 EIGHTH = 8
 PIECE = 1 << 19  # characters whose features are held at once
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -268,11 +269,20 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS,
     ids = docs.sparkSession.createDataFrame([(d, x, n) for (d, x), n in takes.items()], "doc_id long, lang string, take int")
     # A text's first characters are at least as many bytes as are taken of it.
     cut = picked.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.expr("substring(text, 1, take)").alias("text"))
-    sample = []
-    for r in cut.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("turn")).collect():  # max_bytes of them
-        text = r["text"].encode()[: takes[r["doc_id"], r["lang"]]].decode(errors="ignore")
-        sample.append((r["turn"], text, r["lang"]))
-    return learn([(t, x) for _, t, x in sorted(sample)], idf)
+    rows = cut.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id", F.lit(1)).alias("turn"), "doc_id", "lang", "text")
+    wanted = ids.select("doc_id", "lang", "take")
+
+    def fit_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = []
+        for batch in batches:
+            for turn, text, lang, take in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                sample.append((turn, text.encode()[:take].decode(errors="ignore"), lang))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([(t, x) for _, t, x in sorted(sample)], idf))], pa.binary())], ["model"])
+
+    # The bounded sample is fitted in one task, which spares the driver's memory.
+    rows = rows.join(F.broadcast(wanted), ["doc_id", "lang"]).select("turn", "text", "lang", "take").repartition(1)
+    found = rows.mapInArrow(fit_once, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else learn([], idf)
 
 
 def identify(docs: DataFrame, **bounds: int) -> DataFrame:
