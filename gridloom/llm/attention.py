@@ -1,15 +1,18 @@
-"""A small causal self-attention language model over subword ids, in numpy.
-
-One attention layer and one feed-forward layer over windows of ``CONTEXT`` ids. The
-output is factored twice, so that few exponentials are needed for each id: the network
-gives the probability of the next id's group and that of its class in the group, and
-the id's share of its class is taken from counts over the whole training corpus. Groups
-hold the ids that occur beside the same frequent ids, and begin words or don't; in a
-group the most frequent ids are classes of their own and the others share the rest.
-
-Scoring reads a stream of ids in overlapping windows: each window sees ``CONTEXT`` ids
-and scores the last ``STRIDE`` of them (the first window of a text all it has), so each
-id is scored once and with at least CONTEXT - STRIDE ids before it where there are any.
+"""A small causal self-attention language model over words read as subword ids, in numpy.
+
+A word enters as the sum of the embeddings of its subword ids. One attention layer and
+one feed-forward layer work on blocks of ``STRIDE`` places: a place attends to itself,
+to those before it in its block and to the whole block before, so windows of ``CONTEXT``
+places overlap, every word is scored once and with at least CONTEXT - STRIDE words
+before it where there are any, and keys and values are made once. Texts begin with a
+block of their own, so a text's score doesn't depend on what it is scored with.
+
+The output is factored, so that few exponentials are needed for each word: the network
+gives the probability of the next word's group and that of its class in the group; the
+word's share of its class is its count over the whole training corpus. Classes are of
+anchors: a word's anchor is its longest subword id. Groups hold the anchors that occur
+in the same texts as the same frequent ones; in a group the most frequent anchors are
+classes of their own and the others share the rest.
 """
 
 from __future__ import annotations
@@ -20,65 +23,38 @@ from dataclasses import dataclass
 import numpy as np
 
 CONTEXT = 32
-STRIDE = 24
+STRIDE = 16
 WIDTH = 16
 HIDDEN = 32
-FREQUENT = 160  # ids whose neighbourhood places the others
-CLUSTERS = 20
+CLUSTERS = 24
 CLASSES = 32  # in a group
-SHARED = 4  # of these, for the ids that have none of their own
-
-
-def frequent_ids(counts: np.ndarray) -> np.ndarray:
-    """The place of each id among the ``FREQUENT`` most frequent ones, or -1."""
-    k = min(FREQUENT, len(counts))
-    frequent = np.full(len(counts), -1)
-    frequent[np.argsort(-counts, kind="stable")[:k]] = np.arange(k)
-    return frequent
-
+SHARED = 4  # of these, for the anchors that have none of their own
 
-def count_beside(beside: np.ndarray, frequent: np.ndarray, ids: np.ndarray) -> None:
-    """Add to ``beside`` [id, frequent id] how often each is within a few places of the other."""
-    flat, k = beside.reshape(-1), beside.shape[1]
-    for step in (1, 2, 3, 4, 6, 8):
-        for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-            place = frequent[b]
-            ok = place >= 0
-            np.add.at(flat, a[ok].astype(np.int64) * k + place[ok], 1)
 
-
-def classes_of(counts: np.ndarray, begins: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """``classes_beside`` by the neighbours in ``sample``."""
-    frequent = frequent_ids(counts)
-    beside = np.zeros((len(counts), min(FREQUENT, len(counts))), dtype=np.float32)
-    count_beside(beside, frequent, sample)
-    return classes_beside(counts, begins, beside)
-
-
-def classes_beside(counts: np.ndarray, begins: np.ndarray, beside: np.ndarray) -> np.ndarray:
-    """Class of every id, as group * CLASSES + class in the group. beside: how often each
-    id has each frequent id within a few places of it."""
+def classes_of(counts: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Class of every anchor, as group * CLASSES + class in the group. counts: of each
+    anchor; beside: how often the texts it is in have each of some frequent anchors."""
     order = np.argsort(-counts, kind="stable")
     k = beside.shape[1]
     profile = beside + 0.5 * (beside.sum(axis=0) + 1e-6) / (beside.sum() + 1e-6 * k)
     profile = np.sqrt(profile / profile.sum(axis=1, keepdims=True))
-    seen = np.flatnonzero(beside.sum(axis=1) >= 8)
-    seen = seen if len(seen) else order[:1]
+    seen = order[: max(1, int((counts > 0).sum()))]
+    seen = seen[:4096]  # centres follow the frequent ones; every anchor goes to the nearest
     centre = profile[seen[np.linspace(0, len(seen) - 1, min(CLUSTERS, len(seen))).astype(int)]]
-    for _ in range(12):
-        near = (profile @ centre.T).argmax(axis=1)
+    for _ in range(15):
+        near = (profile[seen] @ centre.T).argmax(axis=1)
         for c in range(len(centre)):
-            own = seen[near[seen] == c]
+            own = seen[near == c]
             if len(own):
                 centre[c] = profile[own].mean(axis=0)
                 centre[c] /= np.linalg.norm(centre[c])
-    group = np.unique(2 * near + begins, return_inverse=True)[1]
+    group = np.unique((profile @ centre.T).argmax(axis=1), return_inverse=True)[1]
     out = np.empty(len(counts), dtype=np.int32)
     for g in range(int(group.max()) + 1):
         own = order[group[order] == g]
         alone = CLASSES - SHARED
         place = np.arange(len(own))
-        # Those beyond share by frequency, each class with four times the ids of the one before.
+        # Those beyond share by frequency, each class with four times the anchors of the one before.
         far = np.maximum(place - alone, 0) / max(1, len(own) - alone)
         shared = alone + np.minimum(SHARED - 1, np.maximum(0, SHARED - 1 + np.floor(np.log(np.maximum(far, 1e-9)) / np.log(4)))).astype(int)
         out[own] = g * CLASSES + np.where(place < alone, place, shared)
@@ -89,12 +65,12 @@ def _normal(draw: np.random.Generator, *shape: int, scale: float = 0.1) -> np.nd
     return draw.normal(0, scale, shape).astype(np.float32)
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and their logarithms, by row."""
-    z = z - z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, z - np.log(total)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place, by the last axis."""
+    z -= z.max(axis=-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=-1, keepdims=True)
+    return z
 
 
 def _by_group(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -106,57 +82,107 @@ def _by_group(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(kind[own[0]]), own
 
 
+@dataclass
+class Words:
+    """Distinct words of some texts: their subword ids ``flat[first[i] : first[i + 1]]``
+    and anchors."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    anchor: np.ndarray
+
+    def summed(self, embed: np.ndarray) -> np.ndarray:
+        """Each word's vector."""
+        return np.add.reduceat(embed[self.flat], self.first[:-1], axis=0) if len(self.first) > 1 else np.zeros((0, embed.shape[1]), embed.dtype)
+
+
+@dataclass
+class Blocks:
+    """Texts as blocks of STRIDE places: the word read and the one that follows, as
+    numbers of ``Words``; whether a place is of the text; whether a block begins one."""
+
+    read: np.ndarray
+    target: np.ndarray
+    real: np.ndarray
+    begins: np.ndarray
+
+    def __getitem__(self, part: slice) -> Blocks:
+        return Blocks(self.read[part], self.target[part], self.real[part], self.begins[part])
+
+
+def blocks(words: np.ndarray, first: np.ndarray, lead: int) -> Blocks:
+    """words: numbers of the words of texts one after the other; ``lead``: the word that
+    stands before a text's first."""
+    sizes = np.diff(first)
+    each = -(-sizes // STRIDE)
+    begin = np.concatenate([[0], np.cumsum(each)])
+    n = int(begin[-1])
+    at = np.arange(len(words)) + np.repeat(begin[:-1] * STRIDE - first[:-1], sizes)
+    read, target, real = np.full(n * STRIDE, lead), np.full(n * STRIDE, lead), np.zeros(n * STRIDE, bool)
+    target[at] = words
+    real[at] = True
+    before = np.append(lead, words[:-1])
+    before[first[:-1][sizes > 0]] = lead
+    read[at] = before
+    begins = np.zeros(n, bool)
+    begins[begin[:-1][sizes > 0]] = True
+    return Blocks(*(x.reshape(n, STRIDE) for x in (read, target, real)), begins)
+
+
+_AWAY = (np.arange(STRIDE)[:, None] + STRIDE - np.arange(CONTEXT)[None, :])  # places from key to query
+_FUTURE = np.where(_AWAY < 0, np.float32(-1e9), np.float32(0))
+
+
 @dataclass
 class Attention:
     p: dict[str, np.ndarray]
-    of: np.ndarray  # class of each id
-    share: np.ndarray  # log10 of each id's share of its class
+    of: np.ndarray  # class of each anchor
 
     @staticmethod
     def fresh(counts: np.ndarray, of: np.ndarray, seed: int = 5) -> Attention:
+        """Weights that give the classes' own shares of the anchors' counts."""
         draw = np.random.Generator(np.random.PCG64(seed))
         v, d = len(counts), WIDTH
         groups = int(of.max()) // CLASSES + 1
         weight = counts + 0.1
-        mass = np.bincount(of, weight, groups * CLASSES)
-        by_group = mass.reshape(groups, CLASSES)
+        by_group = np.bincount(of, weight, groups * CLASSES).reshape(groups, CLASSES)
         with np.errstate(divide="ignore"):
-            inside = np.maximum(np.log(by_group / by_group.sum(axis=1, keepdims=True)), -1e9)  # classes without ids stay there
+            inside = np.maximum(np.log(by_group / by_group.sum(axis=1, keepdims=True)), -1e9)  # classes without anchors stay there
         p = {
-            "embed": _normal(draw, v, d), "place": _normal(draw, CONTEXT, d), "query": _normal(draw, d, d, scale=0.3), "key": _normal(draw, d, d, scale=0.3),
+            "embed": _normal(draw, v, d), "away": np.zeros(CONTEXT, np.float32), "query": _normal(draw, d, d, scale=0.3), "key": _normal(draw, d, d, scale=0.3),
             "value": _normal(draw, d, d, scale=0.3), "in": _normal(draw, d, HIDDEN, scale=0.3), "in_bias": np.zeros(HIDDEN, np.float32), "out": _normal(draw, HIDDEN, d, scale=0.2),
-            "groups": _normal(draw, d, groups), "group_bias": np.log(by_group.sum(axis=1) / weight.sum()).astype(np.float32),
-            "classes": _normal(draw, groups, d, CLASSES), "class_bias": inside.astype(np.float32),
+            "groups": np.zeros((d, groups), np.float32), "group_bias": np.log(by_group.sum(axis=1) / weight.sum()).astype(np.float32),
+            "classes": np.zeros((groups, d, CLASSES), np.float32), "class_bias": inside.astype(np.float32),
         }
-        return Attention(p, of, np.log10(weight / mass[of]))
-
-    def _forward(self, ids: np.ndarray, scored: int) -> dict[str, np.ndarray]:
-        """Activations of windows ``ids`` [window, CONTEXT]; queries only for the last
-        ``scored`` places."""
-        p, n = self.p, ids.shape[1]
-        x = p["embed"][ids] + p["place"][:n]
-        k, v = x @ p["key"], x @ p["value"]
-        own = x[:, n - scored :]
-        q = own @ p["query"]
-        a = q @ k.transpose(0, 2, 1) * np.float32(1 / np.sqrt(WIDTH))
-        a += np.where(np.arange(n)[None, :] <= np.arange(n - scored, n)[:, None], np.float32(0), np.float32(-1e9))
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = own + a @ v
-        u = h @ p["in"] + p["in_bias"]
-        r = np.maximum(u, 0)
-        return {"x": x, "k": k, "v": v, "q": q, "a": a, "h": h, "r": r, "y": h + r @ p["out"]}
+        return Attention(p, of)
+
+    def _forward(self, x: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
+        """Activations of blocks with inputs ``x`` [block, place, width]. The first block
+        has nothing before it."""
+        p, (b, n, d) = self.p, x.shape
+        flat = x.reshape(-1, d)
+        q, k, v = ((flat @ p[w]).reshape(b, n, d) for w in ("query", "key", "value"))
+        over = lambda y: np.concatenate([np.concatenate([np.zeros((1, n, d), y.dtype), y[:-1]]), y], axis=1)
+        kk, vv = over(k), over(v)
+        a = q @ kk.transpose(0, 2, 1)
+        a *= a.dtype.type(1 / np.sqrt(d))
+        a += p["away"][np.maximum(_AWAY, 0)] + _FUTURE
+        alone = begins.copy()
+        alone[:1] = True
+        a[alone, :, :STRIDE] = -1e9
+        a = _softmax(a)
+        h = (x + a @ vv).reshape(-1, d)
+        r = np.maximum(h @ p["in"] + p["in_bias"], 0)
+        return {"x": flat, "q": q, "kk": kk, "vv": vv, "a": a, "h": h, "r": r, "y": h + r @ p["out"]}
 
     def _log_probability(self, y: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each row's target class, in its group."""
+        """Natural logarithm for each row's target class."""
         p, kind = self.p, target // CLASSES
+        rows = np.arange(len(y))
         z = y @ p["groups"]
         z += p["group_bias"]
-        out = np.empty(len(y))
-        rows = np.arange(len(y))
         z -= z.max(axis=1, keepdims=True)
-        out[:] = z[rows, kind] - np.log(np.exp(z).sum(axis=1))
+        out = (z[rows, kind] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
         for k, own in _by_group(kind):
             z = y[own] @ p["classes"][k]
             z += p["class_bias"][k]
@@ -164,144 +190,116 @@ class Attention:
             out[own] += z[np.arange(len(own)), target[own] % CLASSES] - np.log(np.exp(z).sum(axis=1))
         return out
 
-    def step(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss and gradients on windows; target: class after each place."""
-        p, (b, n) = self.p, ids.shape
-        f = self._forward(ids, n)
-        y = f["y"].reshape(-1, WIDTH)
-        t = target.ravel()
+    def step(self, x: np.ndarray, begins: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss a word, gradients, and that of the inputs; target: classes."""
+        p, (b, n, d) = self.p, x.shape
+        f = self._forward(x, begins)
+        own = np.flatnonzero(real.ravel())
+        y, t, m = f["y"][own], target.ravel()[own], max(1, len(own))
         g = {"classes": np.zeros_like(p["classes"]), "class_bias": np.zeros_like(p["class_bias"])}
-        e, log_e = _softmax(y @ p["groups"] + p["group_bias"])
         rows, kind = np.arange(len(y)), t // CLASSES
-        loss = -log_e[rows, kind].sum()
+        e = _softmax(y @ p["groups"] + p["group_bias"])
+        loss = -np.log(e[rows, kind] + 1e-30).sum()
         e[rows, kind] -= 1
-        e /= len(y)
+        e /= m
         g["groups"], g["group_bias"] = y.T @ e, e.sum(axis=0)
-        dy = e @ p["groups"].T
-        for k, own in _by_group(kind):
-            e, log_e = _softmax(y[own] @ p["classes"][k] + p["class_bias"][k])
-            at = np.arange(len(own)), t[own] % CLASSES
-            loss -= log_e[at].sum()
+        dy_own = e @ p["groups"].T
+        for k, part in _by_group(kind):
+            e = _softmax(y[part] @ p["classes"][k] + p["class_bias"][k])
+            at = np.arange(len(part)), t[part] % CLASSES
+            loss -= np.log(e[at] + 1e-30).sum()
             e[at] -= 1
-            e /= len(y)
-            g["classes"][k], g["class_bias"][k] = y[own].T @ e, e.sum(axis=0)
-            dy[own] += e @ p["classes"][k].T
-        loss = float(loss / len(y))
-        dy = dy.reshape(b, n, WIDTH)
-        r = f["r"].reshape(-1, HIDDEN)
-        g["out"] = r.T @ dy.reshape(-1, WIDTH)
+            e /= m
+            g["classes"][k], g["class_bias"][k] = y[part].T @ e, e.sum(axis=0)
+            dy_own[part] += e @ p["classes"][k].T
+        dy = np.zeros_like(f["y"])
+        dy[own] = dy_own
+        g["out"] = f["r"].T @ dy
         du = (dy @ p["out"].T) * (f["r"] > 0)
-        g["in"], g["in_bias"] = f["h"].reshape(-1, WIDTH).T @ du.reshape(-1, HIDDEN), du.reshape(-1, HIDDEN).sum(axis=0)
-        dh = dy + du @ p["in"].T
-        da, dv = dh @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dh
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        x = f["x"].reshape(-1, WIDTH)
-        for name, d in (("query", dq), ("key", dk), ("value", dv)):
-            g[name] = x.T @ d.reshape(-1, WIDTH)
-        dx = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
-        g["place"] = np.zeros_like(p["place"])
-        g["place"][:n] = dx.sum(axis=0)
-        return loss, g, dx
-
-    def _adam(self, g: dict[str, np.ndarray], mean: dict[str, np.ndarray], square: dict[str, np.ndarray], i: int, lr: np.float32) -> None:
-        for k, d in g.items():
-            mean[k] += np.float32(0.1) * (d - mean[k])
-            square[k] += np.float32(0.01) * (d * d - square[k])
-            self.p[k] -= lr * (mean[k] / np.float32(1 - 0.9**i)) / (np.sqrt(square[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
-
-    def follow(self, streams: Iterator[np.ndarray], lead: int, rate: float, batch: int = 64, seed: int = 13) -> np.ndarray:
-        """Adam over all of the streams, where each id is predicted once; how often each id
-        was read. Each stream is texts with their ends; ``lead`` stands before it."""
+        g["in"], g["in_bias"] = f["h"].T @ du, du.sum(axis=0)
+        dh = (dy + du @ p["in"].T).reshape(b, n, d)
+        a = f["a"]
+        da, dvv = dh @ f["vv"].transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        g["away"] = np.bincount(np.maximum(_AWAY, 0).ravel(), (ds.sum(axis=0) * (_AWAY >= 0)).ravel(), CONTEXT).astype(p["away"].dtype)
+        ds *= ds.dtype.type(1 / np.sqrt(d))
+        dq, dkk = ds @ f["kk"], ds.transpose(0, 2, 1) @ f["q"]
+
+        def back(z: np.ndarray) -> np.ndarray:  # of a block, as itself and as the one before
+            out = z[:, n:].copy()
+            out[:-1] += z[1:, :n]
+            return out.reshape(-1, d)
+
+        dx = dh.reshape(-1, d).copy()
+        for w, z in (("query", dq.reshape(-1, d)), ("key", back(dkk)), ("value", back(dvv))):
+            g[w] = f["x"].T @ z
+            dx += z @ p[w].T
+        return float(loss / m), g, dx
+
+    def follow(self, texts: Iterator[tuple[Words, Blocks]], rate: float, batch: int = 64, seed: int = 13) -> tuple[np.ndarray, float]:
+        """Adam over all of the texts, where each word is predicted once; how often each
+        id was read, and the summed loss."""
         draw = np.random.Generator(np.random.PCG64(seed))
         mean = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
-        square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        embed, read, met, i = self.p["embed"], np.zeros(len(self.of), np.int64), np.zeros(len(self.of), np.int64), 0
-        for stream in streams:
-            before = np.append(np.array([lead], stream.dtype), stream[:-1]).astype(np.int64)
-            read += np.bincount(before, minlength=len(read))
-            whole = len(stream) // CONTEXT
-            starts = draw.permutation(whole) * CONTEXT
-            jobs = [(starts[lo : lo + batch], CONTEXT) for lo in range(0, whole, batch)]
-            if len(stream) % CONTEXT:
-                jobs.append((np.array([whole * CONTEXT]), len(stream) % CONTEXT))
-            for start, n in jobs:
+        square = {k: np.zeros_like(v) for k, v in mean.items()}
+        embed, size = self.p["embed"], len(self.p["embed"])
+        own_square, met, count = np.zeros(size, np.float32), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        total, i = 0.0, 0
+        for words, whole in texts:
+            target = self.of[words.anchor][whole.target]
+            sizes = np.diff(words.first)
+            # Batches are runs of blocks, in any order: a run's first block has lost the one
+            # before it. The first steps take small ones, so that short corpora have some.
+            runs, lo = [], 0
+            while lo < len(whole.begins):
+                run = min(batch, 16 << (i + len(runs)) // 8)
+                runs.append((lo, lo + run))
+                lo += run
+            for k in draw.permutation(len(runs)).tolist():
+                lo, hi = runs[k]
+                part = whole[lo:hi]
+                number, inverse = np.unique(part.read, return_inverse=True)
+                ids = words.flat[_ragged(words.first[number], sizes[number])]
+                first = np.concatenate([[0], np.cumsum(sizes[number])])
+                vectors = np.add.reduceat(embed[ids], first[:-1], axis=0)
                 i += 1
-                at = start[:, None] + np.arange(n)
-                ids = before[at]
-                # A batch that isn't full moves the weights by its share only.
-                lr = np.float32(rate * min(1.0, i / 20) * ids.size / (batch * CONTEXT))
-                _, g, dx = self.step(ids, self.of[stream[at]])
-                self._adam(g, mean, square, i, lr)
-                flat = ids.ravel()
-                order = np.argsort(flat, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-                own, d = flat[order][first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
+                loss, g, dx = self.step(vectors[inverse.ravel()].reshape(*part.read.shape, -1), part.begins, target[lo:hi], part.real)
+                share = part.real.sum() / ((hi - lo) * STRIDE)  # a batch that isn't full moves the weights by its share only
+                total += loss * part.real.sum()
+                lr = np.float32(rate * min(1.0, i / 20) * share)
+                for k, d in g.items():
+                    mean[k] += np.float32(0.1) * (d - mean[k])
+                    square[k] += np.float32(0.01) * (d * d - square[k])
+                    self.p[k] -= lr * (mean[k] / np.float32(1 - 0.9**i)) / (np.sqrt(square[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
+                # Words' gradients, then those of their ids; one step size for an id's row.
+                order = np.argsort(inverse.ravel(), kind="stable")
+                by_word = np.add.reduceat(dx[order], np.searchsorted(inverse.ravel()[order], np.arange(len(number))), axis=0)
+                by_id = np.repeat(by_word, sizes[number], axis=0)
+                order = np.argsort(ids, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+                own, d = ids[order][starts], np.add.reduceat(by_id[order], starts, axis=0)
                 met[own] += 1
-                square["embed"][own] = np.float32(0.95) * square["embed"][own] + np.float32(0.05) * d * d
-                sure = (1 - 0.95 ** met[own]).astype(np.float32)[:, None]
-                embed[own] -= lr * d / (np.sqrt(square["embed"][own] / sure) + np.float32(1e-6))
-        return read
-
-    def train(self, sample: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, seed: int = 11) -> list[float]:
-        """Adam on random windows of ``sample``; embeddings have their own sparse step."""
-        if len(sample) <= CONTEXT + 1:
-            return []
-        draw = np.random.Generator(np.random.PCG64(seed))
-        mean = {k: np.zeros_like(v) for k, v in self.p.items()}
-        square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        losses = []
-        for i in range(1, steps + 1):
-            start = draw.integers(0, len(sample) - CONTEXT, batch)
-            at = start[:, None] + np.arange(CONTEXT)
-            ids = sample[at]
-            loss, g, dx = self.step(ids, self.of[sample[at + 1]])
-            losses.append(loss)
-            lr = np.float32(rate * min(1.0, i / 50) * (1 - 0.95 * i / steps))
-            self._adam(g, mean, square, i, lr)
-            own, inverse = np.unique(ids, return_inverse=True)
-            d = np.zeros((len(own), WIDTH), np.float32)
-            np.add.at(d, inverse.ravel(), dx.reshape(-1, WIDTH))
-            square["embed"][own] = np.float32(0.95) * square["embed"][own] + np.float32(0.05) * d * d
-            self.p["embed"][own] -= lr * d / (np.sqrt(square["embed"][own]) + np.float32(1e-6))
-        return losses
-
-    def score(self, ids: np.ndarray, first: np.ndarray, lead: int) -> np.ndarray:
-        """log10 probability of each id of several texts. first: where texts begin, and
-        the total; ``lead``: the id that stands before a text's first."""
-        n = len(ids)
-        if not n:
-            return np.zeros(0)
-        sizes = np.diff(first)
-        # The ids that windows read: each text's, shifted by one, with the lead in front.
-        before = np.empty(n, dtype=ids.dtype)
-        before[1:] = ids[:-1]
-        before[first[:-1][sizes > 0]] = lead
-        begins = np.repeat(first[:-1], sizes)
-        offset = np.arange(n) - begins
-        # Windows end on the last of each STRIDE places of a text, or at its end.
-        last = (offset % STRIDE == STRIDE - 1) | (np.append(begins[1:], -1) != begins)
-        end = np.flatnonzero(last)
-        out = np.empty(n)
-        for lo in range(0, len(end), 512):
-            e = end[lo : lo + 512]
-            at = e[:, None] + np.arange(1 - CONTEXT, 1)
-            # A window that would begin before its text is moved right to begin with it.
-            shift = np.maximum(begins[e] - (e - CONTEXT + 1), 0)
-            short = shift > 0
-            for own, rows in (("full", np.flatnonzero(~short)), ("short", np.flatnonzero(short))):
-                if not len(rows):
-                    continue
-                if own == "full":
-                    windows, scored = at[rows], STRIDE
-                    places = windows[:, CONTEXT - STRIDE :]
-                else:
-                    windows, scored = at[rows] + shift[rows][:, None], CONTEXT
-                    places = windows
-                f = self._forward(before[np.minimum(windows, n - 1)], scored)
-                place = places.ravel()
-                # Only the places of this window's own stride count.
-                mine = (place <= np.repeat(e[rows], scored)) & (place > np.repeat(e[rows] - offset[e[rows]] % STRIDE - 1, scored))
-                place = place[mine]
-                out[place] = self._log_probability(f["y"].reshape(-1, WIDTH)[mine], self.of[ids[place]]) / np.log(10) + self.share[ids[place]]
-        return out
+                own_square[own] = np.float32(0.95) * own_square[own] + np.float32(0.05) * (d * d).mean(axis=1)
+                sure = (1 - 0.95 ** met[own]).astype(np.float32)
+                embed[own] -= lr * d / (np.sqrt(own_square[own] / sure) + np.float32(1e-7))[:, None]
+            count += np.bincount(words.flat, np.repeat(np.bincount(whole.read.ravel(), minlength=len(sizes)), sizes), size).astype(np.int64)
+        return count, total
+
+    def score(self, words: Words, whole: Blocks) -> np.ndarray:
+        """log10 probability of the class of each place's word, where it is real."""
+        vectors = words.summed(self.p["embed"])
+        target = self.of[words.anchor][whole.target]
+        out = np.zeros(whole.read.shape)
+        step = 512
+        for lo in range(0, len(whole.begins), step):
+            back = int(lo > 0)  # with the block before, whose places are known already
+            part = whole[lo - back : lo + step]
+            y = self._forward(vectors[part.read], part.begins)["y"].reshape(*part.read.shape, -1)[back:]
+            real = part.real[back:]
+            out[lo : lo + step][real] = self._log_probability(y[real], target[lo : lo + step][real]) / np.log(10)
+        return out[whole.real]
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = int(lengths.sum())
+    return np.arange(total) + np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)

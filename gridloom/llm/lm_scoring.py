@@ -2,21 +2,23 @@
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. The
 model reads each word, with a space before it, as the subword ids of a byte-level BPE
-vocabulary; its log10 probability of a text is the sum over these ids and the end's.
-
-What is learned comes from rows whose crc32(doc_id as text) mod 10 is not 0. All of
-them give the word counts of the base, the subword counts by which the model shares
-a class's probability among its ids, and the neighbours by which ids are grouped. The
-network starts from a bounded sample on the driver: rows in the order of a hash of
-doc_id, at most ``sample_rows`` and ``sample_bytes`` of text (a text beyond what is left
-is passed over). From there it learns from all training rows, each once: they are dealt
-to ``ROUNDS`` rounds by a hash of doc_id, and in a round each task takes gradient steps
-on its rows from the same weights. The changes are averaged by the ids read, those of an
-id's embedding by how often the task read that id.
+vocabulary. It gives the probability of the next word's class, by the word's longest
+subword id (its anchor), and the word has its share of its class: with c its count, the
+probability is P(class) * (c + 0.1) / Z, where Z sums c + 0.1 over the class's words and
+one that wasn't seen. A text's score is the sum of the logarithms, each word once.
+
+What is learned comes from rows whose crc32(doc_id as text) mod 10 is not 0, and from
+all of them: the counts of words; for each anchor, how the texts that have it spread over
+``SPREAD`` hashed buckets of anchors, by which anchors are grouped; and the network,
+which takes gradient steps over each of these texts once. They are dealt to ``ROUNDS``
+rounds by a hash of doc_id; in a round each task takes steps on its texts from the same
+weights, and the changes are averaged by the words read, those of an id's embedding by
+how often the task read that id. At the start the network gives the classes' shares of
+the corpus, which makes it the base.
 
 The base needs a count for each word of each text, and the words grow with the corpus.
-The ``head`` most frequent words (a fixed number) are broadcast; the other words of a
-text are joined with the counts by hash and summed per text, so every count is used.
+The most frequent words, at most ``head``, are broadcast; the other words of a text are
+joined with the counts by hash and summed per text, so every count is used.
 
 Edge cases: a null or empty text is the end alone. A null doc_id isn't held out and not
 learned from. Repeated rows are counted and scored as they come; extra columns are
@@ -28,6 +30,7 @@ hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,38 +39,53 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bytewords as bw
 from gridloom.llm import packing, pretoken
-from gridloom.llm.attention import WIDTH, Attention, classes_beside, count_beside, frequent_ids
-from gridloom.llm.session import materialize, tune
+from gridloom.llm.attention import CLASSES, WIDTH, Attention, Blocks, Words, blocks, classes_of
+from gridloom.llm.session import Scratch, tune
 
 HEAD = 100_000
-SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 4_000_000
-STEPS = 1000
-ROUNDS = 8
-RATE = 0.004  # of the first round; it falls to an eighth in the last
-STREAM = 1 << 20  # ids that a task holds to mix their order
+ROUNDS = 4
+RATE = 0.02  # of the first round; it falls to an eighth in the last
+BATCH = 256  # blocks in a gradient step
+SPREAD = 32
 FOLDS = 10
 END = 50_256  # the vocabulary's own end-of-text id
 IDS = 50_257
 HELD = 1_000_000  # distinct words a task holds before it passes their counts on
-_WORD, _ID, _ROW = 0, 1, 2
 
 
 def fold(doc_id, n: int = FOLDS):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+@dataclass
+class Read:
+    """Distinct words of some texts with their hashes (the end, which is last, has none)
+    and counts; the texts' words as numbers of these, each text with its end; where texts
+    begin; and the words as they were found."""
+
+    distinct: Words
+    keys: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    found: bw.Words
+
+    def blocks(self) -> Blocks:
+        return blocks(self.words, self.first, len(self.keys))
+
+
 class _WordView:
-    """What ``pretoken.Cache`` needs of words."""
+    """What ``pretoken.Cache`` needs of some words, by their numbers."""
 
-    def __init__(self, found: bw.Words):
-        self.found, self.own = found, found.hashes()
+    def __init__(self, found: bw.Words, hashes: np.ndarray, at: np.ndarray):
+        self.found, self.own, self.at = found, hashes, at
 
     def hashes(self) -> np.ndarray:
         return self.own
 
     def text(self, i: int) -> bytes:
-        return b" " + self.found.raw[self.found.start[i] : self.found.end[i]].tobytes()
+        k = self.at[i]
+        return b" " + self.found.raw[self.found.start[k] : self.found.end[k]].tobytes()
 
 
 class _Reader:
@@ -76,8 +94,9 @@ class _Reader:
     _made: dict[tuple[str, str], _Reader] = {}
 
     def __init__(self, files: tuple[str, str]):
-        self.core = packing.encoder(*files).core
-        self.cache = pretoken.Cache(lambda items: [self.core._encode_single_piece(x) for x in items])
+        core = packing.encoder(*files).core
+        self.cache = pretoken.Cache(lambda items: [core._encode_single_piece(x) for x in items])
+        self.length = np.array([len(core.decode_single_token_bytes(i)) for i in range(END)] + [0], dtype=np.int64)
 
     @classmethod
     def of(cls, files: tuple[str, str]) -> _Reader:
@@ -85,92 +104,100 @@ class _Reader:
             cls._made[files] = cls(files)
         return cls._made[files]
 
-    def __call__(self, column: pa.Array) -> tuple[bw.Words, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, their hashes, the ids with an end after each text, texts' first ids)."""
+    def __call__(self, column: pa.Array) -> Read:
         found = bw.words(column, bw.NOT_SPACE, lower=True)
-        view = _WordView(found)
-        at, size = self.cache.look_up(view)
-        ids = self.cache.flat[bw.ragged(at, size.astype(np.int64))].astype(np.int32)
-        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[found.first]
-        ids = np.insert(ids, total[1:], END)
-        return found, view.own, ids, total + np.arange(len(total))
+        keys, at, number = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        spot, size = self.cache.look_up(_WordView(found, keys, at))
+        flat = np.append(self.cache.flat[bw.ragged(spot, size.astype(np.int64))].astype(np.int64), END)
+        first = np.concatenate([[0], np.cumsum(size, dtype=np.int64), [len(flat)]])
+        place = np.arange(len(flat)) - np.repeat(first[:-1], np.diff(first))
+        longest = np.maximum.reduceat((self.length[flat] << 32) - place, first[:-1])
+        anchor = flat[first[:-1] + (-longest & 0xFFFF_FFFF)]
+        end = len(keys)  # the end is the last of the distinct words
+        words = np.insert(number, found.first[1:], end)
+        return Read(Words(flat, first, anchor), keys, np.append(np.bincount(number, minlength=end), len(column)), words, found.first + np.arange(len(column) + 1), found)
+
+
+def _learned(docs: DataFrame, folds: int) -> DataFrame:
+    return docs.where(fold(F.col("doc_id"), folds) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _spread(read: Read) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, float[SPREAD]): over the texts that have it, how their words' anchors
+    spread over hashed buckets."""
+    m = len(read.first) - 1
+    doc = np.repeat(np.arange(m), np.diff(read.first))
+    anchor = read.distinct.anchor[read.words]
+    bucket = (bw.mix(anchor.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % SPREAD
+    share = np.bincount(doc * SPREAD + bucket, minlength=m * SPREAD).reshape(m, SPREAD).astype(np.float32)
+    share /= share.sum(axis=1, keepdims=True)
+    pair = np.unique(anchor * m + doc)
+    own = pair // m
+    starts = np.flatnonzero(np.append(True, np.diff(own) != 0))
+    return own[starts], np.add.reduceat(share[pair % m], starts, axis=0)
 
 
 def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -> DataFrame:
-    """(kind, key, n): how often training texts have each word (by hash) and subword id,
-    and their number."""
+    """(key, anchor, n, texts, spread): of the training texts' words by hash, how often
+    they occur (spread null); of anchors, their spread (key null); a task's texts."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_n, rows = np.zeros(IDS, dtype=np.int64), 0
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        spread, met, texts = np.zeros((IDS, SPREAD), dtype=np.float32), np.zeros(IDS, dtype=bool), 0
+        keys, counts, anchors = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def made(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
+        def made(*columns) -> pa.RecordBatch:
+            m = max(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "anchor", "n", "texts", "spread"])
 
         for batch in bw.chunks(batches):
-            _, hashes, ids, _ = _Reader.of(files)(batch.column(0))
-            ids_n += np.bincount(ids, minlength=IDS)
-            rows += batch.num_rows
-            one, n = np.unique(hashes, return_counts=True)
-            keys, inverse = np.unique(np.concatenate([keys, one]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            read = _Reader.of(files)(batch.column(1))
+            own, rows = _spread(read)
+            spread[own] += rows
+            met[own] = True
+            texts += batch.num_rows
+            every = np.concatenate([keys, read.keys])
+            keys, at, inverse = np.unique(every, return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, read.counts[:-1]]), len(keys)).astype(np.int64)
+            anchors = np.concatenate([anchors, read.distinct.anchor[:-1]])[at]
             if len(keys) > HELD:
-                yield made(_WORD, keys.view(np.int64), counts)
-                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        own = np.flatnonzero(ids_n)
-        yield made(_WORD, keys.view(np.int64), counts)
-        yield made(_ID, own, ids_n[own])
-        yield made(_ROW, np.zeros(1, np.int64), np.array([rows]))
-
-    learned = docs.where(fold(F.col("doc_id"), folds) != 0).select(F.coalesce("text", F.lit("")).alias("text"))
-    return learned.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def training_ids(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -> DataFrame:
-    """(ids, round): subword ids, 16 bits each, of training texts with their ends."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bw.chunks(batches):
-            _, _, ids, first = _Reader.of(files)(batch.column(1))
-            ids = ids.astype(np.uint16)
-            made = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(0)], ["ids", "round"])
-
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ROUNDS)).cast("int").alias("round")
-    learned = docs.where(fold(F.col("doc_id"), folds) != 0).where("text is not null")
-    return materialize(learned.select(turn, "text").mapInArrow(run, "ids binary, round int"), "lm_ids", "round")
-
-
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The ids of many texts at once."""
-    held, size = [], 0
-    for batch in batches:
-        for ids in batch.column(0):
-            held.append(np.frombuffer(ids.as_buffer(), np.uint16))
-            size += len(held[-1])
-            if size >= STREAM:
-                yield np.concatenate(held).astype(np.int32)
-                held, size = [], 0
-    if size:
-        yield np.concatenate(held).astype(np.int32)
-
-
-def neighbours(ids: DataFrame, id_counts: np.ndarray) -> np.ndarray:
-    """How often each id is within a few places of each frequent one, over all of ``ids``."""
-    frequent = frequent_ids(id_counts)
-    k = int(frequent.max()) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beside = np.zeros((IDS, k), dtype=np.int32)
-        for stream in _streams(batches):
-            count_beside(beside, frequent, stream)
-        at = np.flatnonzero(beside)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(beside.ravel()[at].astype(np.int64))], ["key", "n"])
-
-    found = ids.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most IDS * FREQUENT
-    beside = np.zeros(IDS * k, dtype=np.float32)
-    beside[found["key"].to_numpy()] = found["n"].to_numpy()
-    return beside.reshape(IDS, k)
+                yield made(keys.view(np.int64), anchors, counts, None, None)
+                keys, counts, anchors = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(keys):
+            yield made(keys.view(np.int64), anchors, counts, None, None)
+        own = np.flatnonzero(met)
+        if len(own):
+            yield made(None, own, None, None, list(spread[own]))
+        yield made(None, None, None, np.array([texts]), None)
+
+    return _learned(docs, folds).mapInArrow(run, "key long, anchor int, n long, texts long, spread array<float>")
+
+
+@dataclass
+class Counts:
+    """What is counted over the training texts. ``words``: (key, anchor, n) of distinct
+    words; by anchor, the occurrences and the distinct words; the number of texts."""
+
+    words: DataFrame
+    mass: np.ndarray
+    distinct: np.ndarray
+    spread: np.ndarray
+    texts: int
+
+
+def count(docs: DataFrame, files: tuple[str, str], folds: int, scratch: Scratch) -> Counts:
+    raw = scratch.keep(corpus_counts(docs, files, folds), "lm_counts")
+    words = scratch.keep(raw.where("key is not null").groupBy("key").agg(F.first("anchor").alias("anchor"), F.sum("n").alias("n")), "lm_words")
+    mass, distinct, spread = np.zeros(IDS), np.zeros(IDS), np.zeros((IDS, SPREAD), np.float32)
+    for r in words.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # at most IDS rows
+        mass[r["anchor"]], distinct[r["anchor"]] = r["n"], r["m"]
+    by_anchor = raw.where("spread is not null").groupBy("anchor").agg(*(F.sum(F.col("spread")[i]).cast("float").alias(f"s{i}") for i in range(SPREAD)))
+    found = by_anchor.toPandas()  # at most IDS rows
+    spread[found["anchor"].to_numpy()] = found.drop(columns="anchor").to_numpy(np.float32)
+    texts = raw.agg(F.sum("texts")).first()[0] or 0
+    scratch.drop(raw)
+    mass[END], distinct[END] = texts, int(texts > 0)
+    return Counts(words, mass, distinct, spread, texts)
 
 
 def _rest(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -179,13 +206,14 @@ def _rest(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32)).reshape(-1, WIDTH)
 
 
-def learn_round(model: Attention, ids: DataFrame, rate: float) -> None:
-    """Move the network by the averaged changes of the tasks that read ``ids``."""
+def learn_round(model: Attention, texts: DataFrame, files: tuple[str, str], rate: float) -> None:
+    """Move the network by the averaged changes of the tasks that read ``texts``."""
     names = [f"v{i}" for i in range(WIDTH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Attention({k: v.copy() for k, v in model.p.items()}, model.of, model.share)
-        read = own.follow(_streams(batches), END, rate)
+        own = Attention({k: v.copy() for k, v in model.p.items()}, model.of)
+        reads = (_Reader.of(files)(b.column(0)) for b in bw.chunks(batches))
+        read, _ = own.follow(((r.distinct, r.blocks()) for r in reads), rate, BATCH)
         total = int(read.sum())
         if not total:
             return
@@ -197,7 +225,7 @@ def learn_round(model: Attention, ids: DataFrame, rate: float) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight), *(pa.array(np.ascontiguousarray(c)) for c in moved.T)], ["key", "weight", *names])
 
     schema = "key long, weight long, " + ", ".join(f"{x} float" for x in names)
-    found = ids.select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *(F.sum(x).alias(x) for x in names)).toPandas()
+    found = texts.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *(F.sum(x).cast("float").alias(x) for x in names)).toPandas()  # as many rows as there are weights
     if not len(found):
         return
     key = found["key"].to_numpy()
@@ -213,53 +241,44 @@ def learn_round(model: Attention, ids: DataFrame, rate: float) -> None:
             at += v.size
 
 
-def train(docs: DataFrame, id_counts: np.ndarray, files: tuple[str, str], folds: int, sample_rows: int, sample_bytes: int, steps: int) -> Attention:
+def train(docs: DataFrame, counts: Counts, files: tuple[str, str], folds: int) -> Attention:
     """The network, learned as the module's text describes."""
-    ids = training_ids(docs, files, folds)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("bytes")).where(fold(F.col("doc_id"), folds) != 0)
-    left, chosen = sample_bytes, []
-    for r in rows.where("bytes > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect():
-        if r["bytes"] <= left:
-            left -= r["bytes"]
-            chosen.append((r["doc_id"],))
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long")
-    texts: dict[int, str] = {}
-    for r in docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(picked), "doc_id").toLocalIterator():
-        texts.setdefault(r["doc_id"], r["text"])
-    reader = packing.encoder(*files)
-    begins = np.zeros(IDS, dtype=np.int64)
-    for token, i in reader.library.get_vocab().items():
-        begins[i] = token.startswith("Ġ")
-    own = _Reader(files)
-    parts = [own(pa.array([texts[d]], pa.large_string()))[2] for (d,) in chosen if d in texts]
-    sample = np.concatenate([np.zeros(0, np.int32), *parts])
-    model = Attention.fresh(id_counts, classes_beside(id_counts, begins, neighbours(ids, id_counts)))
-    model.train(sample, steps)
-    if id_counts.any():
-        for r in range(ROUNDS):
-            learn_round(model, ids.where(F.col("round") == r), RATE * (1 - 7 / 8 * r / (ROUNDS - 1)))
+    model = Attention.fresh(counts.mass, classes_of(counts.mass, counts.spread))
+    learned = _learned(docs, folds)
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ROUNDS))
+    for r in range(ROUNDS if counts.texts else 0):
+        learn_round(model, learned.where(turn == r), files, RATE * (1 - 7 / 8 * r / max(1, ROUNDS - 1)))
     return model
 
 
-def lm_scores(
-    docs: DataFrame, files: tuple[str, str] | None = None, folds: int = FOLDS, head: int = HEAD, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, steps: int = STEPS
-) -> DataFrame:
+def _head(words: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words' hashes, sorted, and counts: whole steps of the counts'
+    logarithm, at most ``head`` words."""
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    left, least = head, None
+    for r in words.groupBy(step).agg(F.count("*").alias("m"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
+        if r["m"] > left:
+            break
+        left, least = left - r["m"], r["n"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = words.where(F.col("n") >= least).select("key", "n").toPandas()
+    order = np.argsort(top["key"].to_numpy().view(np.uint64), kind="stable")
+    return top["key"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order]
+
+
+def lm_scores(docs: DataFrame, files: tuple[str, str] | None = None, folds: int = FOLDS, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     tune(docs.sparkSession)
-    files = files or packing.vocabulary()
-    counts = materialize(corpus_counts(docs, files, folds), "lm_counts")
-    totals = {r["kind"]: (r["n"], r["keys"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()}
-    ends = totals.get(_ROW, (0, 0))[0]
-    big_n = totals.get(_WORD, (0, 0))[0] + ends
-    big_v = totals.get(_WORD, (0, 0))[1] + bool(ends)
-    words = counts.where(f"kind = {_WORD}").select("key", "n")
-    top = words.orderBy(F.desc("n"), "key").limit(head).toPandas()
-    order = np.argsort(top["key"].to_numpy().view(np.uint64), kind="stable")
-    keys, often = top["key"].to_numpy().view(np.uint64)[order], np.log10(top["n"].to_numpy()[order] + 0.1)
-    id_counts = np.zeros(IDS)
-    for r in counts.where(f"kind = {_ID}").collect():  # at most IDS rows
-        id_counts[r["key"]] = r["n"]
-    model = train(docs, id_counts, files, folds, sample_rows, sample_bytes, steps)
+    files, scratch = files or packing.vocabulary(), Scratch(docs.sparkSession)
+    counts = count(docs, files, folds, scratch)
+    ends = counts.texts
+    big_n, big_v = int(counts.mass.sum()), int(counts.distinct.sum())
+    keys, often = _head(counts.words, head)
+    often = np.log10(often + 0.1)
+    model = train(docs, counts, files, folds)
+    by_class = np.bincount(model.of, counts.mass + 0.1 * counts.distinct, int(model.of.max() // CLASSES + 1) * CLASSES) + 0.1
+    share = np.log10(by_class)[model.of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -267,35 +286,40 @@ def lm_scores(
         task, done = TaskContext.get().partitionId(), 0
         for batch in bw.chunks(batches):
             m = batch.num_rows
-            found, hashes, ids, first = _Reader.of(files)(batch.column(2))
-            each = np.concatenate([[0.0], np.cumsum(model.score(ids, first, END))])
-            spot = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-            inside = keys[spot] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
-            sums = np.bincount(found.doc[inside], often[spot[inside]], m)
-            tail, n = np.unique(np.stack([found.doc[~inside].astype(np.uint64), hashes[~inside]]), axis=1, return_counts=True) if (~inside).any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-            edges = np.searchsorted(tail[0], np.arange(m + 1, dtype=np.uint64))
-            pairs = pa.StructArray.from_arrays([pa.array(tail[1].view(np.int64)), pa.array(n)], ["key", "n"])
+            read = _Reader.of(files)(batch.column(2))
+            each = model.score(read.distinct, read.blocks()) - share[read.distinct.anchor[read.words]]
+            by_text = np.add.reduceat(each, read.first[:-1])
+            spot = np.minimum(np.searchsorted(keys, read.keys), max(len(keys) - 1, 0))
+            known = keys[spot] == read.keys if len(keys) else np.zeros(len(read.keys), dtype=bool)
+            value = np.append(np.where(known, often[spot] if len(keys) else 0.0, 0.0), 0.0)
+            doc = np.repeat(np.arange(m), np.diff(read.first))
+            inside = np.append(known, False)[read.words]
+            sums = np.bincount(doc, value[read.words], m)
+            outside = ~inside & (read.words < len(read.keys))
+            tail, n = np.unique(doc[outside] * len(read.counts) + read.words[outside], return_counts=True)
+            edges = np.searchsorted(tail // len(read.counts), np.arange(m + 1))
+            pairs = pa.StructArray.from_arrays([pa.array(read.keys[tail % len(read.counts)].view(np.int64)), pa.array(n)], ["key", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((np.int64(task) << 40) + done + np.arange(m)),
                     batch.column(0),
                     batch.column(1),
-                    pa.array(found.counts.astype(np.int64) + 1),
-                    pa.array(np.bincount(found.doc[inside], minlength=m)),
+                    pa.array(np.diff(read.first)),
+                    pa.array(np.bincount(doc[inside], minlength=m)),
                     pa.array(sums),
-                    pa.array(each[first[1:]] - each[first[:-1]]),
+                    pa.array(by_text),
                     pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pairs),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"],
+                ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "classes", "tail"],
             )
             done += m
 
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<struct<key:long,n:long>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, classes double, tail array<struct<key:long,n:long>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = materialize(rows.mapInArrow(run, schema), "lm_scored")
+    scored = scratch.keep(rows.mapInArrow(run, schema), "lm_scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.key", F.col("t.n").alias("times"))
-    met = tail.join(words, "key").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("tail_sum"))
+    met = tail.join(counts.words.select("key", "n"), "key").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("tail_sum"))
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
     unknown = F.col("n_tokens") - 1 - known
     total = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + unknown * F.lit(float(np.log10(0.1))) + F.lit(float(np.log10(ends + 0.1)))
@@ -304,7 +328,7 @@ def lm_scores(
         "held_out",
         "n_tokens",
         (known + F.lit(int(ends > 0))).cast("long").alias("n_known"),
-        F.lit(int(big_n)).cast("long").alias("train_tokens"),
+        F.lit(big_n).cast("long").alias("train_tokens"),
         (total - F.col("n_tokens") * F.lit(float(np.log10(big_n + 0.1 * (big_v + 1))))).alias("base_score"),
-        "score",
+        (total + F.col("classes")).alias("score"),
     )
