@@ -1,31 +1,45 @@
 """Similarity self-join of texts by the Jaccard index of their word n-grams.
 
-A chosen-path join. In each of ``RUNS`` independent runs every set samples a few of its
-n-grams by a shared hash, so that similar sets sample shared ones, and is split into the
-buckets of what it sampled. Large buckets are split again, by further samples, up to
-``DEPTH`` levels; small ones are compared by brute force. The chance that a pair at the
-threshold shares a bucket in one run is at least ``_chance()``; ``runs_for(recall)`` is
-the number of runs for a target recall.
+A chosen-path join. In each of ``runs_for(recall)`` independent runs every set samples a
+few of its n-grams by a shared hash, so that similar sets sample shared ones, and is put
+into the buckets of what it sampled. Small buckets are compared by brute force; large
+ones are split again, by samples of their own, until they are small. A pair at the
+threshold stays together along some path with at least the chance of ``_chance()``; the
+number of runs follows from the target recall.
 
 Texts with equal n-gram sets are one set throughout, so a group of copies of any size is
-one row. Comparing goes in two rounds of runs: the second drops the buckets that lie in
-one class by then, so a large class of near copies costs a few runs only. Buckets are
-pruned by a sketch (one-permutation hashing) before any
-set is moved; every reported link is verified on the whole sets. Buckets that stay large
-are dense: their sets go in blocks, each with a few leaders of the bucket, and what the
-leaders leave unlinked is then compared with the whole bucket, block by block. So there
-is no cap on partners, and no task gets more than a few hundred sets at once.
+one row. Comparing goes in rounds, and each drops the buckets that lie in one class by
+then as soon as they are seen:
+
+1. The first ``FIRST_ROUND`` runs, without splitting. Buckets of more than ``LIMIT`` sets
+   go in blocks of so many, each with the same few leaders of the bucket, so a large
+   class of near copies is linked through its leaders before anything is split.
+2. The other runs in the same way.
+3. The large buckets of all runs that still have several classes: up to ``WIDE`` sets
+   they are compared as they are, and larger ones are split, level by level. A bucket of
+   which one class has nearly all, or whose parts would be as many rows as itself, isn't
+   split: the sets outside its largest class are compared with the whole bucket, in
+   blocks, in a round of their own.
+
+So there is no cap on partners, and no task gets more than some thousand sets at once.
+Pairs are pruned by a sketch (one-permutation hashing) before any text is moved; every
+reported link is verified on the whole sets. Texts travel compressed, and each task
+makes the n-grams it needs.
 
 Result: one row per document with its class (connected documents, named by the
 smallest doc_id) and its number of links, that is of other rows at ``threshold`` or
-above. Links are counted inside classes, block by block, without listing pairs.
+above. Links are counted inside classes, block by block, without listing pairs. In a
+class larger than a block sets stand as their differences from one set of the class, a
+few n-grams each, since blocks have to meet each other.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a text of fewer
 than ``N`` words, but not none, is one n-gram. Sets are identified by a 64-bit hash.
 
 Edge cases: null texts and texts without words are in no class but their own and have
-no links. Repeated rows are each other's links. Ties (similarity exactly at the
-threshold) are links. Extra columns are ignored; an empty table gives an empty result.
+no links. Repeated rows are each other's links. A row whose doc_id is null is a member
+like others and never names a class; the class of such rows alone is null. Ties
+(similarity exactly at the threshold) are links. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,28 +55,38 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bytewords as bw
 from gridloom.llm.components import components
-from gridloom.llm.session import materialize, tune
+from gridloom.llm.session import Scratch, if_small, tune, unused
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9998
-DEPTH = 4
 FIRST, DEEPER = 1.25, 3.0  # expected samples at the first and at later levels
 LIMIT = 200
 LEADERS = 8
-DENSE = 0.6
+WIDE = 1000
+MAJOR = 0.9  # a bucket of which one class has this share isn't split
+GROWS = 0.7  # nor is one whose large parts have so many of its rows
+GROUP_GRAMS = 1 << 20  # n-grams of a large plausible group that is verified at once
+PART = 100  # sets of one beyond that which are verified with so many others
 BINS = 64
 FIRST_ROUND = 2
+BLOCK = 2048  # sets of a large class whose differences meet those of another block
+BLOCK_GRAMS = 1 << 20
 
 
-def _chance(threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
-    """Chance that a pair of sets at the threshold meets in one run at full depth. Of
-    the larger set, at least ``threshold`` of what is sampled is shared."""
-    return (1 - math.exp(-FIRST * threshold)) * (1 - math.exp(-DEEPER * threshold)) ** (depth - 1)
+def _chance(threshold: float = THRESHOLD) -> float:
+    """Chance that a pair of sets at the threshold meets in a small bucket of one run,
+    however often buckets are split. Of the larger set, at least ``threshold`` of what is
+    sampled is shared, and each node samples independently of others; so the nodes that
+    a pair shares are a branching process, and q is the chance that one dies out."""
+    q = 0.0
+    for _ in range(200):
+        q = math.exp(-DEEPER * threshold * (1 - q))
+    return 1 - math.exp(-FIRST * threshold * (1 - q))
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - _chance(threshold, depth))))
+def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - _chance(threshold))))
 
 
 def _families(n: int) -> list[tuple[np.uint64, np.uint64]]:
@@ -108,37 +132,53 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.reshape(-1, BINS)
 
 
-def _samples(values: np.ndarray, first: np.ndarray, runs: int) -> tuple[list[list[int]], list[list[int]]]:
-    """Per set its first-level nodes (with the run in the low byte), and its later
-    samples (family in the high half). Each run has a family of its own at each depth,
-    so that runs are independent."""
+def _sample(values: np.ndarray, first: np.ndarray, family: tuple[np.uint64, np.uint64], expected: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, token) of what each set samples by one shared hash, in the order of sets."""
     sizes = np.diff(first)
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    out: list[list] = []
-    families = _families(DEPTH * runs)
-    for level, expected, own in ((0, FIRST, families[:runs]), (1, DEEPER, families[runs:])):
-        bound = (np.minimum(expected / np.maximum(sizes, 1), 0.999999) * 2.0**64).astype(np.uint64)[rows]
-        made: list[list[int]] = [[] for _ in sizes]
-        for r, (a, b) in enumerate(own):
-            hit = np.flatnonzero((values ^ a) * b < bound)
-            token = bw.mix(values[hit] ^ a)
-            if level:
-                code = (np.int64(r) << np.int64(32)) | (token >> np.uint64(32)).astype(np.int64)
-            else:
-                code = ((token & np.uint64(0xFFFF_FFFF_FFFF_FF00)) | np.uint64(r)).view(np.int64)
-            for row, c in zip(rows[hit].tolist(), code.tolist(), strict=True):
-                made[row].append(c)
-        out.append(made)
-    return out[0], out[1]
+    bound = (np.minimum(expected / np.maximum(sizes, 1), 0.999999) * 2.0**64).astype(np.uint64)[rows]
+    hit = np.flatnonzero((values ^ family[0]) * family[1] < bound)
+    return rows[hit], bw.mix(values[hit] ^ family[0])
+
+
+def _nodes(values: np.ndarray, first: np.ndarray, runs: int) -> pa.ListArray:
+    """Per set its first-level nodes, with the run in the low byte."""
+    found = [_sample(values, first, family, FIRST) for family in _families(runs)]
+    rows = np.concatenate([r for r, _ in found])
+    codes = np.concatenate([(t & np.uint64(0xFFFF_FFFF_FFFF_FF00)) | np.uint64(i) for i, (_, t) in enumerate(found)]).view(np.int64)
+    order = np.argsort(rows, kind="stable")
+    edges = np.searchsorted(rows[order], np.arange(len(first)))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(codes[order]))
+
+
+def _below(values: np.ndarray, first: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, node below) of entries (set ``at``, node). Each node samples by a hash of
+    its own, so that what a pair shares in one node says nothing about another."""
+    entries, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sizes = np.diff(first)
+    ends = np.cumsum(sizes[at])
+    lo = 0
+    while lo < len(at):  # about a million n-grams at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+        n = sizes[at[lo:hi]]
+        own = values[bw.ragged(first[at[lo:hi]], n)]
+        seed = bw.mix(node[lo:hi].view(np.uint64) ^ np.uint64(0x8CB9_2BA7_2F3D_8DD7))
+        token = bw.mix(own ^ np.repeat(seed, n))
+        bound = (np.minimum(DEEPER / np.maximum(n, 1), 0.999999) * 2.0**64).astype(np.uint64)
+        hit = np.flatnonzero(token < np.repeat(bound, n))
+        entry = np.repeat(np.arange(lo, hi), n)[hit]
+        entries.append(entry)
+        made.append(bw.mix(seed[entry - lo] + bw.mix(token[hit])).view(np.int64))
+        lo = hi
+    return np.concatenate(entries), np.concatenate(made)
 
 
 def _scan(docs: DataFrame, n: int, runs: int) -> DataFrame:
-    """(did, k, doc_id, sid, n, sketch, nodes, deep) of each row; sid null without words."""
+    """(did, k, doc_id, sid, n, sketch, nodes) of each row; sid null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.chunks(batches):
             values, first = shingles(batch.column(3), n)
-            nodes, deep = _samples(values, first, runs)
             size = np.diff(first)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -146,76 +186,103 @@ def _scan(docs: DataFrame, n: int, runs: int) -> DataFrame:
                     pa.array(_identity(values, first), mask=size == 0),
                     pa.array(size),
                     pa.array([x.tobytes() for x in sketches(values, first)], pa.binary()),
-                    pa.array(nodes, pa.list_(pa.int64())),
-                    pa.array(deep, pa.list_(pa.int64())),
+                    _nodes(values, first, runs),
                 ],
-                ["did", "k", "doc_id", "sid", "n", "sketch", "nodes", "deep"],
+                ["did", "k", "doc_id", "sid", "n", "sketch", "nodes"],
             )
 
-    return docs.mapInArrow(run, "did long, k long, doc_id long, sid long, n long, sketch binary, nodes array<long>, deep array<long>")
+    return docs.mapInArrow(run, "did long, k long, doc_id long, sid long, n long, sketch binary, nodes array<long>")
+
+
+def _row_key(doc_id, text) -> tuple:
+    """(did, k) tells rows apart: k is the text's checksum, and has a bit for a null doc_id."""
+    did = doc_id.cast("long")
+    return F.coalesce(did, F.lit(0)), F.crc32(F.coalesce(text, F.lit("")).cast("binary")) + F.when(did.isNull(), F.lit(1 << 32)).otherwise(F.lit(0))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    did = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(did, F.lit(-1)).alias("did"), F.crc32(text.cast("binary")).alias("k"), did.alias("doc_id"), text.alias("text"))
-
-
-def _buckets(sets: DataFrame, runs: int, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """(node, sid) of buckets to compare, and (node, size, sid) of dense ones, of the
-    runs ``first`` to ``last`` - 1. ``sets`` has each set's class so far in ``root``; a
-    bucket inside one class is dropped as soon as it is seen."""
-    run = F.col("node").bitwiseAND(F.lit(255)).cast("int")
-    level = sets.select(F.explode("nodes").alias("node"), "sid", "root").where((run >= first) & (run < last))
-    level = level.select("node", "sid", "root", run.alias("run"), F.lit(None).cast("long").alias("parent"))
-    small, dense = [], []
-    for depth in range(1, DEPTH + 1):
-        count = level.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-        rows = materialize(level.join(count.select("node", "size"), "node").select("node", "sid", "root", "run", "size", "parent"), "nodes")
-        small.append(rows.where(F.col("size") <= LIMIT).select("node", "sid"))
-        large = F.col("size") > LIMIT
-        stays = F.coalesce(F.col("size") >= DENSE * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)
-        dense.append(rows.where(large & stays).select("node", "size", "sid"))
-        rows = rows.where(large & ~stays)
-        if depth == DEPTH or rows.limit(1).count() == 0:
-            break
-        family = F.col("run") + F.lit((depth - 1) * runs)
-        own = F.filter("deep", lambda x: F.shiftright(x, 32) == F.col("family").cast("long"))
-        rows = rows.withColumn("family", family).join(sets.select("sid", "deep"), "sid")
-        level = rows.select(F.col("node").alias("above"), "sid", "root", "run", F.col("size").alias("parent"), F.explode(own).alias("token"))
-        level = level.select(F.xxhash64("above", "token").alias("node"), "sid", "root", "run", "parent")
-    joined = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(joined(parts[1:]))
-    return joined(small), joined(dense)
+    did, k = _row_key(F.col("doc_id"), F.col("text"))
+    return docs.select(did.alias("did"), k.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _by_size(rows: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (node, sid, root) of the buckets with several classes: those of up to
+    ``most`` sets, and larger ones with their size. What is large is told to all tasks,
+    so a bucket of any size stays where it was read."""
+    size = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    size = scratch.keep(size.select("node", "size"), "sizes")
+    big = scratch.keep(size.where(F.col("size") > most), "large_nodes")
+    small = rows.join(if_small(big.select("node"))[0], "node", "left_anti").join(size.where(F.col("size") <= most).select("node"), "node", "left_semi")
+    return small.select("node", "sid", "root"), rows.join(if_small(big)[0], "node").select("node", "sid", "root", "size")
+
+
+def _rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """With each sid's class so far in ``root``."""
+    if roots is None:
+        return sets.withColumn("root", F.col("sid"))
+    return sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def _divided(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of large buckets (node, sid, root, size) those with several classes, and in
+    ``major`` the share of the largest."""
+    each = rows.groupBy("node", "root").agg(F.count("*").alias("m"))
+    ends = each.groupBy("node").agg(F.max("m").alias("m"), F.sum("m").alias("total")).where("m < total")
+    ends = scratch.keep(ends.select("node", (F.col("m") / F.col("total")).alias("major")), "divided")
+    return rows.join(if_small(ends)[0], "node")
+
+
+def _split(large: DataFrame, texts: list[DataFrame], n: int) -> DataFrame:
+    """(node, sid, root, above, parent) of the next level of large buckets."""
+    entries = large.groupBy("sid").agg(F.first("root").alias("root"), F.collect_list(F.struct("node", "size")).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values, first in _sets(batch, 0, n):
+                lists = part.column(3)
+                at = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                node, size = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                entry, made = _below(values, first, at, node)
+                sid, root = (part.column(i).to_numpy(zero_copy_only=False)[at[entry]] for i in (1, 2))
+                columns = [made, sid, root, node[entry], size[entry]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "sid", "root", "above", "parent"])
+
+    rows = _all([t.join(entries, "sid").select("z", "sid", "root", "entries") for t in texts])
+    return rows.mapInArrow(run, "node long, sid long, root long, above long, parent long")
 
 
 def _blocks(dense: DataFrame) -> DataFrame:
-    """Dense buckets as blocks of about LIMIT sets, each with the bucket's leaders."""
+    """Large buckets as blocks of about LIMIT sets, each with the bucket's leaders."""
     many = F.ceil(F.col("size") / LIMIT).cast("int")
     lead = F.pmod(F.xxhash64("sid", "node"), F.col("size")) < LEADERS
     own = F.array(F.pmod(F.xxhash64("sid"), many).cast("int"))
     block = F.explode(F.when(lead, F.sequence(F.lit(0), many - 1)).otherwise(own))
-    return dense.select("node", "sid", block.alias("block")).select(F.xxhash64("node", "block").alias("node"), "sid")
+    return dense.select("node", "sid", "root", block.alias("block")).select(F.xxhash64("node", "block").alias("node"), "sid", "root")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one value of the first column after the other; rows come sorted by it."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where groups begin, with the total. A group is the
+    rows of one value of the first column; rows come sorted by it."""
     held: list[pa.RecordBatch] = []
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        key = table.column(0).to_numpy()
+        return table, np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        if held and held[0].column(0)[0].as_py() != int(key[0]):
-            yield pa.Table.from_batches(held)
+        last = int(np.searchsorted(key, key[-1]))  # the last group may go on
+        if last or (held and held[-1].column(0)[-1].as_py() != int(key[0])):
+            if last:
+                held.append(batch.slice(0, last))
+            yield cut(held)
             held = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if held and a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+        held.append(batch.slice(last))
     if held:
-        yield pa.Table.from_batches(held)
+        yield cut(held)
 
 
 def _labels(links: np.ndarray) -> np.ndarray:
@@ -232,43 +299,64 @@ def _labels(links: np.ndarray) -> np.ndarray:
     return label
 
 
+def _may(sketch: np.ndarray, size: np.ndarray, other: np.ndarray, theirs: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of sets may be at the threshold, by sizes and sketches (broadcast
+    against each other). A bin differs only if one of the n-grams that not both have is
+    in it, and there are few of these at the threshold; for larger sets, six deviations
+    of the estimate below the threshold are enough."""
+    least, most = np.minimum(size, theirs), np.maximum(size, theirs)
+    some = ((sketch | other) != 0).sum(axis=-1)
+    differ = (sketch != other).sum(axis=-1)
+    ok = (least >= (threshold - 1e-9) * most) & (differ <= (1 - threshold) / (1 + threshold) * (size + theirs) + 1e-6)
+    return ok & ((least < 128) | (some - differ >= (threshold - 0.3) * some))
+
+
+def _alike(sid: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Sids of groups inside which all plausible pairs of several classes are."""
+    m = len(sid)
+    maybe = np.zeros((m, m), dtype=bool)
+    for lo in range(0, m, 64):
+        part = slice(lo, lo + 64)
+        maybe[part] = _may(sketch[part, None], size[part, None], sketch[None], size[None], threshold) & (root[part, None] != root[None])
+    label = _labels(maybe)
+    for c in np.unique(label[maybe.any(axis=1)]):
+        own = np.flatnonzero(label == c)
+        if len(own) <= LIMIT or size[own].sum() <= GROUP_GRAMS:
+            yield sid[own]
+            continue
+        parts = [own[i : i + PART] for i in range(0, len(own), PART)]
+        for i, a in enumerate(parts):
+            for b in parts[i:]:
+                pairs = maybe[np.ix_(a, b)]
+                if pairs.any():
+                    yield sid[np.union1d(a[pairs.any(axis=1)], b[pairs.any(axis=0)])]
+
+
 def _plausible(members: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, sid): the sets of each bucket that may have a link, by size and sketch,
-    in groups that may be linked; equal groups of several runs are one.
-    ``members``: (node, sid, n, sketch)."""
+    """(bucket, sid): the sets of each bucket that may have a link to another class, by
+    size and sketch, in groups that may be linked; equal groups of several runs are one.
+    ``members``: (node, sid, root, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for group in _groups(batches):
-            sid, at = np.unique(group.column(1).to_numpy(), return_index=True)
-            if len(sid) < 2:
-                continue
-            size = group.column(2).to_numpy()[at].astype(float)
-            sketch = np.frombuffer(b"".join(group.column(3).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            maybe = np.minimum.outer(size, size) >= (threshold - 1e-9) * np.maximum.outer(size, size)
-            np.fill_diagonal(maybe, False)
-            a, b = np.nonzero(np.triu(maybe))
-            if not len(a):
-                continue
-            some = (sketch[a] | sketch[b]) != 0
-            alike = ((sketch[a] == sketch[b]) & some).sum(axis=1) / np.maximum(some.sum(axis=1), 1)
-            least = np.minimum(size[a], size[b])
-            # Six deviations of the estimate below the threshold, or no pruning at all.
-            ok = alike >= np.where(least >= 128, threshold - 0.3, np.where(least >= 48, threshold - 0.5, 0.0))
-            maybe = np.zeros_like(maybe)
-            maybe[a[ok], b[ok]] = maybe[b[ok], a[ok]] = True
-            label = _labels(maybe)
-            for c in np.unique(label[maybe.any(axis=1)]):
-                own = sid[label == c]
-                key = int(bw.mix(np.bitwise_xor.reduce(bw.mix(own.view(np.uint64)))[None])[0].view(np.int64))
-                out += [(key, s) for s in own.tolist()]
-            if len(out) > 20_000:
-                yield _table(out, ["bucket", "sid"])
-                out = []
-        if out:
-            yield _table(out, ["bucket", "sid"])
-
-    found = members.select("node", "sid", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "bucket long, sid long")
+        for table, edges in _whole(batches):
+            sid, root, size = (table.column(i).to_numpy() for i in (1, 2, 3))
+            sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            count = np.diff(edges)
+            a = edges[:-1][count == 2]  # most buckets: all at once
+            a = a[(root[a] != root[a + 1]) & (sid[a] != sid[a + 1])]
+            a = a[_may(sketch[a], size[a].astype(float), sketch[a + 1], size[a + 1].astype(float), threshold)]
+            key = bw.mix(bw.mix(sid[a].view(np.uint64)) ^ bw.mix(sid[a + 1].view(np.uint64))).view(np.int64)
+            keys, found = [np.repeat(key, 2)], [np.stack([sid[a], sid[a + 1]], axis=1).ravel()]
+            for i in np.flatnonzero(count > 2).tolist():
+                own, at = np.unique(sid[edges[i] : edges[i + 1]], return_index=True)
+                at += edges[i]
+                for group in _alike(own, root[at], size[at].astype(float), sketch[at], threshold):
+                    key = bw.mix(np.bitwise_xor.reduce(bw.mix(group.view(np.uint64)))[None]).view(np.int64)
+                    keys.append(np.repeat(key, len(group)))
+                    found.append(group)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], ["bucket", "sid"])
+
+    found = members.select("node", "sid", "root", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "bucket long, sid long")
     return found.distinct()
 
 
@@ -276,194 +364,311 @@ def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
 
+def _sets(batch: pa.RecordBatch | pa.Table, column: int, n: int) -> Iterator[tuple[pa.RecordBatch | pa.Table, np.ndarray, np.ndarray]]:
+    """Parts of a batch with compressed texts in ``column``, of about ``bw.CHUNK`` bytes
+    of text or one row each, and their n-grams as ``shingles`` gives them."""
+    loose, texts, size, start = zstandard.ZstdDecompressor(), [], 0, 0
+    for i, z in enumerate(batch.column(column)):
+        texts.append(loose.decompress(z.as_buffer()).decode())
+        size += len(texts[-1])
+        if size >= bw.CHUNK or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start), *shingles(pa.array(texts, pa.large_string()), n)
+            texts, size, start = [], 0, i + 1
+
+
+def _grams(table: pa.Table, column: int, n: int) -> list[np.ndarray]:
+    """The n-grams of each row's text."""
+    out = []
+    for _, values, first in _sets(table, column, n):
+        out += [values[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return out
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """How many elements each of the left sets shares with each of the right ones."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    a, b = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (left, right))
+    tokens = np.intersect1d(a, b)
+    if not len(tokens):
+        return out
+
+    def placed(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+        keep = tokens[column] == values
+        row, column = row[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    sides = [placed(left, a), placed(right, b)]
+    for lo in range(0, len(tokens), step):
+        dense = []
+        for (row, column), sets in zip(sides, (left, right), strict=True):
+            i, j = np.searchsorted(column, [lo, lo + step])
+            one = np.zeros((len(sets), min(step, len(tokens) - lo)), dtype=np.float32)
+            one[row[i:j], column[i:j] - lo] = 1
+            dense.append(one)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _over(shared: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs are at the threshold or above, from what they share and their sizes."""
+    return shared >= (threshold - 1e-12) * (left[:, None] + right[None, :] - shared.astype(float))
+
+
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sets are at the threshold or above, as a matrix."""
-    m = len(sets)
     size = np.array([len(s) for s in sets], dtype=float)
-    common = np.zeros((m, m))
-    if m == 2:
-        common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    if len(sets) == 2:
+        shared = np.zeros((2, 2))
+        shared[0, 1] = shared[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
     else:
-        token, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(m), size.astype(int))
-        keep = n[column] > 1
-        row, column = row[keep], (np.cumsum(n > 1) - 1)[column[keep]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        step = 4096
-        for lo in range(0, int((n > 1).sum()), step):
-            a, b = np.searchsorted(column, [lo, lo + step])
-            dense = np.zeros((m, step), dtype=np.float32)
-            dense[row[a:b], column[a:b] - lo] = 1
-            common += dense @ dense.T
-    union = size[:, None] + size[None, :] - common
-    out = common >= (threshold - 1e-12) * union
+        # Only what occurs twice can be shared.
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        twice = token[n > 1]
+        few = [s[np.isin(s, twice, assume_unique=True)] for s in sets] if len(twice) < 0.5 * len(token) else sets
+        shared = common(few, few)
+    out = _over(shared, size, size, threshold)
     np.fill_diagonal(out, False)
     return out
 
 
-def _verify(members: DataFrame, arrays: DataFrame, threshold: float) -> DataFrame:
+def _verify(members: DataFrame, texts: list[DataFrame], threshold: float, n: int) -> DataFrame:
     """Verified links inside each bucket, as edges to its smallest linked sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for group in _groups(batches):
-            sid, at = np.unique(group.column(1).to_numpy(), return_index=True)
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column(2).take(pa.array(at)).to_pylist()]
-            if len(sid) > 1:
-                links = linked(sets, threshold)
+        for table, edges in _whole(batches):
+            out: list[tuple[int, int]] = []
+            sids, sets = table.column(1).to_numpy(), _grams(table, 2, n)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sid, at = np.unique(sids[a:b], return_index=True)
+                if len(sid) < 2:
+                    continue
+                links = linked([sets[a + i] for i in at], threshold)
                 label = _labels(links)
                 for c in np.unique(label[links.any(axis=1)]):
                     own = np.sort(sid[label == c]).tolist()
                     out += [(own[0], s) for s in own[1:]]
-            if len(out) > 20_000:
+            if out:
                 yield _table(out, ["a", "b"])
-                out = []
-        if out:
-            yield _table(out, ["a", "b"])
 
-    rows = members.join(arrays, "sid").select("bucket", "sid", "grams").repartition("bucket").sortWithinPartitions("bucket")
+    rows = _all([members.join(t, "sid").select("bucket", "sid", "z") for t in texts]).repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _count(members: DataFrame, threshold: float) -> DataFrame:
-    """(sid, links) from (bucket, sid, grams, copies, side); side 0: all pairs of the
-    bucket, 1 and 2: only pairs of a 1 and a 2."""
+def _differences(members: DataFrame, n: int) -> DataFrame:
+    """From (part, root, sid, copies, lead, z) each set as its symmetric difference from
+    its part's leading row, which is the class's own set in all parts: (root, sid,
+    copies, size, lost, base, d); lost: how many of the base's n-grams it lacks. A
+    leading row with copies is a member itself."""
+    names = ["root", "sid", "copies", "size", "lost", "base", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for group in _groups(batches):
-            sid, at = np.unique(group.column(1).to_numpy(), return_index=True)
-            copies, side = (group.column(i).to_numpy()[at] for i in (3, 4))
-            if len(sid) > 1:
-                links = linked([np.frombuffer(x, dtype=np.uint64) for x in group.column(2).take(pa.array(at)).to_pylist()], threshold)
-                if side.any():
-                    links &= side[:, None] != side[None, :]
-                out += [(s, n) for s, n in zip(sid.tolist(), (links @ copies).tolist(), strict=True) if n]
-            if len(out) > 20_000:
-                yield _table(out, ["sid", "links"])
-                out = []
-        if out:
-            yield _table(out, ["sid", "links"])
-
-    rows = members.select("bucket", "sid", "grams", "copies", "side").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
-
-
-def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sid, grams) of the wanted rows (did, k, sid); texts travel compressed."""
+        part, base = None, None
+        for batch in batches:
+            for piece, values, first in _sets(batch, 5, n):
+                own, root, sid, copies, lead = (piece.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                rows: list[tuple] = []
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    if lead[i] == 0:  # sorted before the part's members
+                        part, base = own[i], values[a:b]
+                    assert part == own[i]
+                    if copies[i]:
+                        d = np.setxor1d(base, values[a:b], assume_unique=True)
+                        lost = (len(base) + len(d) - (b - a)) // 2
+                        rows.append((int(root[i]), int(sid[i]), int(copies[i]), b - a, lost, len(base), d.tobytes()))
+                if rows:
+                    columns = [*zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names)
+
+    rows = members.select("part", "root", "sid", "copies", "lead", "z").repartition("part").sortWithinPartitions("part", "lead")
+    return rows.mapInArrow(run, "root long, sid long, copies long, size long, lost long, base long, d binary")
+
+
+def _count(differences: DataFrame, threshold: float) -> DataFrame:
+    """(sid, links) of all pairs of each class, block against block."""
+    sizes = differences.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("d")) / (8 * BLOCK_GRAMS))).cast("int").alias("many"))
+    block = F.pmod(F.xxhash64("sid"), F.col("many")).cast("int")
+    each = differences.join(sizes, "root").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).cast("long")
+    rows = each.select(F.xxhash64("root", low, high).alias("bucket"), "sid", "copies", "size", "lost", "base", side.alias("side"), "d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _whole(batches):
+            sids, found = [], []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                group = table.slice(i, j - i)
+                # Whole repeated rows may have given a text more than once.
+                _, once = np.unique(np.stack([group.column(c).to_numpy() for c in (6, 1)]), axis=1, return_index=True)
+                sid, copies, size, lost, base, side = (group.column(c).to_numpy()[once] for c in range(1, 7))
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column(7).take(pa.array(once)).to_pylist()]
+                a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+                shared = common([sets[x] for x in a], [sets[x] for x in b])
+                shared += (base[0] - lost[a][:, None] - lost[b][None, :]).astype(np.float32)
+                links = _over(shared, size[a].astype(float), size[b].astype(float), threshold)
+                links &= sid[a][:, None] != sid[b][None, :]
+                sids.append(sid[a])
+                found.append(links @ copies[b])
+                if (side != 0).any():
+                    sids.append(sid[b])
+                    found.append(links.T @ copies[a])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sids)), pa.array(np.concatenate(found).astype(np.int64))], ["sid", "links"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sid long, links long")
+
+
+def _texts(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, have: list[DataFrame], scratch: Scratch) -> None:
+    """Add (sid, z), the compressed texts of the wanted sids that aren't there, to
+    ``have``: tables bucketed by sid, which later joins read in place. Whole repeated
+    rows may give a text once for each task."""
+    for known in have:
+        wanted = wanted.join(known.select("sid"), "sid", "left_anti")
+    wanted = scratch.keep(wanted.join(sets.select("sid", "did", "k"), "sid").distinct(), "wanted")
+    if have and wanted.limit(1).count() == 0:
+        return
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze, done = zstandard.ZstdCompressor(level=3), set()
         for batch in bw.chunks(batches):
-            raw, offsets = bw.text_bytes(batch.column(2))
+            rows = [i for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)) if key not in done and not done.add(key)]
+            part = batch.take(pa.array(rows, pa.int64()))
+            raw, offsets = bw.text_bytes(part.column(2))
             z = [squeeze.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(z, pa.binary())], ["did", "k", "z"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                values, first = shingles(pa.array([loose.decompress(z).decode() for z in part.column(1).to_pylist()], pa.large_string()), n)
-                grams = [values[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], ["sid", "grams"])
-
-    packed = docs.select("did", "k", "text").mapInArrow(pack, "did long, k long, z binary")
-    # Rows that repeat give a set several times; readers drop these where they meet.
-    return materialize(packed.join(wanted, ["did", "k"]).select("sid", "z").mapInArrow(sets, "sid long, grams binary"), "grams")
-
-
-def _with_arrays(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, have: DataFrame | None, n: int) -> DataFrame:
-    """``have`` and the n-grams of the wanted sets that aren't in it."""
-    if have is not None:
-        wanted = wanted.join(have.select("sid"), "sid", "left_anti")
-    # Written out, so that the planner knows its size: a few rows needn't move the texts.
-    wanted = materialize(wanted.join(sets.select("sid", "did", "k"), "sid"), "wanted")
-    if have is not None and wanted.limit(1).count() == 0:
-        return have
-    more = _arrays(keyed, wanted, n)
-    return more if have is None else have.unionByName(more)
-
-
-def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows, sets, roots, arrays): rows (did, k, doc_id, sid), sets (sid, did, k, n, copies) and
-    the class of the sets that have links, (id, root); arrays the n-grams of these."""
-    spark = docs.sparkSession
-    tune(spark)
-    runs = runs_for(recall, threshold)
-    keyed = _keyed(docs)
-    scanned = materialize(_scan(keyed, n, runs), "sets")
-    rows = scanned.select("did", "k", "doc_id", "sid")
-    first = lambda c: F.first(c).alias(c)
-    sets = scanned.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("did", "k")).alias("at"), first("n"), first("sketch"), first("nodes"), first("deep"))
-    sets = materialize(sets.select("sid", "copies", "at.did", "at.k", "n", "sketch", "nodes", "deep"), "distinct_sets")
-    arrays, edges, dense = None, None, None
-    roots = spark.createDataFrame([], "id long, root long")
-    for low, high in ((0, min(FIRST_ROUND, runs)), (min(FIRST_ROUND, runs), runs)):
-        known = sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        small, heavy = _buckets(known, runs, low, high)
-        heavy = materialize(heavy, "dense")
-        dense = heavy if dense is None else dense.unionByName(heavy)
-        members = small.unionByName(_blocks(heavy)).join(sets.select("sid", "n", "sketch"), "sid")
-        candidates = materialize(_open(_plausible(members, threshold), roots), "candidates")
-        arrays = _with_arrays(keyed, sets, candidates.select("sid").distinct(), arrays, n)
-        found = materialize(_verify(candidates, arrays, threshold), "edges")
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
-    rest = _rest(dense, roots)
-    if rest is not None:
-        members = rest.join(sets.select("sid", "n", "sketch"), "sid")
-        candidates = materialize(_open(_plausible(members, threshold), roots), "candidates")
-        arrays = _with_arrays(keyed, sets, candidates.select("sid").distinct(), arrays, n)
-        edges = edges.union(materialize(_verify(candidates, arrays, threshold), "edges"))
-        roots = components(edges)
-    return rows, sets.select("sid", "did", "k", "n", "copies"), roots, arrays
-
-
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Without the buckets whose sets are all in one class already."""
-    root = F.coalesce("root", "sid")
-    known = members.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("bucket", "sid", root.alias("root"))
-    unsettled = known.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    return members.join(unsettled, "bucket", "left_semi")
-
-
-def _rest(dense: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Of dense buckets with several classes, the sets outside the largest class against
-    all, in blocks: (node, sid)."""
-    known = dense.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("node", "size", "sid", F.coalesce("root", "sid").alias("root"))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(z, pa.binary())], ["did", "k", "z"])
+
+    few, small = if_small(wanted)
+    rows = keyed.select("did", "k", "text")
+    if small:  # only the wanted texts are touched
+        rows = rows.join(few.select("did", "k"), ["did", "k"], "left_semi")
+    packed = rows.mapInArrow(pack, "did long, k long, z binary").join(few, ["did", "k"])
+    have.append(scratch.bucketed(packed.select("sid", "z"), "texts", "sid"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(_all(parts[1:]))
+
+
+class Classes:
+    """The classes of a table's texts. ``rows``: (did, k, doc_id, sid) of each row;
+    ``sets``: (sid, did, k, doc_id, n, copies), doc_id the smallest; ``roots``: the class
+    of the sets that have links, (id, root); ``have``: the texts of these, (sid, z)."""
+
+    def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL):
+        spark = docs.sparkSession
+        tune(spark)
+        self.scratch, self.n, self.threshold, runs = Scratch(spark), n, threshold, runs_for(recall, threshold)
+        self.keyed, keep = _keyed(docs), self.scratch.keep
+        scanned = keep(_scan(self.keyed, n, runs), "scanned")
+        self.rows = scanned.select("did", "k", "doc_id", "sid")
+        first = lambda c: F.first(c).alias(c)
+        sets = scanned.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("did", "k")).alias("at"), F.min("doc_id").alias("doc_id"), first("n"), first("sketch"), first("nodes"))
+        self.whole = keep(sets.select("sid", "copies", "at.did", "at.k", "doc_id", "n", "sketch", "nodes"), "distinct_sets")
+        self.sets = self.whole.drop("sketch", "nodes")
+        self.have: list[DataFrame] = []
+        self.edges: list[DataFrame] = []
+        self.roots: DataFrame | None = None
+        run = F.col("node").bitwiseAND(F.lit(255))
+        large = []
+        for turn in (run < FIRST_ROUND, run >= FIRST_ROUND):
+            level = _rooted(self.whole.select("sid", "nodes"), self.roots)
+            small, big = _by_size(level.select(F.explode("nodes").alias("node"), "sid", "root").where(turn), LIMIT, self.scratch)
+            large.append(keep(big.select("node", "sid", "root", "size"), "large"))
+            self._compare([small, _blocks(large[-1])])
+        self._split_large(_all(large).drop("root"))
+        # What is left: the tables that hold the classes.
+        self.scratch.close(scanned, self.whole, self.roots, *self.have)
+
+    def _split_large(self, large: DataFrame) -> None:
+        """The third round, on first-level buckets (node, sid, size)."""
+        keep = self.scratch.keep
+        level = keep(_divided(_rooted(large, self.roots), self.scratch), "level")
+        parts, dense = [], []
+        while level.limit(1).count():
+            parts.append(level.where(F.col("size") <= WIDE))
+            dense.append(level.where((F.col("size") > WIDE) & (F.col("major") >= MAJOR)).select("node", "size", "sid"))
+            open_ = keep(level.where((F.col("size") > WIDE) & (F.col("major") < MAJOR)), "open")
+            if open_.limit(1).count() == 0:
+                break
+            self._fetch(open_.select("sid").distinct())
+            below = keep(_split(open_, self.have, self.n), "nodes")
+            size = below.groupBy("node").agg(F.count("*").alias("size"), F.first("above").alias("above"), F.first("parent").alias("parent"))
+            stuck = size.where(F.col("size") > WIDE).groupBy("above").agg((F.sum("size") / F.first("parent")).alias("grows")).where(F.col("grows") >= GROWS)
+            stuck = keep(stuck.select(F.col("above").alias("node")), "stuck")
+            dense.append(open_.join(if_small(stuck)[0], "node", "left_semi").select("node", "size", "sid"))
+            below = below.join(if_small(stuck.withColumnRenamed("node", "above"))[0], "above", "left_anti").select("node", "sid", "root")
+            small, big = _by_size(below, WIDE, self.scratch)
+            parts.append(small)
+            level = keep(_divided(big, self.scratch), "level")
+        if parts:
+            self._compare(parts)
+            rest = _rest(_all(dense), self.roots, self.scratch)
+            if rest is not None:
+                self._compare([rest])
+
+    def _fetch(self, wanted: DataFrame) -> None:
+        _texts(self.keyed, self.whole, wanted, self.have, self.scratch)
+
+    def _compare(self, parts: list[DataFrame]) -> None:
+        """Link the sets of buckets (node, sid, root), and renew the classes."""
+        members = _all([p.select("node", "sid", "root") for p in parts]).join(self.whole.select("sid", "n", "sketch"), "sid")
+        candidates = self.scratch.keep(_plausible(members, self.threshold), "candidates")
+        self._fetch(candidates.select("sid").distinct())
+        self.edges.append(self.scratch.keep(_verify(candidates, self.have, self.threshold, self.n), "edges"))
+        before, self.roots = self.roots, self.scratch.keep(components(_all(self.edges)), "roots")
+        self.scratch.drop(before, candidates)
+
+    def links(self) -> DataFrame:
+        """(sid, links): how many rows of other sets each set is linked with."""
+        placed = self.roots.withColumnRenamed("id", "sid").join(self.sets.select("sid", "copies"), "sid")
+        sizes = self.roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+        large = self.scratch.keep(sizes.select("root", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts")), "large_classes")
+        few = if_small(large)[0]
+        # A class's own set leads each of its parts, and is a member of one.
+        own = F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int")
+        members = placed.join(few, "root", "left").select("root", "sid", "copies", own.alias("i"), (F.col("sid") != F.col("root")).cast("int").alias("lead"))
+        heads = large.select("root", F.col("root").alias("sid"), F.lit(0).cast("long").alias("copies"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("lead"))
+        heads = heads.where(F.col("i") != F.pmod(F.xxhash64("sid"), F.col("parts")))
+        members = _all([members.unionByName(heads.drop("parts")).join(t, "sid") for t in self.have])
+        members = members.select(F.xxhash64("root", "i").alias("part"), "root", "sid", "copies", "lead", "z")
+        differences = self.scratch.keep(_differences(members, self.n), "differences")
+        return _count(differences, self.threshold).groupBy("sid").agg(F.sum("links").alias("links"))
+
+    def close(self, *but: DataFrame) -> None:
+        self.scratch.close(*but)
+
+
+def _rest(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Of buckets that aren't split and have several classes, the sets outside the
+    largest class against all, in blocks: (node, sid, root)."""
+    known = scratch.keep(dense.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("node", "size", "sid", F.coalesce("root", "sid").alias("root")), "unsplit")
     by_root = known.groupBy("node", "root").agg(F.count("*").alias("m"))
     top = by_root.groupBy("node").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("total")).where("top.m < total")
-    top = top.select("node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.m")).alias("minor"))
+    top = scratch.keep(top.select("node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.m")).alias("minor")), "majors")
     if top.limit(1).count() == 0:
         return None
-    rows = known.join(top, "node")
-    wide, narrow = F.ceil(F.col("size") / LIMIT).cast("int"), F.ceil(F.col("minor") / LIMIT).cast("int")
+    rows = known.join(if_small(top)[0], "node")
+    wide, narrow = F.ceil(F.col("size") / WIDE).cast("int"), F.ceil(F.col("minor") / WIDE).cast("int")
     outside = F.col("root") != F.col("major")
-    a = rows.where(outside).select("node", "sid", F.pmod(F.xxhash64("sid"), narrow).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
-    b = rows.select("node", "sid", F.explode(F.sequence(F.lit(0), narrow - 1)).alias("i"), F.pmod(F.xxhash64("sid"), wide).cast("int").alias("j"))
-    return a.union(b).select(F.xxhash64("node", "i", "j").alias("node"), "sid").distinct()
+    a = rows.where(outside).select("node", "sid", "root", F.pmod(F.xxhash64("sid"), narrow).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
+    b = rows.select("node", "sid", "root", F.explode(F.sequence(F.lit(0), narrow - 1)).alias("i"), F.pmod(F.xxhash64("sid"), wide).cast("int").alias("j"))
+    return a.union(b).select(F.xxhash64("node", "i", "j").alias("node"), "sid", "root").distinct()
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links and class_size of every row of ``docs``."""
-    rows, sets, roots, arrays = classes(docs, n, threshold, recall)
-    placed = roots.withColumnRenamed("id", "sid").join(sets, "sid").select("sid", "root", "copies")
-    sizes = placed.groupBy("root").agg(F.count("*").alias("members"))
-    many = F.ceil(F.col("members") / LIMIT).cast("int")
-    block = F.pmod(F.xxhash64("sid"), many).cast("int")
-    each = placed.join(sizes, "root").select("sid", "root", "copies", many.alias("many"), block.alias("block"))
-    pair = each.select("sid", "root", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
-    pair = pair.select(F.xxhash64("root", low, high).alias("bucket"), "sid", "copies", side.cast("long").alias("side"))
-    links = _count(pair.join(arrays, "sid"), threshold)
-    of_set = sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").join(links, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "did")
-    named = of_set.groupBy("root").agg(F.min(F.when(F.col("did") != -1, F.col("did"))).alias("class_id"), F.sum("copies").alias("class_size"))
-    of_set = materialize(of_set.join(named, "root").select("sid", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
-    joined = rows.join(of_set, "sid", "left")
-    return joined.select(
+    found = Classes(docs, n, threshold, recall)
+    of_set = found.sets.join(found.roots.withColumnRenamed("id", "sid"), "sid", "left").join(found.links(), "sid", "left")
+    of_set = of_set.select("sid", F.coalesce("root", "sid").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "doc_id")
+    alone = F.col("links") + F.col("copies") == 1  # most sets; they take no part in the shuffle by class
+    of_set = found.scratch.keep(of_set.where(~alone), "linked")
+    named = of_set.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    out = of_set.join(named, "root").select("sid", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = found.scratch.keep(out, "classes")
+    rows = found.scratch.keep(found.rows.select("doc_id", "sid"), "rows")
+    found.scratch.close(out, rows)
+    return rows.join(out, "sid", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -473,19 +678,24 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` with one row of each class of similar texts, that with the smallest
-    doc_id, all columns as they are."""
-    rows, sets, roots, _ = classes(docs, n, threshold, recall)
-    at = F.struct("did", "k")
-    root = F.coalesce("root", "sid").alias("root")
-    placed = rows.where("sid is not null").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select(root, "did", "k")
+    doc_id (a null one only if there is no other), all columns as they are. Rows that
+    repeat whole are one document; rows without words are in no class and stay."""
+    found = Classes(docs, n, threshold, recall)
+    keep = found.scratch.keep
+    placed = found.rows.where("sid is not null").join(found.roots.withColumnRenamed("id", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "did", "k")
+    placed = placed.select("root", "did", "k", (F.col("k") >= 1 << 32).alias("nameless"))
+    at = F.struct("nameless", "did", "k")
     stays = placed.groupBy("root").agg(F.min(at).alias("at"), F.count("*").alias("size")).where("size > 1")
-    gone = placed.join(stays, "root").where((F.col("did") != F.col("at.did")) | (F.col("k") != F.col("at.k")))
-    gone = materialize(gone.select(F.col("did").alias("__did"), F.col("k").alias("__k")).distinct(), "gone")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__did"), F.crc32(text.cast("binary")).alias("__k")]
-    out = docs.select("*", *keys).join(gone, ["__did", "__k"], "left_anti")
-    if rows.where("sid is not null").groupBy("did", "k").count().where("count > 1").limit(1).count():
-        # Rows that repeat whole are one document; rows without words are in no class.
-        worded = rows.where("sid is not null").select(F.col("did").alias("__did"), F.col("k").alias("__k")).distinct()
-        out = out.join(worded, ["__did", "__k"], "left_semi").dropDuplicates(["__did", "__k"]).unionByName(out.join(worded, ["__did", "__k"], "left_anti"))
+    member = placed.join(keep(stays, "staying").select("root", "at"), "root")
+    same = (F.col("did") == F.col("at.did")) & (F.col("k") == F.col("at.k"))
+    (did, k), text = unused(docs, "did", "k"), F.col("text")
+    keys = [F.col("did").alias(did), F.col("k").alias(k)]
+    gone = keep(member.where(~same).select(*keys).distinct(), "gone")
+    twice = keep(member.where(same).groupBy(*keys).count().where("count > 1").select(did, k), "twice")
+    found.scratch.close(gone, twice)
+    own = _row_key(F.col("doc_id"), text)
+    out = docs.select("*", own[0].alias(did), own[1].alias(k)).join(if_small(gone)[0], [did, k], "left_anti")
+    if twice.limit(1).count():
+        once = out.join(if_small(twice)[0], [did, k], "left_semi").dropDuplicates([did, k])
+        out = out.join(if_small(twice)[0], [did, k], "left_anti").unionByName(once)
     return out.select(*docs.columns)
