@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, jaccard_join, substring_dedup
 from gridloom.llm.components import components
@@ -44,8 +43,20 @@ def test_merging_needs_several_rounds_and_verifies(docs):
     rows = [(i, f"t{i % 7}") for i in range(60)]
     found = exact_dedup.digests(docs(*rows).repartition(30))
     assert sorted((r.keep, r.n) for r in exact_dedup.merged_runs(found, fan_in=2).collect()) == sorted((max(x for x in range(60) if x % 7 == k), len(range(k, 60, 7))) for k in range(7))
+    make = lambda *r: np.array([(d, s, 1, k or 0, k is not None, 1) for d, s, k in r], dtype=exact_dedup.RECORD)
     with pytest.raises(ValueError):
-        list(exact_dedup._merge(iter([(b"a", 1, 1, 1, 1), (b"a", 2, 1, 1, 1)]), True))
+        exact_dedup.merged([make((b"a", 1, 1)), make((b"a", 2, 1))], True)
+    out = exact_dedup.merged([make((b"a", 1, None), (b"c", 1, 4)), make((b"a", 1, -3), (b"b", 1, None)), make((b"c", 1, 5))], True)
+    assert [(r["digest"], r["keep"], r["named"], r["n"]) for r in out if r["named"]] == [(b"a", -3, True, 2), (b"c", 5, True, 2)] and len(out) == 3
+
+
+def test_merging_small_chunks(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CHUNK", 3)
+    rows = [(i, f"t{i % 500}") for i in range(1300)]
+    found = exact_dedup.digests(docs(*rows).repartition(9))
+    got = {r.digest: (r.keep, r.n) for r in exact_dedup.merged_runs(found, fan_in=3).collect()}
+    want = {hashlib.sha256(f"t{k}".encode()).digest(): (max(range(k, 1300, 500)), len(range(k, 1300, 500))) for k in range(500)}
+    assert {bytes(k): v for k, v in got.items()} == want
 
 
 def passages(rows, k):
@@ -71,12 +82,24 @@ def test_substring_against_brute_force(docs, sample):
     shared = random_words(draw, 90)
     rows = [(i, "  ".join(random_words(draw, draw.randrange(80)) + (shared[draw.randrange(40) : 45 + draw.randrange(45)] if i % 2 else []) + random_words(draw, draw.randrange(80))) + "\n") for i in range(40)]
     rows += [(100, "same " * 200), (101, " ".join(shared)), (101, " ".join(shared)), (102, None), (103, ""), (104, "few words"), (None, " ".join(shared[:60])), (105, " ".join(random_words(draw, 30) * 4))]
+    rows += [(-1, " ".join(shared[5:80])), (0, "zero " + " ".join(shared[:50])), (106, " ".join([*random_words(draw, 30_000, 10**6), *shared, *random_words(draw, 10, 10**6)]))]
     for r in (rows, sample):
-        got = substring_dedup.substring_dedup(docs(*r), batches=3)
+        got = substring_dedup.substring_dedup(docs(*r))
         assert sorted((tuple(x) for x in got.collect()), key=str) == passages(r, 35)
 
 
-def test_substring_empty_table_and_compaction(docs, spark):
+@pytest.mark.parametrize("width", [8, 60, 120])
+def test_substring_of_other_widths(docs, width):
+    draw = random.Random(width)
+    shared = random_words(draw, 300)
+    rows = [(i, " ".join(random_words(draw, draw.randrange(40)) + shared[(a := draw.randrange(150)) : a + width + draw.randrange(100)])) for i in range(12)]
+    got = substring_dedup.substring_dedup(docs(*rows), width=width)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == passages(rows, width)
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(docs(*rows), width=7)
+
+
+def test_substring_empty_table_and_compaction(docs, spark, tmp_path):
     assert substring_dedup.substring_dedup(docs((1, "x")).where("doc_id < 0")).count() == 0
     index = substring_dedup.FingerprintIndex(spark, compact_at=1)
     batch = lambda *x: spark.createDataFrame([(v,) for v in x], "fp long")
@@ -84,6 +107,20 @@ def test_substring_empty_table_and_compaction(docs, spark):
     assert sorted(r.fp for r in index.add(batch(1, 3)).collect()) == [1]
     assert len(index.runs) == 1 and {r.fp: r.n for r in index.runs[0].collect()} == {1: 2, 2: 2, 3: 1}
     assert index.add(batch(3)).collect()[0].fp == 3
+    index.save(str(tmp_path / "index"))
+    index.close()
+    again = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    assert sorted(r.fp for r in again.add(batch(2, 4)).collect()) == [2]
+    again.close()
+
+
+def test_substring_kept_texts(docs):
+    draw = random.Random(1)
+    shared = random_words(draw, 50)
+    rows = [(1, "  a " + " ".join(shared) + " b"), (2, " ".join(shared)), (3, "two  words"), (4, None)]
+    table = docs(*rows)
+    kept = substring_dedup.kept_texts(table)
+    assert kept.columns == table.columns and {r.doc_id: r.text for r in kept.collect()} == {1: "a b", 2: "", 3: "two  words", 4: None}
 
 
 def similar(rows, n=5, least=0.8):
@@ -124,6 +161,9 @@ def test_join_against_brute_force(docs, sample):
     base = [random_words(draw, 120, 5000) for _ in range(4)]
     rows = [(i, " ".join(near(draw, base[i % 4], draw.randrange(5)))) for i in range(40)]
     rows += [(50, None), (51, ""), (52, " , "), (53, "two words"), (54, "Two, words!"), (55, "a b c d e"), (55, "a b c d e"), (56, " ".join(random_words(draw, 4000, 10**6))), (None, "a b c d e f")]
+    rows += [(-1, "same words again in two rows"), (0, "same words again in two rows"), (None, "same words again in two rows"), (None, "no name here either but twice"), (None, "no name here either but twice")]
+    ten = " ".join(f"t{i}" for i in range(14))  # ten n-grams; of nine and ten, eight are shared below: a tie
+    rows += [(60, ten), (61, " ".join(f"t{i}" for i in range(12)))]
     for r in (rows, sample):
         got = sorted((tuple(x)[:3] for x in jaccard_join.jaccard_join(docs(*r)).collect()), key=str)
         assert got == similar(r)
@@ -131,7 +171,8 @@ def test_join_against_brute_force(docs, sample):
 
 def test_join_of_a_large_class_in_small_blocks(docs, monkeypatch):
     """A class much larger than a bucket, loosely linked, and sets that share a passage."""
-    monkeypatch.setattr(jaccard_join, "LIMIT", 12)
+    for name, value in {"LIMIT": 12, "WIDE": 16, "GROUP_GRAMS": 2000, "PART": 6, "BLOCK": 20}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     draw = random.Random(2)
     base, passage = random_words(draw, 150, 5000), random_words(draw, 40, 5000)
     rows = [(i, " ".join(near(draw, base, draw.randrange(4)))) for i in range(90)]
@@ -146,18 +187,19 @@ def test_join_keep_one_and_empty(docs):
     text = " ".join(f"u{i}" for i in range(60))
     kept = jaccard_join.keep_one(docs((5, text), (3, text + " more"), (9, text), (9, text), (7, None), (8, "alone in here with words"), (7, None)))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 7, 8] and kept.columns[:2] == ["doc_id", "text"]
+    clash = docs((None, text), (-1, text), (-1, text), (0, text + " x")).selectExpr("*", "1 did", "2 as __did", "3 as GONE")
+    for one in (jaccard_join.keep_one(clash), exact_dedup.keep_one(clash, "min")):
+        assert sorted(r.doc_id for r in one.collect()) in ([-1], [-1, 0]) and one.columns == clash.columns
 
 
 def test_recall_of_runs():
     assert 1 - (1 - jaccard_join._chance()) ** jaccard_join.runs_for(0.9998) >= 0.9998
 
 
-def test_runs_of_split_buckets_are_independent(spark, monkeypatch):
+def test_runs_of_split_buckets_are_independent():
     """Pairs at the threshold whose large buckets are split to full depth: how many meet
     in a bucket of any run, by their own buckets and by the formula."""
-    monkeypatch.setattr(jaccard_join, "LIMIT", 1)
-    monkeypatch.setattr(jaccard_join, "DENSE", 2.0)  # every bucket is split to the end
-    runs, n, m = 6, 1500, 400
+    runs, n, m = 3, 400, 400
     draw = np.random.default_rng(6)
     values, first = [], [0]
     for _ in range(n):
@@ -165,12 +207,20 @@ def test_runs_of_split_buckets_are_independent(spark, monkeypatch):
         for own in (pool[:m], pool[m // 9 :][:m]):  # 8 of 10 distinct n-grams are shared
             values.append(np.sort(own))
             first.append(first[-1] + len(own))
-    nodes, deep = jaccard_join._samples(np.concatenate(values), np.array(first), runs)
-    rows = [(i, 0 if i % 2 else 1, nodes[i], deep[i]) for i in range(2 * n)]
-    sets = spark.createDataFrame(rows, "sid long, root long, nodes array<long>, deep array<long>")
-    small, dense = jaccard_join._buckets(sets, runs, 0, runs)
-    met = dense.select("node", "sid").groupBy("node").agg(F.collect_set("sid").alias("s")).collect()
-    pairs = {min(r.s) // 2 for r in met if len({x // 2 for x in r.s}) == 1 and len(r.s) == 2}
+    values, first = np.concatenate(values), np.array(first)
+    nodes = jaccard_join._nodes(values, first, runs).to_pylist()
+    level = [(i, x) for i, own in enumerate(nodes) for x in own]
+    for depth in range(6):
+        buckets = collections.defaultdict(set)
+        for i, node in level:
+            buckets[node].add(i)
+        level = sorted((i, node) for i, node in level if len(buckets[node]) > 1)
+        if depth < 5:
+            at, node = (np.array(x, dtype=np.int64) for x in zip(*level, strict=True))
+            entry, made = jaccard_join._below(values, first, at, node)
+            level = list(zip(at[entry].tolist(), made.tolist(), strict=True))
+    met = [own for own in buckets.values() if len(own) > 1]
+    pairs = {min(s) // 2 for s in met if len({x // 2 for x in s}) == 1 and len(s) == 2}
     missed = 1 - len(pairs) / n
     want = (1 - jaccard_join._chance(8 / 9)) ** runs
     assert missed < want + 4 * (want * (1 - want) / n) ** 0.5
