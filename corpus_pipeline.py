@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from gridloom.llm.session import materialize
+from gridloom.llm.session import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; a stage's table goes once the next one
+    is written."""
+    scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        after = scratch.keep(stage(spark, docs, sf_dir), f"stage_{name}")
+        scratch.drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
