@@ -14,7 +14,8 @@ by the largest page.
 Edge cases: a null html is an empty payload; a null url gives no target. Record ids are
 derived from page_id, url and payload, so rows repeated whole have equal ids, and a
 rerun of a lost task gives the same ones. A response whose block isn't HTTP is taken as
-payload whole. Records of other types are passed over by ``derive``. Undecodable bytes
+payload whole; chunked, gzip and deflate bodies are decoded for the text, and the digest
+stays that of the payload as it came. Records of other types are passed over by ``derive``. Undecodable bytes
 of a payload become U+FFFD in the text only. Extra columns are ignored; an empty table
 gives an empty result.
 """
@@ -28,6 +29,7 @@ import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,19 +94,52 @@ def split_http(block: bytes) -> tuple[str | None, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The body of chunked transfer; what isn't well formed stays as it is."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        try:
+            size = int(data[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(data):
+            return data
+        if size == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def decoded(http: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The page's bytes, without transfer and content codings. A coding that isn't known
+    or doesn't hold leaves them as they are."""
+    of = {k.lower(): v.lower() for k, v in http}
+    body = _unchunked(payload) if of.get("transfer-encoding") == "chunked" else payload
+    try:
+        if of.get("content-encoding") in ("gzip", "x-gzip"):
+            return gzip.decompress(body)
+        if of.get("content-encoding") == "deflate":
+            return zlib.decompress(body)
+    except (OSError, EOFError, zlib.error):
+        pass
+    return body
+
+
 def derived(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response."""
     of = dict(headers)
     source = of["WARC-Record-ID"]
     status, http, payload = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    charset = re.search(r"charset=([\w-]+)", kind)
+    charset = re.search(r"charset\s*=\s*[\"']?([\w-]+)", kind, re.I)
+    body = decoded(http, payload)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     text = plain_text(page).encode()
-    carried = [(k, of[k]) for k in CARRIED if k in of]
+    carried = [(k, v) for k, v in headers if k in CARRIED]
     if "WARC-Payload-Digest" not in of:
         carried.append(("WARC-Payload-Digest", digest(payload)))
     refers = [("WARC-Refers-To", source)]

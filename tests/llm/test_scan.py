@@ -360,6 +360,9 @@ def test_lm_network_learns_from_every_training_row(docs, sample):
     scratch.close()
 
 
+PAGES = [(1, "http://e.org/a", "<html lang='fr'><head><title>T &amp; t</title><script>var x='<p>no</p>'</script></head><body><p>Un <b>deux</b></p><p>trois&nbsp;quatre<a href='/x?a=1&amp;b'>l</a><!-- <a href=z> --></body></html>"), (2, None, None), (3, "http://e.org/\r\nX: y", "no tags < at all"), (3, "u", "<p>unclosed <style>p{}"), (None, "u", "é")]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
     source = warc.responses(pages)
@@ -375,6 +378,17 @@ def test_warc_round_trip(spark, tmp_path):
         .collect())) == sorted(map(key, every.collect()))
 
 
+def test_warc_codings_and_repeated_headers():
+    page = "<p>caf\u00e9</p>".encode("latin-1")
+    chunked = lambda x: b"3\r\n" + x[:3] + b"\r\n" + f"{len(x) - 3:x};q\r\n".encode() + x[3:] + b"\r\n0\r\n\r\n"
+    for extra, body in (("", page), ("Transfer-Encoding: chunked\r\n", chunked(page)), ("Content-Encoding: gzip\r\n", gzip.compress(page)), ("Content-Encoding: deflate\r\nTransfer-Encoding: chunked\r\n", chunked(zlib.compress(page)))):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; Charset=\"ISO-8859-1\"\r\n{extra}\r\n".encode() + body
+        headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Payload-Digest", "sha1:A"), ("WARC-Payload-Digest", "md5:B")]
+        _, (own, text) = warc.derived(headers, block)
+        assert text.decode() == "caf\u00e9" and [v for k, v in own if k == "WARC-Payload-Digest"] == ["sha1:A", "md5:B"]
+    assert warc.decoded([("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")], b"zz\r\nno") == b"zz\r\nno"
+
+
 def test_warc_links_and_text(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     source = {dict(map(tuple, r.headers))["WARC-Record-ID"]: (r, dict(map(tuple, r.headers))) for r in warc.responses(pages).collect()}
@@ -392,6 +406,9 @@ def test_warc_links_and_text(spark):
             if r.page_id == 1:
                 assert about["links"] == ["/x?a=1&b"] and about["title"] == "T & t" and about["lang"] == "fr" and about["http-status"] == "HTTP/1.1 200 OK"
     assert warc.derive(warc.responses(pages.where("page_id < 0"))).count() == 0
+    more = spark.createDataFrame([(1, "u", "<p>a</p>", 7, "x"), (1, "u", "<p>a</p>", 7, "x"), (2, "v", "<p>long " + "word " * 200_000 + "</p>", 7, "x")], "page_id long, url string, html string, block int, headers string")
+    found = warc.derive(warc.responses(more)).where("warc_type = 'conversion'").collect()
+    assert sorted(len(r.text) for r in found) == [1, 1, 1_000_004] and len({r.record_id for r in found}) == 2
     assert warc.derive(warc.derive(warc.responses(pages))).count() == 0
 
 
