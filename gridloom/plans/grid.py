@@ -1,9 +1,10 @@
-"""Whole grids: a vectorised kernel over parameter combinations, a task per gap chunk.
+"""Whole grids: a vectorised kernel over parameter combinations, a task per gap and block of
+momentum periods.
 
 The declarative plan in ``market`` carries a row per combination and week; a grid of
 tens of millions of combinations can't. Here a task gets the market's matrices (a few
-MB, checked), computes the gap states of its gaps, and folds all (momentum, signal)
-combinations of a gap at once, a vol gate at a time. Vol periods with identical gates
+MB, checked), computes the gap states of its gap, and folds all (momentum, signal)
+combinations of its block at once, a vol gate at a time. Vol periods with identical gates
 share one fold. With ``top_k`` a task returns its best rows only, which is exact because
 a global leader leads its own task.
 """
@@ -24,6 +25,8 @@ from gridloom.plans.market import Market
 
 #: Candles that may be sent to every task: 40 tickers of 2,900 sessions are 116,000.
 MOST_CANDLES = 5_000_000
+#: Momentum periods that a task folds together.
+BLOCK = 16
 
 
 def matrices(m: Market) -> dict:
@@ -187,14 +190,18 @@ def grid_results(m: Market, grid: Grid, costs: Costs, top_k: int | None = None,
     sent = spark.sparkContext.broadcast(data)
     columns = [x.split()[0] for x in schemas.RESULT.split(", ")]
 
+    # A task per gap and block of momentum periods: even, and as many as the grid is large.
+    wide = -(-len(grid.momenta) // BLOCK)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = sent.value
-        score, gate = scores(data, grid.momenta), gates(data, grid.vols)
+        gate = gates(data, grid.vols)
         names = np.array([*data["names"], "CASH"])
-        pm, ps = (x.ravel() for x in np.meshgrid(grid.momenta, grid.signals, indexing="ij"))
         for batch in batches:
-            for gap in batch["gap"]:
-                state = states(data, int(gap), grid.signals)
+            for unit in batch["id"]:
+                gap, momenta = grid.gaps[int(unit) // wide], grid.momenta[int(unit) % wide * BLOCK :][:BLOCK]
+                score, state = scores(data, momenta), states(data, gap, grid.signals)
+                pm, ps = (x.ravel() for x in np.meshgrid(momenta, grid.signals, indexing="ij"))
                 for members in groups(gate).values():
                     found = simulate(score, state, gate[members[0]], data, costs)
                     held = found.pop("held")
@@ -207,8 +214,8 @@ def grid_results(m: Market, grid: Grid, costs: Costs, top_k: int | None = None,
                     for k in members:
                         yield frame.assign(vol_period=grid.vols[k])[columns]
 
-    gaps = spark.createDataFrame([(g,) for g in grid.gaps], "gap int").repartition(len(grid.gaps), "gap")
-    rows = gaps.mapInPandas(run, schemas.RESULT)
+    units = len(grid.gaps) * wide
+    rows = spark.range(0, units, 1, units).mapInPandas(run, schemas.RESULT)
     return rows if top_k is None else best_rows(rows, top_k)
 
 
