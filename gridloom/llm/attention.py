@@ -73,15 +73,6 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _by_group(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, its rows) for each group there is."""
-    order = np.argsort(kind, kind="stable")
-    cuts = np.flatnonzero(np.diff(kind[order])) + 1
-    for own in np.split(order, cuts):
-        if len(own):
-            yield int(kind[own[0]]), own
-
-
 @dataclass
 class Words:
     """Distinct words of some texts: their subword ids ``flat[first[i] : first[i + 1]]``
@@ -161,11 +152,17 @@ class Attention:
         has nothing before it."""
         p, (b, n, d) = self.p, x.shape
         flat = x.reshape(-1, d)
-        q, k, v = ((flat @ p[w]).reshape(b, n, d) for w in ("query", "key", "value"))
-        over = lambda y: np.concatenate([np.concatenate([np.zeros((1, n, d), y.dtype), y[:-1]]), y], axis=1)
-        kk, vv = over(k), over(v)
+        every = (flat @ np.concatenate([p[w] for w in ("query", "key", "value")], axis=1)).reshape(b, n, 3 * d)
+        q = every[:, :, :d] * every.dtype.type(1 / np.sqrt(d))
+
+        def over(y: np.ndarray) -> np.ndarray:  # with the block before
+            out = np.zeros((b, 2 * n, d), y.dtype)
+            out[:, n:] = y
+            out[1:, :n] = y[:-1]
+            return out
+
+        kk, vv = over(every[:, :, d : 2 * d]), over(every[:, :, 2 * d :])
         a = q @ kk.transpose(0, 2, 1)
-        a *= a.dtype.type(1 / np.sqrt(d))
         a += p["away"][np.maximum(_AWAY, 0)] + _FUTURE
         alone = begins.copy()
         alone[:1] = True
@@ -182,12 +179,18 @@ class Attention:
         z = y @ p["groups"]
         z += p["group_bias"]
         z -= z.max(axis=1, keepdims=True)
-        out = (z[rows, kind] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
-        for k, own in _by_group(kind):
-            z = y[own] @ p["classes"][k]
-            z += p["class_bias"][k]
-            z -= z.max(axis=1, keepdims=True)
-            out[own] += z[np.arange(len(own)), target[own] % CLASSES] - np.log(np.exp(z).sum(axis=1))
+        out = z[rows, kind].astype(np.float64)
+        out -= np.log(np.exp(z, out=z).sum(axis=1))
+        order = np.argsort(kind, kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(len(p["class_bias"]) + 1)).tolist()
+        own, z = y[order], np.empty((len(y), CLASSES), y.dtype)
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if j > i:
+                np.matmul(own[i:j], p["classes"][k], out=z[i:j])
+                z[i:j] += p["class_bias"][k]
+        z -= z.max(axis=1, keepdims=True)
+        more = z[rows, target[order] % CLASSES].astype(np.float64)
+        out[order] += more - np.log(np.exp(z, out=z).sum(axis=1))
         return out
 
     def step(self, x: np.ndarray, begins: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -203,37 +206,48 @@ class Attention:
         e[rows, kind] -= 1
         e /= m
         g["groups"], g["group_bias"] = y.T @ e, e.sum(axis=0)
-        dy_own = e @ p["groups"].T
-        for k, part in _by_group(kind):
-            e = _softmax(y[part] @ p["classes"][k] + p["class_bias"][k])
-            at = np.arange(len(part)), t[part] % CLASSES
-            loss -= np.log(e[at] + 1e-30).sum()
-            e[at] -= 1
-            e /= m
-            g["classes"][k], g["class_bias"][k] = y[part].T @ e, e.sum(axis=0)
-            dy_own[part] += e @ p["classes"][k].T
         dy = np.zeros_like(f["y"])
-        dy[own] = dy_own
+        dy[own] = e @ p["groups"].T
+        # All classes' logits at once, in the order of groups.
+        order = np.argsort(kind, kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(len(p["class_bias"]) + 1)).tolist()
+        sorted_y, z = y[order], np.empty((len(y), CLASSES), y.dtype)
+        spans = [(k, i, j) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        for k, i, j in spans:
+            np.matmul(sorted_y[i:j], p["classes"][k], out=z[i:j])
+            z[i:j] += p["class_bias"][k]
+        e, at = _softmax(z), (rows, t[order] % CLASSES)
+        loss -= np.log(e[at] + 1e-30).sum()
+        e[at] -= 1
+        e /= m
+        more = np.empty_like(sorted_y)
+        for k, i, j in spans:
+            g["classes"][k], g["class_bias"][k] = sorted_y[i:j].T @ e[i:j], e[i:j].sum(axis=0)
+            np.matmul(e[i:j], p["classes"][k].T, out=more[i:j])
+        dy[own[order]] += more
         g["out"] = f["r"].T @ dy
         du = (dy @ p["out"].T) * (f["r"] > 0)
         g["in"], g["in_bias"] = f["h"].T @ du, du.sum(axis=0)
         dh = (dy + du @ p["in"].T).reshape(b, n, d)
         a = f["a"]
-        da, dvv = dh @ f["vv"].transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        ds, dvv = dh @ f["vv"].transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+        ds *= a
         g["away"] = np.bincount(np.maximum(_AWAY, 0).ravel(), (ds.sum(axis=0) * (_AWAY >= 0)).ravel(), CONTEXT).astype(p["away"].dtype)
-        ds *= ds.dtype.type(1 / np.sqrt(d))
-        dq, dkk = ds @ f["kk"], ds.transpose(0, 2, 1) @ f["q"]
-
-        def back(z: np.ndarray) -> np.ndarray:  # of a block, as itself and as the one before
-            out = z[:, n:].copy()
-            out[:-1] += z[1:, :n]
-            return out.reshape(-1, d)
-
-        dx = dh.reshape(-1, d).copy()
-        for w, z in (("query", dq.reshape(-1, d)), ("key", back(dkk)), ("value", back(dvv))):
-            g[w] = f["x"].T @ z
-            dx += z @ p[w].T
+        dkk = ds.transpose(0, 2, 1) @ f["q"]
+        every = np.empty((b, n, 3 * d), dy.dtype)
+        every[:, :, :d] = ds @ f["kk"]
+        every[:, :, :d] *= every.dtype.type(1 / np.sqrt(d))
+        for i, z in ((1, dkk), (2, dvv)):  # of a block, as itself and as the one before
+            own_part = every[:, :, i * d : (i + 1) * d]
+            own_part[:] = z[:, n:]
+            own_part[:-1] += z[1:, :n]
+        every = every.reshape(-1, 3 * d)
+        names = ("query", "key", "value")
+        moved = f["x"].T @ every
+        for i, w in enumerate(names):
+            g[w] = np.ascontiguousarray(moved[:, i * d : (i + 1) * d])
+        dx = dh.reshape(-1, d) + every @ np.concatenate([p[w] for w in names], axis=1).T
         return float(loss / m), g, dx
 
     def follow(self, texts: Iterator[tuple[Words, Blocks]], rate: float, batch: int = 64, seed: int = 13) -> tuple[np.ndarray, float]:

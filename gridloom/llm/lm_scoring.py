@@ -45,12 +45,12 @@ from gridloom.llm.session import Scratch, tune
 HEAD = 100_000
 ROUNDS = 4
 RATE = 0.02  # of the first round; it falls to an eighth in the last
-BATCH = 256  # blocks in a gradient step
+BATCH = 512  # blocks in a gradient step
 SPREAD = 32
 FOLDS = 10
 END = 50_256  # the vocabulary's own end-of-text id
 IDS = 50_257
-HELD = 1_000_000  # distinct words a task holds before it passes their counts on
+HELD = 1_000_000  # words with counts that a task holds before it sums them or passes them on
 
 
 def fold(doc_id, n: int = FOLDS):
@@ -144,7 +144,12 @@ def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread, met, texts = np.zeros((IDS, SPREAD), dtype=np.float32), np.zeros(IDS, dtype=bool), 0
-        keys, counts, anchors = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, at, inverse = np.unique(np.concatenate([k for k, *_ in held]), return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([n for _, n, _ in held]), len(keys)).astype(np.int64)
+            return keys, counts, np.concatenate([a for *_, a in held])[at]
 
         def made(*columns) -> pa.RecordBatch:
             m = max(len(c) for c in columns if c is not None)
@@ -156,14 +161,15 @@ def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -
             spread[own] += rows
             met[own] = True
             texts += batch.num_rows
-            every = np.concatenate([keys, read.keys])
-            keys, at, inverse = np.unique(every, return_index=True, return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, read.counts[:-1]]), len(keys)).astype(np.int64)
-            anchors = np.concatenate([anchors, read.distinct.anchor[:-1]])[at]
-            if len(keys) > HELD:
-                yield made(keys.view(np.int64), anchors, counts, None, None)
-                keys, counts, anchors = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
+            held.append((read.keys, read.counts[:-1], read.distinct.anchor[:-1]))
+            if sum(len(k) for k, *_ in held) > HELD:
+                keys, counts, anchors = summed()
+                held = [(keys, counts, anchors)]
+                if len(keys) > HELD // 2:
+                    yield made(keys.view(np.int64), anchors, counts, None, None)
+                    held = []
+        if held:
+            keys, counts, anchors = summed()
             yield made(keys.view(np.int64), anchors, counts, None, None)
         own = np.flatnonzero(met)
         if len(own):
