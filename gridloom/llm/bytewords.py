@@ -8,8 +8,9 @@ the constants come from a fixed seed, so every process computes the same values.
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,6 +81,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive a task and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The same rows, in batches whose texts have about ``size`` bytes or one row."""
     for batch in batches:
@@ -91,7 +107,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # workers outlive a task and share an executor
+        pa.default_memory_pool().release_unused()
+    release()
 
 
 @dataclass

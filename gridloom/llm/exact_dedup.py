@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import bytewords as bw
 from gridloom.llm.session import Scratch, if_small, tune, unused
 
 FAN_IN = 16
@@ -133,19 +134,19 @@ def merged_runs(found: DataFrame, keep: str = "max", fan_in: int = FAN_IN) -> Da
             if at:
                 yield from _chunks(held, at[0], slices)
 
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in round_(batches):
+                for records in batch.column(3).to_pylist():
+                    x = np.frombuffer(records, dtype=RECORD)
+                    digest = pa.array([_head(r) for r in x], pa.binary())
+                    yield pa.RecordBatch.from_arrays([digest, pa.array(x["size"]), pa.array(x["check"]), pa.array(x["keep"], mask=~x["named"]), pa.array(x["n"])], ["digest", "size", "check", "keep", "n"])
+            bw.release()
+
         group = F.floor(F.col("origin") / fan_in).cast("int").alias("origin")
-        runs = runs.select(group, "slice", "head", "records").repartition(slices, "origin", "slice").sortWithinPartitions("origin", "slice", "head").mapInArrow(round_, RUN)
+        dealt = runs.select(group, "slice", "head", "records").repartition(slices, "origin", "slice").sortWithinPartitions("origin", "slice", "head")
         if groups == 1:
-            break
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for records in batch.column(0).to_pylist():
-                x = np.frombuffer(records, dtype=RECORD)
-                digest = pa.array([_head(r) for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([digest, pa.array(x["size"]), pa.array(x["check"]), pa.array(x["keep"], mask=~x["named"]), pa.array(x["n"])], ["digest", "size", "check", "keep", "n"])
-
-    return runs.select("records").mapInArrow(unpack, "digest binary, size long, check long, keep long, n long")
+            return dealt.mapInArrow(last, "digest binary, size long, check long, keep long, n long")
+        runs = dealt.mapInArrow(round_, RUN)
 
 
 def _grouped(docs: DataFrame, keep: str, scratch: Scratch) -> DataFrame:

@@ -246,6 +246,7 @@ def _split(large: DataFrame, texts: list[DataFrame], n: int) -> DataFrame:
                 sid, root = (part.column(i).to_numpy(zero_copy_only=False)[at[entry]] for i in (1, 2))
                 columns = [made, sid, root, node[entry], size[entry]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "sid", "root", "above", "parent"])
+        bw.release()
 
     rows = _all([t.join(entries, "sid").select("z", "sid", "root", "entries") for t in texts])
     return rows.mapInArrow(run, "node long, sid long, root long, above long, parent long")
@@ -280,9 +281,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
                 held.append(batch.slice(0, last))
             yield cut(held)
             held = []
+            pa.default_memory_pool().release_unused()
         held.append(batch.slice(last))
     if held:
         yield cut(held)
+    bw.release()
 
 
 def _labels(links: np.ndarray) -> np.ndarray:
@@ -481,6 +484,7 @@ def _differences(members: DataFrame, n: int) -> DataFrame:
                 if rows:
                     columns = [*zip(*rows, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names)
+        bw.release()
 
     rows = members.select("part", "root", "sid", "copies", "lead", "z").repartition("part").sortWithinPartitions("part", "lead")
     return rows.mapInArrow(run, "root long, sid long, copies long, size long, lost long, base long, d binary")

@@ -266,6 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_by
         order = sorted(texts, key=lambda k: (k, texts[k]))
         made = learn([texts[k][0] for k in order], np.array([texts[k][1] for k in order], dtype=np.int64), counts)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["scorer"])
+        del texts, made
+        bw.release()
 
     # The bounded sample is fitted in one task, which spares the driver's memory.
     rows = picked.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(fit_once, "scorer binary").collect()
