@@ -661,7 +661,7 @@ def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.query(
         """SELECT decision_date, ticker, unnest(list_filter([CASE WHEN ticker_idx = 1 AND score IS NOT NULL THEN 'momentum' END, CASE WHEN ticker_idx = 2 THEN 'gap_state' END,
           CASE WHEN day(decision_date) = 1 AND target IS NOT NULL THEN 'selected_top1' END], lambda x: x IS NOT NULL)) AS "column"
-        FROM sch JOIN c ON c.date = decision_date JOIN st USING (ticker_idx, seq) JOIN mom USING (ticker_idx, seq) JOIN vol USING (ticker_idx, seq) JOIN tgt USING (week_idx)""",
+        FROM sch JOIN c ON c.date = decision_date LEFT JOIN st USING (ticker_idx, seq) JOIN mom USING (ticker_idx, seq) JOIN vol USING (ticker_idx, seq) JOIN tgt USING (week_idx)""",
         *o.grid_parts(ONE),
     )
 )
