@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_scoring, packing, substring_dedup, token_counts, toxicity, warc
+from gridloom.llm import decontaminate, exact_dedup, fingerprint, jaccard_join, language_id, lexical_search, lm_scoring, packing, spelling, substring_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -88,6 +100,56 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
+# crc32 byte by byte with its table; words one edit apart share a form with a gap.
+_OP12 = r"""
+WITH RECURSIVE
+t256 AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(0, 256)) AS i)),
+r AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [(192 + (ord(x) >> 6))::BIGINT, (128 + (ord(x) & 63))::BIGINT] END))),
+         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM r, t256),
+c AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM h GROUP BY 1),
+w AS (SELECT word, n FROM c WHERE length(word) >= 6 AND n >= 5),
+g AS (SELECT word, n, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM g x JOIN g y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.a || g.b = w.word
+  UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.a || g.b = w.word),
+s AS (SELECT word, count(*) AS n_near, max(m) AS most FROM p GROUP BY 1),
+best AS (SELECT p.word, min(other) AS best FROM p JOIN s ON p.word = s.word AND p.m = s.most GROUP BY 1),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN best END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n
+  FROM w LEFT JOIN s ON w.word = s.word LEFT JOIN best ON w.word = best.word),
+up AS (
+  SELECT word, word AS root FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, up.root FROM f JOIN up ON f.form = up.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN up ON f.word = up.word
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, len(ws) AS n, ws
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)
+  WHERE len(ws) > 0),
+total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+a AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(ws) AS term FROM b) GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * max(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY term),
+s AS (
+  SELECT q, item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM p JOIN a USING (term) JOIN w USING (term) JOIN (SELECT r, n FROM d) USING (r), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN (SELECT r, doc_id FROM d) USING (r) WHERE score > 0)
+WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op5_exact_dedup": _OP5}
+    return {"op3_decontamination": _OP3, "op5_exact_dedup": _OP5, "op12_spelling_variants": _OP12, "op13_ranked_search": _OP13}
