@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date
+from typing import Any
 
 # Accepted ranges of the parameters.
 MAX_PERIOD = 5000
@@ -90,3 +92,42 @@ def required_warmup(gap: int, signal: int, momentum: int, vol: int, margin: int
     """Sessions a ticker needs before the start for every indicator to be defined."""
     Grid((gap,), (signal,), (momentum,), (vol,))
     return max(gap + signal + 2, momentum + 1, vol + 2) + margin
+
+
+@dataclass(frozen=True)
+class Setting:
+    """A value, and the layer that it comes from."""
+
+    value: Any
+    source: str
+
+
+def layered(name: str, cast: Callable[[Any], Any], argument: Any, variable: str, environment: Mapping[str, str], metadata: Mapping[str, Any]) -> Setting:
+    """The first layer that has a value: the argument, the environment's variable (an
+    empty one is none), the metadata's field of that name. A value that can't be cast
+    fails where it stands, and so does a setting without any."""
+    layers = (("argument", argument), ("environment", environment.get(variable) or None), ("metadata", metadata.get(name)))
+    for source, value in layers:
+        if value is not None:
+            try:
+                return Setting(cast(value), source)
+            except (TypeError, ValueError) as e:
+                raise ValueError(f"{name}: {value!r} of the {source} can't be used") from e
+    raise ValueError(f"{name} is in neither argument, environment ({variable}) nor metadata")
+
+
+# What the metadata of a snapshot must tell, and the environment's variables.
+SNAPSHOT_FIELDS = ("upstream_sha", "universe_sha256", "requested_end")
+VARIABLES = {"shards": "SHARDS", "fee_bps": "FEE_BPS", "slippage_bps": "SLIPPAGE_BPS", "odd_lot_extra_bps": "ODD_LOT_EXTRA_BPS"}
+RUN_VARIABLES = {"github_run_id": "GITHUB_RUN_ID", "optimizer_sha": "GITHUB_SHA", "github_repository": "GITHUB_REPOSITORY"}
+
+
+def expected_provenance(environment: Mapping[str, str], snapshot: Mapping[str, Any]) -> dict[str, str]:
+    """What all shards of the run at hand must tell, from the environment and the
+    snapshot's metadata, which must have passed their own audit."""
+    if snapshot.get("status") != "PASS":
+        raise ValueError("the snapshot's metadata aren't in PASS")
+    if absent := [k for k in SNAPSHOT_FIELDS if not str(snapshot.get(k) or "")]:
+        raise ValueError(f"the snapshot's metadata have no {', '.join(absent)}")
+    out = {k: environment.get(v, "") for k, v in RUN_VARIABLES.items()}
+    return out | {f"snapshot_{k}": str(snapshot[k]) for k in SNAPSHOT_FIELDS}

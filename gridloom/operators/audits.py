@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.money import close_to
 from gridloom.operators.ranking import COMBO
 from gridloom.operators.replay import filled_closes
+from gridloom.sources.candles import calendar_gate  # noqa: F401  (kept under its earlier name)
 
 
 class AuditError(RuntimeError):
@@ -135,6 +138,92 @@ def snapshot(candles: DataFrame, calendar: DataFrame, start: str, end: str, leas
     return met.select("ticker", F.explode(why).alias("problem"))
 
 
+@dataclass(frozen=True)
+class SnapshotLimits:
+    """Bounds of a usable snapshot: tickers, rows a ticker, share of sessions, days that a
+    ticker, the calendar or the newest candle may lag, and what counts as an extreme move."""
+
+    tickers: int = 40
+    least_rows: int = 300
+    least_ratio: float = 0.95
+    most_stale: int = 10
+    most_lag: int = 4
+    extreme: float = 3.0
+    near_days: int = 5
+
+
+BLOCKING, DIAGNOSTIC = "blocking", "diagnostic"
+
+
+def snapshot_rules(raw: DataFrame, calendar: DataFrame, universe: DataFrame, events: DataFrame, start: str, requested_end: str, limits: SnapshotLimits | None = None, must: tuple[str, ...] = (), must_not: tuple[str, ...] = ()) -> DataFrame:
+    """(ticker, rule, severity, evidence): all that is wrong with a snapshot as its files
+    are. ``raw``: (ticker, row, date, open, close) of the candle files, nothing cleaned;
+    ``universe``: (ticker), repeated where the list repeats it; ``events``: the
+    corporate-action overrides. A null ticker stands for the set. Moves are diagnostic,
+    all else blocks.
+
+    The candles are passed once: one window by ticker in file order and one aggregation."""
+    limits, number = limits or SnapshotLimits(), lambda c: F.col(c).try_cast("double")
+    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(requested_end))
+    good = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False)) & ~F.isnan(c)
+    line = Window.partitionBy("ticker").orderBy("row")
+    rows = raw.select(F.upper("ticker").alias("ticker"), "row", F.substring("date", 1, 10).try_cast("date").alias("day"), number("open").alias("open"), number("close").alias("close"))
+    rows = rows.select("*", F.lag("day").over(line).alias("before"), (F.col("close") / F.nullif(F.lag("close").over(line), F.lit(0.0))).alias("ratio"))
+    span = F.broadcast(calendar.agg(F.max(F.when(F.col("session_date").between(first, last), F.col("session_date"))).alias("official_end"), F.count_if(F.col("session_date").between(first, last)).alias("sessions")))
+    known = F.broadcast(calendar.select(F.col("session_date").alias("day"), F.lit(True).alias("session")))
+    near = F.broadcast(events.groupBy(F.upper("ticker").alias("ticker")).agg(F.collect_list(F.col("ex_date").try_cast("date")).alias("ex_dates")))
+    rows = rows.join(known, "day", "left").join(near, "ticker", "left").crossJoin(span)
+    moved = F.coalesce((F.col("ratio") > limits.extreme) | (F.col("ratio") < 1 / limits.extreme), F.lit(False))
+    explained = F.coalesce(F.exists("ex_dates", lambda d: F.abs(F.datediff(d, F.col("day"))) <= limits.near_days), F.lit(False))
+    own = rows.groupBy("ticker").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("day").isNull()).alias("bad_dates"),
+        F.count_if(F.col("before") >= F.col("day")).alias("disorder"),
+        F.count_if(~good("open") | ~good("close")).alias("bad_prices"),
+        F.count_if(F.col("day").isNotNull() & F.col("session").isNull()).alias("outside"),
+        F.max("day").alias("end"),
+        F.count_distinct(F.when(F.col("session") & F.col("day").between(first, F.col("official_end")), F.col("day"))).alias("met"),
+        F.count_if(moved).alias("moves"),
+        F.count_if(moved & ~explained).alias("unexplained"),
+    )
+    listed = universe.groupBy(F.upper("ticker").alias("ticker")).agg(F.count("*").alias("times"))
+    both = listed.join(own, "ticker", "left").crossJoin(span)
+    ratio, stale = F.coalesce("met", F.lit(0)) / F.col("sessions"), F.datediff("official_end", "end")
+    there = F.col("rows").isNotNull()
+    problem = lambda rule, bad, evidence, severity=BLOCKING: F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), evidence.cast("string").alias("evidence")))
+    some = lambda rule, c, severity=BLOCKING: problem(rule, F.coalesce(F.col(c), F.lit(0)) > 0, F.col(c), severity)
+    rules = [
+        problem("repeated in the universe", F.col("times") > 1, F.col("times")),
+        problem("no candles", ~there, F.lit(None)),
+        some("dates", "bad_dates"),
+        some("order", "disorder"),
+        some("prices", "bad_prices"),
+        some("outside the calendar", "outside"),
+        problem("history", there & (F.col("rows") < limits.least_rows), F.col("rows")),
+        problem("coverage", there & (ratio < limits.least_ratio), F.col("met")),
+        problem("stale", there & (stale > limits.most_stale), stale),
+        some("extreme moves", "moves", DIAGNOSTIC),
+        some("moves without an override", "unexplained", DIAGNOSTIC),
+    ]
+    per_ticker = both.select("ticker", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("p")).select("ticker", "p.*")
+    names = listed.agg(F.count("*").alias("n"), F.sum("times").alias("times"), F.collect_list(F.when(F.col("ticker").isin(*must, *must_not), F.col("ticker"))).alias("named"))
+    newest = own.join(listed, "ticker", "left_semi").agg(F.max("end").alias("newest"))
+    whole = names.crossJoin(newest).crossJoin(span)
+    missed = F.size(F.filter("named", lambda x: x.isin(*must))) != len(must)
+    lag, behind = F.datediff(last, "official_end"), F.datediff("official_end", "newest")
+    set_rules = [
+        problem("universe", (F.col("n") != limits.tickers) | (F.col("times") != F.col("n")), F.col("times")),
+        problem("universe members", missed | F.exists("named", lambda x: x.isin(*must_not)), F.array_join(F.array_sort("named"), ",")),
+        problem("calendar", F.col("sessions") == 0, F.col("sessions")),
+        problem("calendar lag", F.coalesce(lag > limits.most_lag, F.lit(False)), lag),
+        problem("candle lag", F.coalesce(behind > limits.most_lag, F.lit(False)), behind),
+    ]
+    of_set = whole.select(F.lit(None).cast("string").alias("ticker"), F.explode(F.filter(F.array(*set_rules), lambda x: x.isNotNull())).alias("p")).select("ticker", "p.*")
+    wrong = overrides(events, universe.select("ticker").distinct())
+    of_events = wrong.select(F.upper("ticker").alias("ticker"), F.concat(F.lit("override: "), "problem").alias("rule"), F.lit(BLOCKING).alias("severity"), F.col("ex_date").alias("evidence"))
+    return per_ticker.unionByName(of_set).unionByName(of_events)
+
+
 def extreme_moves(candles: DataFrame, overrides: DataFrame, ratio: float = 3.0, days: int = 5) -> DataFrame:
     """Closes that moved by more than ``ratio`` either way, and whether an override of
     the ticker lies within so many days. Overrides are a short hand-kept list."""
@@ -234,11 +323,3 @@ def golden_indicators(golden_rows: DataFrame, decisions: DataFrame) -> DataFrame
     unknown = F.struct(F.lit("context").alias("column"), F.lit("known").alias("expected"), F.lit(None).cast("string").alias("found"))
     every = F.when(F.col("known").isNull(), F.array(unknown)).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
     return met.select("decision_date", "ticker", F.explode(every).alias("d")).select("decision_date", "ticker", "d.*")
-
-
-def calendar_gate(calendar: DataFrame, meta: dict, sha256: str, requested_end: str) -> list[str]:
-    """Problems of a calendar against its metadata."""
-    row = calendar.agg(F.min("session_date").cast("string").alias("first_session"), F.max("session_date").cast("string").alias("last_session"), F.count("*").alias("session_count")).first()
-    wanted = row.asDict() | {"status": "PASS", "requested_end": requested_end, "calendar_sha256": sha256}
-    found = [f"{k}: {meta.get(k)!r} is not {v!r}" for k, v in wanted.items() if meta.get(k) != v]
-    return found + ["a session after the end"] * bool(row["last_session"] and row["last_session"] > requested_end)

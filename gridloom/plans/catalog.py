@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom import schemas
 from gridloom.config import Costs, Grid, required_warmup
 from gridloom.functions.money import affordable
 from gridloom.operators import audits, indicators, metrics, portfolio, ranking, replay, robustness, schedule, topk
@@ -542,6 +543,70 @@ def extreme_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.extreme_moves(_candles(spark, sf_dir), events).select("ticker", "date", _r("close_ratio"), "near_override")
 
 
+_EVENTS = [
+    ("T1", "1996-06-01", "1996-05-31", 2.0, "split", "exchange", "https://example.org/1"),
+    ("T9", "1996-06-01", "1996-05-31", 2.0, "split", "exchange", "https://example.org/2"),
+    ("T2", "1997-03-03", "1997-03-03", 1.0, "split", " ", "http://example.org/3"),
+    ("T3", "1998-01-05", "1998-01-02", None, "split", "exchange", "https://example.org/4"),
+]
+
+_SPOILT_CANDLES = """raw AS (
+  SELECT ticker, seq, CASE WHEN ticker = 'T2' AND seq % 150 = 149 THEN date - 40 ELSE date END AS day, CASE WHEN ticker = 'T6' AND seq % 200 = 3 THEN open * -1 ELSE open END AS open, CASE WHEN ticker = 'T1' AND seq % 100 = 0 THEN NULL ELSE close END AS close
+  FROM c WHERE ticker <> 'T5' AND (ticker <> 'T3' OR date <= DATE '1998-01-31') AND (ticker <> 'T4' OR seq < 250)),
+few AS (SELECT session_date FROM cal WHERE session_idx % 50 <> 7),
+span AS (SELECT max(session_date) AS official_end, count(*) AS sessions FROM few WHERE session_date BETWEEN DATE '1996-01-01' AND DATE '1998-08-09'),
+lagged AS (SELECT *, lag(day) OVER w AS before, close / lag(close) OVER w AS ratio FROM raw WINDOW w AS (PARTITION BY ticker ORDER BY seq)),
+own AS (
+  SELECT ticker, count(*) AS rows, count(*) FILTER (before >= day) AS disorder, count(*) FILTER (close IS NULL OR open <= 0) AS bad_prices, count(*) FILTER (session_date IS NULL) AS outside, max(day) AS last,
+    count(DISTINCT day) FILTER (session_date IS NOT NULL AND day BETWEEN DATE '1996-01-01' AND official_end) AS met, count(*) FILTER (moved) AS moves, count(*) FILTER (moved AND NOT coalesce(abs(ex - day) <= 5, false)) AS unexplained
+  FROM (SELECT *, ratio > 3.0 OR ratio < 1 / 3.0 AS moved FROM lagged) LEFT JOIN few ON session_date = day LEFT JOIN (VALUES ('T1', DATE '1996-06-01'), ('T2', DATE '1997-03-03'), ('T3', DATE '1998-01-05')) e(t, ex) ON t = ticker, span GROUP BY ticker)"""
+
+
+@_query(
+    o.query(
+        """SELECT t.ticker, x.rule, CASE WHEN x.rule LIKE '%moves%' THEN 'diagnostic' ELSE 'blocking' END AS severity, x.evidence FROM (
+          SELECT u.ticker, unnest(list_filter([
+            CASE WHEN u.ticker = 'T7' THEN {'rule': 'repeated in the universe', 'evidence': '2'} END,
+            CASE WHEN rows IS NULL THEN {'rule': 'no candles', 'evidence': NULL} END,
+            CASE WHEN disorder > 0 THEN {'rule': 'order', 'evidence': CAST(disorder AS VARCHAR)} END,
+            CASE WHEN bad_prices > 0 THEN {'rule': 'prices', 'evidence': CAST(bad_prices AS VARCHAR)} END,
+            CASE WHEN outside > 0 THEN {'rule': 'outside the calendar', 'evidence': CAST(outside AS VARCHAR)} END,
+            CASE WHEN rows < 300 THEN {'rule': 'history', 'evidence': CAST(rows AS VARCHAR)} END,
+            CASE WHEN met / sessions < 0.5 THEN {'rule': 'coverage', 'evidence': CAST(met AS VARCHAR)} END,
+            CASE WHEN official_end - last > 10 THEN {'rule': 'stale', 'evidence': CAST(official_end - last AS VARCHAR)} END,
+            CASE WHEN moves > 0 THEN {'rule': 'extreme moves', 'evidence': CAST(moves AS VARCHAR)} END,
+            CASE WHEN unexplained > 0 THEN {'rule': 'moves without an override', 'evidence': CAST(unexplained AS VARCHAR)} END], lambda x: x IS NOT NULL)) AS x
+          FROM (SELECT DISTINCT ticker FROM c) u LEFT JOIN own ON own.ticker = u.ticker, span) t
+        UNION ALL SELECT NULL, 'universe', 'blocking', '9'
+        UNION ALL SELECT NULL, 'universe members', 'blocking', 'T0,T1'
+        UNION ALL SELECT NULL, 'calendar lag', 'blocking', CAST(DATE '1998-08-09' - official_end AS VARCHAR) FROM span WHERE DATE '1998-08-09' - official_end > 4
+        UNION ALL SELECT NULL, 'candle lag', 'blocking', CAST(official_end - last AS VARCHAR) FROM span, (SELECT max(last) AS last FROM own) WHERE official_end - last > 4
+        UNION ALL SELECT v.t, 'override: ' || v.p, 'blocking', v.d FROM (VALUES ('T9', '1996-06-01', 'not in universe'), ('T2', '1997-03-03', 'ratio'), ('T2', '1997-03-03', 'dates'), ('T2', '1997-03-03', 'authority'), ('T2', '1997-03-03', 'source'), ('T3', '1998-01-05', 'missing field'), ('T3', '1998-01-05', 'ratio')) v(t, d, p)""",
+        _SPOILT_CANDLES,
+    )
+)
+def snapshot_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On candles that are spoilt ticker by ticker: prices that aren't numbers or not
+    positive, dates out of order, a ticker that ends early, a short one and one without
+    candles; with a calendar that lacks sessions and ends early, a universe that repeats a
+    ticker, and broken overrides."""
+    m = _market(spark, sf_dir)
+    bad = lambda ticker, every, at: (F.col("ticker") == ticker) & (F.col("seq") % every == at)
+    kept = m.candles.where("ticker <> 'T5' and (ticker <> 'T3' or date <= '1998-01-31') and (ticker <> 'T4' or seq < 250)")
+    raw = kept.select(
+        F.lower("ticker").alias("ticker"),
+        F.col("seq").alias("row"),
+        F.when(bad("T2", 150, 149), F.date_sub("date", 40)).otherwise(F.col("date")).cast("string").alias("date"),
+        F.when(bad("T6", 200, 3), -F.col("open")).otherwise(F.col("open")).cast("string").alias("open"),
+        F.when(bad("T1", 100, 0), "n/a").otherwise(F.col("close").cast("string")).alias("close"),
+    )
+    few = schedule.numbered(m.calendar).where("session_idx % 50 <> 7")
+    names = m.candles.select("ticker").distinct()
+    names = names.unionByName(names.where("ticker = 'T7'"))
+    events = spark.createDataFrame(_EVENTS, schemas.OVERRIDE)
+    return audits.snapshot_rules(raw, few, names, events, "1996-01-01", "1998-08-09", audits.SnapshotLimits(tickers=9, least_ratio=0.5), must=("T0", "T1"), must_not=("T1",))
+
+
 # Walk-forward and streams.
 
 
@@ -633,18 +698,8 @@ def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.snapshot(m.candles, m.calendar, START, END, 1300, 0.55, 2)
 
 
-_EVENTS = [
-    ("T1", "1996-06-01", "1996-05-31", 2.0, "split", "exchange", "https://example.org/1"),
-    ("T9", "1996-06-01", "1996-05-31", 2.0, "split", "exchange", "https://example.org/2"),
-    ("T2", "1997-03-03", "1997-03-03", 1.0, "split", " ", "http://example.org/3"),
-    ("T3", "1998-01-05", "1998-01-02", None, "split", "exchange", "https://example.org/4"),
-]
-
-
 @_query("SELECT * FROM (VALUES ('T9', '1996-06-01', 'not in universe'), ('T2', '1997-03-03', 'ratio'), ('T2', '1997-03-03', 'dates'), ('T2', '1997-03-03', 'authority'), ('T2', '1997-03-03', 'source'), ('T3', '1998-01-05', 'missing field'), ('T3', '1998-01-05', 'ratio')) v(ticker, ex_date, problem)")
 def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom import schemas
-
     return audits.overrides(spark.createDataFrame(_EVENTS, schemas.OVERRIDE), _candles(spark, sf_dir).select("ticker").distinct())
 
 

@@ -70,6 +70,13 @@ def calendar_file(spark: SparkSession, path: str) -> DataFrame:
 OFFICIAL, OBSERVED = "B3_COTAHIST_ANNUAL_ARCHIVES", "OBSERVED_UNION_FALLBACK"
 
 
+def override_file(spark: SparkSession, path: str) -> DataFrame:
+    """Corporate-action events of a JSON file with an ``events`` list; fields that are
+    absent are null."""
+    fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in schemas.OVERRIDE.split(", "))
+    return spark.read.schema(f"events array<struct<{fields}>>").json(path, multiLine=True).select(F.explode("events").alias("e")).select("e.*")
+
+
 def sessions(spark: SparkSession, candles: DataFrame, calendar: str | None = None) -> tuple[DataFrame, str]:
     """The sessions of a calendar file, or else all days with a candle, and which."""
     if calendar:
@@ -85,15 +92,21 @@ def first_year(candles: DataFrame) -> int:
     return years["year"]
 
 
+def calendar_gate(calendar: DataFrame, meta: dict, sha256: str, requested_end: str) -> list[str]:
+    """Problems of a calendar against its metadata."""
+    row = calendar.agg(F.min("session_date").cast("string").alias("first_session"), F.max("session_date").cast("string").alias("last_session"), F.count("*").alias("session_count")).first()
+    wanted = row.asDict() | {"status": "PASS", "requested_end": requested_end, "calendar_sha256": sha256}
+    found = [f"{k}: {meta.get(k)!r} is not {v!r}" for k, v in wanted.items() if meta.get(k) != v]
+    return found + ["a session after the end"] * bool(row["last_session"] and row["last_session"] > requested_end)
+
+
 def ensure_calendar(spark: SparkSession, folder: str, archives: str, requested_end: str) -> tuple[DataFrame, bool]:
     """The official calendar of a snapshot, materialised from the exchange's archives
     where it is absent, and whether it was. ``folder`` has or gets ``sessions.csv`` and
     its metadata ``sessions.json``; one without the other fails, and so does a calendar
     that doesn't match its metadata."""
-    from gridloom.operators.audits import calendar_gate
-
     table, facts = f"{folder}/sessions.csv", f"{folder}/sessions.json"
-    there = [_exists(spark, p) for p in (table, facts)]
+    there = [sinks.exists(spark, p) for p in (table, facts)]
     if there[0] != there[1]:
         raise ValueError(f"{folder}: a calendar needs both its table and its metadata")
     if not there[0]:
@@ -103,7 +116,7 @@ def ensure_calendar(spark: SparkSession, folder: str, archives: str, requested_e
         meta = {"status": "PASS", "source": OFFICIAL, "requested_end": requested_end, "calendar_sha256": _digest(spark, table)} | row.asDict()
         sinks.put_text(spark, facts, json.dumps(meta, indent=2) + "\n")
     found = calendar_file(spark, table)
-    meta = json.loads(spark.read.text(facts, wholetext=True).first()[0])
+    meta = sinks.read_json(spark, facts)
     problems = calendar_gate(found, meta, _digest(spark, table), requested_end)
     problems += ["source"] if meta.get("source") != OFFICIAL else []
     if problems:
@@ -111,11 +124,6 @@ def ensure_calendar(spark: SparkSession, folder: str, archives: str, requested_e
     return found, not there[0]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _digest(spark: SparkSession, path: str) -> str:
     """SHA-256 of a table of one file."""
     rows = sinks.file_hashes(spark, path).collect()

@@ -30,13 +30,11 @@ def _number(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"shard_(\d+)\.(?:csv|json)(?:/[^/]*)?$", 1), F.lit("")).cast("int")
 
 
-def hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, csv_sha256) of each shard: the file's SHA-256, or of a shard in several
-    part files the SHA-256 of theirs, sorted and joined by commas. shard is null for a
-    file whose name has no number."""
-    files = sinks.file_hashes(spark, f"{folder}/shard_*.csv").select(_number(F.col("path")).alias("shard"), "sha256")
-    parts = files.groupBy("shard").agg(F.array_sort(F.collect_list("sha256")).alias("parts"))
-    return parts.select("shard", F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.sha2(F.concat_ws(",", "parts"), 256)).alias("csv_sha256"))
+def hashes(spark: SparkSession, folder: str, name: str = "shard_*.csv") -> DataFrame:
+    """(shard, csv_sha256) of each shard as ``sinks.table_hashes`` has it. shard is null
+    for a file whose name has no number."""
+    files = sinks.file_hashes(spark, f"{folder}/{name}").select(_number(F.col("path")).alias("name"), "sha256")
+    return sinks.table_hashes(files).select(F.col("name").alias("shard"), F.col("sha256").alias("csv_sha256"))
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +53,7 @@ def write_shard(results: DataFrame | None, folder: str, shard: int, shards: int,
     ranges = dict(zip(RANGES, (*ends(grid.signals), *ends(grid.momenta), grid.vols[0]), strict=True))
     meta = {"schema_version": SIDECAR_VERSION, "shard": shard, "shards": shards, "gap_values": [*gaps] if results is not None else []} | ranges
     meta |= {"rows": sinks.read_results(spark, path).count(), "start": span[0], "end": span[1]} | {c: getattr(costs, c) for c in MONEY}
-    meta |= {"portfolio_policy": POLICY, "momentum_dtype": "float64", "csv_sha256": hashes(spark, folder).where(F.col("shard") == shard).first()["csv_sha256"]}
+    meta |= {"portfolio_policy": POLICY, "momentum_dtype": "float64", "csv_sha256": hashes(spark, folder, f"shard_{shard}.csv").first()["csv_sha256"]}
     meta |= {c: str(provenance.get(c, "")) for c in PROVENANCE}
     sinks.put_text(spark, f"{folder}/shard_{shard}.json", json.dumps(meta, indent=2, ensure_ascii=False) + "\n")
     return meta

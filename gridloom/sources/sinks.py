@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import platform
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +37,17 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def write_json(value: object, path: str) -> None:
-    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    put_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n")
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
@@ -50,17 +55,11 @@ def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def manifest(sources: list[str], results: DataFrame, execution: dict, provenance: dict) -> dict:
-    """What was run, on what, with which versions."""
-    best = results.limit(1).collect()
-    return {
-        "schema_version": 2,
-        "optimizer_source_sha256": {p: hashlib.sha256(Path(p).read_bytes()).hexdigest() for p in sorted(sources)},
-        "execution": execution,
-        "selection_provenance": provenance,
-        "runtime": {"python": platform.python_version(), "pyspark": pyspark.__version__},
-        "best": best[0].asDict() if best else None,
-    }
+def table_hashes(files: DataFrame) -> DataFrame:
+    """(name, sha256) of each name in ``files`` (name, sha256): a file's own SHA-256, or of
+    a table in several part files the SHA-256 of theirs, sorted and joined by commas."""
+    parts = files.groupBy("name").agg(F.array_sort(F.collect_list("sha256")).alias("parts"))
+    return parts.select("name", F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.sha2(F.concat_ws(",", "parts"), 256)).alias("sha256"))
 
 
 def markdown(title: str, rows: DataFrame, most: int = 100) -> str:
