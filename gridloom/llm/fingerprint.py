@@ -95,8 +95,8 @@ def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1.0 - np.minimum((far + PER_STEP * np.clip(steps, 0, MOST_STEPS)) / FARTHEST, 1.0)
 
 
-def hexed(digest: np.ndarray) -> list[str]:
-    return [x.tobytes().hex() for x in digest]
+def packed(digest: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in digest], pa.binary())
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,22 +121,24 @@ def edited(text: str, following: str) -> str:
 
 
 def _compared(texts: list[str], following: list[str], own: np.ndarray, beside: np.ndarray) -> list[pa.Array]:
-    """n_chars, edited_sha256, fingerprints and likenesses of rows with their next texts."""
+    """n_chars, edited_sha256, fingerprints and likenesses of rows with their next texts;
+    hashes as bytes."""
     changed = [edited(x, y) for x, y in zip(texts, following, strict=True)]
     other = digests(changed)
-    sha = [hashlib.sha256(x.encode()).hexdigest() for x in changed]
+    sha = [hashlib.sha256(x.encode()).digest() for x in changed]
     return [
         pa.array([len(x) for x in texts], pa.int64()),
-        pa.array(sha, pa.string()),
-        pa.array(hexed(own), pa.string()),
-        pa.array(hexed(other), pa.string()),
+        pa.array(sha, pa.binary()),
+        packed(own),
+        packed(other),
         pa.array(closeness(own, other)),
         pa.array(closeness(own, beside)),
     ]
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+HASHES = NAMES[2:5]
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 DONE, FIRST, LAST = 0, 1, 2
 
 
@@ -149,7 +151,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held_id, held, held_digest = None, None, np.zeros((0, 1 + BUCKETS // 4), dtype=np.uint8)
 
     def end(kind: int) -> pa.RecordBatch:
-        empty = [pa.nulls(1, t) for t in (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2)]
+        empty = [pa.nulls(1, t) for t in (pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2)]
         return pa.RecordBatch.from_arrays([pa.array([held_id], pa.int64()), *empty, pa.array([task], pa.int32()), pa.array([kind], pa.int32()), pa.array([held], pa.string())], names)
 
     for batch in bw.chunks(batches):
@@ -192,4 +194,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ends = found.where(F.col("kind") == LAST).select("doc_id", "body", "task").join(F.broadcast(after), "task")
     firsts = found.where(F.col("kind") == FIRST).select(F.col("task").alias("after"), F.col("body").alias("following"))
     last = ends.join(firsts, "after").select("doc_id", "body", "following").mapInArrow(_at_ends, RESULT)
-    return found.where(F.col("kind") == DONE).select(*NAMES).unionByName(last)
+    every = found.where(F.col("kind") == DONE).select(*NAMES).unionByName(last)
+    return every.select(*(F.lower(F.hex(c)).alias(c) if c in HASHES else F.col(c) for c in NAMES))
