@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOT = 100
@@ -38,6 +38,18 @@ def affordable(cash: Column, price: Column, fee: float, base: float, extra: floa
     return F.when((price > 0) & (cash > 0), let(whole, afford)).otherwise(F.lit(0).cast("long"))
 
 
+def affordable_by_scan(rows: DataFrame, keys: list[str], fee: float, base: float, extra: float) -> DataFrame:
+    """(keys, quantity): the most shares that ``cash`` buys at ``price``, found by trying
+    every number of shares, by lots of thousands and then by ones. It shares no arithmetic
+    with ``affordable`` but the cost of a purchase, and is there to be compared with it."""
+    block, valid = 1000, (F.col("price") > 0) & (F.col("cash") > 0) & (F.col("price") < float("inf")) & (F.col("cash") < float("inf"))
+    most = F.when(valid, F.floor(F.col("cash") / F.col("price")) + 1).otherwise(F.lit(0).cast("long"))
+    blocks = rows.select(*keys, "cash", "price", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most / block))).alias("b"))
+    each = blocks.select(*keys, "cash", "price", F.explode(F.sequence(F.col("b") * block, F.col("b") * block + (block - 1))).alias("q"))
+    fits = (F.col("q") == 0) | (valid & (purchase(F.col("price"), F.col("q"), base, extra) * F.lit(1.0 + fee) <= F.col("cash") + 1e-9))
+    return each.where(fits).groupBy(*keys).agg(F.max("q").alias("quantity"))
+
+
 def close_to(a: Column, b: Column, rel: float = 1e-10, abs_: float = 1e-7) -> Column:
     """Within a relative or an absolute tolerance."""
     return F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.rolling import by_ticker, lagged, rolling, running_sum
@@ -95,6 +95,17 @@ def at_decisions(values: DataFrame, schedule: DataFrame) -> DataFrame:
     return values.join(weeks, "date").drop("date", "seq")
 
 
+def vol_islands(results: DataFrame, keys: list[str], outcome: list[str]) -> DataFrame:
+    """(keys, vols, outcome): runs of neighbouring vol periods that have one outcome, as
+    a label: "a..b" for a run, "a" for one period. Gaps and islands: within an outcome the
+    period less its rank is constant along a run."""
+    rank = F.row_number().over(Window.partitionBy(*keys, *outcome).orderBy("vol_period"))
+    rows = results.select(*keys, *outcome, "vol_period", (F.col("vol_period") - rank).alias("island"))
+    runs = rows.groupBy(*keys, *outcome, "island").agg(F.min("vol_period").alias("low"), F.max("vol_period").alias("high"))
+    label = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat_ws("..", "low", "high"))
+    return runs.select(*keys, label.alias("vols"), *outcome)
+
+
 def gate_groups(gates: DataFrame) -> DataFrame:
     """(representative, vol_values, weeks): vol periods whose gates are identical over
     all weeks and tickers, grouped on the whole gate. ``gates``: vol_gate at decisions."""

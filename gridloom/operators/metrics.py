@@ -18,16 +18,28 @@ def _keys(by: list[str]) -> list:
     return [*by] if by else [F.lit(0)]
 
 
-def normalised(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Curves with one row a date (the last by ``row``, where there is such a column).
-    Equity that isn't finite and 0 or more fails the job."""
+def normalised(curve: DataFrame, by: list[str] | None = None, least: int = 1) -> DataFrame:
+    """Curves as dates and doubles with one row a date (the last by ``row``, where there
+    is such a column). A column that isn't there and a curve of fewer than ``least`` rows
+    are refused at once; a date that isn't one and an equity that isn't finite and 0 or
+    more fail the job that reads them."""
     by = by or []
+    for c in (*by, "date", "equity"):
+        if c not in curve.columns:
+            raise ValueError(f"a curve needs a column; there is no column {c}")
+    if least and curve.limit(least).count() < least:
+        raise ValueError("the curve has no row" if least == 1 else f"the curve has fewer than {least} rows")
+    day, e = F.substring(F.col("date").cast("string"), 1, 10).try_cast("date"), F.col("equity").try_cast("double")
+    bad = e.isNull() | F.isnan(e) | (e < 0) | (e == float("inf"))
+    checked = {
+        "date": F.when(day.isNull(), F.raise_error(F.lit("date must be a date")).cast("date")).otherwise(day),
+        "equity": F.when(bad, F.raise_error(F.lit("equity must be finite and not negative")).cast("double")).otherwise(e),
+    }
+    curve = curve.withColumns(checked)
     if "row" in curve.columns:
         last = Window.partitionBy(*_keys(by), "date").orderBy(F.desc("row"))
         curve = curve.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth", "row")
-    e = F.col("equity")
-    bad = e.isNull() | F.isnan(e) | (e < 0) | (e == float("inf"))
-    return curve.withColumn("equity", F.when(bad, F.raise_error(F.lit("equity must be finite and not negative"))).otherwise(e).cast("double"))
+    return curve
 
 
 def drawdown(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -82,6 +94,13 @@ def annual(curve: DataFrame, initial_cash: float, by: list[str] | None = None) -
     return rows.select(*by, "year", "start_equity", "end_equity", "return", (F.col("return") * 100).alias("return_pct"), "first_observation", "last_observation", "complete_year")
 
 
+def annual_map(years: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(returns): the years' returns as one map of year to return for each curve; a year
+    whose return isn't defined is left out."""
+    entry = F.when(F.col("return").isNotNull(), F.struct("year", "return"))
+    return years.groupBy(*(by or [])).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("returns"))
+
+
 def complete_year_means(years: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number, arithmetic and geometric mean of complete years' returns; the geometric
     mean is null where a year lost all."""

@@ -15,6 +15,7 @@ from gridloom.config import Costs, Grid
 from gridloom.operators import portfolio, replay
 from gridloom.operators.ranking import COMBO
 from gridloom.plans.market import Market, week_arrays
+from gridloom.sources.scratch import fresh
 
 SHA = re.compile(r"[0-9a-f]{40}")
 SHA256 = re.compile(r"[0-9a-f]{64}")
@@ -105,6 +106,12 @@ def evaluate(m: Market, combos: list[tuple[int, int, int, int]], costs: Costs) -
     return replay.curves(portfolio.history(arrays, costs), m.candles, m.calendar, m.weeks, costs, m.start)
 
 
+def _stored(curve: DataFrame) -> DataFrame:
+    path = fresh(curve.sparkSession, "curve")
+    curve.write.parquet(path)
+    return curve.sparkSession.read.schema(curve.schema).parquet(path)
+
+
 def walk_forward(load: Callable[[str, str | None], Market], windows: list[WindowRow], costs: Costs, data_end: str | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Curves of the windows one after the other: each starts with the capital, not the
     position, that the one before ended with. ``load`` gives the market of a span; its
@@ -112,7 +119,7 @@ def walk_forward(load: Callable[[str, str | None], Market], windows: list[Window
     ``data_end`` or without a week to trade are passed over, later ends are cut to it; it
     fails if no window is left or two curves share a date. The loop is over windows (a
     handful). ``store`` writes a curve and reads it back, so that it is computed once;
-    without it curves are cached."""
+    without it curves are written to the folder that all executors share."""
     check_windows(windows)
     capital, out = costs.initial_cash, None
     for w in windows:
@@ -123,7 +130,7 @@ def walk_forward(load: Callable[[str, str | None], Market], windows: list[Window
         if m.weeks.limit(1).count() == 0:
             continue
         curve = evaluate(m, [w.combo], replace(costs, initial_cash=capital)).withColumn("window_id", F.lit(w.id))
-        curve = store(curve) if store else curve.cache()
+        curve = store(curve) if store else _stored(curve)
         capital = float(curve.agg(F.max_by("equity", "date")).first()[0])
         out = curve if out is None else out.unionByName(curve)
     if out is None:

@@ -29,10 +29,10 @@ def universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candle_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of candle files named <ticker>_1d.csv as they are: ticker, row, date, open, close.
-    ``row`` is the place in the file."""
+    """Rows of candle files named <ticker>_1d.csv, or of part files in a folder of that
+    name, as they are: ticker, row, date, open, close. ``row`` is the place in the file."""
     read = spark.read.schema(schemas.CANDLE_FILE).csv(pattern, header=True, enforceSchema=False)
-    ticker = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)_1d\.csv$", 1))
+    ticker = F.upper(F.regexp_extract(F.input_file_name(), r"([^/=]+)_1d\.csv(?:/[^/]*)?$", 1))
     return read.select(ticker.alias("ticker"), F.monotonically_increasing_id().alias("row"), "date", "open", "close")
 
 

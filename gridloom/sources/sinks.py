@@ -28,11 +28,15 @@ def empty_results(spark: SparkSession) -> DataFrame:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
+    put_bytes(spark, path, text.encode())
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Write a small file, whatever file system the path is of."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import catalog
+from gridloom.plans import catalog, file_catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -22,13 +22,13 @@ def plain(v):
     return f"{float(v):.4f}"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql() | file_catalog.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events"):
+    for t in ("orders", "lineitem", "events", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = catalog.queries()[name](spark, SF)
-    want = con.sql(catalog.oracle_sql()[name])
+    got = (catalog.queries() | file_catalog.queries())[name](spark, SF)
+    want = con.sql((catalog.oracle_sql() | file_catalog.oracle_sql())[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     order = [want.columns.index(c) for c in columns]
@@ -39,7 +39,7 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.queries()) <= set(entry.queries())
+    assert set(catalog.queries()) | set(file_catalog.queries()) <= set(entry.queries())
 
 
 def test_streamed_bars_equal_batch_bars(spark, tmp_path):

@@ -3,10 +3,11 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import schemas
 from gridloom.config import Costs
-from gridloom.operators import audits, metrics
+from gridloom.operators import audits, indicators, metrics
 from gridloom.plans import walk_forward as wf
 from tests.helpers import day, synthetic
 
@@ -170,3 +171,29 @@ def test_calendar_gate(spark):
     assert audits.calendar_gate(cal, meta, "x", "2020-01-05") == []
     assert audits.calendar_gate(cal, meta | {"session_count": 3}, "x", "2020-01-05")
     assert audits.calendar_gate(cal, meta, "y", "2020-01-05")
+
+
+def test_curves_are_checked_before_they_are_measured(spark):
+    curve = lambda *rows, schema="date date, equity double": spark.createDataFrame(list(rows), schema)
+    good = curve((day("2020-01-02"), 5.0), (day("2020-01-03"), 6.0))
+    assert [r.equity for r in metrics.normalised(good).orderBy("date").collect()] == [5.0, 6.0]
+    with pytest.raises(ValueError, match="no column equity"):
+        metrics.normalised(good.drop("equity"))
+    with pytest.raises(ValueError, match="no column k"):
+        metrics.normalised(good, ["k"])
+    with pytest.raises(ValueError, match="has no row"):
+        metrics.normalised(good.where("false"))
+    assert metrics.normalised(good.where("false"), least=0).count() == 0
+    text = curve(("2020-01-02 10:00", "5"), ("2020-01-02", "7"), schema="date string, equity string").withColumn("row", F.monotonically_increasing_id())
+    assert [tuple(r) for r in metrics.normalised(text.coalesce(1)).collect()] == [(day("2020-01-02"), 7.0)]
+    for bad in (("soon", "5"), ("2020-01-02", "x"), ("2020-01-02", "-1"), ("2020-01-02", "inf"), (None, "5")):
+        with pytest.raises(Exception, match="must be"):
+            metrics.normalised(curve(bad, schema="date string, equity string")).collect()
+
+
+def test_vol_islands_and_annual_map(spark):
+    rows = [(5, v, e) for v, e in ((2, 1.0), (3, 1.0), (4, 2.0), (6, 1.0), (7, 1.0), (8, 1.0), (21, 2.0))]
+    found = indicators.vol_islands(spark.createDataFrame(rows, "gap_period int, vol_period int, final_equity double"), ["gap_period"], ["final_equity"])
+    assert sorted((r.vols, r.final_equity) for r in found.collect()) == [("2..3", 1.0), ("21", 2.0), ("4", 2.0), ("6..8", 1.0)]
+    years = spark.createDataFrame([("a", 2020, 0.5), ("a", 2021, None), ("b", 2020, -0.1)], "k string, year int, return double")
+    assert {r.k: r.returns for r in metrics.annual_map(years, ["k"]).collect()} == {"a": {2020: 0.5}, "b": {2020: -0.1}}

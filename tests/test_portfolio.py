@@ -1,8 +1,9 @@
-import numpy as np
+import itertools
+
 import pytest
 
 from gridloom.config import Costs, Grid
-from gridloom.functions.money import affordable
+from gridloom.functions.money import affordable, affordable_by_scan
 from gridloom.operators import portfolio, ranking, replay, topk
 from gridloom.plans import grid as vector
 from gridloom.plans.market import backtest, week_arrays
@@ -12,6 +13,7 @@ from tests.helpers import fold_input, synthetic
 FREE = Costs(100.0, 0.0, 0.0, 0.0)
 
 
+# Hand cases of the portfolio's rules, with the results that the rules give.
 @pytest.mark.parametrize(
     ("targets", "opens", "scores", "wanted"),
     [
@@ -35,16 +37,16 @@ def test_switch_with_costs(spark):
     assert p.holding == 1 and p.trades == 3 and p.fees > 0 and p.slip > 0 and p.cash >= 0
 
 
-def test_quantity_is_the_largest_affordable(spark):
-    draw = np.random.default_rng(440)
-    rows = [(float(draw.uniform(1, 1e5)), float(draw.uniform(0.05, 1000))) for _ in range(300)]
-    frame = spark.createDataFrame(rows, "cash double, price double")
-    for fee, base, extra in [(0.0, 0.0, 0.0), (0.000325, 0.001, 0.0005), (0.005, 0.01, 0.01)]:
-        cost = lambda q, p, fee=fee, base=base, extra=extra: p * ((1 + base) * q + extra * (q % 100)) * (1 + fee)
-        for r in frame.withColumn("q", affordable(F.col("cash"), F.col("price"), fee, base, extra)).collect():
-            assert cost(r.q, r.price) <= r.cash + 1e-9
-            # One more share isn't affordable; at a lot's edge the next whole lot may be.
-            assert cost(r.q + 1, r.price) > r.cash - 1e-9 or r.q % 100 == 99
+@pytest.mark.parametrize("costs", [FREE, Costs(), Costs(1000.0, 12.5, 40.0, 20.0)], ids=["free", "usual", "dear"])
+def test_quantity_equals_a_scan_of_all_quantities(spark, costs):
+    """Around the edges of lots, for prices from cents to hundreds. Where the cash is a
+    quantity's cost to the last bit, rounding may make the formula one less."""
+    rows = [(n, float(lots * 100 + loose) * price * (1 + nudge), price) for n, (lots, loose, price, nudge) in enumerate(itertools.product((0, 1, 3), (0, 1, 50, 99), (0.07, 1.0, 12.34, 512.0), (1e-7, 0.0015, 0.02)))]
+    rows += [(9000, 0.0, 5.0), (9001, -3.0, 5.0), (9002, 50.0, 0.0), (9003, None, 5.0), (9004, 50.0, None), (9005, 50.0, 49.99)]
+    frame = spark.createDataFrame(rows, "n int, cash double, price double")
+    scanned = {r.n: r.quantity for r in affordable_by_scan(frame, ["n"], *costs.rates).collect()}
+    found = {r.n: r.q for r in frame.withColumn("q", affordable(F.col("cash"), F.col("price"), *costs.rates)).collect()}
+    assert found == scanned and len(found) == len(rows) and max(found.values()) > 300
 
 
 def test_close_scores_rank_as_floats(spark):
@@ -65,12 +67,12 @@ def test_both_plans_agree_to_the_bit_and_reconcile(spark, skip):
 
 
 def test_top_k_breaks_ties_by_parameters(spark):
-    draw = np.random.default_rng(1)
-    rows = [(g, s, m, 21, float(draw.integers(900, 930)), 1) for g in range(5, 9) for s in range(2, 6) for m in range(5, 12)]
-    frame = spark.createDataFrame(rows, "gap_period int, signal_period int, momentum_period int, vol_period int, final_equity double, trades int").repartition(7)
-    wanted = sorted(rows, key=lambda r: (-r[4], r[:4]))[:31]
-    assert [tuple(r) for r in topk.top_k(frame, 31).collect()] == wanted
-    parts = [topk.top_k(frame.where(f"gap_period = {g}"), 31) for g in range(5, 9)]
-    assert [tuple(r) for r in topk.merge_top_k(parts, 31).collect()] == wanted
+    """Equities of few values, so that most rows tie."""
+    rows = [(g, s, m, 21, float(100 + (g * 7 + s * 5 + m * 3) % 6), 1) for g in (9, 4, 12) for s in (3, 8) for m in range(20, 30)]
+    frame = spark.createDataFrame(rows, "gap_period int, signal_period int, momentum_period int, vol_period int, final_equity double, trades int").repartition(5)
+    wanted = sorted(rows, key=lambda r: (-r[4], r[:4]))[:23]
+    assert [tuple(r) for r in topk.top_k(frame, 23).collect()] == wanted
+    parts = [topk.top_k(frame.where(f"gap_period = {g}"), 23) for g in (4, 9, 12)]
+    assert [tuple(r) for r in topk.merge_top_k(parts, 23).collect()] == wanted
     twin = frame.unionByName(frame.withColumn("vol_period", F.lit(22)))
-    assert [tuple(r) for r in topk.top_k(twin, 31, dedupe_equivalent=True).collect()] == wanted
+    assert [tuple(r) for r in topk.top_k(twin, 23, dedupe_equivalent=True).collect()] == wanted

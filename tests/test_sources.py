@@ -10,6 +10,7 @@ from gridloom.sources import candles, sinks
 from tests.helpers import day
 
 
+# The places and codes of the archive's lines.
 def line(kind: str, date: str = "", bdi: str = "02", market_: str = "010") -> str:
     return (kind + date.ljust(8) + bdi + "TICK".ljust(12) + market_).ljust(245)
 
