@@ -6,14 +6,17 @@ records into two records each: a ``conversion`` with the page's plain text, and
 headers). Both name their source in WARC-Refers-To (and its target and date in the
 WARC-Refers-To-* headers), the metadata also names the conversion, and both carry the
 source's payload digest and headers on. ``serialize`` and ``parse`` are exact inverses
-on records; ``write_files`` and ``read_files`` keep them as gzip members in files.
+on records; ``write_files`` and ``read_files`` keep them as gzip members in Parquet,
+``write_warc`` and ``read_warc`` as .warc.gz files, which are inflated record by record.
+A page's markup is read in one linear pass, whatever its tags look like.
 
 Every step works on one record at a time, so nothing is shuffled and memory is bounded
 by the largest page.
 
 Edge cases: a null html is an empty payload; a null url gives no target. Record ids are
 derived from page_id, url and payload, so rows repeated whole have equal ids, and a
-rerun of a lost task gives the same ones. A response whose block isn't HTTP is taken as
+rerun of a lost task gives the same ones. Header names are compared without case; what
+is derived of a record without an id refers to none. A response whose block isn't HTTP is taken as
 payload whole; chunked, gzip and deflate bodies are decoded for the text, and the digest
 stays that of the payload as it came. Records of other types are passed over by ``derive``. Undecodable bytes
 of a payload become U+FFFD in the text only. Extra columns are ignored; an empty table
@@ -48,13 +51,15 @@ DERIVED = RECORDS + ", record_id string, refers_to string, target_uri string, pa
 CARRIED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Payload-Digest", "WARC-Identified-Payload-Type")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|title)\b.*?(?:</\1\s*>|$)", re.S | re.I)
-_BREAKS = re.compile(r"<\s*(?:br|hr)\b[^>]*>|</?\s*(?:p|div|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|section|article|header|footer|nav|aside|main|form|pre|blockquote|figure|h[1-6])\b[^>]*>", re.I)
-_CELLS = re.compile(r"</?\s*(?:td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+#: Elements whose content isn't text of the page, and tags that end a line or a cell.
+_HIDDEN = frozenset(("script", "style", "noscript", "template", "title"))
+_BREAKS = frozenset("br hr p div li ul ol dl dt dd tr table thead tbody section article header footer nav aside main form pre blockquote figure h1 h2 h3 h4 h5 h6".split())
+_CELLS = frozenset(("td", "th"))
+_NAME = re.compile(r"(/?)\s*([A-Za-z][A-Za-z0-9]*)")
+_INSIDE = re.compile(r"[<>\"']")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN}
+_HREF = re.compile(r"[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LANG = re.compile(r"[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -65,13 +70,89 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, chr(31).join('' if p is None else str(p) for p in parts))}>"
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place behind the tag that begins at ``at``, past quoted values; where another
+    tag begins before it ends, that place negated; the page's length if it isn't closed."""
+    i = at + 1
+    while m := _INSIDE.search(page, i):
+        i, c = m.end(), m[0]
+        if c == ">":
+            return i
+        if c == "<":
+            return -m.start()
+        i = page.find(c, i) + 1
+        if not i:
+            break
+    return len(page)
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, content) of a page's pieces in their order: ``text``; ``tag`` with its
+    name ("/p" for an end) and its source; ``hidden`` for comments and for elements that
+    aren't shown, with what they hold (None if they aren't closed).
+
+    Each character is passed a bounded number of times, whatever the page: a tag that
+    another one interrupts is text, and behind one that is never closed all is text."""
+    at = start = 0
+    size = len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!--", "<![CDATA["), at):
+            comment = page[at + 2] == "-"
+            end = page.find("-->" if comment else "]]>", at + (4 if comment else 9))
+            yield "text", "", page[start:at]
+            yield "hidden", "", None if end < 0 else page[at:end]
+            at = start = size if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, at + 1)
+        other = page[at + 1 : at + 2] in ("!", "?", "/")
+        name = m[2].lower() if m else ""
+        # A space before the name is let pass for tags that end a line or a cell only.
+        if not other and (not m or (page[at + 1].isspace() and name not in _BREAKS and name not in _CELLS)):
+            at += 1
+            continue
+        end = _tag_end(page, at)
+        if end < 0:
+            at = -end
+            continue
+        if end == size and page[-1:] != ">":
+            break
+        yield "text", "", page[start:at]
+        if name in _HIDDEN and not m[1]:
+            close = _ENDS[name].search(page, end)
+            yield "hidden", name, page[end : close.start()] if close else None
+            end = close.end() if close else size
+        else:
+            yield "tag", (m[1] if m else "") + name, page[at:end]
+        at = start = end
+    yield "text", "", page[start:]
+
+
+def read_page(page: str) -> dict:
+    """The page's visible ``text``, a line for each block; its ``title`` and ``lang`` or
+    None; and its ``links`` in their order."""
+    parts: list[str] = []
+    found: dict = {"title": None, "lang": None, "links": []}
+    for kind, name, content in markup(page):
+        if kind == "text":
+            parts.append(re.sub(r"\s+", " ", content))
+        elif kind == "hidden":
+            parts.append(" ")
+            if name == "title" and found["title"] is None and content is not None:
+                found["title"] = " ".join(entities.unescape(content).split())
+        else:
+            own = name.removeprefix("/")
+            parts.append("\n" if own in _BREAKS else "\t" if own in _CELLS else "")
+            if name == "a" and (m := _HREF.match(content)):
+                found["links"].append(entities.unescape(next(x for x in m.groups() if x is not None)))
+            if name == "html" and found["lang"] is None and (m := _LANG.match(content)):
+                found["lang"] = m[1]
+    lines = (" ".join(entities.unescape(x).split()) for x in "".join(parts).split("\n"))
+    return found | {"text": "\n".join(x for x in lines if x)}
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page, a line for each block."""
-    text = _DROPPED.sub(" ", page)
-    text = _BREAKS.sub("\n", re.sub(r"\s+", " ", text))
-    text = _TAG.sub("", _CELLS.sub("\t", text))
-    lines = (" ".join(entities.unescape(x).split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+    return read_page(page)["text"]
 
 
 def response(page_id: int | None, url: str | None, page: str | None) -> tuple[list[tuple[str, str]], bytes]:
@@ -128,8 +209,10 @@ def decoded(http: list[tuple[str, str]], payload: bytes) -> bytes:
 
 def derived(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response."""
-    of = dict(headers)
-    source = of["WARC-Record-ID"]
+    of: dict[str, str] = {}
+    for k, v in headers:  # names are compared without case
+        of.setdefault(k.lower(), v)
+    source = of.get("warc-record-id")
     status, http, payload = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = re.search(r"charset\s*=\s*[\"']?([\w-]+)", kind, re.I)
@@ -138,24 +221,25 @@ def derived(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tup
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    text = plain_text(page).encode()
-    carried = [(k, v) for k, v in headers if k in CARRIED]
-    if "WARC-Payload-Digest" not in of:
+    seen = read_page(page)
+    text = seen["text"].encode()
+    names = {k.lower(): k for k in CARRIED}
+    carried = [(names[k.lower()], v) for k, v in headers if k.lower() in names]
+    if "warc-payload-digest" not in of:
         carried.append(("WARC-Payload-Digest", digest(payload)))
-    refers = [("WARC-Refers-To", source)]
-    refers += [(f"WARC-Refers-To-{k}", of[f"WARC-{k}"]) for k in ("Target-URI", "Date") if f"WARC-{k}" in of]
-    ids = {t: record_id(t, source) for t in ("metadata", "conversion")}
-    title = _TITLE.search(page)
-    lang = _LANG.search(page)
+    refers = [("WARC-Refers-To", source)] if source else []
+    refers += [(f"WARC-Refers-To-{k}", of[f"warc-{k.lower()}"]) for k in ("Target-URI", "Date") if f"warc-{k.lower()}" in of]
+    # A source without an id is told apart by what it holds.
+    ids = {t: record_id(t, source or digest(block), *(() if source else (of.get("warc-target-uri"), of.get("warc-date")))) for t in ("metadata", "conversion")}
     about = {
         "source": source,
         "conversion": ids["conversion"],
         "source-headers": headers,
         "http-status": status,
         "http-headers": http,
-        "title": " ".join(entities.unescape(title[1]).split()) if title else None,
-        "lang": lang[1] if lang else None,
-        "links": [entities.unescape(next(x for x in m.groups() if x is not None)) for m in _LINK.finditer(_DROPPED.sub(" ", page))],
+        "title": seen["title"],
+        "lang": seen["lang"],
+        "links": seen["links"],
         "payload-length": len(payload),
         "text-length": len(text),
     }
@@ -176,15 +260,23 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = [(k, v.removeprefix(" ")) for k, _, v in (x.partition(":") for x in lines[1:])]
-        size = int(next(v for k, v in headers if k.lower() == "content-length"))
+        headers = _headers(data[at:end])
+        size = _length(headers)
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
+def _headers(head: bytes) -> list[tuple[str, str]]:
+    lines = head.decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record: {lines[0][:40]!r}")
+    return [(k, v.removeprefix(" ")) for k, _, v in (x.partition(":") for x in lines[1:])]
+
+
+def _length(headers: list[tuple[str, str]]) -> int:
+    return int(next(v for k, v in headers if k.lower() == "content-length"))
+
+
 _PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
@@ -216,7 +308,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for own, body in derived([(h["name"], h["value"]) for h in headers], block):
                     of = dict(own)
                     text = body.decode() if of["WARC-Type"] == "conversion" else None
-                    rows.append((page, of["WARC-Type"], own, body, of["WARC-Record-ID"], of["WARC-Refers-To"], of.get("WARC-Target-URI"), of["WARC-Payload-Digest"], of["WARC-Block-Digest"], len(body), text))
+                    rows.append((page, of["WARC-Type"], own, body, of["WARC-Record-ID"], of.get("WARC-Refers-To"), of.get("WARC-Target-URI"), of["WARC-Payload-Digest"], of["WARC-Block-Digest"], len(body), text))
             if rows:
                 c = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.string(), None, pa.binary(), *[pa.string()] * 5, pa.int64(), pa.string()]
@@ -230,6 +322,11 @@ def derive(records: DataFrame) -> DataFrame:
     return records.select("page_id", "warc_type", "headers", "block").mapInArrow(_derive, DERIVED)
 
 
+def _found(records: list[tuple[list[tuple[str, str]], bytes]]) -> pa.RecordBatch:
+    types = [next((v for k, v in h if k.lower() == "warc-type"), None) for h, _ in records]
+    return pa.RecordBatch.from_arrays([pa.array(types, pa.string()), _pairs([h for h, _ in records]), pa.array([b for _, b in records], pa.binary())], ["warc_type", "headers", "block"])
+
+
 def write_files(records: DataFrame, path: str) -> DataFrame:
     """Write records as gzip members. Each task makes the members; Spark's own writer
     stores them, so any file system it can reach will do. Reads back with
@@ -251,14 +348,67 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r for m in batch.column(0).to_pylist() for r in parse(gzip.decompress(m))]
-            types = [dict(h).get("WARC-Type") for h, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(types), _pairs([h for h, _ in found]), pa.array([b for _, b in found], pa.binary())], ["warc_type", "headers", "block"])
+            yield _found([r for m in batch.column(0).to_pylist() for r in parse(gzip.decompress(m))])
 
     schema = "warc_type string, headers array<struct<name:string,value:string>>, block binary"
     return spark.read.parquet(path).select("member").mapInArrow(run, schema)
 
 
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write records as real .gz files of WARC records, one a partition, on any file
+    system that Spark can write. Their names end in .txt.gz, as Spark's writer has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The writer puts the two line ends behind each record.
+            made = [serialize([(h["name"], h["value"]) for h in hs], b)[:-4] for hs, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
+
+    tune(records.sparkSession)
+    lines = records.select("headers", "block").mapInArrow(run, "record binary").select(F.expr("record").cast("string").alias("value"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def stream(data: bytes, step: int = 1 << 16) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Records of the bytes of a .warc or .warc.gz file, whose gzip members may hold one
+    record or several, inflated as far as the next record needs."""
+    if data[:2] != b"\x1f\x8b":
+        yield from parse(data)
+        return
+    held, at, inflate = bytearray(), 0, zlib.decompressobj(31)
+
+    def more() -> bool:
+        nonlocal at, inflate
+        while at < len(data):
+            chunk = data[at : at + step]
+            out = inflate.decompress(chunk)
+            at += len(chunk)
+            if inflate.eof:
+                at -= len(inflate.unused_data)
+                inflate = zlib.decompressobj(31)
+            if out:
+                held.extend(out)
+                return True
+        return False
+
+    while held or more():
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                raise ValueError("the file ends within a record's headers")
+            end = held.find(b"\r\n\r\n", seen)
+        headers = _headers(bytes(held[:end]))
+        stop = end + 4 + _length(headers)
+        while len(held) < stop + 4:
+            if not more():
+                if len(held) < stop:
+                    raise ValueError("the file ends within a record")
+                break
+        yield headers, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+
+
 def read_warc(spark: SparkSession, paths: str) -> DataFrame:
     """warc_type, headers and block of the records in .warc or .warc.gz files."""
     tune(spark)
@@ -266,9 +416,15 @@ def read_warc(spark: SparkSession, paths: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                found = list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-                types = [dict(h).get("WARC-Type") for h, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(types), _pairs([h for h, _ in found]), pa.array([b for _, b in found], pa.binary())], ["warc_type", "headers", "block"])
+                found, size = [], 0
+                for headers, block in stream(data):
+                    found.append((headers, block))
+                    size += len(block)
+                    if size > bw.CHUNK:
+                        yield _found(found)
+                        found, size = [], 0
+                if found:
+                    yield _found(found)
 
     schema = "warc_type string, headers array<struct<name:string,value:string>>, block binary"
     return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, schema)

@@ -8,6 +8,8 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from gridloom.llm import decontaminate, language_id, lm_scoring, packing, pretoken, queries, token_counts, toxicity, warc
 from gridloom.llm.attention import CLASSES, CONTEXT, Attention, Words, blocks, classes_of
@@ -427,3 +429,71 @@ def test_query_matches_sql(spark, sample, name):
 
 def test_odd_texts_are_told():
     assert [pretoken.is_odd(t) for t in ("plain text", "don't", "it's", "x '", "a<|b", "Σ")] == [False, True, True, False, True, True]
+
+
+def plain_page(page):
+    """Markup by regular expressions, for pages whose tags are closed and don't nest."""
+    import html as entities
+
+    text = re.sub(r"<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\1\s*>", " ", page, flags=re.S | re.I)
+    text = re.sub(r"\s+", " ", text)
+    text = re.sub(r"</?(?:p|div|li|br|tr|h1)\b[^>]*>", "\n", text, flags=re.I)
+    text = re.sub(r"<[/!]?[a-zA-Z][^>]*>", "", re.sub(r"</?t[dh]\b[^>]*>", "\\t", text, flags=re.I))
+    lines = (" ".join(entities.unescape(x).split()) for x in text.split("\n"))
+    return "\n".join(x for x in lines if x), re.findall(r"<a [^>]*href=\"([^\"]*)\"", re.sub(r"<!--.*?-->", "", page))
+
+
+PIECES = st.sampled_from(["word ", "a &amp; b", "<p>", "</p>", "<br/>", "<td>", "</td>", "<b class=x>", "</b>", "<!-- <p>no</p> -->", "<script>if (a < b) x()</script>", "<STYLE>p{}</style >", "<a href=\"/u?a=1\">", "</a>", "\n", "<title>t</title>", "<div id='q'>", "é", "1 < 2 ", "<h1>"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PIECES, max_size=25))
+def test_markup_equals_regular_expressions(pieces):
+    page = "".join(pieces)
+    found = warc.read_page(page)
+    text, links = plain_page(page)
+    assert (found["text"], found["links"]) == (text, links)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<br ", "<td ", "<html ", "<a \"", "<p '", "<script>", "<!--", "<![CDATA[", "< ", "<a href ", "</", "<a href=x ", "<html lang ", "<<", "&amp", "<title></title", "<a>\""])
+def test_a_hostile_page_takes_time_in_proportion(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - began < 8  # some tenths of a second where the machine is free
+
+
+def test_quotes_interrupted_and_unclosed_tags():
+    read = warc.read_page
+    assert read("<div title=\"a > b\">x</div>")["text"] == "x"
+    assert read("a <b <i>c</i>")["text"] == "a <b c" and read("a < b > c")["text"] == "a < b > c" and read("x<p>y <a href=q")["text"] == "x\ny <a href=q"
+    assert read("<title>never closed")["title"] is None and read("<title> A &lt; B </title>")["title"] == "A < B"
+    assert read("<html><html lang=de-AT>")["lang"] == "de-AT" and read("<a name=x><a HREF = '/y'>")["links"] == ["/y"]
+
+
+def test_records_without_id_and_lower_case_names(spark):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>t"
+    meta, text = warc.derived([("warc-type", "response"), ("warc-record-id", "<urn:y>"), ("warc-target-uri", "u")], block)
+    assert dict(text[0])["WARC-Refers-To"] == "<urn:y>" and dict(text[0])["WARC-Target-URI"] == "u" == dict(text[0])["WARC-Refers-To-Target-URI"]
+    meta, text = warc.derived([("WARC-Type", "response"), ("WARC-Target-URI", "u")], block)
+    assert "WARC-Refers-To" not in dict(text[0]) and dict(meta[0])["WARC-Concurrent-To"] == dict(text[0])["WARC-Record-ID"]
+    rows = spark.createDataFrame([(1, "response", [("WARC-Type", "response")], block)], warc.RECORDS)
+    assert {(r.refers_to, r.text) for r in warc.derive(rows).collect()} == {(None, None), (None, "t")}
+
+
+def test_warc_files_hold_any_bytes(spark, tmp_path):
+    draw = random.Random(3)
+    blocks = [bytes(draw.randrange(256) for _ in range(n)) for n in (0, 1, 5, 3000, 200_000)] + [b"\r\n\r\n" * 5, b"WARC/1.1\r\n"]
+    rows = [(i, "resource", [("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:{i}>"), ("X-\u00e9", "\u00e9"), ("Content-Length", str(len(b)))], b) for i, b in enumerate(blocks)]
+    path = str(tmp_path / "files")
+    warc.write_warc(spark.createDataFrame(rows, warc.RECORDS).repartition(2), path)
+    got = {(dict(map(tuple, r.headers))["WARC-Record-ID"], bytes(r.block)) for r in warc.read_warc(spark, path + "/*.gz").collect()}
+    assert got == {(f"<urn:{i}>", b) for i, b in enumerate(blocks)}
+    data = b"".join(gzip.compress(warc.serialize([(k, v) for k, v in r[2]], r[3])) for r in rows)
+    for step in (7, 1 << 16):
+        assert [b for _, b in warc.stream(data, step)] == blocks
+    assert [b for _, b in warc.stream(gzip.decompress(data))] == blocks
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.stream(gzip.compress(warc.serialize(rows[3][2], rows[3][3])[:-500])))
