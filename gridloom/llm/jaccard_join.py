@@ -16,10 +16,12 @@ then as soon as they are seen:
    class of near copies is linked through its leaders before anything is split.
 2. The other runs in the same way.
 3. The large buckets of all runs that still have several classes: up to ``WIDE`` sets
-   they are compared as they are, and larger ones are split, level by level. A bucket of
-   which one class has nearly all, or whose parts would be as many rows as itself, isn't
-   split: the sets outside its largest class are compared with the whole bucket, in
-   blocks, in a round of their own.
+   they are compared as they are, and larger ones are split, level by level. Where the
+   parts would be as many rows as the bucket, its sets have much in common (a licence, a
+   template): what most of them hold is left out and the rest is sampled the more. A
+   bucket of which one class has nearly all, or whose sets hardly differ but for that,
+   isn't split: the sets outside its largest class are compared with the whole bucket,
+   in blocks, in a round of their own.
 
 So there is no cap on partners, and no task gets more than some thousand sets at once.
 Pairs are pruned by a sketch (one-permutation hashing) before any text is moved; every
@@ -55,7 +57,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bytewords as bw
 from gridloom.llm.components import components
-from gridloom.llm.session import Scratch, if_small, tune, unused
+from gridloom.llm.session import BROADCAST_BYTES, Scratch, if_small, tune, unused
 
 N = 5
 THRESHOLD = 0.8
@@ -67,6 +69,7 @@ WIDE = 1000
 MAJOR = 0.9  # a bucket of which one class has this share isn't split
 GROWS = 0.7  # nor is one whose large parts have so many of its rows
 GROUP_GRAMS = 1 << 20  # n-grams of a large plausible group that is verified at once
+SAMPLED, COMMON = 64, 0.5  # sets of a bucket that are looked at, and what share of them has a common n-gram
 PART = 100  # sets of one beyond that which are verified with so many others
 BINS = 64
 FIRST_ROUND = 2
@@ -252,6 +255,75 @@ def _split(large: DataFrame, texts: list[DataFrame], n: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, sid long, root long, above long, parent long")
 
 
+def _stuck(below: DataFrame) -> DataFrame:
+    """(node) of the buckets whose large parts would be about as many rows as they are."""
+    size = below.groupBy("node").agg(F.count("*").alias("size"), F.first("above").alias("above"), F.first("parent").alias("parent"))
+    grown = size.where(F.col("size") > WIDE).groupBy("above").agg((F.sum("size") / F.first("parent")).alias("grows")).where(F.col("grows") >= GROWS)
+    return grown.select(F.col("above").alias("node"))
+
+
+def _common(large: DataFrame, texts: list[DataFrame], n: int) -> DataFrame:
+    """(node, common): n-grams that most sets of a large bucket hold, so that they part
+    nothing, by ``SAMPLED`` of its sets. Which they are only decides what is saved."""
+    picked = large.where(F.pmod(F.xxhash64("sid", "node"), F.col("size")) < SAMPLED).select("node", "sid")
+    rows = _all([t.join(picked, "sid").select("node", "sid", "z") for t in texts]).dropDuplicates(["node", "sid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values, first in _sets(batch, 2, n):
+                node = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, np.diff(first))), pa.array(values.view(np.int64))], ["node", "gram"])
+        bw.release()
+
+    counts = rows.mapInArrow(run, "node long, gram long").groupBy("node", "gram").agg(F.count("*").alias("m"))
+    counts = counts.join(picked.groupBy("node").agg(F.count("*").alias("total")), "node").where(F.col("m") >= COMMON * F.col("total"))
+    return counts.groupBy("node").agg(F.array_sort(F.collect_list("gram")).alias("common"))
+
+
+def _split_apart(large: DataFrame, common: DataFrame, texts: list[DataFrame], n: int, threshold: float) -> DataFrame:
+    """(node, sid, root, above, parent, whole) of the next level of large buckets, sampled
+    from what a set has besides the common n-grams. Of the larger of two similar sets,
+    of size n with c common ones, at least threshold * n - c others are shared; so each set
+    samples at DEEPER * threshold by that number, and a pair meets with at least the chance
+    it has elsewhere. A set that is left nearly nothing by this samples all its others, and
+    goes into a bucket of its kind (``whole``), where such sets meet each other."""
+    held = common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
+    common = F.broadcast(common) if 16 * held <= BROADCAST_BYTES else common.hint("merge")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, values, first in _sets(batch, 0, n):
+                sid, root, node, size = (part.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+                rows: list[list[np.ndarray]] = []
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    own, key = values[a:b], int(node[i])
+                    if key not in known:
+                        known.clear()  # rows of a bucket mostly come one after the other
+                        known[key] = np.array(part.column(5)[i].as_py() or [], dtype=np.int64).view(np.uint64)
+                    left = np.setdiff1d(own, known[key], assume_unique=True)
+                    free = threshold * len(own) - (len(own) - len(left))
+                    rate = DEEPER * threshold / free if free > 0 else 1.0
+                    seed = bw.mix(np.array([key], dtype=np.int64).view(np.uint64) ^ np.uint64(0x6A09_E667_F3BC_C909))
+                    token = bw.mix(left ^ seed)
+                    if rate < 1:
+                        token = token[token < np.uint64(rate * 2.0**64)]
+                    made = bw.mix(seed + bw.mix(token))
+                    whole = rate >= 1
+                    if whole:
+                        made = np.append(made, bw.mix(seed ^ np.uint64(0xBB67_AE85_84CA_A73B)))
+                    m = len(made)
+                    rows.append([made.view(np.int64), *(np.full(m, x[i]) for x in (sid, root, node, size)), np.arange(m) == (m - 1 if whole else m)])
+                if rows:
+                    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "sid", "root", "above", "parent", "whole"])
+        bw.release()
+
+    rows = _all([t.join(large.select("sid", "root", "node", "size"), "sid").select("z", "sid", "root", "node", "size") for t in texts])
+    rows = rows.join(common, "node", "left").select("z", "sid", "root", "node", "size", "common")
+    return rows.mapInArrow(run, "node long, sid long, root long, above long, parent long, whole boolean")
+
+
 def _blocks(dense: DataFrame) -> DataFrame:
     """Large buckets as blocks of about LIMIT sets, each with the bucket's leaders."""
     many = F.ceil(F.col("size") / LIMIT).cast("int")
@@ -597,11 +669,19 @@ class Classes:
                 break
             self._fetch(open_.select("sid").distinct())
             below = keep(_split(open_, self.have, self.n), "nodes")
-            size = below.groupBy("node").agg(F.count("*").alias("size"), F.first("above").alias("above"), F.first("parent").alias("parent"))
-            stuck = size.where(F.col("size") > WIDE).groupBy("above").agg((F.sum("size") / F.first("parent")).alias("grows")).where(F.col("grows") >= GROWS)
-            stuck = keep(stuck.select(F.col("above").alias("node")), "stuck")
-            dense.append(open_.join(if_small(stuck)[0], "node", "left_semi").select("node", "size", "sid"))
+            stuck = keep(_stuck(below), "stuck")
             below = below.join(if_small(stuck.withColumnRenamed("node", "above"))[0], "above", "left_anti").select("node", "sid", "root")
+            if stuck.limit(1).count():
+                again = keep(open_.join(if_small(stuck)[0], "node", "left_semi"), "again")
+                common = keep(_common(again, self.have, self.n), "common")
+                apart = keep(_split_apart(again, common, self.have, self.n, self.threshold), "apart")
+                still = keep(_stuck(apart.where("not whole")), "stuck")
+                dense.append(again.join(if_small(still)[0], "node", "left_semi").select("node", "size", "sid"))
+                apart = apart.join(if_small(still.withColumnRenamed("node", "above"))[0], "above", "left_anti").select("node", "sid", "root", "whole")
+                small, big = _by_size(apart.where("whole").drop("whole"), WIDE, self.scratch)
+                parts.append(small)
+                dense.append(big.select("node", "size", "sid"))
+                below = below.unionByName(apart.where("not whole").drop("whole"))
             small, big = _by_size(below, WIDE, self.scratch)
             parts.append(small)
             level = keep(_divided(big, self.scratch), "level")

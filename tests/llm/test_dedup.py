@@ -230,3 +230,59 @@ def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.id: r.root for r in components(path).collect()}
     assert all(found[i] == 0 for i in range(41)) and found[101] == 100
+
+
+def boilerplate(n, copies=8, shared=60, own=60, edits=3):
+    """Texts of one long common passage and words of their own, some of them with near
+    copies; the passage itself has a word changed here and there."""
+    draw = random.Random(n)
+    passage = [f"p{i}" for i in range(shared)]
+    rows = []
+    for i in range(n):
+        words = [f"w{draw.randrange(40 * n)}" for _ in range(own)]
+        head = [*passage]
+        if i % 3 == 0:
+            head[draw.randrange(shared)] = f"x{i}"
+        rows.append((i, " ".join(head + words)))
+        if i % (n // copies) == 0:
+            for k in range(2):
+                rows.append((10 * n + 2 * i + k, " ".join(head + near(draw, words, edits))))
+    return rows
+
+
+def test_texts_with_one_passage_are_parted_by_their_own_words(docs, monkeypatch):
+    """No rows of all against all: what is compared grows as the table does."""
+    for name, value in {"LIMIT": 12, "WIDE": 20}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    made, rest = [], jaccard_join._rest
+    compare = jaccard_join.Classes._compare
+
+    def counted(self, parts):
+        made[-1].append(sum(p.count() for p in parts))
+        return compare(self, parts)
+
+    def kept(dense, roots, scratch):
+        found = rest(dense, roots, scratch)
+        made[-1].append(0 if found is None else found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join.Classes, "_compare", counted)
+    monkeypatch.setattr(jaccard_join, "_rest", kept)
+    for n in (100, 300):
+        rows = boilerplate(n)
+        made.append([])
+        got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs(*rows)).collect()}
+        assert got == set(similar(rows))
+    assert sum(made[1]) <= 4 * sum(made[0])
+
+
+def test_texts_that_are_mostly_one_passage(docs, monkeypatch):
+    """What is left of a text by the passage is little or nothing: such texts meet."""
+    for name, value in {"LIMIT": 12, "WIDE": 20}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    draw, rows = random.Random(5), []
+    passage = [f"p{i}" for i in range(100)]
+    for i in range(160):
+        rows.append((i, " ".join(passage + [f"w{draw.randrange(9000)}" for _ in range((0, 4, 12, 18, 25, 40)[i % 6])])))
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs(*rows)).collect()}
+    assert got == set(similar(rows))
