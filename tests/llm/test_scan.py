@@ -497,3 +497,80 @@ def test_warc_files_hold_any_bytes(spark, tmp_path):
     assert [b for _, b in warc.stream(gzip.decompress(data))] == blocks
     with pytest.raises(ValueError, match="ends within"):
         list(warc.stream(gzip.compress(warc.serialize(rows[3][2], rows[3][3])[:-500])))
+
+
+def plain_rates(texts, toxic, asked):
+    """Log-likelihoods by word from dictionaries, as the module's text has them: numbers
+    of different words before a word or a pair, discounted, with what was taken shared."""
+    import math
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    before, pair_before = [collections.defaultdict(set) for _ in "ab"], [collections.defaultdict(set) for _ in "ab"]
+    for text, c in zip(texts, toxic, strict=True):
+        w = words(text)
+        for i, x in enumerate(w):
+            before[c][x].add(w[i - 1] if i else None)
+            if i:
+                pair_before[c][w[i - 1], x].add(w[i - 2] if i > 1 else None)
+
+    def discounted(seen, by):
+        n = [{k: len(v) for k, v in seen[c].items()} for c in (0, 1)]
+        total = [max(1.0, sum(x.values())) for x in n]
+        keys = set(n[0]) | set(n[1])
+        return n, total, [{k: max(0.0, n[c].get(k, 0) - by - toxicity.CONTRAST * n[1 - c].get(k, 0) * total[c] / total[1 - c]) for k in keys} for c in (0, 1)], keys
+
+    n, total, kept, keys = discounted(before, toxicity.WHOLE)
+    taken = {k: sum(n[c].get(k, 0) - kept[c][k] for c in (0, 1)) for k in keys}
+    shared = lambda k: (taken.get(k, 0) + 0.5) / (sum(taken.values()) + 0.5 * (len(keys) + 1))
+    base = lambda c, k: (kept[c].get(k, 0) + (total[c] - sum(kept[c].values())) * shared(k) + 1e-9) / total[c]
+    m, _, pairs, _ = discounted(pair_before, toxicity.WHOLE_PAIRS)
+    out = []
+    for c in (0, 1):
+        context, left = collections.Counter(), collections.Counter()
+        for (a, b), v in m[c].items():
+            context[a] += v
+            left[a] += pairs[c][a, b]
+        rates = []
+        for text in asked:
+            w, log = words(text), 0.0
+            for i, x in enumerate(w):
+                p = base(c, x)
+                if i and context[w[i - 1]]:
+                    a = w[i - 1]
+                    p = pairs[c].get((a, x), 0) / context[a] + (context[a] - left[a]) / context[a] * p
+                log += math.log(p)
+            rates.append(log / max(1, len(w)))
+        out.append(rates)
+    return np.array(out)
+
+
+def test_smoothed_probabilities_equal_dictionaries(monkeypatch):
+    import pyarrow as pa
+
+    from gridloom.llm import bytewords as bw
+
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("ab cd ef gh ij kl mn".split()) for _ in range(draw.randrange(1, 40))) for _ in range(60)]
+    toxic = np.array([i % 3 == 0 for i in range(60)], dtype=np.int64)
+    texts = [t + " bad worse worst" * int(y) for t, y in zip(texts, toxic, strict=True)]
+    asked = ["ab cd bad worse worst", "", "never seen", "ab ab ab", texts[0], "gh"]
+    for whole, pairs in ((3, 12), (1, 1), (0, 2)):
+        monkeypatch.setattr(toxicity, "WHOLE", whole)
+        monkeypatch.setattr(toxicity, "WHOLE_PAIRS", pairs)
+        got, n = toxicity.fit(texts, toxic).rates(bw.words(pa.array(asked), bw.LOWER_ALNUM, lower=True))
+        assert np.allclose(got, plain_rates(texts, toxic.tolist(), asked)) and n.tolist() == [5, 0, 2, 3, n[4], 1]
+
+
+def test_the_sample_is_the_first_by_hash(spark, docs, monkeypatch):
+    """A bound on the hash changes nothing but what is put in order."""
+    rows = [(i, f"text {i} of these words " + "nasty " * (i % 4 == 0)) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.F, "broadcast", lambda df, real=toxicity.F.broadcast: (seen.append({r[0] for r in df.collect()}), real(df))[1])
+    toxicity.train(docs(*rows), labels, per_class=50)
+    by_hash = {r["doc_id"]: r["h"] for r in spark.range(3000).selectExpr("id as doc_id", "xxhash64(id) as h").collect()}
+    want = set()
+    for c in (True, False):
+        own = [i for i in range(3000) if (i % 4 == 0) == c and zlib.crc32(str(i).encode()) % 5]
+        want |= set(sorted(own, key=by_hash.get)[:50])
+    assert seen[-1] == want
