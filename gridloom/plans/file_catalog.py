@@ -20,7 +20,7 @@ from gridloom.operators.ranking import COMBO
 from gridloom.plans import catalog as c
 from gridloom.plans import grid as vector
 from gridloom.plans import oracle as o
-from gridloom.plans import training
+from gridloom.plans import reports, training
 from gridloom.plans.market import market, periods
 from gridloom.sources import artefacts, candles, manifest, shards, sinks
 from gridloom.sources.scratch import fresh
@@ -353,3 +353,66 @@ def result_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = rows.withColumn("gap_period", F.when(F.expr("gap_period = 6 and momentum_period = 6"), 99).otherwise(F.col("gap_period")))
     broken = moved.unionByName(moved.where("gap_period = 5 and signal_period = 2"))
     return audits.grid_coverage(broken, periods(spark, c.WIDE)).withColumn("rows", F.col("rows").cast("int"))
+
+
+@_query(
+    """SELECT CAST(y AS VARCHAR) AS window_id, problem FROM (SELECT DISTINCT year(CAST(o_orderdate AS DATE)) AS y FROM orders)
+    JOIN (VALUES (1998, 'mode'), (1999, 'schema'), (2000, 'optimizer_sha'), (2000, 'source hashes'), (1995, 'costs'), (1996, 'top rows'), (1996, 'top table'), (1997, 'dates'), (1997, 'window'), (2001, 'artefact')) v(y, problem) USING (y)"""
+)
+def artefact_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provenance gate over a window for each year of orders, whose artefacts are
+    spoilt in one way or another; the last year has none."""
+    year, day = F.year("o_orderdate"), F.to_date("o_orderdate")
+    rows = _orders(spark, sf_dir).select(year.alias("y"), day.alias("day"), (5 + F.col("o_custkey") % 7).cast("int").alias("gap_period"), "o_totalprice")
+    spans = rows.groupBy("y").agg(F.max("day").cast("string").alias("last"))
+    at = lambda n, bad, good: F.when(F.col("y") == n, bad).otherwise(good)
+    first, sha, other = F.concat("y", F.lit("-01-01")), F.sha2(F.col("y").cast("string"), 256), F.sha2(F.lit("x"), 256)
+    costs = (F.lit(c.COSTS.initial_cash).alias("initial_cash"), at(1995, c.COSTS.fee_bps + 1, F.lit(c.COSTS.fee_bps)).alias("fee_bps_per_side"), F.lit(c.COSTS.slippage_bps).alias("slippage_bps_per_side"), F.lit(c.COSTS.odd_lot_extra_bps).alias("odd_lot_extra_bps_weighted"))
+    selected = F.struct(at(1998, "in_sample_full", F.lit("training_only")).alias("mode"), first.alias("training_start"), at(1997, F.lit("1997-01-31"), F.col("last")).alias("training_end"), at(1996, other, sha).alias("top_100_sha256"))
+    hashes = F.create_map(F.lit("src/a.py"), at(2000, F.lit("none"), other))
+    text = F.to_json(F.struct(at(1999, 1, F.lit(3)).alias("schema_version"), at(2000, "short", F.lit("a" * 40)).alias("optimizer_sha"), F.lit("b" * 40).alias("upstream_sha"), hashes.alias("optimizer_source_sha256"), F.struct(first.alias("start"), F.col("last").alias("end"), *costs).alias("execution"), selected.alias("selection_provenance")))
+    told = artefacts.facts(spans.where("y < 2001").select(F.col("y").cast("string").alias("artefact"), text.alias("manifest")))
+    windows = spans.select(F.col("y").cast("string").alias("id"), first.alias("train_start"), F.concat("y", F.lit("-12-31")).alias("train_end"), F.concat(F.col("y") + 1, F.lit("-01-01")).alias("oos_start"), F.lit("").alias("oos_end"))
+    tops = rows.groupBy(F.col("y").cast("string").alias("artefact"), "gap_period").agg(F.max("o_totalprice").alias("final_equity")).select("artefact", "gap_period", F.lit(2).alias("signal_period"), F.when(F.col("artefact") != "1996", 5).alias("momentum_period"), F.lit(21).alias("vol_period"), "final_equity")
+    return training.gate(windows, told, spans.select(F.col("y").cast("string").alias("artefact"), sha.alias("sha256")), tops, c.COSTS)
+
+
+@_query(
+    """WITH w AS (SELECT y, y % 3 = 0 AS late, y % 4 = 0 AS wide FROM (SELECT DISTINCT year(CAST(o_orderdate AS DATE)) AS y FROM orders))
+    SELECT CAST(y AS VARCHAR) AS window_id, 'training' AS problem FROM w WHERE late
+    UNION ALL SELECT CAST(y AS VARCHAR), 'overlap' FROM w WHERE y - 1 IN (SELECT y FROM w WHERE wide)
+    UNION ALL SELECT CAST(y AS VARCHAR), 'empty' FROM w WHERE y = 1995 UNION ALL SELECT CAST(y AS VARCHAR), 'date' FROM w WHERE y = 1997 UNION ALL SELECT CAST(y AS VARCHAR), 'training' FROM w WHERE y = 1997"""
+)
+def window_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a year each, of which some train into their evaluation, reach into the
+    next one, end before they start or have no date."""
+    y = F.col("y")
+    rows = _orders(spark, sf_dir).select(F.year("o_orderdate").alias("y")).distinct()
+    end = F.when(y == 1995, F.lit("1995-12-31")).when(y % 4 == 0, F.concat(y + 2, F.lit("-01-02"))).otherwise(F.concat(y + 1, F.lit("-12-31")))
+    last = F.when(y == 1997, F.lit("open")).when(y % 3 == 0, F.concat(y + 1, F.lit("-01-01"))).otherwise(F.concat(y, F.lit("-12-31")))
+    return training.order_problems(rows.select(y.cast("string").alias("id"), F.concat(y, F.lit("-01-01")).alias("train_start"), last.alias("train_end"), F.concat(y + 1, F.lit("-01-01")).alias("oos_start"), end.alias("oos_end")))
+
+
+@_query(
+    o.query(
+        """SELECT CASE WHEN complete_year THEN 'complete' ELSE 'partial' END AS coverage, count(*) AS lines, CAST(sum(year) AS BIGINT) AS years FROM yr GROUP BY 1""",
+        *c._CURVE,
+        c._YEARS,
+    )
+)
+def annual_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown report by year, written and read again line by line."""
+    years = metrics.annual(c._curve(spark, sf_dir), c.COSTS.initial_cash)
+    path = f"{fresh(spark, 'report')}/annual.md"
+    sinks.put_text(spark, path, reports.annual_report(years, metrics.complete_year_means(years), 0.0))
+    cells = F.split("value", r" \| ")
+    found = spark.read.text(path).where(F.col("value").rlike(r"^\| \d{4} \|"))
+    return found.select(F.regexp_replace(F.element_at(cells, -1), r"[ |]", "").alias("coverage"), F.regexp_extract("value", r"(\d{4})", 1).cast("long").alias("year")).groupBy("coverage").agg(F.count("*").alias("lines"), F.sum("year").alias("years"))
+
+
+@_query(o.query("SELECT 'OBSERVED_UNION_FALLBACK' AS source, count(*) AS sessions, CAST(min(year(session_date)) AS INTEGER) AS first_year FROM cal"))
+def session_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session list with where it comes from, and the archive's first year."""
+    rows = c._candles(spark, sf_dir)
+    days, label = candles.sessions(spark, rows)
+    return days.agg(F.count("*").alias("sessions")).select(F.lit(label).alias("source"), "sessions", F.lit(candles.first_year(rows)).alias("first_year"))
