@@ -268,7 +268,7 @@ def test_texts_with_one_passage_are_parted_by_their_own_words(docs, monkeypatch)
 
     monkeypatch.setattr(jaccard_join.Classes, "_compare", counted)
     monkeypatch.setattr(jaccard_join, "_rest", kept)
-    for n in (100, 300):
+    for n in (64, 192):
         rows = boilerplate(n)
         made.append([])
         got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs(*rows)).collect()}
@@ -282,7 +282,7 @@ def test_texts_that_are_mostly_one_passage(docs, monkeypatch):
         monkeypatch.setattr(jaccard_join, name, value)
     draw, rows = random.Random(5), []
     passage = [f"p{i}" for i in range(100)]
-    for i in range(160):
+    for i in range(108):
         rows.append((i, " ".join(passage + [f"w{draw.randrange(9000)}" for _ in range((0, 4, 12, 18, 25, 40)[i % 6])])))
     got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs(*rows)).collect()}
     assert got == set(similar(rows))
