@@ -70,6 +70,7 @@ MAJOR = 0.9  # a bucket of which one class has this share isn't split
 GROWS = 0.7  # nor is one whose large parts have so many of its rows
 GROUP_GRAMS = 1 << 20  # n-grams of a large plausible group that is verified at once
 SAMPLED, COMMON = 64, 0.5  # sets of a bucket that are looked at, and what share of them has a common n-gram
+MANY = 4  # times what a set samples otherwise
 PART = 100  # sets of one beyond that which are verified with so many others
 BINS = 64
 FIRST_ROUND = 2
@@ -262,22 +263,30 @@ def _stuck(below: DataFrame) -> DataFrame:
     return grown.select(F.col("above").alias("node"))
 
 
-def _common(large: DataFrame, texts: list[DataFrame], n: int) -> DataFrame:
+def _common(large: DataFrame, texts: list[DataFrame], n: int, threshold: float, scratch: Scratch) -> DataFrame:
     """(node, common): n-grams that most sets of a large bucket hold, so that they part
-    nothing, by ``SAMPLED`` of its sets. Which they are only decides what is saved."""
+    nothing, by ``SAMPLED`` of its sets. Left out are buckets of whose sets most have so
+    little besides that they would sample more than ``MANY`` times as much as elsewhere;
+    these hardly differ, and aren't split. Either way only decides what is saved."""
     picked = large.where(F.pmod(F.xxhash64("sid", "node"), F.col("size")) < SAMPLED).select("node", "sid")
     rows = _all([t.join(picked, "sid").select("node", "sid", "z") for t in texts]).dropDuplicates(["node", "sid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values, first in _sets(batch, 2, n):
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, np.diff(first))), pa.array(values.view(np.int64))], ["node", "gram"])
+                node, sid = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), np.diff(first)) for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sid), pa.array(values.view(np.int64))], ["node", "sid", "gram"])
         bw.release()
 
-    counts = rows.mapInArrow(run, "node long, gram long").groupBy("node", "gram").agg(F.count("*").alias("m"))
+    grams = scratch.keep(rows.mapInArrow(run, "node long, sid long, gram long"), "grams")
+    counts = grams.groupBy("node", "gram").agg(F.count("*").alias("m"))
     counts = counts.join(picked.groupBy("node").agg(F.count("*").alias("total")), "node").where(F.col("m") >= COMMON * F.col("total"))
-    return counts.groupBy("node").agg(F.array_sort(F.collect_list("gram")).alias("common"))
+    counts = scratch.keep(counts.select("node", "gram", F.lit(1).alias("shared")), "shared")
+    own = grams.join(counts, ["node", "gram"], "left").groupBy("node", "sid").agg(F.count("*").alias("n"), F.count("shared").alias("c"))
+    free, left = threshold * F.col("n") - F.col("c"), F.col("n") - F.col("c")
+    little = (free <= 0) | (left * threshold > MANY * free)
+    parted = own.groupBy("node").agg(F.avg(little.cast("int")).alias("little")).where(F.col("little") <= 0.5).select("node")
+    return parted.join(counts.groupBy("node").agg(F.array_sort(F.collect_list("gram")).alias("common")), "node", "left")
 
 
 def _split_apart(large: DataFrame, common: DataFrame, texts: list[DataFrame], n: int, threshold: float) -> DataFrame:
@@ -320,7 +329,7 @@ def _split_apart(large: DataFrame, common: DataFrame, texts: list[DataFrame], n:
         bw.release()
 
     rows = _all([t.join(large.select("sid", "root", "node", "size"), "sid").select("z", "sid", "root", "node", "size") for t in texts])
-    rows = rows.join(common, "node", "left").select("z", "sid", "root", "node", "size", "common")
+    rows = rows.join(common, "node").select("z", "sid", "root", "node", "size", "common")
     return rows.mapInArrow(run, "node long, sid long, root long, above long, parent long, whole boolean")
 
 
@@ -673,7 +682,10 @@ class Classes:
             below = below.join(if_small(stuck.withColumnRenamed("node", "above"))[0], "above", "left_anti").select("node", "sid", "root")
             if stuck.limit(1).count():
                 again = keep(open_.join(if_small(stuck)[0], "node", "left_semi"), "again")
-                common = keep(_common(again, self.have, self.n), "common")
+                common = keep(_common(again, self.have, self.n, self.threshold, self.scratch), "common")
+                parted = if_small(common.select("node"))[0]
+                dense.append(again.join(parted, "node", "left_anti").select("node", "size", "sid"))
+                again = keep(again.join(parted, "node", "left_semi"), "again")
                 apart = keep(_split_apart(again, common, self.have, self.n, self.threshold), "apart")
                 still = keep(_stuck(apart.where("not whole")), "stuck")
                 dense.append(again.join(if_small(still)[0], "node", "left_semi").select("node", "size", "sid"))
