@@ -16,6 +16,10 @@ weights, and the changes are averaged by the words read, those of an id's embedd
 how often the task read that id. At the start the network gives the classes' shares of
 the corpus, which makes it the base.
 
+Texts are read once: their words, as numbers of a chunk's distinct words with these
+words' hashes and subword ids, are written by round, and the counting, the rounds and the
+scoring go on from there.
+
 The base needs a count for each word of each text, and the words grow with the corpus.
 The most frequent words, at most ``head``, are broadcast; the other words of a text are
 joined with the counts by hash and summed per text, so every count is used.
@@ -50,6 +54,9 @@ SPREAD = 32
 FOLDS = 10
 END = 50_256  # the vocabulary's own end-of-text id
 IDS = 50_257
+HELD_OUT, NOT_LEARNED = -1, -2  # in place of a round; a null doc_id is neither learned from nor held out
+CHUNK = 4 << 20  # bytes of text read together
+ROW_GROUP = 16 << 20  # bytes in a row group of the words, whose rows are chunks
 HELD = 1_000_000  # words with counts that a task holds before it sums them or passes them on
 
 
@@ -60,19 +67,52 @@ def fold(doc_id, n: int = FOLDS):
 @dataclass
 class Read:
     """Distinct words of some texts with their hashes (the end, which is last, has none)
-    and counts; the texts' words as numbers of these, each text with its end; where texts
-    begin; and the words as they were found."""
+    and counts; the texts' words as numbers of these, each text with its end; and where
+    texts begin."""
 
     distinct: Words
     keys: np.ndarray
     counts: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    found: bw.Words
 
     def blocks(self) -> Blocks:
         return blocks(self.words, self.first, len(self.keys))
 
+    def part(self, texts: np.ndarray) -> Read:
+        """Some of the texts, by number, with their own distinct words."""
+        sizes = np.diff(self.first)[texts]
+        words = self.words[bw.ragged(self.first[texts], sizes)]
+        met = np.bincount(words, minlength=len(self.counts))
+        at = np.flatnonzero(met)  # the end is in every text, and stays the last
+        number = np.cumsum(met > 0) - 1
+        ids = np.diff(self.distinct.first)[at]
+        flat = self.distinct.flat[bw.ragged(self.distinct.first[at], ids)]
+        return Read(Words(flat, _edges(ids), self.distinct.anchor[at]), self.keys[at[:-1]], met[at], number[words], _edges(sizes))
+
+    def packed(self) -> list[bytes]:
+        """The columns of ``PACKED``."""
+        d = self.distinct
+        columns = np.diff(self.first), self.words, self.keys, np.diff(d.first), d.flat, d.anchor
+        return [x.astype(t).tobytes() for x, t in zip(columns, PACKED.values(), strict=True)]
+
+    @staticmethod
+    def unpacked(columns: list[pa.Scalar]) -> Read:
+        sizes, words, keys, ids, flat, anchor = (np.frombuffer(x.as_buffer(), t) for x, t in zip(columns, PACKED.values(), strict=True))
+        words = words.astype(np.int64)
+        distinct = Words(flat.astype(np.int64), _edges(ids), anchor.astype(np.int64))
+        return Read(distinct, keys, np.bincount(words, minlength=len(anchor)), words, _edges(sizes))
+
+
+#: Words of a chunk's texts: words of each text, their numbers; of distinct words, hashes,
+#: how many subword ids, these, and anchors. Subword ids are below 65,536.
+PACKED = {"sizes": "<i4", "words": "<i4", "keys": "<u8", "ids": "<i4", "flat": "<u2", "anchor": "<u2"}
+READ = "doc_id array<long>, " + ", ".join(f"{c} binary" for c in PACKED) + ", round int"
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
 
 class _WordView:
     """What ``pretoken.Cache`` needs of some words, by their numbers."""
@@ -115,11 +155,35 @@ class _Reader:
         anchor = flat[first[:-1] + (-longest & 0xFFFF_FFFF)]
         end = len(keys)  # the end is the last of the distinct words
         words = np.insert(number, found.first[1:], end)
-        return Read(Words(flat, first, anchor), keys, np.append(np.bincount(number, minlength=end), len(column)), words, found.first + np.arange(len(column) + 1), found)
+        return Read(Words(flat, first, anchor), keys, np.append(np.bincount(number, minlength=end), len(column)), words, found.first + np.arange(len(column) + 1))
 
 
-def _learned(docs: DataFrame, folds: int) -> DataFrame:
-    return docs.where(fold(F.col("doc_id"), folds) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def read_words(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -> DataFrame:
+    """``READ``: the words of all texts in chunks, each of one round, of held-out texts or
+    of texts that aren't learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bw.chunks(batches, size=CHUNK):
+            read = _Reader.of(files)(batch.column(1))
+            own = batch.column(2).to_numpy()
+            for r in np.unique(own).tolist():
+                texts = np.flatnonzero(own == r)
+                ids = batch.column(0).take(pa.array(texts))
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), ids)]
+                columns += [pa.array([x], pa.binary()) for x in read.part(texts).packed()]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r], pa.int32())], ["doc_id", *PACKED, "round"])
+
+    of, turn = fold(F.col("doc_id"), folds), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ROUNDS))
+    round_ = F.when(of == 0, F.lit(HELD_OUT)).when(of.isNull(), F.lit(NOT_LEARNED)).otherwise(turn).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), round_.alias("round"))
+    return rows.mapInArrow(run, READ)
+
+
+def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Read]]:
+    """Each row of a batch with its words."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch, i, Read.unpacked([batch.column(c)[i] for c in PACKED])
 
 
 def _spread(read: Read) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +201,7 @@ def _spread(read: Read) -> tuple[np.ndarray, np.ndarray]:
     return own[starts], np.add.reduceat(share[pair % m], starts, axis=0)
 
 
-def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -> DataFrame:
+def corpus_counts(reads: DataFrame) -> DataFrame:
     """(key, anchor, n, texts, spread): of the training texts' words by hash, how often
     they occur (spread null); of anchors, their spread (key null); a task's texts."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
@@ -155,12 +219,11 @@ def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -
             m = max(len(c) for c in columns if c is not None)
             return pa.RecordBatch.from_arrays([pa.nulls(m, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "anchor", "n", "texts", "spread"])
 
-        for batch in bw.chunks(batches):
-            read = _Reader.of(files)(batch.column(1))
+        for _, _, read in _reads(batches):
             own, rows = _spread(read)
             spread[own] += rows
             met[own] = True
-            texts += batch.num_rows
+            texts += len(read.first) - 1
             held.append((read.keys, read.counts[:-1], read.distinct.anchor[:-1]))
             if sum(len(k) for k, *_ in held) > HELD:
                 keys, counts, anchors = summed()
@@ -176,14 +239,16 @@ def corpus_counts(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -
             yield made(None, own, None, None, list(spread[own]))
         yield made(None, None, None, np.array([texts]), None)
 
-    return _learned(docs, folds).mapInArrow(run, "key long, anchor int, n long, texts long, spread array<float>")
+    return reads.where("round >= 0").mapInArrow(run, "key long, anchor int, n long, texts long, spread array<float>")
 
 
 @dataclass
 class Counts:
-    """What is counted over the training texts. ``words``: (key, anchor, n) of distinct
-    words; by anchor, the occurrences and the distinct words; the number of texts."""
+    """What is counted over the training texts. ``reads``: the words of all texts
+    (``READ``); ``words``: (key, anchor, n) of distinct words; by anchor, the occurrences
+    and the distinct words; the number of texts."""
 
+    reads: DataFrame | None
     words: DataFrame
     mass: np.ndarray
     distinct: np.ndarray
@@ -192,7 +257,8 @@ class Counts:
 
 
 def count(docs: DataFrame, files: tuple[str, str], folds: int, scratch: Scratch) -> Counts:
-    raw = scratch.keep(corpus_counts(docs, files, folds), "lm_counts")
+    reads = scratch.keep(read_words(docs, files, folds), "lm_reads", "round", **{"parquet.block.size": ROW_GROUP})
+    raw = scratch.keep(corpus_counts(reads), "lm_counts")
     words = scratch.keep(raw.where("key is not null").groupBy("key").agg(F.first("anchor").alias("anchor"), F.sum("n").alias("n")), "lm_words")
     mass, distinct, spread = np.zeros(IDS), np.zeros(IDS), np.zeros((IDS, SPREAD), np.float32)
     for r in words.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # at most IDS rows
@@ -203,7 +269,7 @@ def count(docs: DataFrame, files: tuple[str, str], folds: int, scratch: Scratch)
     texts = raw.agg(F.sum("texts")).first()[0] or 0
     scratch.drop(raw)
     mass[END], distinct[END] = texts, int(texts > 0)
-    return Counts(words, mass, distinct, spread, texts)
+    return Counts(reads, words, mass, distinct, spread, texts)
 
 
 def _rest(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -212,14 +278,14 @@ def _rest(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32)).reshape(-1, WIDTH)
 
 
-def learn_round(model: Attention, texts: DataFrame, files: tuple[str, str], rate: float) -> None:
-    """Move the network by the averaged changes of the tasks that read ``texts``."""
+def learn_round(model: Attention, reads: DataFrame, rate: float) -> None:
+    """Move the network by the averaged changes of the tasks that go through ``reads``."""
     names = [f"v{i}" for i in range(WIDTH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Attention({k: v.copy() for k, v in model.p.items()}, model.of)
-        reads = (_Reader.of(files)(b.column(0)) for b in bw.chunks(batches))
-        read, _ = own.follow(((r.distinct, r.blocks()) for r in reads), rate, BATCH)
+        read, _ = own.follow(((r.distinct, r.blocks()) for *_, r in _reads(batches)), rate, BATCH)
+        bw.release()
         total = int(read.sum())
         if not total:
             return
@@ -231,7 +297,7 @@ def learn_round(model: Attention, texts: DataFrame, files: tuple[str, str], rate
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight), *(pa.array(np.ascontiguousarray(c)) for c in moved.T)], ["key", "weight", *names])
 
     schema = "key long, weight long, " + ", ".join(f"{x} float" for x in names)
-    found = texts.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *(F.sum(x).cast("float").alias(x) for x in names)).toPandas()  # as many rows as there are weights
+    found = reads.mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *(F.sum(x).cast("float").alias(x) for x in names)).toPandas()  # as many rows as there are weights
     if not len(found):
         return
     key = found["key"].to_numpy()
@@ -248,12 +314,12 @@ def learn_round(model: Attention, texts: DataFrame, files: tuple[str, str], rate
 
 
 def train(docs: DataFrame, counts: Counts, files: tuple[str, str], folds: int) -> Attention:
-    """The network, learned as the module's text describes."""
+    """The network, learned as the module's text describes, from the words that came with
+    the counts or else from ``docs``."""
     model = Attention.fresh(counts.mass, classes_of(counts.mass, counts.spread))
-    learned = _learned(docs, folds)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(ROUNDS))
+    reads = read_words(docs, files, folds) if counts.reads is None else counts.reads
     for r in range(ROUNDS if counts.texts else 0):
-        learn_round(model, learned.where(turn == r), files, RATE * (1 - 7 / 8 * r / max(1, ROUNDS - 1)))
+        learn_round(model, reads.where(F.col("round") == r), RATE * (1 - 7 / 8 * r / max(1, ROUNDS - 1)))
     return model
 
 
@@ -290,9 +356,8 @@ def lm_scores(docs: DataFrame, files: tuple[str, str] | None = None, folds: int
         from pyspark import TaskContext
 
         task, done = TaskContext.get().partitionId(), 0
-        for batch in bw.chunks(batches):
-            m = batch.num_rows
-            read = _Reader.of(files)(batch.column(2))
+        for batch, i, read in _reads(batches):
+            m = len(read.first) - 1
             each = model.score(read.distinct, read.blocks()) - share[read.distinct.anchor[read.words]]
             by_text = np.add.reduceat(each, read.first[:-1])
             spot = np.minimum(np.searchsorted(keys, read.keys), max(len(keys) - 1, 0))
@@ -308,8 +373,8 @@ def lm_scores(docs: DataFrame, files: tuple[str, str] | None = None, folds: int
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((np.int64(task) << 40) + done + np.arange(m)),
-                    batch.column(0),
-                    batch.column(1),
+                    batch.column("doc_id")[i].values,
+                    pa.array(np.full(m, batch.column("round")[i].as_py() == HELD_OUT)),
                     pa.array(np.diff(read.first)),
                     pa.array(np.bincount(doc[inside], minlength=m)),
                     pa.array(sums),
@@ -319,11 +384,11 @@ def lm_scores(docs: DataFrame, files: tuple[str, str] | None = None, folds: int
                 ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "classes", "tail"],
             )
             done += m
+        bw.release()
 
-    held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, classes double, tail array<struct<key:long,n:long>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = scratch.keep(rows.mapInArrow(run, schema), "lm_scored")
+    scored = scratch.keep(counts.reads.mapInArrow(run, schema), "lm_scored")
+    scratch.drop(counts.reads)
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.key", F.col("t.n").alias("times"))
     met = tail.join(counts.words.select("key", "n"), "key").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("tail_sum"))
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))

@@ -89,9 +89,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.held, self.tables = spark, [], {}
 
-    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *partition_by: str, **options) -> DataFrame:
         path = fresh_path(self.spark, name)
-        writer = df.write
+        writer = df.write.options(**options)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
