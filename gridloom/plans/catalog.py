@@ -705,9 +705,11 @@ def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(o.query("SELECT date, unnest(CASE WHEN day(date) = 1 THEN ['equity', 'shares'] ELSE ['equity'] END) AS \"column\" FROM curve WHERE day(date) <= 2", *_CURVE))
 def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against an external curve that differs on the first two days of each month."""
+    """Against an external curve that differs on the first two days of each month, by more
+    than the audit's relative tolerance however large the equity."""
     curve = _curve(spark, sf_dir).drop(*COMBO)
-    other = curve.withColumn("equity", F.when(F.dayofmonth("date") <= 2, F.col("equity") + 1).otherwise(F.col("equity")))
+    more = F.greatest(F.lit(1.0), F.abs("equity") * 1e-6)
+    other = curve.withColumn("equity", F.when(F.dayofmonth("date") <= 2, F.col("equity") + more).otherwise(F.col("equity")))
     other = other.withColumn("shares", F.when(F.dayofmonth("date") == 1, F.col("shares") + 1).otherwise(F.col("shares")))
     return audits.golden(other, curve).select("date", "column")
 

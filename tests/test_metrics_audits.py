@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import schemas
 from gridloom.config import Costs
 from gridloom.operators import audits, indicators, metrics
+from gridloom.plans import catalog
 from gridloom.plans import walk_forward as wf
 from tests.helpers import day, synthetic
 
@@ -96,6 +97,12 @@ def test_golden_differences(spark):
     assert audits.golden(make(large), make((*row[:3], 2e8 + 1e-3, 1e8 + 1.0, "T0"))).count() == 1  # beyond a relative 1e-10
 
 
+def test_golden_query_tells_days_of_any_equity(spark, monkeypatch):
+    days = [(day(f"2020-01-0{d}"), "T0", 1, 2.0, e, "T0") for d, e in ((1, 3.7e12), (2, 3.7e12), (3, 3.7e12))]
+    monkeypatch.setattr(catalog, "_curve", lambda spark, sf_dir: spark.createDataFrame(days, schemas.GOLDEN))
+    assert sorted((r.date.day, r.column) for r in catalog.golden_diff(spark, "").collect()) == [(1, "equity"), (1, "shares"), (2, "equity")]
+
+
 def test_golden_gate_and_indicators(spark):
     meta = dict.fromkeys(audits.GOLDEN_FIELDS, 1) | {"source": audits.GOLDEN_SOURCE, "fixture_sha256": HEX[0]}
     assert audits.golden_gate(meta, HEX[0]) == []
