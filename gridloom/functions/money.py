@@ -40,14 +40,26 @@ def affordable(cash: Column, price: Column, fee: float, base: float, extra: floa
 
 def affordable_by_scan(rows: DataFrame, keys: list[str], fee: float, base: float, extra: float) -> DataFrame:
     """(keys, quantity): the most shares that ``cash`` buys at ``price``, found by trying
-    every number of shares, by lots of thousands and then by ones. It shares no arithmetic
-    with ``affordable`` but the cost of a purchase, and is there to be compared with it."""
-    block, valid = 1000, (F.col("price") > 0) & (F.col("cash") > 0) & (F.col("price") < float("inf")) & (F.col("cash") < float("inf"))
-    most = F.when(valid, F.floor(F.col("cash") / F.col("price")) + 1).otherwise(F.lit(0).cast("long"))
-    blocks = rows.select(*keys, "cash", "price", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most / block))).alias("b"))
-    each = blocks.select(*keys, "cash", "price", F.explode(F.sequence(F.col("b") * block, F.col("b") * block + (block - 1))).alias("q"))
-    fits = (F.col("q") == 0) | (valid & (purchase(F.col("price"), F.col("q"), base, extra) * F.lit(1.0 + fee) <= F.col("cash") + 1e-9))
-    return each.where(fits).groupBy(*keys).agg(F.max("q").alias("quantity"))
+    quantities: lots by halving steps, then every number of loose shares. It shares no
+    arithmetic with ``affordable`` but the cost of a purchase, and is there to be compared
+    with it. A row is worked on by itself, with some hundred tries whatever its cash.
+
+    The rates aren't negative, so a lot's first share costs no less than that of the lot
+    before, also rounded, and each share of a lot no less than the one before; what a
+    quantity that is beyond the last fitting lot costs is never within the cash."""
+    valid = (F.col("price") > 0) & (F.col("cash") > 0) & (F.col("price") < float("inf")) & (F.col("cash") < float("inf"))
+    none = F.lit(0).cast("long")
+
+    def fits(q: Column) -> Column:
+        return purchase(F.col("price"), q, base, extra) * F.lit(1.0 + fee) <= F.col("cash") + 1e-9
+
+    # Lots are below 2 ** bits: without rates, so many cost more than there is.
+    bits = F.ceil(F.log2(F.col("cash") / F.col("price") / LOT + 2)).cast("int")
+    bits = F.when(bits <= 56, bits).otherwise(F.raise_error(F.lit("more shares than a long holds")).cast("int"))
+    steps = F.transform(F.sequence(bits, F.lit(0)), lambda b: F.call_function("shiftleft", F.lit(LOT).cast("long"), b))
+    whole = F.aggregate(steps, none, lambda q, step: F.when(fits(q + step), q + step).otherwise(q))
+    loose = lambda q: F.aggregate(F.sequence(none, F.lit(LOT - 1).cast("long")), none, lambda most, n: F.when(fits(q + n), n).otherwise(most))
+    return rows.select(*keys, F.when(valid, let(whole, lambda q: q + loose(q))).otherwise(none).alias("quantity"))
 
 
 def close_to(a: Column, b: Column, rel: float = 1e-10, abs_: float = 1e-7) -> Column:

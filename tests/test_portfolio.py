@@ -49,6 +49,16 @@ def test_quantity_equals_a_scan_of_all_quantities(spark, costs):
     assert found == scanned and len(found) == len(rows) and max(found.values()) > 300
 
 
+def test_scan_of_a_fortune_takes_few_tries(spark):
+    """Some 1e15 shares: trying each one by one would never end."""
+    fee, base, extra = Costs().rates
+    cash, price = 1e13, 0.01
+    (row,) = affordable_by_scan(spark.createDataFrame([(1, cash, price)], "n int, cash double, price double"), ["n"], fee, base, extra).collect()
+    cost = lambda q: price * ((1.0 + base) * q + extra * (q % 100)) * (1.0 + fee)
+    assert row.quantity > 9e14 and cost(row.quantity) <= cash + 1e-9
+    assert cost(row.quantity + 1) > cash + 1e-9 and cost(row.quantity // 100 * 100 + 100) > cash + 1e-9
+
+
 def test_close_scores_rank_as_floats(spark):
     rows = spark.createDataFrame([(5, 0, 0, 1.00000001), (5, 0, 1, 1.00000002), (5, 1, 0, 0.5), (5, 1, 1, 0.5)], "momentum_period int, week_idx int, ticker_idx int, score double")
     best = ranking.ranked(rows).where("rank = 1").orderBy("week_idx").collect()
