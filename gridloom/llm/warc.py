@@ -29,6 +29,7 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import itertools
 import json
 import re
 import uuid
@@ -49,13 +50,18 @@ RECORDS = "page_id long, warc_type string, headers array<struct<name:string,valu
 DERIVED = RECORDS + ", record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, content_length long, text string"
 #: Source headers that derived records carry on.
 CARRIED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Payload-Digest", "WARC-Identified-Payload-Type")
-_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
+_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8").bytes  # of URLs, RFC 4122
 
 #: Elements whose content isn't text of the page, and tags that end a line or a cell.
 _HIDDEN = frozenset(("script", "style", "noscript", "template", "title"))
 _BREAKS = frozenset("br hr p div li ul ol dl dt dd tr table thead tbody section article header footer nav aside main form pre blockquote figure h1 h2 h3 h4 h5 h6".split())
 _CELLS = frozenset(("td", "th"))
+_ENDING, _SPACING = (names | {f"/{x}" for x in names} for names in (_BREAKS, _CELLS))
+_READ = frozenset(("a", "html"))  # whose attributes are read
 _NAME = re.compile(r"(/?)\s*([A-Za-z][A-Za-z0-9]*)")
+#: Text and a tag behind it, as most are: only what is quoted by " may be anything but < or
+#: >. It never looks past the next but one <.
+_PLAIN = re.compile(r"([^<]*+)<(/?)([A-Za-z][A-Za-z0-9]*+)[^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+)*+>")
 _INSIDE = re.compile(r"[<>\"']")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN}
 _HREF = re.compile(r"[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -67,7 +73,11 @@ def digest(data: bytes) -> str:
 
 
 def record_id(*parts: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, chr(31).join('' if p is None else str(p) for p in parts))}>"
+    """A name-based id (version 5) of the parts."""
+    made = bytearray(hashlib.sha1(_NAMESPACE + chr(31).join("" if p is None else str(p) for p in parts).encode()).digest()[:16])
+    made[6], made[8] = made[6] & 0x0F | 0x50, made[8] & 0x3F | 0x80
+    h = made.hex()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -86,21 +96,31 @@ def _tag_end(page: str, at: int) -> int:
     return len(page)
 
 
-def markup(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, content) of a page's pieces in their order: ``text``; ``tag`` with its
-    name ("/p" for an end) and its source; ``hidden`` for comments and for elements that
-    aren't shown, with what they hold (None if they aren't closed).
+def markup(page: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """(text, kind, name, content) of a page's pieces in their order, each with the text
+    before it: ``tag`` with its name ("/p" for an end) and its source; ``hidden`` for
+    comments and for elements that aren't shown, with what they hold (None if they aren't
+    closed); ``end`` for the page's end.
 
     Each character is passed a bounded number of times, whatever the page: a tag that
     another one interrupts is text, and behind one that is never closed all is text."""
     at = start = 0
-    size = len(page)
-    while (at := page.find("<", at)) >= 0:
+    size, plain = len(page), _PLAIN.match
+    while True:
+        if m := plain(page, at):
+            text, slash, name = m.groups()
+            name = name.lower()
+            if slash or name not in _HIDDEN:
+                yield (page[start:at] + text if at > start else text), "tag", slash + name, m[0][len(text) :] if name in _READ else ""
+                at = start = m.end()
+                continue
+        at = page.find("<", at)
+        if at < 0:
+            break
         if page.startswith(("<!--", "<![CDATA["), at):
             comment = page[at + 2] == "-"
             end = page.find("-->" if comment else "]]>", at + (4 if comment else 9))
-            yield "text", "", page[start:at]
-            yield "hidden", "", None if end < 0 else page[at:end]
+            yield page[start:at], "hidden", "", None if end < 0 else page[at:end]
             at = start = size if end < 0 else end + 3
             continue
         m = _NAME.match(page, at + 1)
@@ -116,38 +136,45 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         if end == size and page[-1:] != ">":
             break
-        yield "text", "", page[start:at]
         if name in _HIDDEN and not m[1]:
             close = _ENDS[name].search(page, end)
-            yield "hidden", name, page[end : close.start()] if close else None
+            yield page[start:at], "hidden", name, page[end : close.start()] if close else None
             end = close.end() if close else size
         else:
-            yield "tag", (m[1] if m else "") + name, page[at:end]
+            yield page[start:at], "tag", (m[1] if m else "") + name, page[at:end]
         at = start = end
-    yield "text", "", page[start:]
+    yield page[start:], "end", "", ""
 
 
 def read_page(page: str) -> dict:
     """The page's visible ``text``, a line for each block; its ``title`` and ``lang`` or
     None; and its ``links`` in their order."""
-    parts: list[str] = []
-    found: dict = {"title": None, "lang": None, "links": []}
-    for kind, name, content in markup(page):
-        if kind == "text":
-            parts.append(re.sub(r"\s+", " ", content))
+    lines: list[str] = []
+    line = ""
+    title = lang = None
+    links: list[str] = []
+    for text, kind, name, content in markup(page):
+        line += text
+        if name in _ENDING:
+            if line:
+                lines.append(line)
+                line = ""
         elif kind == "hidden":
-            parts.append(" ")
-            if name == "title" and found["title"] is None and content is not None:
-                found["title"] = " ".join(entities.unescape(content).split())
-        else:
-            own = name.removeprefix("/")
-            parts.append("\n" if own in _BREAKS else "\t" if own in _CELLS else "")
-            if name == "a" and (m := _HREF.match(content)):
-                found["links"].append(entities.unescape(next(x for x in m.groups() if x is not None)))
-            if name == "html" and found["lang"] is None and (m := _LANG.match(content)):
-                found["lang"] = m[1]
-    lines = (" ".join(entities.unescape(x).split()) for x in "".join(parts).split("\n"))
-    return found | {"text": "\n".join(x for x in lines if x)}
+            line += " "
+            if name == "title" and title is None and content is not None:
+                title = " ".join(entities.unescape(content).split())
+        elif name in _SPACING:
+            line += "\t"
+        elif name == "a":
+            if m := _HREF.match(content):
+                link = m[m.lastindex]
+                links.append(entities.unescape(link) if "&" in link else link)
+        elif name == "html" and lang is None and (m := _LANG.match(content)):
+            lang = m[1]
+    lines.append(line)
+    # Spaces end an entity that has no semicolon, so they are made alike before.
+    lines = [" ".join((entities.unescape(re.sub(r"\s+", " ", x)) if "&" in x else x).split()) for x in lines]
+    return {"title": title, "lang": lang, "links": links, "text": "\n".join(filter(None, lines))}
 
 
 def plain_text(page: str) -> str:
@@ -158,11 +185,12 @@ def plain_text(page: str) -> str:
 def response(page_id: int | None, url: str | None, page: str | None) -> tuple[list[tuple[str, str]], bytes]:
     """Headers and block of a page's response record."""
     payload = (page or "").encode()
+    own = digest(payload)
     block = HTTP.format(len(payload)).encode() + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, digest(payload)))]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, own))]
     if url is not None:  # a line break would end the header
         headers.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    headers += [("WARC-Date", DATE), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))]
+    headers += [("WARC-Date", DATE), ("WARC-Payload-Digest", own), ("WARC-Block-Digest", digest(block))]
     return [*headers, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))], block
 
 
@@ -281,7 +309,17 @@ _PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
 def _pairs(headers: list[list[tuple[str, str]]]) -> pa.Array:
-    return pa.array([[{"name": k, "value": v} for k, v in h] for h in headers], _PAIRS)
+    edges = [0, *itertools.accumulate(map(len, headers))]
+    names, values = (pa.array([x[i] for h in headers for x in h], pa.string()) for i in range(2))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([names, values], ["name", "value"])).cast(_PAIRS)
+
+
+def _headers_of(column: pa.ListArray) -> list[list[tuple[str, str]]]:
+    """The inverse; a null list has no headers."""
+    pairs = column.flatten()
+    flat = list(zip(*(pairs.field(i).to_pylist() for i in range(2)), strict=True))
+    edges = [0, *itertools.accumulate(n or 0 for n in column.value_lengths().to_pylist())]
+    return [flat[a:b] for a, b in itertools.pairwise(edges)]
 
 
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,10 +340,11 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 100):
             rows = []
             part = batch.slice(start, 100)
-            for page, kind, headers, block in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            columns = part.column(0).to_pylist(), part.column(1).to_pylist(), _headers_of(part.column(2)), part.column(3).to_pylist()
+            for page, kind, headers, block in zip(*columns, strict=True):
                 if kind != "response":
                     continue
-                for own, body in derived([(h["name"], h["value"]) for h in headers], block):
+                for own, body in derived(headers, block):
                     of = dict(own)
                     text = body.decode() if of["WARC-Type"] == "conversion" else None
                     rows.append((page, of["WARC-Type"], own, body, of["WARC-Record-ID"], of.get("WARC-Refers-To"), of.get("WARC-Target-URI"), of["WARC-Payload-Digest"], of["WARC-Block-Digest"], len(body), text))

@@ -465,6 +465,23 @@ def test_a_hostile_page_takes_time_in_proportion(piece):
     assert time.process_time() - began < 8  # some tenths of a second where the machine is free
 
 
+def test_usual_tags_take_few_calls():
+    import cProfile
+    import pstats
+
+    page = '<p class="x">word <a href="/u">b</a></p>\n' * 500
+    profile = cProfile.Profile()
+    found = profile.runcall(warc.read_page, page)
+    assert found["links"] == ["/u"] * 500 and found["text"] == "\n".join(["word b"] * 500)
+    assert pstats.Stats(profile).total_calls < 10 * 2000  # the tags
+
+
+def test_record_ids_are_version_5_names():
+    import uuid
+
+    assert warc.record_id("response", 7, None, "é") == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'response\x1f7\x1f\x1fé')}>"
+
+
 def test_quotes_interrupted_and_unclosed_tags():
     read = warc.read_page
     assert read("<div title=\"a > b\">x</div>")["text"] == "x"
