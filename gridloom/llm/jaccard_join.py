@@ -224,7 +224,7 @@ def _rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
     """With each sid's class so far in ``root``."""
     if roots is None:
         return sets.withColumn("root", F.col("sid"))
-    return sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def _divided(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -519,7 +519,8 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verify(members: DataFrame, texts: list[DataFrame], threshold: float, n: int) -> DataFrame:
-    """Verified links inside each bucket, as edges to its smallest linked sid."""
+    """Verified links inside each bucket, as edges to its smallest linked sid. ``members``
+    are written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _whole(batches):
@@ -537,7 +538,8 @@ def _verify(members: DataFrame, texts: list[DataFrame], threshold: float, n: int
             if out:
                 yield _table(out, ["a", "b"])
 
-    rows = _all([members.join(t, "sid").select("bucket", "sid", "z") for t in texts]).repartition("bucket").sortWithinPartitions("bucket")
+    members = if_small(members)[0]
+    rows = _all([t.join(members, "sid").select("bucket", "sid", "z") for t in texts]).repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -654,10 +656,11 @@ class Classes:
         self.have: list[DataFrame] = []
         self.edges: list[DataFrame] = []
         self.roots: DataFrame | None = None
+        self.few = True
         run = F.col("node").bitwiseAND(F.lit(255))
         large = []
         for turn in (run < FIRST_ROUND, run >= FIRST_ROUND):
-            level = _rooted(self.whole.select("sid", "nodes"), self.roots)
+            level = _rooted(self.whole.select("sid", "nodes"), self._near())
             small, big = _by_size(level.select(F.explode("nodes").alias("node"), "sid", "root").where(turn), LIMIT, self.scratch)
             large.append(keep(big.select("node", "sid", "root", "size"), "large"))
             self._compare([small, _blocks(large[-1])])
@@ -668,7 +671,7 @@ class Classes:
     def _split_large(self, large: DataFrame) -> None:
         """The third round, on first-level buckets (node, sid, size)."""
         keep = self.scratch.keep
-        level = keep(_divided(_rooted(large, self.roots), self.scratch), "level")
+        level = keep(_divided(_rooted(large, self._near()), self.scratch), "level")
         parts, dense = [], []
         while level.limit(1).count():
             parts.append(level.where(F.col("size") <= WIDE))
@@ -699,7 +702,7 @@ class Classes:
             level = keep(_divided(big, self.scratch), "level")
         if parts:
             self._compare(parts)
-            rest = _rest(_all(dense), self.roots, self.scratch)
+            rest = _rest(_all(dense), self._near(), self.scratch)
             if rest is not None:
                 self._compare([rest])
 
@@ -713,11 +716,19 @@ class Classes:
         self._fetch(candidates.select("sid").distinct())
         self.edges.append(self.scratch.keep(_verify(candidates, self.have, self.threshold, self.n), "edges"))
         before, self.roots = self.roots, self.scratch.keep(components(_all(self.edges)), "roots")
+        self.few = if_small(self.roots)[1]
         self.scratch.drop(before, candidates)
 
+    def _near(self) -> DataFrame | None:
+        """(sid, root) of the classes so far, to be broadcast if they are few."""
+        if self.roots is None:
+            return None
+        hinted = F.broadcast if self.few else lambda t: t.hint("merge")
+        return hinted(self.roots.withColumnRenamed("id", "sid"))
+
     def links(self) -> DataFrame:
         """(sid, links): how many rows of other sets each set is linked with."""
-        placed = self.roots.withColumnRenamed("id", "sid").join(self.sets.select("sid", "copies"), "sid")
+        placed = self.sets.select("sid", "copies").join(self._near(), "sid")
         sizes = self.roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
         large = self.scratch.keep(sizes.select("root", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts")), "large_classes")
         few = if_small(large)[0]
@@ -738,7 +749,7 @@ class Classes:
 def _rest(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Of buckets that aren't split and have several classes, the sets outside the
     largest class against all, in blocks: (node, sid, root)."""
-    known = scratch.keep(dense.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("node", "size", "sid", F.coalesce("root", "sid").alias("root")), "unsplit")
+    known = scratch.keep(dense.join(roots, "sid", "left").select("node", "size", "sid", F.coalesce("root", "sid").alias("root")), "unsplit")
     by_root = known.groupBy("node", "root").agg(F.count("*").alias("m"))
     top = by_root.groupBy("node").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("total")).where("top.m < total")
     top = scratch.keep(top.select("node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.m")).alias("minor")), "majors")
@@ -755,7 +766,7 @@ def _rest(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame | N
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links and class_size of every row of ``docs``."""
     found = Classes(docs, n, threshold, recall)
-    of_set = found.sets.join(found.roots.withColumnRenamed("id", "sid"), "sid", "left").join(found.links(), "sid", "left")
+    of_set = found.sets.join(found._near(), "sid", "left").join(found.links(), "sid", "left")
     of_set = of_set.select("sid", F.coalesce("root", "sid").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "doc_id")
     alone = F.col("links") + F.col("copies") == 1  # most sets; they take no part in the shuffle by class
     of_set = found.scratch.keep(of_set.where(~alone), "linked")
@@ -778,7 +789,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     repeat whole are one document; rows without words are in no class and stay."""
     found = Classes(docs, n, threshold, recall)
     keep = found.scratch.keep
-    placed = found.rows.where("sid is not null").join(found.roots.withColumnRenamed("id", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "did", "k")
+    placed = found.rows.where("sid is not null").join(found._near(), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "did", "k")
     placed = placed.select("root", "did", "k", (F.col("k") >= 1 << 32).alias("nameless"))
     at = F.struct("nameless", "did", "k")
     stays = placed.groupBy("root").agg(F.min(at).alias("at"), F.count("*").alias("size")).where("size > 1")

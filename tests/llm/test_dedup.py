@@ -226,6 +226,20 @@ def test_runs_of_split_buckets_are_independent():
     assert missed < want + 4 * (want * (1 - want) / n) ** 0.5
 
 
+def test_few_labels_are_few_files(spark):
+    """However many shuffle partitions there are, since each costs a task and a file a round."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = components(spark.range(600).selectExpr("2 * id a", "2 * id + 1 b"))
+        assert len(found.inputFiles()) <= max(32, spark.sparkContext.defaultParallelism)
+        assert all(r.root == r.id // 2 * 2 for r in found.collect()) and found.count() == 1200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.id: r.root for r in components(path).collect()}
