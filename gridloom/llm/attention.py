@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from gridloom.llm import bytewords as bw
+
 CONTEXT = 32
 STRIDE = 16
 WIDTH = 16
@@ -29,6 +31,7 @@ HIDDEN = 32
 CLUSTERS = 24
 CLASSES = 32  # in a group
 SHARED = 4  # of these, for the anchors that have none of their own
+SHORT = 8  # subword ids of a word that are added for all words at once
 
 
 def classes_of(counts: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -65,17 +68,40 @@ def _normal(draw: np.random.Generator, *shape: int, scale: float = 0.1) -> np.nd
     return draw.normal(0, scale, shape).astype(np.float32)
 
 
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials less what was taken from each row so that they stay in range, their
+    sums by the last axis, and what was taken: nothing, where they stay in range as is."""
+    if z.size and z.max() < 60:
+        e = np.exp(z)
+        total = _total(e)
+        if total.min() > 1e-20:
+            return e, total, 0.0
+    top = z.max(axis=-1, keepdims=True)
+    e = np.exp(z - top)
+    return e, _total(e), top[..., 0]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place, by the last axis."""
-    z -= z.max(axis=-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= _total(z)[..., None]
-    return z
+    """By the last axis."""
+    e, total, _ = _exponentials(z)
+    e /= total[..., None]
+    return e
+
+
+def _log_total(z: np.ndarray) -> np.ndarray:
+    """Logarithms of the summed exponentials of the last axis."""
+    _, total, top = _exponentials(z)
+    return np.log(total) + top
 
 
 def _total(z: np.ndarray) -> np.ndarray:
     """Sums of the last axis, as a product, which is faster on short rows."""
-    return z @ np.ones(z.shape[-1], z.dtype)
+    return (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(z.shape[:-1])
+
+
+def _columns(z: np.ndarray) -> np.ndarray:
+    """Sums of the first axis, likewise."""
+    return (np.ones(len(z), z.dtype) @ z.reshape(len(z), -1)).reshape(z.shape[1:])
 
 
 def _by_kind(kind: np.ndarray, kinds: int) -> tuple[np.ndarray, list[int]]:
@@ -90,11 +116,14 @@ def _sums(number: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((number[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(rows.dtype)
 
 
-def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, which are below ``size``, in order, and each value's place there."""
-    met = np.zeros(size, bool)
-    met[values] = True
-    return np.flatnonzero(met), (np.cumsum(met) - 1)[values]
+def _numbered(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in any order, and each value's place there. ``table``: of whole
+    numbers, longer than any value; what it holds doesn't matter."""
+    at = np.arange(len(values))
+    table[values] = at
+    found = values[table.take(values) == at]
+    table[found] = at[: len(found)]
+    return found, table.take(values)
 
 
 @dataclass
@@ -106,9 +135,27 @@ class Words:
     first: np.ndarray
     anchor: np.ndarray
 
-    def summed(self, embed: np.ndarray) -> np.ndarray:
-        """Each word's vector."""
-        return np.add.reduceat(embed[self.flat], self.first[:-1], axis=0) if len(self.first) > 1 else np.zeros((0, embed.shape[1]), embed.dtype)
+    def summed(self, embed: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        """Each word's vector, or those of some of the words."""
+        first, size = self.first[:-1], np.diff(self.first)
+        if some is not None:
+            first, size = first.take(some), size.take(some)
+        if not len(size):
+            return np.zeros((0, embed.shape[1]), embed.dtype)
+        # Words of most ids first: those that have a further id are then the first ones.
+        order = np.argsort(-np.minimum(size, SHORT + 1).astype(np.int16), kind="stable")
+        at, size = first.take(order), size.take(order)
+        more = np.searchsorted(-np.minimum(size, SHORT + 1), -np.arange(SHORT + 1)).tolist()
+        added = embed.take(self.flat.take(at), axis=0)
+        for j, m in enumerate(more[1:SHORT], 1):
+            added[:m] += embed.take(self.flat.take(at[:m] + j), axis=0)
+        if m := more[SHORT]:
+            left = size[:m] - SHORT
+            ids = self.flat.take(_ragged(at[:m] + SHORT, left))
+            added[:m] += np.add.reduceat(embed.take(ids, axis=0), np.cumsum(left) - left, axis=0)
+        out = np.empty_like(added)
+        out[order] = added
+        return out
 
 
 @dataclass
@@ -144,10 +191,43 @@ def blocks(words: np.ndarray, first: np.ndarray, lead: int) -> Blocks:
     return Blocks(*(x.reshape(n, STRIDE) for x in (read, target, real)), begins)
 
 
-_AWAY = (np.arange(STRIDE)[:, None] + STRIDE - np.arange(CONTEXT)[None, :])  # places from key to query
+#: Attention is kept by blocks of keys: for each, rows for the queries of the block itself
+#: and then for those of the next one.
+_AWAY = np.arange(CONTEXT)[:, None] - np.arange(STRIDE)[None, :]  # places from key to query
 _FUTURE = np.where(_AWAY < 0, np.float32(-1e9), np.float32(0))
 
 
+def _with_next(y: np.ndarray) -> np.ndarray:
+    """Rows of each block but the last and of the next one, as overlapping views."""
+    b, n = y.shape[:2]
+    return np.lib.stride_tricks.as_strided(y, (b - 1, 2 * n, *y.shape[2:]), y.strides, writeable=False)
+
+
+def _met(y: np.ndarray) -> np.ndarray:
+    """Sums for queries of what their own block and the one before hold for them."""
+    n = y.shape[1] // 2
+    out = y[:, :n].copy()
+    out[1:] += y[:-1, n:]
+    return out
+
+
+def _attended(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of attention, and their sums for each query; less what is taken from
+    a query's rows so that they stay in range, where they don't as is."""
+    if z.max() < 60:
+        e = np.exp(z)
+        total = _met(_total(e))
+        if total.min() > 1e-20:
+            return e, total
+    top, n = z.max(axis=2), z.shape[1] // 2
+    own = top[:, :n].copy()
+    np.maximum(own[1:], top[:-1, n:], out=own[1:])
+    z[:, :n] -= own[:, :, None]
+    z[:-1, n:] -= own[1:, :, None]
+    e = np.exp(z, out=z)
+    return e, _met(_total(e))
+
+
 @dataclass
 class Attention:
     p: dict[str, np.ndarray]
@@ -171,119 +251,133 @@ class Attention:
         }
         return Attention(p, of)
 
+    def _inputs(self) -> np.ndarray:
+        """Weights of queries, which are scaled, keys and values, side by side."""
+        p = self.p
+        return np.concatenate([p["query"] * p["query"].dtype.type(1 / np.sqrt(WIDTH)), p["key"], p["value"]], axis=1)
+
     def _forward(self, x: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
         """Activations of blocks with inputs ``x`` [block, place, width]. The first block
         has nothing before it."""
         p, (b, n, d) = self.p, x.shape
         flat = x.reshape(-1, d)
-        every = (flat @ np.concatenate([p[w] for w in ("query", "key", "value")], axis=1)).reshape(b, n, 3 * d)
-        q = every[:, :, :d] * every.dtype.type(1 / np.sqrt(d))
-
-        def over(y: np.ndarray) -> np.ndarray:  # with the block before
-            out = np.zeros((b, 2 * n, d), y.dtype)
-            out[:, n:] = y
-            out[1:, :n] = y[:-1]
-            return out
-
-        kk, vv = over(every[:, :, d : 2 * d]), over(every[:, :, 2 * d :])
-        a = q @ kk.transpose(0, 2, 1)
-        a += p["away"][np.maximum(_AWAY, 0)] + _FUTURE
-        alone = begins.copy()
-        alone[:1] = True
-        a[alone, :, :STRIDE] = -1e9
-        a = _softmax(a)
-        h = (x + a @ vv).reshape(-1, d)
-        r = np.maximum(h @ p["in"] + p["in_bias"], 0)
-        return {"x": flat, "q": q, "kk": kk, "vv": vv, "a": a, "h": h, "r": r, "y": h + r @ p["out"]}
+        every = np.empty((b + 1, n, 3 * d), x.dtype)
+        every[b] = 0
+        np.matmul(flat, self._inputs(), out=every[:b].reshape(-1, 3 * d))
+        q, k, v = _with_next(every[:, :, :d]), every[:b, :, d : 2 * d], every[:b, :, 2 * d :]
+        z = q @ k.transpose(0, 2, 1)
+        z += p["away"][np.maximum(_AWAY, 0)] + _FUTURE.astype(x.dtype)
+        z[np.append(begins[1:], True), n:] = -1e9
+        a, total = _attended(z)
+        seen = _met(a @ v)
+        seen /= total[:, :, None]
+        seen = seen.reshape(-1, d)
+        h = flat + seen
+        r = h @ p["in"]
+        r += p["in_bias"]
+        np.maximum(r, 0, out=r)
+        y = r @ p["out"]
+        y += h
+        return {"x": flat, "q": q, "k": k, "v": v, "a": a, "total": total, "seen": seen, "h": h, "r": r, "y": y}
+
+    def _logits(self, y: np.ndarray, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of groups, and of the classes in the target's group; rows stand in the order of
+        these groups, which begin and end at ``edges``."""
+        p, z = self.p, np.empty((len(y), CLASSES), y.dtype)
+        by_group = y @ p["groups"]
+        by_group += p["group_bias"]
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if j > i:
+                np.matmul(y[i:j], p["classes"][k], out=z[i:j])
+                z[i:j] += p["class_bias"][k]
+        return by_group, z
 
     def _log_probability(self, y: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm for each row's target class."""
-        p, kind = self.p, target // CLASSES
+        order, edges = _by_kind(target // CLASSES, len(self.p["class_bias"]))
+        kind, inside = np.divmod(target.take(order), CLASSES)
         rows = np.arange(len(y))
-        z = y @ p["groups"]
-        z += p["group_bias"]
-        z -= z.max(axis=1, keepdims=True)
-        out = z[rows, kind].astype(np.float64)
-        out -= np.log(_total(np.exp(z, out=z)))
-        order, edges = _by_kind(kind, len(p["class_bias"]))
-        own, z = y[order], np.empty((len(y), CLASSES), y.dtype)
-        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if j > i:
-                np.matmul(own[i:j], p["classes"][k], out=z[i:j])
-                z[i:j] += p["class_bias"][k]
-        z -= z.max(axis=1, keepdims=True)
-        more = z[rows, target[order] % CLASSES].astype(np.float64)
-        out[order] += more - np.log(_total(np.exp(z, out=z)))
+        out = np.empty(len(y))
+        by_group, z = self._logits(y.take(order, axis=0), edges)
+        found = by_group.take(rows * by_group.shape[1] + kind).astype(np.float64) - _log_total(by_group)
+        out[order] = found + z.take(rows * CLASSES + inside) - _log_total(z)
         return out
 
     def step(self, x: np.ndarray, begins: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss a word, gradients, and that of the inputs; target: classes."""
         p, (b, n, d) = self.p, x.shape
         f = self._forward(x, begins)
+        # Places of the text in the order of their targets' groups.
         own = np.flatnonzero(real.ravel())
-        y, t, m = f["y"][own], target.ravel()[own], max(1, len(own))
+        t = target.ravel().take(own)
+        order, edges = _by_kind(t // CLASSES, len(p["class_bias"]))
+        own, (kind, inside) = own.take(order), np.divmod(t.take(order), CLASSES)
+        y, rows, m = f["y"].take(own, axis=0), np.arange(len(own)), max(1, len(own))
         g = {"classes": np.zeros_like(p["classes"]), "class_bias": np.zeros_like(p["class_bias"])}
-        rows, kind = np.arange(len(y)), t // CLASSES
-        e = _softmax(y @ p["groups"] + p["group_bias"])
-        loss = -np.log(e[rows, kind] + 1e-30).sum()
-        e[rows, kind] -= 1
-        e /= m
-        g["groups"], g["group_bias"] = y.T @ e, e.sum(axis=0)
+        by_group, z = self._logits(y, edges)
+        # Gradients are those of the summed loss until the end.
+        loss = 0.0
+        e, z = _softmax(by_group), _softmax(z)
+        for probability, at in ((e.reshape(-1), rows * e.shape[1] + kind), (z.reshape(-1), rows * CLASSES + inside)):
+            found = probability.take(at)
+            loss -= np.log(found + 1e-30).sum()
+            probability[at] = found - 1
+        g["groups"], g["group_bias"] = y.T @ e, _columns(e)
+        dy_own = e @ p["groups"].T
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if j > i:
+                g["classes"][k], g["class_bias"][k] = y[i:j].T @ z[i:j], _columns(z[i:j])
+                dy_own[i:j] += z[i:j] @ p["classes"][k].T
         dy = np.zeros_like(f["y"])
-        dy[own] = e @ p["groups"].T
-        # All classes' logits at once, in the order of groups.
-        order, edges = _by_kind(kind, len(p["class_bias"]))
-        sorted_y, z = y[order], np.empty((len(y), CLASSES), y.dtype)
-        spans = [(k, i, j) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-        for k, i, j in spans:
-            np.matmul(sorted_y[i:j], p["classes"][k], out=z[i:j])
-            z[i:j] += p["class_bias"][k]
-        e, at = _softmax(z), (rows, t[order] % CLASSES)
-        loss -= np.log(e[at] + 1e-30).sum()
-        e[at] -= 1
-        e /= m
-        more = np.empty_like(sorted_y)
-        for k, i, j in spans:
-            g["classes"][k], g["class_bias"][k] = sorted_y[i:j].T @ e[i:j], e[i:j].sum(axis=0)
-            np.matmul(e[i:j], p["classes"][k].T, out=more[i:j])
-        dy[own[order]] += more
+        dy[own] = dy_own
         g["out"] = f["r"].T @ dy
-        du = (dy @ p["out"].T) * (f["r"] > 0)
-        g["in"], g["in_bias"] = f["h"].T @ du, du.sum(axis=0)
-        dh = (dy + du @ p["in"].T).reshape(b, n, d)
-        a = f["a"]
-        ds, dvv = dh @ f["vv"].transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+        du = dy @ p["out"].T
+        du *= f["r"] > 0
+        g["in"], g["in_bias"] = f["h"].T @ du, _columns(du)
+        dy += du @ p["in"].T
+        # Of attention, by what is divided by the sums, with a block of zeros at the end.
+        dh, less = np.zeros((b + 1, n, d), dy.dtype), np.zeros((b + 1, n), dy.dtype)
+        np.divide(dy.reshape(b, n, d), f["total"][:, :, None], out=dh[:b])
+        less[:b] = _total(dh[:b] * f["seen"].reshape(b, n, d))
+        dh, less, a = _with_next(dh), _with_next(less), f["a"]
+        ds = dh @ f["v"].transpose(0, 2, 1)
+        ds -= less[:, :, None]
         ds *= a
-        g["away"] = np.bincount(np.maximum(_AWAY, 0).ravel(), (ds.sum(axis=0) * (_AWAY >= 0)).ravel(), CONTEXT).astype(p["away"].dtype)
-        dkk = ds.transpose(0, 2, 1) @ f["q"]
+        g["away"] = np.bincount(np.maximum(_AWAY, 0).ravel(), (_columns(ds) * (_AWAY >= 0)).ravel(), CONTEXT).astype(p["away"].dtype)
         every = np.empty((b, n, 3 * d), dy.dtype)
-        every[:, :, :d] = ds @ f["kk"]
-        every[:, :, :d] *= every.dtype.type(1 / np.sqrt(d))
-        for i, z in ((1, dkk), (2, dvv)):  # of a block, as itself and as the one before
-            own_part = every[:, :, i * d : (i + 1) * d]
-            own_part[:] = z[:, n:]
-            own_part[:-1] += z[1:, :n]
+        every[:, :, :d] = _met(ds @ f["k"])
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=every[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dh, out=every[:, :, 2 * d :])
         every = every.reshape(-1, 3 * d)
-        names = ("query", "key", "value")
         moved = f["x"].T @ every
-        for i, w in enumerate(names):
-            g[w] = np.ascontiguousarray(moved[:, i * d : (i + 1) * d])
-        dx = dh.reshape(-1, d) + every @ np.concatenate([p[w] for w in names], axis=1).T
-        return float(loss / m), g, dx
+        moved[:, :d] *= moved.dtype.type(1 / np.sqrt(d))
+        for i, w in enumerate(("query", "key", "value")):
+            g[w] = moved[:, i * d : (i + 1) * d]
+        dy += every @ self._inputs().T
+        dy *= dy.dtype.type(1 / m)
+        return float(loss / m), {k: v * v.dtype.type(1 / m) for k, v in g.items()}, dy
 
     def follow(self, texts: Iterator[tuple[Words, Blocks]], rate: float, batch: int = 64, seed: int = 13) -> tuple[np.ndarray, float]:
         """Adam over all of the texts, where each word is predicted once; how often each
         id was read, and the summed loss."""
+        bw.keep_freed()
         draw = np.random.Generator(np.random.PCG64(seed))
-        mean = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
-        square = {k: np.zeros_like(v) for k, v in mean.items()}
+        # All weights but the embeddings are views of one row.
+        names = [k for k in self.p if k != "embed"]
+        flat, at = np.concatenate([self.p[k].ravel() for k in names]), 0
+        for k in names:
+            v = self.p[k]
+            self.p[k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        mean, square = np.zeros_like(flat), np.zeros_like(flat)
         embed, size = self.p["embed"], len(self.p["embed"])
         own_square, met, count = np.zeros(size, np.float32), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        id_table = np.zeros(size, np.int64)
         total, i = 0.0, 0
         for words, whole in texts:
-            target = self.of[words.anchor][whole.target]
+            target = self.of[words.anchor].take(whole.target)
             sizes = np.diff(words.first)
+            table = np.zeros(len(sizes), np.int64)
             # Batches are runs of blocks, in any order: a run's first block has lost the one
             # before it. The first steps take small ones, so that short corpora have some.
             runs, lo = [], 0
@@ -294,23 +388,23 @@ class Attention:
             for k in draw.permutation(len(runs)).tolist():
                 lo, hi = runs[k]
                 part = whole[lo:hi]
-                number, inverse = _numbered(part.read.ravel(), len(sizes))
-                ids = words.flat[_ragged(words.first[number], sizes[number])]
-                of_word = np.repeat(np.arange(len(number)), sizes[number])
-                vectors = _sums(of_word, embed[ids], len(number))
+                number, inverse = _numbered(part.read.ravel(), table)
+                ids = words.flat.take(_ragged(words.first.take(number), sizes.take(number)))
+                of_word = np.repeat(np.arange(len(number)), sizes.take(number))
+                vectors = words.summed(embed, number)
                 i += 1
-                loss, g, dx = self.step(vectors[inverse].reshape(*part.read.shape, -1), part.begins, target[lo:hi], part.real)
+                loss, g, dx = self.step(vectors.take(inverse, axis=0).reshape(*part.read.shape, -1), part.begins, target[lo:hi], part.real)
                 share = part.real.sum() / ((hi - lo) * STRIDE)  # a batch that isn't full moves the weights by its share only
                 total += loss * part.real.sum()
                 lr = np.float32(rate * min(1.0, i / 20) * share)
-                for k, d in g.items():
-                    mean[k] += np.float32(0.1) * (d - mean[k])
-                    square[k] += np.float32(0.01) * (d * d - square[k])
-                    self.p[k] -= lr * (mean[k] / np.float32(1 - 0.9**i)) / (np.sqrt(square[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
+                d = np.concatenate([g[k].ravel() for k in names])
+                mean += np.float32(0.1) * (d - mean)
+                square += np.float32(0.01) * (d * d - square)
+                flat -= lr * (mean / np.float32(1 - 0.9**i)) / (np.sqrt(square / np.float32(1 - 0.99**i)) + np.float32(1e-8))
                 # Words' gradients, then those of their ids; one step size for an id's row.
                 by_word = _sums(inverse, dx, len(number))
-                own, place = _numbered(ids, size)
-                d = _sums(place, by_word[of_word], len(own))
+                own, place = _numbered(ids, id_table)
+                d = _sums(place, by_word.take(of_word, axis=0), len(own))
                 met[own] += 1
                 own_square[own] = np.float32(0.95) * own_square[own] + np.float32(0.05) * (d * d).mean(axis=1)
                 sure = (1 - 0.95 ** met[own]).astype(np.float32)
@@ -320,16 +414,17 @@ class Attention:
 
     def score(self, words: Words, whole: Blocks) -> np.ndarray:
         """log10 probability of the class of each place's word, where it is real."""
+        bw.keep_freed()
         vectors = words.summed(self.p["embed"])
-        target = self.of[words.anchor][whole.target]
+        target = self.of[words.anchor].take(whole.target)
         out = np.zeros(whole.read.shape)
         step = 512
         for lo in range(0, len(whole.begins), step):
             back = int(lo > 0)  # with the block before, whose places are known already
             part = whole[lo - back : lo + step]
-            y = self._forward(vectors[part.read], part.begins)["y"].reshape(*part.read.shape, -1)[back:]
-            real = part.real[back:]
-            out[lo : lo + step][real] = self._log_probability(y[real], target[lo : lo + step][real]) / np.log(10)
+            y = self._forward(vectors.take(part.read, axis=0), part.begins)["y"][back * STRIDE :]
+            own = np.flatnonzero(part.real[back:].ravel())
+            out[lo : lo + step].reshape(-1)[own] = self._log_probability(y.take(own, axis=0), target[lo : lo + step].ravel().take(own)) / np.log(10)
         return out[whole.real]
 
 

@@ -118,14 +118,14 @@ class _WordView:
     """What ``pretoken.Cache`` needs of some words, by their numbers."""
 
     def __init__(self, found: bw.Words, hashes: np.ndarray, at: np.ndarray):
-        self.found, self.own, self.at = found, hashes, at
+        self.raw, self.own = found.raw.tobytes(), hashes  # slices of bytes are made faster than those of arrays
+        self.start, self.end = found.start[at].tolist(), found.end[at].tolist()
 
     def hashes(self) -> np.ndarray:
         return self.own
 
     def text(self, i: int) -> bytes:
-        k = self.at[i]
-        return b" " + self.found.raw[self.found.start[k] : self.found.end[k]].tobytes()
+        return b" " + self.raw[self.start[i] : self.end[i]]
 
 
 class _Reader:
@@ -163,6 +163,7 @@ def read_words(docs: DataFrame, files: tuple[str, str], folds: int = FOLDS) -> D
     of texts that aren't learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bw.keep_freed()
         for batch in bw.chunks(batches, size=CHUNK):
             read = _Reader.of(files)(batch.column(1))
             own = batch.column(2).to_numpy()

@@ -15,6 +15,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -168,7 +169,7 @@ class Cache:
             new = np.flatnonzero(~known)
             ids = self.encode([pre.text(i) for i in sample[new].tolist()])
             size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-            flat = np.fromiter((x for y in ids for x in y), dtype=np.uint16, count=int(size.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint16, count=int(size.sum()))
             at = len(self.flat) + np.concatenate([[0], np.cumsum(size, dtype=np.int64)[:-1]])
             self.flat = np.concatenate([self.flat, flat])
             self.keys = np.insert(self.keys, spot[new], keys[new])

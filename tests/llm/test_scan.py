@@ -3,7 +3,10 @@ import gzip
 import json
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -292,6 +295,62 @@ def test_each_word_is_scored_once_and_causally():
     assert total < 1 + 1e-3
 
 
+def test_words_of_many_ids_are_summed():
+    draw = np.random.default_rng(6)
+    sizes = np.concatenate([draw.integers(1, 30, 300), [1, 5_000, 8, 9, 1]])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    flat = draw.integers(0, 40, first[-1])
+    words, embed = Words(flat, first, flat[first[:-1]]), draw.normal(size=(40, 16))
+    want = np.stack([embed[flat[a:b]].sum(axis=0) for a, b in zip(first[:-1], first[1:], strict=True)])
+    some = draw.permutation(305)[:99]
+    assert np.allclose(words.summed(embed), want) and np.allclose(words.summed(embed, some), want[some])
+    assert words.summed(embed, some[:0]).shape == (0, 16)
+
+
+def test_attention_of_large_weights_stays_in_range():
+    """Far from 0, exponentials are taken less each row's largest; the results go on as
+    before."""
+    draw = np.random.default_rng(7)
+    of = ((np.arange(40) % 3) * CLASSES + np.arange(40) % 5).astype(np.int32)
+    model = Attention.fresh(np.ones(40), of)
+    words = words_of(draw, 30)
+    whole = blocks(draw.integers(0, 30, 400), np.array([0, 40, 47, 400]), 29)
+    target = of[words.anchor][whole.target]
+    for k in ("groups", "classes"):
+        model.p[k] = draw.normal(size=model.p[k].shape).astype(np.float32)
+    x = words.summed(model.p["embed"])[whole.read]
+    want, plain = model.score(words, whole), model.step(x, whole.begins, target, whole.real)
+    # The same shift of all of a row's logits changes nothing.
+    for by in (-200, 200):
+        moved = Attention(model.p | {"away": model.p["away"] + np.float32(by), "group_bias": model.p["group_bias"] + np.float32(by), "class_bias": model.p["class_bias"] + np.float32(by)}, of)
+        assert np.allclose(moved.score(words, whole), want, atol=1e-3)
+        loss, g, dx = moved.step(x, whole.begins, target, whole.real)
+        assert np.isclose(loss, plain[0], rtol=1e-3) and np.allclose(dx, plain[2], atol=1e-4) and all(np.allclose(g[k], plain[1][k], atol=1e-3) for k in g)
+    model.p["query"] = model.p["query"] * np.float32(1e4)
+    assert np.isfinite(model.score(words, whole)).all() and all(np.isfinite(v).all() for v in model.step(x, whole.begins, target, whole.real)[1].values())
+
+
+STEPS = """
+import resource
+import numpy as np
+from gridloom.llm.attention import Attention, Words, blocks, classes_of
+draw = np.random.default_rng(8)
+words = Words(draw.integers(0, 40, 3000), np.arange(3001), np.arange(3000) % 40)
+model = Attention.fresh(np.ones(40), classes_of(np.ones(40), draw.random((40, 8))))
+texts = [(words, blocks(draw.integers(0, 3000, 80_000), np.arange(0, 80_001, 400), 0)) for _ in range(5)]
+model.follow(iter(texts), 0.02, 512)
+faults = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+model.follow(iter(texts), 0.02, 512)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - faults)
+"""
+
+
+def test_steps_use_their_memory_again():
+    """A step's arrays aren't given back and faulted in page by page for the next one."""
+    found = subprocess.run([sys.executable, "-c", STEPS], cwd=Path(lm_scoring.__file__).parents[2], capture_output=True, text=True, check=True, timeout=100)
+    assert int(found.stdout) < 8_000
+
+
 def told(rows):
     return {i: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t in rows}
 
